@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, packing, pii, secrets
+from . import exact_dedup, html_text, jaccard_join, media, mixing, packing, pii, secrets, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.with_scores(docs, table(spark, sf_dir, "labels"))
+    score = F.col("toxic_score")
+    return scored.select("doc_id", (toxicity.fold() == 2).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *pii.counts(pii.BASE), *pii.span_digest(found, pii.BASE), F.size("spans").cast("long").alias("n_spans"))
@@ -31,17 +38,25 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *pii.counts(secrets.BASE), *pii.span_digest(found, secrets.BASE), "n_live", "n_copied", "most_owners", "most_repos")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mix_sources(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return taken.select("doc.doc_id", *mixing.LEVELS, "n_tokens", "epoch", "leaf_budget")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_exact_dedup, op4_packing, op5_secrets, op8_media, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_exact_dedup, op4_packing, op5_secrets, op7_html, op8_media, op9_jaccard_join, op10_mixing)}
 
 
 _SQL = {
