@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, jaccard_join, media, mixing, packing, pii, secrets, toxicity
+from . import exact_dedup, html_text, jaccard_join, media, mixing, packing, pii, secrets, suffix_dedup, toxicity
 from .common import table
 
 
@@ -38,6 +38,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *pii.counts(secrets.BASE), *pii.span_digest(found, secrets.BASE), "n_live", "n_copied", "most_owners", "most_repos")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -56,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_exact_dedup, op4_packing, op5_secrets, op7_html, op8_media, op9_jaccard_join, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_exact_dedup, op4_packing, op5_secrets, op6_suffix_dedup, op7_html, op8_media, op9_jaccard_join, op10_mixing)}
 
 
 _SQL = {
