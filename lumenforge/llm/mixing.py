@@ -43,7 +43,7 @@ class Mix:
 
 def domain_of(source: Column) -> Column:
     """The domain that a source belongs to where the corpus has no such column: its name's checksum names one of three."""
-    n = F.crc32(F.coalesce(source, F.lit("")).cast("binary")) % 3
+    n = F.conv(F.substring(F.md5(F.coalesce(source, F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % 3
     return F.when(n == 0, "web").when(n == 1, "reference").otherwise("forum")
 
 

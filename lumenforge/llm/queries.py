@@ -64,12 +64,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_exact_dedup, op4_packing, op5_secrets, op6_suffix_dedup, op7_html, op8_media, op9_jaccard_join, op10_mixing)}
 
 
+def _share_sql(nodes: str, parent: str, key: str, given: str) -> str:
+    """The sharing of a budget among the nodes (room, weight, budget) of a parent."""
+    return f"""
+        SELECT *, CASE WHEN short THEN room ELSE (budget - sum(CASE WHEN short THEN room ELSE 0 END) OVER (PARTITION BY {parent}))
+                  / sum(CASE WHEN short THEN 0 ELSE weight END) OVER (PARTITION BY {parent}) * weight END AS {given}
+        FROM (SELECT *, room <= (budget - coalesce(sum(room) OVER (PARTITION BY {parent} ORDER BY room / weight, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / sum(weight) OVER (PARTITION BY {parent} ORDER BY room / weight, {key} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * weight AS short
+              FROM ({nodes}))"""
+
+
+def _mixing_sql(mix: mixing.Mix) -> str:
+    weight = lambda c, w: f"CAST(CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in w.items()) + f" ELSE {mix.default} END AS DOUBLE)" if w else f"CAST({mix.default} AS DOUBLE)"
+    top = f"SELECT domain, sum(room) AS room, (SELECT sum(tokens) * CAST({mix.fraction} AS DOUBLE) FROM leaves) AS budget, {weight('domain', mix.domain)} AS weight FROM leaves GROUP BY domain"
+    mid = f"SELECT l.domain, l.language, sum(l.room) AS room, any_value(b1) AS budget, {weight('l.language', mix.language)} AS weight FROM leaves l JOIN top USING (domain) GROUP BY l.domain, l.language"
+    low = f"SELECT l.domain, l.language, l.leaf_source, l.tokens, l.room, b2 AS budget, {weight('l.leaf_source', mix.source)} AS weight FROM leaves l JOIN mid USING (domain, language)"
+    return rf"""
+        WITH d AS (
+          SELECT doc_id, coalesce(lang, '') AS language, coalesce(source, '') AS leaf_source, coalesce(CAST(doc_id AS VARCHAR), '') AS key,
+                 CASE CAST('0x' || substr(md5(coalesce(source, '')), 1, 8) AS BIGINT) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'reference' ELSE 'forum' END AS domain,
+                 CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens
+          FROM documents),
+        leaves AS (SELECT domain, language, leaf_source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {mix.max_epochs} AS DOUBLE) AS room FROM d GROUP BY ALL),
+        top AS ({_share_sql(top, "1", "domain", "b1")}),
+        mid AS ({_share_sql(mid, "domain", "language", "b2")}),
+        low AS ({_share_sql(low, "domain, language", "leaf_source", "b3")}),
+        budgets AS (SELECT domain, language, leaf_source, CAST(floor(round(b3, 3)) AS BIGINT) AS leaf_budget,
+                           CASE WHEN tokens > 0 THEN CAST(floor(round(b3, 3)) AS BIGINT) // greatest(tokens, 1) ELSE 0 END AS epochs,
+                           CASE WHEN tokens > 0 THEN CAST(floor(round(b3, 3)) AS BIGINT) % greatest(tokens, 1) ELSE 0 END AS rest FROM low),
+        placed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, leaf_source ORDER BY md5('{mix.seed}:' || epochs || ':' || key), key) AS upto
+                   FROM d JOIN budgets USING (domain, language, leaf_source)),
+        copies AS (SELECT *, unnest(range(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)) AS epoch FROM placed)
+        SELECT doc_id, domain, language, leaf_source, n_tokens, CAST(epoch AS BIGINT) AS epoch, leaf_budget FROM copies"""
+
+
 _SQL = {
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
                sha256(body) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY body)""",
+    "op10_mixing": _mixing_sql(mixing.Mix()),
 }
 
 
