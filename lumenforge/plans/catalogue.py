@@ -1,15 +1,636 @@
-"""All queries of the library, and their SQL."""
+"""All queries of the library on the standard tables, and SQL that says the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from ..functions import colour, plane
+from ..operators import diagnostics as dx
+from ..operators import features, learn, metrics, scoring, split, text_checks
+from ..operators import transforms as tx
+from ..sources import rasters
+from . import advice, catalog
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: The rasters of sources.rasters as a grid of samples.
+GRID = """
+WITH e AS (SELECT vec_id AS image_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
+px AS (SELECT image_id, label, CAST(pos // 8 AS INT) AS y, CAST(pos % 8 AS INT) AS x, CAST(greatest(0, least(255, floor((CAST(v AS DOUBLE) + 0.6) / 1.2 * 255))) AS INT) AS g FROM e)"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+# Metrics of images
+
+
+@query(GRID + " SELECT image_id, round(avg(g), 6) AS mean_brightness FROM px GROUP BY image_id")
+def mean_brightness(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.load(spark, d).select("image_id", _r(dx.mean_brightness()).alias("mean_brightness"))
+
+
+@query(GRID + " SELECT image_id, round(avg(CASE WHEN g // 2 <= 5 THEN 1.0 ELSE 0 END), 6) AS dark_clip_ratio, round(avg(CASE WHEN g // 2 >= 250 THEN 1.0 ELSE 0 END), 6) AS bright_clip_ratio FROM px GROUP BY image_id")
+def clip_ratios(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.darkened(rasters.load(spark, d)).select("image_id", _r(dx.dark_clip_ratio()).alias("dark_clip_ratio"), _r(dx.bright_clip_ratio()).alias("bright_clip_ratio"))
+
+
+@query(GRID + " SELECT image_id, round(stddev_pop(g), 6) AS global_contrast FROM px GROUP BY image_id")
+def global_contrast(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.load(spark, d).select("image_id", _r(dx.global_contrast()).alias("global_contrast"))
+
+
+@query(GRID + ", t AS (SELECT image_id, y // 4 AS ty, x // 4 AS tx, stddev_pop(g) AS s FROM px GROUP BY ALL) SELECT image_id, round(avg(s), 6) AS local_contrast FROM t GROUP BY image_id")
+def local_contrast(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.load(spark, d).select("image_id", _r(dx.local_contrast(side=4)).alias("local_contrast"))
+
+
+@query(GRID + ", n AS (SELECT image_id, g, count(*) / 64.0 AS p FROM px GROUP BY ALL) SELECT image_id, round(-sum(p * log2(p)), 6) AS entropy FROM n GROUP BY image_id")
+def entropy(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.load(spark, d).select("image_id", _r(dx.entropy()).alias("entropy"))
+
+
+def _near(border: str, offsets: list[tuple[int, int]], values: str = "px") -> str:
+    """FROM clause that gathers the neighbours q of each sample p at offsets o (dy, dx, c)."""
+    rows = ", ".join(f"({dy}, {dx_}, {i})" for i, (dy, dx_) in enumerate(offsets))
+    at = {"reflect": "7 - abs(7 - abs(p.{0} + o.d{0}))", "replicate": "greatest(0, least(7, p.{0} + o.d{0}))"}[border]
+    return f"{values} p CROSS JOIN (VALUES {rows}) o(dy, dx, i) JOIN {values} q ON q.image_id = p.image_id AND q.y = {at.format('y')} AND q.x = {at.format('x')}"
+
+
+def _taps(taps, values: str = "px") -> tuple[str, str]:
+    """FROM clause and weight expression for weighted neighbours."""
+    weights = "CASE o.i " + " ".join(f"WHEN {i} THEN {float(t[2])!r}::DOUBLE" for i, t in enumerate(taps)) + " END"
+    return _near("reflect", [t[:2] for t in taps], values), weights
+
+
+def _weighted_sql(taps, expr: str, name: str, values: str = "px") -> str:
+    src, w = _taps(taps, values)
+    return f"{name} AS (SELECT p.image_id, p.y, p.x, any_value(p.g) AS g0, {expr.format(f'sum(q.g * {w})')} AS g FROM {src} GROUP BY p.image_id, p.y, p.x)"
+
+
+_PLANE = " SELECT image_id, string_agg(CAST(g AS VARCHAR), ',' ORDER BY y, x) AS px FROM {0} GROUP BY image_id"
+
+
+def _written(px: Column) -> Column:
+    return F.array_join(px.cast("array<string>"), ",").alias("px")
+
+
+
+@query(GRID + ", " + _weighted_sql(dx.LAPLACIAN, "{0}", "l") + " SELECT image_id, round(var_pop(g) * 4096) / 4096 AS sharpness FROM l GROUP BY image_id")
+def sharpness(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.load(spark, d).select("image_id", (F.round(dx.sharpness() * 4096) / 4096).alias("sharpness"))
+
+
+_MEDIAN3 = f", m AS (SELECT p.image_id, p.y, p.x, any_value(p.g) AS g0, CAST(median(q.g) AS INT) AS g FROM {_near('replicate', plane.square(3))} GROUP BY p.image_id, p.y, p.x)"
+
+
+@query(GRID + _MEDIAN3 + " SELECT image_id, round(sqrt(avg((g0 - g) * (g0 - g))), 6) AS noise_estimate FROM m GROUP BY image_id")
+def noise_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.load(spark, d).select("image_id", _r(dx.noise_estimate()).alias("noise_estimate"))
+
+
+def _gauss_sql(k: int, sigma: float = 0.0) -> str:
+    w = tx.gaussian_weights(k, sigma)
+    across = _weighted_sql([(0, i - k // 2, c) for i, c in enumerate(w)], "{0}", "gx")
+    down = _weighted_sql([(i - k // 2, 0, c) for i, c in enumerate(w)], "CAST(greatest(0, least(255, round_even(round({0}, 6), 0))) AS INT)", "gy", "gx")
+    return f", {across}, {down}"
+
+
+@query(GRID + _gauss_sql(3) + " SELECT image_id, round(stddev_pop(g) / avg(g), 6) AS illumination_nonuniformity FROM gy GROUP BY image_id")
+def illumination_nonuniformity(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.load(spark, d).select("image_id", _r(dx.illumination_nonuniformity(dx.illumination_kernel(8, 8))).alias("illumination_nonuniformity"))
+
+
+_BGR = ", c AS (SELECT image_id, y, x, g AS b, 255 - g AS gr, (g * 7) % 256 AS r FROM px)"
+
+
+@query(GRID + _BGR + """, o AS (SELECT image_id, abs(r - gr) AS rg, abs(0.5::DOUBLE * (r + gr) - b) AS yb FROM c)
+SELECT image_id, round(sqrt(var_pop(rg) + var_pop(yb)) + 0.3 * sqrt(avg(rg) * avg(rg) + avg(yb) * avg(yb)), 6) AS colorfulness FROM o GROUP BY image_id""")
+def colorfulness(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.coloured(rasters.load(spark, d)).select("image_id", _r(dx.colorfulness(F.col("b"), F.col("g"), F.col("r"))).alias("colorfulness"))
+
+
+_SAT = ", s AS (SELECT *, CASE WHEN greatest(b, gr, r) = 0 THEN 0 ELSE CAST(round_even(255.0::DOUBLE * (greatest(b, gr, r) - least(b, gr, r)) / greatest(b, gr, r), 0) AS INT) END AS g FROM c)"
+
+
+@query(GRID + _BGR + _SAT + " SELECT image_id, round(stddev_pop(g), 6) AS saturation_spread FROM s GROUP BY image_id")
+def saturation_spread(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.coloured(rasters.load(spark, d)).select("image_id", _r(dx.saturation_spread(F.col("b"), F.col("g"), F.col("r"))).alias("saturation_spread"))
+
+
+@query(GRID + _BGR + _SAT + _PLANE.format("s"))
+def hsv_saturation(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.coloured(rasters.load(spark, d)).select("image_id", _written(dx.saturation_plane(F.col("b"), F.col("g"), F.col("r"))))
+
+
+@query(GRID + _BGR + ", s AS (SELECT *, CAST(round_even(b * 0.114::DOUBLE + gr * 0.587::DOUBLE + r * 0.299::DOUBLE, 0) AS INT) AS g FROM c)" + _PLANE.format("s"))
+def gray_bgr(spark: SparkSession, d: str) -> DataFrame:
+    rows = F.arrays_zip("b", "g", "r")
+    return rasters.coloured(rasters.load(spark, d)).select("image_id", _written(F.transform(rows, lambda s: colour.grey(s.b, s.g, s.r))))
+
+
+# Transforms
+
+
+def _plane(spark: SparkSession, d: str, f: Callable[..., Column], *args, dark: bool = False) -> DataFrame:
+    images = rasters.load(spark, d)
+    images = rasters.darkened(images) if dark else images
+    return images.select("image_id", _written(f(F.col("px"), F.col("h"), F.col("w"), *args)))
+
+
+_NORM = ", r AS (SELECT *, min(g) OVER (PARTITION BY image_id) AS lo, max(g) OVER (PARTITION BY image_id) AS hi FROM px), n AS (SELECT image_id, y, x, CASE WHEN hi = lo THEN 0 ELSE CAST(round_even((g - lo) * 255.0::DOUBLE / (hi - lo), 0) AS INT) END AS g FROM r)"
+
+
+@query(GRID + _NORM + _PLANE.format("n"))
+def normalize(spark: SparkSession, d: str) -> DataFrame:
+    return _plane(spark, d, tx.normalize)
+
+
+_DARK = ", dk AS (SELECT image_id, y, x, g // 2 AS g FROM px)"
+_GAMMA = ", mm AS (SELECT *, avg(g) OVER (PARTITION BY image_id) / 255 AS m FROM dk), gm AS (SELECT image_id, y, x, CASE WHEN m <= 1e-6 OR m >= 1 - 1e-6 THEN g ELSE CAST(floor(pow(g / 255.0::DOUBLE, greatest(0.5, least(2.0, ln(0.5) / ln(m)))) * 255 + 1e-9) AS INT) END AS g FROM mm)"
+
+
+@query(GRID + _DARK + _GAMMA + _PLANE.format("gm"))
+def auto_gamma(spark: SparkSession, d: str) -> DataFrame:
+    return _plane(spark, d, tx.auto_gamma, dark=True)
+
+
+@query(GRID + _gauss_sql(5, 0.8) + _PLANE.format("gy"))
+def gaussian_blur(spark: SparkSession, d: str) -> DataFrame:
+    return _plane(spark, d, tx.gaussian, 5, 0.8)
+
+
+@query(GRID + _MEDIAN3 + _PLANE.format("m"))
+def median_blur(spark: SparkSession, d: str) -> DataFrame:
+    return _plane(spark, d, tx.median, 3)
+
+
+_UNSHARP = _gauss_sql(5, 1.0) + ", u AS (SELECT p.image_id, p.y, p.x, CASE WHEN abs(p.g - s.g) < 3 THEN p.g ELSE CAST(greatest(0, least(255, round_even(round(p.g * 1.8::DOUBLE - s.g * 0.8::DOUBLE, 6), 0))) AS INT) END AS g FROM px p JOIN gy s USING (image_id, y, x))"
+
+
+@query(GRID + _UNSHARP + _PLANE.format("u"))
+def unsharp(spark: SparkSession, d: str) -> DataFrame:
+    return _plane(spark, d, tx.unsharp, 5, 1.0, 0.8, 3)
+
+
+def _morph(first: str, second: str, offsets: list[tuple[int, int]]) -> str:
+    a = f"m1 AS (SELECT p.image_id, p.y, p.x, {first}(q.g) AS g FROM {_near('replicate', offsets)} GROUP BY p.image_id, p.y, p.x)"
+    return f", {a}, m2 AS (SELECT p.image_id, p.y, p.x, {second}(q.g) AS g FROM {_near('replicate', offsets, 'm1')} GROUP BY p.image_id, p.y, p.x)"
+
+
+@query(GRID + _morph("max", "min", plane.ellipse(5)) + ", bh AS (SELECT p.image_id, p.y, p.x, m2.g - p.g AS g FROM px p JOIN m2 USING (image_id, y, x))" + _PLANE.format("bh"))
+def blackhat(spark: SparkSession, d: str) -> DataFrame:
+    return _plane(spark, d, tx.blackhat, 5)
+
+
+@query(GRID + _morph("min", "max", plane.ellipse(3)) + _PLANE.format("m2"))
+def opening(spark: SparkSession, d: str) -> DataFrame:
+    return _plane(spark, d, tx.opening, 3)
+
+
+def _derivative_sql(taps) -> str:
+    return GRID + ", " + _weighted_sql(taps, "CAST(least(255, abs({0})) AS INT)", "s") + _PLANE.format("s")
+
+
+@query(_derivative_sql(tx.SOBEL))
+def sobel(spark: SparkSession, d: str) -> DataFrame:
+    return _plane(spark, d, tx.derivative, tx.SOBEL)
+
+
+@query(_derivative_sql(tx.SCHARR))
+def scharr(spark: SparkSession, d: str) -> DataFrame:
+    return _plane(spark, d, tx.derivative, tx.SCHARR)
+
+
+@query(_derivative_sql(tx.LAPLACIAN))
+def laplacian(spark: SparkSession, d: str) -> DataFrame:
+    return _plane(spark, d, tx.derivative, tx.LAPLACIAN)
+
+
+@query(GRID + ", " + _weighted_sql(tx.gabor_taps(3), "CAST(greatest(0, least(255, round_even(round(abs({0}), 6), 0))) AS INT)", "s") + _PLANE.format("s"))
+def gabor(spark: SparkSession, d: str) -> DataFrame:
+    images = rasters.load(spark, d)
+    response = plane.weighted(F.col("px"), F.col("h"), F.col("w"), tx.gabor_taps(3))
+    return images.select("image_id", _written(F.transform(response, lambda v: plane.byte(F.round(F.abs(v), 6)))))
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    """(image_id, v, n): the histogram, at most 256 rows for an image after map-side counts."""
+    return rasters.load(spark, d).select("image_id", F.explode("px").alias("v")).groupBy("image_id", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+_EQ = ", n AS (SELECT image_id, g, count(*) AS n FROM px GROUP BY ALL), c AS (SELECT *, sum(n) OVER w AS cdf, first_value(n) OVER w AS low, sum(n) OVER (PARTITION BY image_id) AS total FROM n WINDOW w AS (PARTITION BY image_id ORDER BY g))"
+
+
+@query(GRID + _EQ + " SELECT image_id, g AS v, CASE WHEN low = total THEN g ELSE CAST(round_even((cdf - low) * 255.0::DOUBLE / (total - low), 0) AS INT) END AS equalized FROM c")
+def hist_equalize(spark: SparkSession, d: str) -> DataFrame:
+    """The table of grey levels of each image."""
+    w = W.partitionBy("image_id").orderBy("v")
+    t = _levels(spark, d).withColumns({"cdf": F.sum("n").over(w), "low": F.first("n").over(w), "total": F.sum("n").over(W.partitionBy("image_id"))})
+    out = F.when(F.col("low") == F.col("total"), F.col("v")).otherwise(F.bround((F.col("cdf") - F.col("low")) * F.lit(255.0) / F.greatest(F.col("total") - F.col("low"), F.lit(1)), 0).cast("int"))
+    return t.select("image_id", "v", out.alias("equalized"))
+
+
+@query(GRID + """, n AS (SELECT image_id, g, count(*) AS n FROM px GROUP BY ALL),
+c AS (SELECT image_id, g, sum(n) OVER w AS w0, sum(n * g) OVER w AS s0, sum(n) OVER (PARTITION BY image_id) AS w, sum(n * g) OVER (PARTITION BY image_id) AS s FROM n WINDOW w AS (PARTITION BY image_id ORDER BY g)),
+b AS (SELECT image_id, g, CASE WHEN w > w0 THEN round(CAST(w0 AS DOUBLE) * (w - w0) * pow(s0 / w0 - (s - s0) / (w - w0), 2), 3) ELSE 0 END AS v FROM c)
+SELECT image_id, g AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY v DESC, g) AS r FROM b) WHERE r = 1""")
+def otsu(spark: SparkSession, d: str) -> DataFrame:
+    w, every = W.partitionBy("image_id").orderBy("v"), W.partitionBy("image_id")
+    t = _levels(spark, d).withColumns({"w0": F.sum("n").over(w), "s0": F.sum(F.col("n") * F.col("v")).over(w), "w": F.sum("n").over(every), "s": F.sum(F.col("n") * F.col("v")).over(every)})
+    rest = F.greatest(F.col("w") - F.col("w0"), F.lit(1))
+    gap = F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / rest
+    between = F.when(F.col("w") > F.col("w0"), F.round(F.col("w0").cast("double") * rest * F.pow(gap, F.lit(2)), 3)).otherwise(0.0)
+    best = t.select("image_id", F.col("v").alias("threshold"), between.alias("b"))
+    return best.groupBy("image_id").agg(F.max_by("threshold", F.struct(F.col("b"), (-F.col("threshold")))).alias("threshold"))
+
+
+# Advice: candidates, scores, ranks
+
+_ADVICE_SQL = advice.sql(GRID, _NORM, _DARK, _GAMMA)
+
+
+@query(_ADVICE_SQL + " SELECT image_id, pipeline_id, metric, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS absolute_delta, round(CASE WHEN abs(before) >= 1e-9 THEN (after - before) / abs(before) * 100 END, 4) AS percent_delta FROM pairs")
+def metric_changes(spark: SparkSession, d: str) -> DataFrame:
+    before, after = advice.measured(spark, d)
+    both = after.select("image_id", "pipeline_id").join(before, "image_id")
+    rows = dx.changes(both, after, ["image_id", "pipeline_id"], list(advice.METRICS))
+    return rows.select("image_id", "pipeline_id", "metric", _r("before").alias("before"), _r("after").alias("after"), _r("absolute_delta").alias("absolute_delta"), F.round("percent_delta", 4).alias("percent_delta"))
+
+
+@query(_ADVICE_SQL + advice.SCORE_SQL + " SELECT image_id, pipeline_id, metric, round(value, 6) AS value, weight, round(value * weight, 6) AS weighted FROM comps")
+def component_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = advice.components(spark, d)
+    return rows.select("image_id", "pipeline_id", "metric", _r("value").alias("value"), "weight", _r("weighted").alias("weighted"))
+
+
+@query(_ADVICE_SQL + advice.SCORE_SQL + " SELECT image_id, pipeline_id, round(score, 6) AS score FROM totals")
+def weighted_total(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.totals(advice.components(spark, d), ["image_id", "pipeline_id"]).select("image_id", "pipeline_id", _r("score").alias("score"))
+
+
+@query(_ADVICE_SQL + advice.SCORE_SQL + " SELECT image_id, pipeline_id, warnings FROM warned")
+def warnings(spark: SparkSession, d: str) -> DataFrame:
+    return advice.candidates(spark, d).select("image_id", "pipeline_id", F.array_join(scoring.warnings(), ",").alias("warnings"))
+
+
+@query(_ADVICE_SQL + advice.SCORE_SQL + " SELECT image_id, pipeline_id, reason_no, metric, reason FROM reasons")
+def top2_reasons(spark: SparkSession, d: str) -> DataFrame:
+    rows = scoring.top_reasons(advice.components(spark, d), ["image_id", "pipeline_id"])
+    return rows.select("image_id", "pipeline_id", F.col("reason_no").cast("long").alias("reason_no"), "metric", scoring.reason_text(F.col("metric"), F.col("value")).alias("reason"))
+
+
+@query(_ADVICE_SQL + advice.SCORE_SQL + """ SELECT image_id, rank, pipeline_id, round(score, 6) AS score, warnings, reasons FROM (
+SELECT image_id, pipeline_id, score, warnings, n_warnings, row_number() OVER (PARTITION BY image_id ORDER BY round(score, 6) DESC, n_warnings, pipeline_id) AS rank FROM totals JOIN warned USING (image_id, pipeline_id))
+JOIN (SELECT image_id, pipeline_id, string_agg(reason, '; ' ORDER BY reason_no) AS reasons FROM reasons GROUP BY ALL) USING (image_id, pipeline_id) WHERE rank <= 3""")
+def top3_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    return advice.recommendations(spark, d)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p.id}', '{q}')" for p in catalog.DEFAULT for q in p.profiles) + ") t(pipeline_id, profile)")
+def profile_filter(spark: SparkSession, d: str) -> DataFrame:
+    table = catalog.pipelines_table(spark)
+    profiles = spark.createDataFrame([(p,) for p in catalog.PROFILES], "profile string")
+    return table.crossJoin(F.broadcast(profiles)).where("array_contains(profiles, profile)").select("pipeline_id", "profile")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {float(round(sum(w.values()), 6))}::DOUBLE, {len(w)}::BIGINT, true)" for p, w in catalog.WEIGHTS.items()) + ") t(profile, total, n, valid)")
+def weight_validation(spark: SparkSession, d: str) -> DataFrame:
+    sums = catalog.weights_table(spark).groupBy("profile").agg(_r(F.sum("weight")).alias("total"), F.count(F.lit(1)).alias("n"))
+    return sums.withColumn("valid", F.abs(F.col("total") - 1) <= 1e-9)
+
+
+# Folds, learners, metrics
+
+_ORDER = "md5('42:' || CAST(vec_id AS VARCHAR)), vec_id"
+_FOLDS = f"WITH f AS (SELECT vec_id, label, embedding, ntile(5) OVER (PARTITION BY label ORDER BY {_ORDER}) - 1 AS fold FROM embeddings)"
+
+
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    return split.stratified_folds(_table(spark, d, "embeddings"), "vec_id", "label")
+
+
+@query(_FOLDS + " SELECT vec_id, label, fold FROM f")
+def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
+    return _folded(spark, d).select("vec_id", "label", F.col("fold").cast("long").alias("fold"))
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def class_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+_Z = _FOLDS + """, k AS (SELECT unnest(range(5)) AS test_fold), u AS (SELECT vec_id, label, fold, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM f),
+st AS (SELECT test_fold, pos, avg(CAST(x AS DOUBLE)) AS m, CASE WHEN stddev_pop(CAST(x AS DOUBLE)) < 1e-8 THEN 1.0 ELSE stddev_pop(CAST(x AS DOUBLE)) END AS sd FROM u JOIN k ON fold <> test_fold GROUP BY ALL),
+z AS (SELECT test_fold, vec_id, label, fold, pos, (CAST(x AS DOUBLE) - m) / sd AS z FROM u JOIN st USING (pos))"""
+
+
+@query(_Z + " SELECT test_fold, vec_id, round(sum(z), 4) AS z_sum, round(sum(z * z), 4) AS z_square FROM z GROUP BY ALL")
+def fold_standardize(spark: SparkSession, d: str) -> DataFrame:
+    z = learn.standardize(_folded(spark, d), features="embedding")
+    total = lambda f: F.round(F.aggregate("z", F.lit(0.0), lambda s, v: s + f(v)), 4)
+    return z.select(F.col("test_fold").cast("long").alias("test_fold"), "vec_id", total(lambda v: v).alias("z_sum"), total(lambda v: v * v).alias("z_square"))
+
+
+_KNN = _Z + """, v AS (SELECT test_fold, vec_id, label, fold, list(z ORDER BY pos) AS z FROM z GROUP BY ALL),
+dist AS (SELECT a.test_fold, a.vec_id, a.label AS actual, b.vec_id AS other, b.label AS vote, round(list_sum(list_transform(list_zip(a.z, b.z), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS d FROM v a JOIN v b ON a.test_fold = b.test_fold AND a.fold = a.test_fold AND b.fold <> b.test_fold),
+near AS (SELECT *, row_number() OVER (PARTITION BY test_fold, vec_id ORDER BY d, other) AS place FROM dist),
+votes AS (SELECT test_fold, vec_id, actual, vote, count(*) AS n, sum(place) AS places FROM near WHERE place <= 5 GROUP BY ALL),
+pred AS (SELECT test_fold, vec_id, actual, vote AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY test_fold, vec_id ORDER BY n DESC, places, vote) AS r FROM votes) WHERE r = 1)"""
+
+
+@query(_KNN + " SELECT test_fold, vec_id, actual, predicted FROM pred")
+def knn_predict(spark: SparkSession, d: str) -> DataFrame:
+    z = learn.standardize(_folded(spark, d), features="embedding")
+    return learn.knn(z, "vec_id", "label").withColumn("test_fold", F.col("test_fold").cast("long"))
+
+
+_PRED = "WITH pr AS (SELECT CAST(doc_id % 3 AS INT) AS fold, lang AS pipeline_id, quality AS actual, CASE WHEN n_chars >= 400 THEN 1 ELSE 0 END AS predicted FROM labels JOIN documents USING (doc_id)), cl AS (SELECT unnest([0, 1]) AS c)"
+_CM = _PRED + """, cm AS (SELECT k.pipeline_id, k.fold, a.c AS actual, p.c AS predicted, count(pr.actual) AS n FROM (SELECT DISTINCT pipeline_id, fold FROM pr) k CROSS JOIN cl a CROSS JOIN cl p
+LEFT JOIN pr ON pr.pipeline_id = k.pipeline_id AND pr.fold = k.fold AND pr.actual = a.c AND pr.predicted = p.c GROUP BY ALL)"""
+_PC = _CM + """, pc0 AS (SELECT pipeline_id, fold, c AS class_index, CAST(sum(CASE WHEN actual = c AND predicted = c THEN n ELSE 0 END) AS DOUBLE) AS tp, CAST(sum(CASE WHEN actual = c THEN n ELSE 0 END) AS BIGINT) AS support, sum(CASE WHEN predicted = c THEN n ELSE 0 END) AS called FROM cm CROSS JOIN cl GROUP BY ALL),
+pc1 AS (SELECT *, CASE WHEN called = 0 THEN 0 ELSE tp / called END AS precision, CASE WHEN support = 0 THEN 0 ELSE tp / support END AS recall FROM pc0),
+pc AS (SELECT pipeline_id, fold, class_index, support, precision, recall, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM pc1)"""
+_MM = _PC + """, mm AS (SELECT pipeline_id, fold, avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1 FROM pc GROUP BY ALL),
+ac AS (SELECT pipeline_id, fold, CAST(sum(CASE WHEN actual = predicted THEN n ELSE 0 END) AS DOUBLE) / sum(n) AS accuracy FROM cm GROUP BY ALL), fm AS (SELECT * FROM mm JOIN ac USING (pipeline_id, fold))"""
+_FS = _MM + """, fs AS (SELECT pipeline_id, avg(accuracy) AS mean_accuracy, coalesce(stddev_samp(accuracy), 0) AS std_accuracy, avg(macro_f1) AS mean_macro_f1, coalesce(stddev_samp(macro_f1), 0) AS std_macro_f1, avg(macro_precision) AS mean_macro_precision, avg(macro_recall) AS mean_macro_recall FROM fm GROUP BY pipeline_id)"""
+
+
+def _predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of documents against a rule on their length, by language and fold."""
+    rule = F.when(F.col("n_chars") >= 400, 1).otherwise(0)
+    rows = _table(spark, d, "labels").join(_table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    return rows.select((F.col("doc_id") % 3).cast("int").alias("fold"), F.col("lang").alias("pipeline_id"), F.col("quality").alias("actual"), rule.alias("predicted"))
+
+
+def _matrix(spark: SparkSession, d: str) -> DataFrame:
+    classes = spark.createDataFrame([(0,), (1,)], "class_index int")
+    return metrics.confusion(_predictions(spark, d), classes, ["pipeline_id", "fold"])
+
+
+@query(_CM + " SELECT * FROM cm")
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return _matrix(spark, d)
+
+
+@query(_PC + " SELECT pipeline_id, fold, class_index, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM pc")
+def per_class_metrics(spark: SparkSession, d: str) -> DataFrame:
+    rows = metrics.per_class(_matrix(spark, d), ["pipeline_id", "fold"])
+    return rows.select("pipeline_id", "fold", "class_index", *[_r(c).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query(_MM + " SELECT pipeline_id, fold, round(accuracy, 6) AS accuracy, round(macro_precision, 6) AS macro_precision, round(macro_recall, 6) AS macro_recall, round(macro_f1, 6) AS macro_f1 FROM fm")
+def macro_metrics(spark: SparkSession, d: str) -> DataFrame:
+    rows = metrics.macro(_matrix(spark, d), ["pipeline_id", "fold"])
+    return rows.select("pipeline_id", "fold", *[_r(c).alias(c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1")])
+
+
+_STATS = ("mean_accuracy", "std_accuracy", "mean_macro_f1", "std_macro_f1", "mean_macro_precision", "mean_macro_recall")
+_STATS_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in _STATS)
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.over_folds(metrics.macro(_matrix(spark, d), ["pipeline_id", "fold"]), ["pipeline_id"])
+
+
+@query(_FS + f" SELECT pipeline_id, {_STATS_SQL} FROM fs")
+def fold_mean_std(spark: SparkSession, d: str) -> DataFrame:
+    return _entries(spark, d).select("pipeline_id", *[_r(c).alias(c) for c in _STATS])
+
+
+_LB = _FS + """, cb AS (SELECT * FROM fs CROSS JOIN (VALUES ('svm'), ('knn'), ('rtrees')) t(classifier)),
+lb AS (SELECT *, row_number() OVER (ORDER BY round(mean_macro_f1, 6) DESC, round(mean_accuracy, 6) DESC, pipeline_id, classifier) AS rank FROM cb)"""
+
+
+def _board(spark: SparkSession, d: str) -> DataFrame:
+    names = spark.createDataFrame([(c,) for c in learn.CLASSIFIERS], "classifier string")
+    entries = _entries(spark, d).crossJoin(F.broadcast(names)).withColumns({"feature_profile": F.lit("combined"), "total_ms": F.lit(0.0)})
+    return metrics.leaderboard(entries)
+
+
+@query(_LB + f" SELECT rank, pipeline_id, classifier, 'combined' AS feature_profile, {_STATS_SQL} FROM lb")
+def leaderboard(spark: SparkSession, d: str) -> DataFrame:
+    return _board(spark, d).select(F.col("rank").cast("long").alias("rank"), "pipeline_id", "classifier", "feature_profile", *[_r(c).alias(c) for c in _STATS])
+
+
+@query(_LB + " SELECT rank, pipeline_id, classifier FROM (SELECT *, row_number() OVER (PARTITION BY pipeline_id ORDER BY rank) AS own FROM lb) WHERE own = 1 ORDER BY rank LIMIT 3")
+def top_pipelines(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.top_pipelines(_board(spark, d)).select(F.col("rank").cast("long").alias("rank"), "pipeline_id", "classifier")
+
+
+@query(_CM + " SELECT pipeline_id, actual, predicted, CAST(sum(n) AS BIGINT) AS n FROM cm GROUP BY ALL")
+def aggregate_confusion(spark: SparkSession, d: str) -> DataFrame:
+    return _matrix(spark, d).groupBy("pipeline_id", "actual", "predicted").agg(F.sum("n").alias("n"))
+
+
+@query(_PC + " SELECT pipeline_id, class_index, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, CAST(sum(support) AS BIGINT) AS support FROM pc GROUP BY ALL")
+def class_means(spark: SparkSession, d: str) -> DataFrame:
+    rows = metrics.per_class(_matrix(spark, d), ["pipeline_id", "fold"])
+    return rows.groupBy("pipeline_id", "class_index").agg(*[_r(F.avg(c)).alias(c) for c in ("precision", "recall", "f1")], F.sum("support").alias("support"))
+
+
+# Features
+
+
+@query(GRID + ", b AS (SELECT image_id, g // 8 AS bin, count(*) AS n FROM px GROUP BY ALL), k AS (SELECT image_id, bin FROM (SELECT DISTINCT image_id FROM px) CROSS JOIN (SELECT unnest(range(32)) AS bin)) SELECT image_id, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY bin) AS histogram FROM k LEFT JOIN b USING (image_id, bin) GROUP BY image_id")
+def color_histogram(spark: SparkSession, d: str) -> DataFrame:
+    shares = features.normalized(features.histogram(F.col("px"), 32, 256))
+    return rasters.load(spark, d).select("image_id", F.array_join(F.transform(shares, lambda x: F.round(x * 64).cast("int").cast("string")), ",").alias("histogram"))
+
+
+@query(GRID + """, d8 AS (SELECT image_id, y, list(g ORDER BY x) AS f FROM px GROUP BY ALL), v AS (SELECT y AS word_id, f AS centre FROM d8 WHERE image_id = 0),
+n AS (SELECT d8.image_id, d8.y, word_id, row_number() OVER (PARTITION BY d8.image_id, d8.y ORDER BY list_sum(list_transform(list_zip(f, centre), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), word_id) AS r FROM d8 CROSS JOIN v),
+c AS (SELECT image_id, word_id, count(*) AS n FROM n WHERE r = 1 GROUP BY ALL), k AS (SELECT image_id, word_id FROM (SELECT DISTINCT image_id FROM px) CROSS JOIN (SELECT CAST(unnest(range(8)) AS INT) AS word_id))
+SELECT image_id, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY word_id) AS histogram FROM k LEFT JOIN c USING (image_id, word_id) GROUP BY image_id""")
+def bovw_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of samples as descriptors, the rows of image 0 as words."""
+    rows = rasters.load(spark, d).select("image_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice("px", y * 8 + 1, F.lit(8)))).alias("y", "features"))
+    words = rows.where("image_id = 0").select(F.col("y").alias("word_id"), F.col("features").alias("centre"))
+    out = features.word_histograms(features.nearest_words(rows, words), "image_id", 8)
+    return out.select("image_id", F.array_join(F.transform("histogram", lambda x: F.round(x * 8).cast("int").cast("string")), ",").alias("histogram"))
+
+
+@query("WITH u AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS v FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, pos) AS place FROM u) SELECT vec_id, CAST(pos AS INT) AS pos, place FROM r WHERE place <= 25")
+def top_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
+    return features.top_descriptors(rows, "vec_id", "v", "pos", 25).select("vec_id", "pos", F.col("place").cast("long").alias("place"))
+
+
+@query("WITH u AS (SELECT label, abs(CAST(unnest(embedding) AS DOUBLE)) AS v FROM embeddings) SELECT label, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.95), 6) AS p95 FROM u GROUP BY label")
+def feature_stats(spark: SparkSession, d: str) -> DataFrame:
+    v = _table(spark, d, "embeddings").select("label", F.explode("embedding").alias("v")).withColumn("v", F.abs(F.col("v").cast("double")))
+    return v.groupBy("label").agg(_r(F.avg("v")).alias("mean"), _r(F.stddev_pop("v")).alias("std"), _r(F.percentile("v", 0.75)).alias("p75"), _r(F.percentile("v", 0.95)).alias("p95"))
+
+
+# Texts
+
+_SCAN_SQL = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS description FROM documents WHERE regexp_matches(text, '{v.replace(chr(92) + 'x22', chr(34)).replace(chr(39), chr(39) * 2)}')" for k, v in text_checks.SCANS.items())
+
+
+@query(_SCAN_SQL)
+def secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    return text_checks.findings(_table(spark, d, "documents"), "doc_id")
+
+
+@query("WITH f AS (" + _SCAN_SQL + ") SELECT * FROM f WHERE NOT (description = 'e-mail address' AND doc_id IN (SELECT doc_id FROM documents WHERE source = 'src0'))")
+def exempt_scan(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    exempt = docs.where("source = 'src0'").select("doc_id", F.lit("e-mail address").alias("description"))
+    return text_checks.findings(docs, "doc_id", exempt=exempt)
+
+
+_LINKS = """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target, unnest(range(len(regexp_extract_all(html, 'href="([^"]*)"', 1)))) AS link_no FROM pages)"""
+
+
+@query(_LINKS + " SELECT page_id, link_no, target FROM l")
+def link_extract(spark: SparkSession, d: str) -> DataFrame:
+    return text_checks.html_links(_table(spark, d, "pages"), "page_id").select("page_id", F.col("link_no").cast("long").alias("link_no"), "target")
+
+
+@query(_LINKS + " SELECT DISTINCT target FROM l WHERE target NOT IN (SELECT regexp_extract(url, '^https?://[^/]+(/[^?]*)', 1) FROM pages)")
+def missing_targets(spark: SparkSession, d: str) -> DataFrame:
+    pages = _table(spark, d, "pages")
+    wanted = text_checks.html_links(pages, "page_id").select("target").distinct()
+    return text_checks.missing(wanted, pages.select(F.regexp_extract("url", r"^https?://[^/]+(/[^?]*)", 1).alias("target")), ["target"])
+
+
+_HEAD = r"""WITH h AS (SELECT page_id, lower(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1))) AS heading, regexp_extract(url, '/([a-z]{2})/', 1) AS lang FROM pages),
+s AS (SELECT *, replace(regexp_replace(heading, '[^a-z0-9_\- ]', '', 'g'), ' ', '-') AS slug FROM h)"""
+
+
+@query(_HEAD + " SELECT page_id, CASE WHEN n = 0 THEN slug ELSE slug || '-' || n END AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY lang, slug ORDER BY page_id) - 1 AS n FROM s)")
+def heading_slugs(spark: SparkSession, d: str) -> DataFrame:
+    heads = _table(spark, d, "pages").select("page_id", F.regexp_replace(F.lower(F.trim(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1))), r"[^a-z0-9_\- ]", "").alias("heading"), F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang"))
+    rows = heads.withColumn("slug", F.regexp_replace("heading", " ", "-"))
+    n = F.row_number().over(W.partitionBy("lang", "slug").orderBy("page_id")) - 1
+    return rows.select("page_id", F.when(n == 0, F.col("slug")).otherwise(F.concat_ws("-", "slug", n.cast("string"))).alias("anchor"))
+
+
+_LINES = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents)"
+
+
+@query(_LINES + " SELECT doc_id, line_no, line FROM l WHERE regexp_matches(line, '(?i)(licen[cs]e|copyright)') AND NOT regexp_matches(line, '(?i)permission')")
+def claim_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = text_checks.lines(_table(spark, d, "documents"), "doc_id")
+    return text_checks.claims(rows, "line", "(?i)(licen[cs]e|copyright)", "(?i)permission").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query(_LINES + r""" SELECT doc_id, line_no, CAST(len(c) AS INT) AS cells, c[1] AS first_cell FROM (SELECT doc_id, line_no, list_transform(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|'), lambda x: trim(x, ' ' || chr(9) || chr(13))) AS c FROM l WHERE contains(line, '|'))""")
+def table_cells(spark: SparkSession, d: str) -> DataFrame:
+    rows = text_checks.table_cells(text_checks.lines(_table(spark, d, "documents"), "doc_id"), "line")
+    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.size("cells").alias("cells"), F.get("cells", F.lit(0)).alias("first_cell"))
+
+
+@query("SELECT page_id, CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS figure FROM pages WHERE regexp_matches(url, '/[0-9]+')")
+def metric_extract(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages").where(F.col("url").rlike("/[0-9]+")).select("page_id", F.regexp_extract("url", "/([0-9]+)", 1).cast("long").alias("figure"))
+
+
+@query("WITH a AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), e AS (SELECT lang, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang) SELECT lang, e.n AS expected, a.n AS actual FROM e FULL JOIN a USING (lang) WHERE e.n IS DISTINCT FROM a.n")
+def evidence_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    by_lang = lambda df: df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return text_checks.mismatched(by_lang(_table(spark, d, "labels").join(docs.select("doc_id", "lang"), "doc_id")), by_lang(docs), ["lang"], "n")
+
+
+@query("SELECT doc_id, sha256(text) AS checksum, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents")
+def sha256_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("checksum"), F.octet_length("text").cast("long").alias("size"))
+
+
+@query("SELECT CASE WHEN lower(source) LIKE '.%' THEN NULL ELSE source END AS class_name, CAST(dense_rank() OVER (ORDER BY lower(source), source) - 1 AS INT) AS class_index, n, n >= 5 AS enough FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
+def class_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Sources as classes: index in case-insensitive order, and whether each has five samples."""
+    n = _table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return n.select(F.col("source").alias("class_name"), (F.dense_rank().over(W.orderBy(F.lower("source"), "source")) - 1).alias("class_index"), "n", (F.col("n") >= 5).alias("enough"))
+
+
+# Kernels and learners without a form in SQL
+
+
+def _as_images(spark: SparkSession, d: str, scale: int = 4) -> DataFrame:
+    """Rasters as colour images of the image source's struct, each sample repeated `scale` times both ways."""
+    side = rasters.SIDE * scale
+    at = lambda i: F.get("px", (F.floor(F.floor(i / side) / scale) * rasters.SIDE + F.floor((i % side) / scale)).cast("int"))
+    hexes = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.repeat(F.lpad(F.hex(at(i)), 2, "0"), 3))
+    return rasters.load(spark, d).select("image_id", "label", F.struct(F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), F.unhex(F.array_join(hexes, "")).alias("data")).alias("image"))
+
+
+def _kernel(name: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        import hashlib
+
+        from ..operators import kernels
+
+        f = kernels.EXPLORER[name]
+
+        def one(img) -> list[dict]:
+            out = f(img, 5)
+            return [{"mean": round(float(out.mean()), 6), "sha256": hashlib.sha256(out.tobytes()).hexdigest()}]
+
+        return kernels.map_images(_as_images(spark, d), ["image_id"], one, "mean double, sha256 string")
+
+    run.__name__ = "explore_" + name.lower().replace(" ", "_")
+    return run
+
+
+for _name in ("CLAHE", "Bilateral Filter", "Canny", "Contours", "Connected Components"):
+    query()(_kernel(_name))
+
+
+@query()
+def image_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import kernels
+
+    return kernels.map_images(_as_images(spark, d), ["image_id"], lambda img: [{k: float(v) for k, v in kernels.diagnose(img).items()}], ", ".join(f"{m} double" for m in dx.METRICS))
+
+
+@query()
+def image_features(spark: SparkSession, d: str) -> DataFrame:
+    return features.extract(_as_images(spark, d), ["image_id", "label"], "texture")
+
+
+@query()
+def svm_cv(spark: SparkSession, d: str) -> DataFrame:
+    z = learn.standardize(_folded(spark, d), features="embedding").withColumn("entry", F.lit("svm"))
+    return learn.by_task(z, ["entry"], "vec_id", "label", "svm")
+
+
+@query()
+def random_forest_cv(spark: SparkSession, d: str) -> DataFrame:
+    z = learn.standardize(_folded(spark, d), features="embedding")
+    return learn.random_trees(z, "vec_id", "label", 0, trees=20)
+
+
+@query()
+def kmeans_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return features.fit_vocabulary(_table(spark, d, "embeddings").withColumnRenamed("embedding", "features"), 8)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
