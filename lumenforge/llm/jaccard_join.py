@@ -6,8 +6,9 @@ therefore indexes its segments' subsets by band; in bands of small sets, where s
 sets apart, it indexes half as many, larger segments with their one-deletion neighbourhoods, whichever costs less. A set
 belongs to its own band and, where the smaller set of a pair may lie there, to the one below.
 
-Empty segments tell nothing, and some subsets are held by very many sets (a common line). Both can be left out by a set that
-has H + 1 other segments; only a set that has not (and a pair needs two of them to be lost) falls back on them.
+Empty segments tell nothing, and some subsets are held by many sets (a common line). Both can be left out by a set that has
+H + 1 other segments, and a pair is found if one of its two sets has. For pairs of sets that both have not, empty segments are
+indexed too, and sets full of common subsets are paired by their rarest tokens.
 
 Candidates are not all pairs of those that share a subset: a subset links its sets to the least of them, within each task
 first. Verified links make components; only where a subset's sets are still in several components, pairs across these are
@@ -29,47 +30,42 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, saved, text_or_empty
 from .components import components
+from .hashing import Powers, mix
 
 RATIO = 1.25
 #: Sets that share a subset beyond which it counts as common.
-COMMON = 64
+COMMON = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    def __init__(self, most: int = 500_000):
-        self.most = most
-
-    def __missing__(self, word: bytes) -> bytes:
-        h = hashlib.blake2b(word, digest_size=8).digest()
-        if len(self) < self.most:
-            self[word] = h
-        return h
-
-
-def shingle_set(text: str | None, words: WordHashes, n: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; bytes.lower and bytes.split know ASCII letters and blanks only."""
-    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not own:
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_STEPS = mix(np.arange(1, 65, dtype=np.uint64) * _ODD) | np.uint64(1)
+
+
+def shingle_set(text: str | None, powers: Powers, n: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the n-word shingles; bytes.lower knows ASCII letters only."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+    gap = np.ones(len(data) + 2, bool)
+    gap[1:-1] = _BLANK[data]
+    turns = np.flatnonzero(gap[1:] != gap[:-1])  # starts and ends of words in turn
+    if not len(turns):
         return np.zeros(0, np.uint64)
-    h = np.frombuffer(b"".join(map(words.__getitem__, own)), "<u8")
+    h = powers.ranges(powers.sums(data, 0), turns[::2], turns[1::2], 0)
     k = min(n, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
-        out = mix(out * _ODD + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+        out += h[i : len(h) - k + 1 + i] * _STEPS[i]
+    out = mix(out)
+    out.sort()
+    keep = np.ones(len(out), bool)
+    keep[1:] = out[1:] != out[:-1]
+    return out[keep]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -168,19 +164,12 @@ def _set_id(s: np.ndarray) -> int:
 
 # The join
 
+BINS = 256
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Light rows: id, n_shingles, sid (of the set; null if empty), slack."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for b in batches:
-            sets = [shingle_set(t, words, n) for t in b.column(1).to_pylist()]
-            _, _, slack = subsets(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array(slack)], names=["id", "n_shingles", "sid", "slack"])
-
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, n_shingles bigint, sid bigint, slack bigint")
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of a set's tokens in 256 ranges, to 255. The distance of two sets' counts is at most what they differ in."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
 def _stars(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -196,70 +185,117 @@ def _stars(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], sids[first], keys[~first], least[~first], sids[~first]
 
 
-_ROW = "key bigint, sid bigint, least bigint, part bigint"
-
+def _batch(fields: dict[str, pa.DataType], n: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(c, None) if c in columns else pa.nulls(n, t) for c, t in fields.items()], names=list(fields))
 
-def _rows(key: np.ndarray, sid: np.ndarray, least: np.ndarray | None, part: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(key), 65_536):
-        j = slice(i, i + 65_536)
-        one = pa.nulls(len(key[j]), pa.int64()) if least is None else pa.array(least[j])
-        yield pa.RecordBatch.from_arrays([pa.array(key[j]), pa.array(sid[j]), one, pa.array(part[j])], names=["key", "sid", "least", "part"])
 
+def shared_subsets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """In one pass over the texts, two kinds of rows: (key, a, b), sets a and b share the subset `key` and a is the least
+    that has it, in all tasks or in one; and for each document (id, n_shingles, sid, slack, sketch), sid null if it has none.
 
-def shared_subsets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
-    """(key, a, b): sets a and b share the subset `key`; a is the least set that has it, in all tasks or in one.
-
-    A task sends one row for each of its subsets, with its least set; the others of a task are linked to that one on the
-    spot, and their rows are spread. So what meets in one place for a subset is at most a row for each task."""
+    A task sends each of its subsets once, with its least set, as packed bytes for each part of the keys: 48 bits of the key
+    and a number in the list of the sets sent along. Its other sets are linked to that one on the spot, and these rows are
+    spread. So what meets in one place for a subset is at most an entry for each task."""
+    spark = docs.sparkSession
+    parts = min(1 << 15, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kind = docs.schema[id_col].dataType.simpleString()
+    i64 = pa.int64()
+    light = {"id": None, "n_shingles": i64, "sid": i64, "slack": i64, "sketch": pa.binary()}
+    sent = {"part": i64, "keys": pa.binary(), "owners": pa.binary(), "sids": pa.binary(), "key": i64, "a": i64, "b": i64}
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, keys, sids = WordHashes(), [], []
+        powers, keys, sids, fields = Powers(), [], [], None
         for b in batches:
-            sets = [shingle_set(t, words, n) for t in b.column(0).to_pylist()]
-            k, owner, _ = subsets(sets)
+            fields = sent | light | {"id": b.column(0).type}
+            sets = [shingle_set(t, powers, n) for t in b.column(1).to_pylist()]
+            k, owner, slack = subsets(sets)
             own = np.array([_set_id(s) if len(s) else 0 for s in sets], np.int64)
-            keys.append(k.view(np.int64))
+            keys.append(k)
             sids.append(own[owner] if len(k) else np.zeros(0, np.int64))
-        if keys:
-            k, lo, k2, lo2, other = _stars(np.concatenate(keys), np.concatenate(sids))
-            yield from _rows(k, lo, None, k)
-            yield from _rows(k2, other, lo2, other)
+            some = np.array([len(s) > 0 for s in sets], bool)
+            yield _batch(fields, len(sets), part=pa.array(own), id=b.column(0), n_shingles=pa.array(map(len, sets), i64), sid=pa.array(own, mask=~some), slack=pa.array(slack), sketch=pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()))
+        if not keys:
+            return
+        key = np.concatenate(keys)
+        part = (key & np.uint64(0xFFFF)).astype(np.int64) % parts
+        k, lo, k2, lo2, other = _stars(part << 48 | (key >> np.uint64(16)).astype(np.int64), np.concatenate(sids))
+        for i in range(0, len(k2), 65_536):
+            j = slice(i, i + 65_536)
+            yield _batch(fields, len(k2[j]), part=pa.array(other[j]), key=pa.array(k2[j]), a=pa.array(lo2[j]), b=pa.array(other[j]))
+        at = np.searchsorted(k, np.arange(parts + 1) << 48)
+        for p in range(parts):
+            a, z = at[p], at[p + 1]
+            if a < z:
+                held, number = np.unique(lo[a:z], return_inverse=True)
+                packed = np.ascontiguousarray(k[a:z].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+                yield _batch(fields, 1, part=pa.array([p], i64), keys=pa.array([packed.tobytes()], pa.binary()), owners=pa.array([number.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes() if len(held) < 1 << 24 else b""], pa.binary()), sids=pa.array([(held if len(held) < 1 << 24 else lo[a:z]).tobytes()], pa.binary()))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sids = [], []
+        keys, sids, fields = [], [], None
         for b in batches:
-            key, sid, least, part = b.columns
-            far = least.is_valid().to_numpy(zero_copy_only=False)
-            k, s = key.to_numpy(), sid.to_numpy()
-            if far.any():
-                yield from _rows(k[far], s[far], least.to_numpy(zero_copy_only=False)[far].astype(np.int64), k[far])
-            keys.append(k[~far])
-            sids.append(s[~far])
+            fields = {"key": i64, "a": i64, "b": i64} | light | {"id": b.schema.field("id").type}
+            packed = b.column("keys").is_valid()
+            yield b.filter(pc.invert(packed)).select(list(fields))
+            rows = b.filter(packed).select(["part", "keys", "owners", "sids"])
+            for part, k, number, held in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                m = len(k) // 6
+                wide = np.zeros((m, 8), np.uint8)
+                wide[:, :6] = np.frombuffer(k, np.uint8).reshape(m, 6)
+                keys.append(wide.view("<i8").ravel() | part << 48)
+                own = np.frombuffer(held, np.int64)
+                if number:
+                    wide = np.zeros((m, 4), np.uint8)
+                    wide[:, :3] = np.frombuffer(number, np.uint8).reshape(m, 3)
+                    own = own[wide.view("<u4").ravel()]
+                sids.append(own)
         if keys:
             _, _, k, lo, other = _stars(np.concatenate(keys), np.concatenate(sids))
-            yield from _rows(k, other, lo, k)
+            for i in range(0, len(k), 65_536):
+                j = slice(i, i + 65_536)
+                yield _batch(fields, len(k[j]), key=pa.array(k[j]), a=pa.array(lo[j]), b=pa.array(other[j]))
+
+    own = f"id {kind}, n_shingles bigint, sid bigint, slack bigint, sketch binary"
+    rows = docs.select(id_col, text_col).mapInArrow(emit, f"part bigint, keys binary, owners binary, sids binary, key bigint, a bigint, b bigint, {own}")
+    return rows.repartition(parts, "part").mapInArrow(meet, f"key bigint, a bigint, b bigint, {own}")
 
+
+def fetch(rows: DataFrame, docs: DataFrame, key: str, id_col: str, text_col: str, into: str = "text") -> DataFrame:
+    """`rows` with the whole texts of the documents whose ids stand in `key`. Spark may put a Bloom filter of these ids (of
+    a fixed size) before the exchange of the texts; the comparison, true of every id, is what lets it consider that."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select(text_col).mapInArrow(emit, _ROW)
-    return sent.repartition(parts, "part").mapInArrow(meet, _ROW).select("key", F.col("least").alias("a"), F.col("sid").alias("b"))
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    texts = docs.select(F.col(id_col).alias(key), text_or_empty(text_col).alias(into))
+    some = rows.where(F.col(key) >= -(2**63)) if dict(rows.dtypes)[key] == "bigint" else rows
+    return some.join(texts, key)
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Those of the pairs (a, b) of sets that are linked. Their representatives' whole texts come to them by two joins."""
-    of = lambda s: reps.select(F.col("sid").alias(s), F.col("rep").alias(f"rep_{s}"))
-    text = lambda s: docs.select(F.col(id_col).alias(f"rep_{s}"), text_or_empty(text_col).alias(f"text_{s}"))
-    named = saved(pairs.join(of("a"), "a").join(of("b"), "b"))
-    rows = named.join(text("b"), "rep_b").join(text("a"), "rep_a").select("a", "b", "text_a", "text_b")
+    """Those of the pairs (a, b) of sets that are linked. Pairs whose sketches differ by more than linked sets can are left
+    out; for the others their representatives' whole texts come together by two joins."""
+    of = lambda s: reps.select(F.col("sid").alias(s), F.col("rep").alias(f"rep_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    sized = "n_a * 10 >= n_b * 8 and n_b * 10 >= n_a * 8"
+    near = pairs.join(of("a"), "a").join(of("b"), "b").where(sized).select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("sketch_a", "sketch_b"))
+            gap = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            mask = pa.array(9 * gap <= b.column("n_a").to_numpy() + b.column("n_b").to_numpy())
+            yield b.select(["a", "b", "rep_a", "rep_b"]).filter(mask)
+
+    kind = reps.schema["rep"].dataType.simpleString()
+    named = saved(near.mapInArrow(close, f"a bigint, b bigint, rep_a {kind}, rep_b {kind}"))
+    rows = fetch(named, docs, "rep_b", id_col, text_col, "text_b")
+    rows = fetch(rows, docs, "rep_a", id_col, text_col, "text_a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, first = WordHashes(), None, None
+        powers, last, first = Powers(), None, None
         for batch in batches:
             found = []
             for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last != ta:
-                    last, first = ta, shingle_set(ta, words, n)
-                second = shingle_set(tb, words, n)
+                    last, first = ta, shingle_set(ta, powers, n)
+                second = shingle_set(tb, powers, n)
                 # A representative's id may stand on rows of other texts.
                 found.append(linked(first, second) and _set_id(first) == a and _set_id(second) == b)
             mask = pa.array(found, pa.bool_())
@@ -271,9 +307,11 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, te
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (the least id that links lead to)."""
     arrow_rows(docs.sparkSession)
-    light = saved(sets_of(docs, id_col, text_col, n))
-    reps = saved(light.where("sid is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.min("slack").alias("slack")))
-    shared = saved(shared_subsets(docs, text_col, n))
+    both = saved(shared_subsets(docs, id_col, text_col, n))
+    light = both.where("n_shingles is not null")
+    shared = both.where("key is not null").select("key", "a", "b")
+    firsts = (F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("slack").alias("slack"), F.first("sketch").alias("sketch"))
+    reps = saved(light.where("sid is not null").groupBy("sid").agg(*firsts))
 
     # First each set with the one it shares most subsets with.
     by_pair = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
@@ -285,7 +323,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     root = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
     at = lambda s: F.coalesce(f"root_{s}", s)
     apart = saved(shared.join(root("a"), "a", "left").join(root("b"), "b", "left").where(at("a") != at("b")).select("key").distinct())
-    pairs = across(shared, apart, roots, reps)
+    members = apart_members(shared, apart, roots, reps)
+    pairs = across(members, reps, docs, id_col, text_col, n)
     more = saved(verified(pairs, reps, docs, id_col, text_col, n))
     all_roots = saved(components(links.unionByName(more))) if more.limit(1).count() else roots
 
@@ -298,24 +337,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def across(shared: DataFrame, apart: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of sets of different components that share a subset of `apart`.
-
-    In a subset that more than COMMON sets share, only sets that can't do without it are paired."""
+def apart_members(shared: DataFrame, apart: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, sid, root, n_shingles) of the sets that share a subset of `apart`."""
     kept = shared.join(apart, "key")
     members = kept.select("key", F.col("a").alias("sid")).unionByName(kept.select("key", F.col("b").alias("sid"))).distinct()
-    members = saved(members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
-    common = saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > COMMON))
-    burden = members.join(common, "key").groupBy("sid").agg(F.count(F.lit(1)).alias("commons"))
-    bound = saved(burden.join(reps.select("sid", "slack"), "sid").where("slack < 2 * commons").select("sid"))
-    rare = members.join(common, "key", "left_anti")
-    needy = members.join(common.select("key"), "key", "left_semi").join(bound, "sid", "left_semi")
-    part = saved(rare.unionByName(needy.select(*rare.columns)))
-    other = part.select("key", F.col("sid").alias("b"), F.col("root").alias("root_b"))
-    pairs = part.select("key", F.col("sid").alias("a"), F.col("root").alias("root_a")).join(other, "key").where("a < b and root_a <> root_b")
+    members = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    return saved(members.join(reps.select("sid", "n_shingles"), "sid"))
+
+
+def _crossing(part: DataFrame, key: str) -> DataFrame:
+    """Distinct pairs (a, b) of sets of like size in different components that share a key."""
+    side = lambda s: part.select(key, F.col("sid").alias(s), F.col("root").alias(f"root_{s}"), F.col("n_shingles").alias(f"n_{s}"))
+    pairs = side("a").join(side("b"), key).where("a < b and root_a <> root_b and n_a * 10 >= n_b * 8 and n_b * 10 >= n_a * 8")
     return pairs.select("a", "b").distinct()
 
 
+def across(members: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that may be linked. Subsets of up to COMMON sets pair these. Sets that
+    hold so many common subsets that they can't do without them are paired by the exact rule for the rest: linked sets share
+    one of their rarest tokens, as many as a fifth of the set and one more; a token of one such set alone pairs nothing."""
+    common = saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > COMMON).select("key"))
+    rare = members.join(common, "key", "left_anti")
+    burden = members.join(common, "key").groupBy("sid").agg(F.count(F.lit(1)).alias("commons"), F.first("root").alias("root"))
+    needy = saved(burden.join(reps, "sid").where("slack < 2 * commons").select("sid", "root", "rep", "n_shingles"))
+    rows = fetch(needy, docs, "rep", id_col, text_col).select("sid", "text")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for b in batches:
+            for sid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = shingle_set(text, powers, n)
+                if _set_id(s) == sid:
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), sid, np.int64))], names=["token", "sid"])
+
+    held = saved(rows.mapInArrow(tokens, "token bigint, sid bigint"))
+    often = saved(held.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"))
+    both = held.join(often, "token").join(needy, "sid")
+    alone = F.col("n_shingles") - F.count(F.lit(1)).over(W.partitionBy("sid"))
+    place = F.row_number().over(W.partitionBy("sid").orderBy("sets", "token"))
+    prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * 8 / 10) + 1
+    part = saved(both.withColumn("at", alone + place).where(F.col("at") <= prefix).select("token", "sid", "root", "n_shingles"))
+    return _crossing(rare, "key").unionByName(_crossing(part, "token")).distinct()
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
     """`docs` with all its columns, of each component the document with the least id."""
     gone = near_duplicates(docs, id_col, text_col, n).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone"))
