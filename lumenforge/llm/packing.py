@@ -16,7 +16,6 @@ empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 from itertools import count
 
@@ -124,27 +123,71 @@ def pack_block(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[
     return out + full
 
 
-class WordIds(dict):
+class WordIds:
     """Token ids, as little-endian 32-bit bytes, of what stands between blanks. The tokenizer drops white space and never
-    joins across it, so a text's ids are those of its words in turn; the ids of repeated words are looked up."""
+    joins across it, so a text's ids are those of its words in turn. Words are looked up; the new ones of a batch are
+    encoded together, without the ASCII signs behind their last letter, which the tokenizer splits off too."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < self.most:
-            self[word] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        words = _BLANKS.sub(" ", text).split(" ")
-        return b"".join(map(self.__getitem__, words))
-
-
-_BLANKS = re.compile(r"[\t\n\r]")
+        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {"": b""}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new = set().union(*words).difference(self.known) if words else set()
+        if new and len(self.known) + len(new) > self.most:
+            self.known = {"": b""}
+            new = set().union(*words)
+        self._learn(new)
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, w)) for w in words]
+
+    def _learn(self, new: set[str]) -> None:
+        known, todo, small, split = self.known, set(), {}, []
+        for w in new:
+            core = w.rstrip(_SIGNS)
+            if core is not w and core != w and core[-1:].isalpha() and "<|" not in w:  # special tokens stay whole
+                split.append((w, core, w[len(core) :]))
+                todo.add(split[-1][2])
+            else:
+                core = w
+            if core.isascii() and (low := core.lower()) != core:  # the tokenizer lowers case as well
+                small[core] = low
+                core = low
+            todo.add(core)
+        todo.difference_update(known)
+        plain = [w for w in todo if w.isalpha()]
+        self._encode(plain, True)
+        self._encode([w for w in todo if not w.isalpha()], False)
+        for w, low in small.items():
+            known[w] = known[low]
+        for w, core, signs in split:
+            known[w] = known[core] + known[signs]
+
+    def _encode(self, words: list[str], plain: bool) -> None:
+        """Words encoded as one text; their ids end where a token ends a word (a word of letters is one), or are told apart
+        by their places."""
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            text = " ".join(part)
+            if plain:
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                at = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+            if not plain or len(at) != len(part) + 1:
+                got = self.tokenizer.encode(text, add_special_tokens=False)
+                ids = np.array(got.ids, "<u4")
+                starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+                at = np.searchsorted(np.array([x for x, _ in got.offsets], np.int64), starts)
+            raw, at = ids.tobytes(), (at * 4).tolist()
+            self.known.update((w, raw[a:b]) for w, a, b in zip(part, at, at[1:], strict=False))
+
+
+#: ASCII signs behind a word's last letter; the apostrophe may begin a token of its own.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -179,8 +222,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
         for b in batches:
             kind = b.column(0).type
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = words.ids(text or "") + end
+            for key, ids in zip(b.column(0).to_pylist(), words.batch([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                ids += end
                 docs_.append((key, ids))
                 held += len(ids) // 4
                 if held >= block_windows * capacity:
