@@ -346,10 +346,11 @@ def apart_members(shared: DataFrame, apart: DataFrame, roots: DataFrame, reps: D
 
 
 def _crossing(part: DataFrame, key: str) -> DataFrame:
-    """Distinct pairs (a, b) of sets of like size in different components that share a key."""
-    side = lambda s: part.select(key, F.col("sid").alias(s), F.col("root").alias(f"root_{s}"), F.col("n_shingles").alias(f"n_{s}"))
-    pairs = side("a").join(side("b"), key).where("a < b and root_a <> root_b and n_a * 10 >= n_b * 8 and n_b * 10 >= n_a * 8")
-    return pairs.select("a", "b").distinct()
+    """Distinct pairs (a, b) of sets of like size in different components that share a key. `at` is the key's place in a set
+    (at least): as a pair's first common key, it leaves no more common ones than stand behind it in either set."""
+    side = lambda s: part.select(key, F.col("sid").alias(s), F.col("root").alias(f"root_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("at").alias(f"at_{s}"))
+    sized = "n_a * 10 >= n_b * 8 and n_b * 10 >= n_a * 8 and 9 * (least(n_a - at_a, n_b - at_b) + 1) >= 4 * (n_a + n_b)"
+    return side("a").join(side("b"), key).where(f"a < b and root_a <> root_b and {sized}").select("a", "b").distinct()
 
 
 def across(members: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -376,8 +377,8 @@ def across(members: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, te
     alone = F.col("n_shingles") - F.count(F.lit(1)).over(W.partitionBy("sid"))
     place = F.row_number().over(W.partitionBy("sid").orderBy("sets", "token"))
     prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * 8 / 10) + 1
-    part = saved(both.withColumn("at", alone + place).where(F.col("at") <= prefix).select("token", "sid", "root", "n_shingles"))
-    return _crossing(rare, "key").unionByName(_crossing(part, "token")).distinct()
+    part = saved(both.withColumn("at", alone + place).where(F.col("at") <= prefix).select("token", "sid", "root", "n_shingles", "at"))
+    return _crossing(rare.withColumn("at", F.lit(1)), "key").unionByName(_crossing(part, "token")).distinct()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
