@@ -11,7 +11,7 @@ neighbouring strings share an anchor and form one stretch.
    winner is known from its run, so no known prefix is compared again. The merged common prefixes rule out what can't reach
    `length`; the strings of the rest are compared byte by byte inside their gram.
 3. Grams with more than `hot` such stretches are not merged in one place: their strings are counted by 128-bit
-   fingerprints, combined in each task before the exchange.
+   fingerprints; those that repeat within a task are found there, and one of each goes on to the exchange.
 4. The places found come back to their documents, in which the covered bytes are cut.
 
 A task sends no more than 64 stretches of one gram in step 1 and settles whole repeats on the spot, so what meets there for
@@ -32,48 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, saved, text_or_empty
+from .hashing import Powers, mix
 
 LENGTH, GRAM = 200, 24
-_RNG = np.random.default_rng(20240229)
-_BASE = [np.uint64(int(x) | 1) for x in _RNG.integers(1 << 40, 1 << 63, 2)]
-_TABLE = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + _RNG.integers(0, 2, (2, 256), dtype=np.uint64)
 _PLACE = np.uint64((1 << 24) - 1)
 #: Longest piece hashed at once; longer texts are read in overlapping pieces.
 PIECE = 1 << 22
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-class Powers:
-    """Powers of the hash bases and of their inverses, as long as the longest piece so far."""
-
-    def __init__(self) -> None:
-        self.n = 0
-
-    def upto(self, n: int) -> None:
-        if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
-            self.up, self.down = [], []
-            for b in _BASE:
-                for out, x in ((self.up, int(b)), (self.down, pow(int(b), -1, 1 << 64))):
-                    steps = np.full(self.n, x, np.uint64)
-                    steps[0] = 1
-                    out.append(np.cumprod(steps, dtype=np.uint64))
-
-    def sums(self, data: np.ndarray, which: int) -> np.ndarray:
-        self.upto(len(data) + 1)
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[which][data] * self.up[which][: len(data)], out=out[1:])
-        return out
-
-    def ranges(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-        """Hashes of data[start:end]."""
-        return _mix((sums[end] - sums[start]) * self.down[which][start])
 
 
 def _slide_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -100,7 +64,7 @@ def stretches(data: np.ndarray, powers: Powers, length: int = LENGTH, gram: int
         last = np.concatenate([first[1:], [len(anchor)]]) - 1
         anchor = anchor[first]
         shape = ((anchor - first) << 16 | last - first).astype(np.uint64)
-        print_ = _mix(powers.ranges(a, first, last + length, 0) + _mix(powers.ranges(b, first, last + length, 1) + shape))
+        print_ = mix(powers.ranges(a, first, last + length, 0) + mix(powers.ranges(b, first, last + length, 1) + shape))
         parts.append((grams[anchor].view(np.int64), print_.view(np.int64), first + at, last + at, anchor + at))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5
 
@@ -356,8 +320,20 @@ def partial_repeats(docs: DataFrame, found: DataFrame, length: int, hot: int) ->
         for part, strings in by_part.items():
             run = [{"shared": n, "tail": tail, "left": p[0], "uid": p[1], "first": p[2], "open": p[3]} for n, tail, p in front_code(strings)]
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([run], pa.list_(_RUN)), *(pa.nulls(1, pa.int64()),) * 4, pa.nulls(1, pa.bool_())], names=names)
-        for m1, m2, uid, at, wanted in marks:
-            yield pa.RecordBatch.from_arrays([pa.array(m1), pa.nulls(len(m1), pa.list_(_RUN)), *map(pa.array, (m1, m2, uid, at, wanted))], names=names)
+        if marks:
+            m1, m2, uid, at, wanted = map(np.concatenate, zip(*marks, strict=True))
+            order = np.lexsort((m2, m1))
+            m1, m2, uid, at, wanted = (x[order] for x in (m1, m2, uid, at, wanted))
+            new = np.ones(len(m1), bool)
+            new[1:] = (m1[1:] != m1[:-1]) | (m2[1:] != m2[:-1])
+            twice = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+            # Strings that repeat in this task are found; one of each goes on.
+            done = np.flatnonzero(twice & wanted)
+            for rows_, marked in ((done, False), (np.flatnonzero(new), True)):
+                for i in range(0, len(rows_), 65_536):
+                    j = rows_[i : i + 65_536]
+                    both = (pa.array(m1[j]), pa.array(m2[j])) if marked else (pa.nulls(len(j), pa.int64()),) * 2
+                    yield pa.RecordBatch.from_arrays([pa.array(m1[j]), pa.nulls(len(j), pa.list_(_RUN)), *both, pa.array(uid[j]), pa.array(at[j]), pa.array(wanted[j] & ~twice[j])], names=names)
 
     sent = saved(rows.mapInArrow(write, _RUNS))
 
@@ -379,10 +355,11 @@ def partial_repeats(docs: DataFrame, found: DataFrame, length: int, hot: int) ->
 
     runs = sent.where("run is not null").select("part", "run").repartition(parts, "part").mapInArrow(read, _FOUND)
     # Hot grams: strings counted by fingerprint, each combined before its exchange.
-    strings = sent.where("run is null")
+    strings = sent.where("mark1 is not null")
     twice = saved(strings.groupBy("mark1", "mark2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark1", "mark2"))
-    counted = strings.where("open").join(twice, ["mark1", "mark2"]).select("uid", "start", F.col("start").alias("last"))
-    return runs.unionByName(counted)
+    counted = strings.where("open").join(twice, ["mark1", "mark2"])
+    at_once = sent.where("run is null and mark1 is null")
+    return runs.unionByName(counted.select("uid", "start", F.col("start").alias("last"))).unionByName(at_once.select("uid", "start", F.col("start").alias("last")))
 
 
 def _records(run: pa.StructArray) -> Iterator[tuple[int, bytes, tuple]]:
