@@ -329,11 +329,18 @@ def partial_repeats(docs: DataFrame, found: DataFrame, length: int, hot: int) ->
             twice = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
             # Strings that repeat in this task are found; one of each goes on.
             done = np.flatnonzero(twice & wanted)
-            for rows_, marked in ((done, False), (np.flatnonzero(new), True)):
-                for i in range(0, len(rows_), 65_536):
-                    j = rows_[i : i + 65_536]
-                    both = (pa.array(m1[j]), pa.array(m2[j])) if marked else (pa.nulls(len(j), pa.int64()),) * 2
-                    yield pa.RecordBatch.from_arrays([pa.array(m1[j]), pa.nulls(len(j), pa.list_(_RUN)), *both, pa.array(uid[j]), pa.array(at[j]), pa.array(wanted[j] & ~twice[j])], names=names)
+            done = done[np.lexsort((at[done], uid[done]))]
+            if len(done):  # neighbouring starts as one row, its last one in `part`
+                u, x = uid[done], at[done]
+                head = np.ones(len(done), bool)
+                head[1:] = (u[1:] != u[:-1]) | (x[1:] > x[:-1] + 1)
+                first = np.flatnonzero(head)
+                last = np.append(first[1:], len(done)) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(x[last]), pa.nulls(len(first), pa.list_(_RUN)), *(pa.nulls(len(first), pa.int64()),) * 2, pa.array(u[first]), pa.array(x[first]), pa.nulls(len(first), pa.bool_())], names=names)
+            one = np.flatnonzero(new)
+            for i in range(0, len(one), 65_536):
+                j = one[i : i + 65_536]
+                yield pa.RecordBatch.from_arrays([pa.array(m1[j]), pa.nulls(len(j), pa.list_(_RUN)), pa.array(m1[j]), pa.array(m2[j]), pa.array(uid[j]), pa.array(at[j]), pa.array(wanted[j] & ~twice[j])], names=names)
 
     sent = saved(rows.mapInArrow(write, _RUNS))
 
@@ -359,7 +366,7 @@ def partial_repeats(docs: DataFrame, found: DataFrame, length: int, hot: int) ->
     twice = saved(strings.groupBy("mark1", "mark2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark1", "mark2"))
     counted = strings.where("open").join(twice, ["mark1", "mark2"])
     at_once = sent.where("run is null and mark1 is null")
-    return runs.unionByName(counted.select("uid", "start", F.col("start").alias("last"))).unionByName(at_once.select("uid", "start", F.col("start").alias("last")))
+    return runs.unionByName(counted.select("uid", "start", F.col("start").alias("last"))).unionByName(at_once.select("uid", "start", F.col("part").alias("last")))
 
 
 def _records(run: pa.StructArray) -> Iterator[tuple[int, bytes, tuple]]:
