@@ -21,16 +21,71 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_rows
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg|select|button|object)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-zA-Z][^>]*+>|[^<]++|<""", re.S | re.I)
-_HINT = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<svg(?![\w:-])(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?<=/)>|<(script|style|textarea|title|noscript|template|iframe|svg|select|button|object)(?![\w:-])[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-zA-Z][^>]*+>|[^<]++|<""", re.S | re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)\s*+(?:=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 #: Elements that end the text block before and after them.
 BREAKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose region holds until their end tag.
 REGIONS = frozenset("article aside body center dialog div fieldset figure footer form header main menu nav ol section table td ul".split())
 SIDE = frozenset("nav footer aside form menu dialog fieldset".split())
+#: Elements that are never beside the article by a word alone, nor is what holds one of them.
+CORE = frozenset("article main h1".split())
+#: Elements whose articles are teasers: these neither end the side region nor speak for what is around it.
+TEASERS = frozenset("aside footer".split())
 #: Words in class, id or role that name a region beside the article.
 _SIDE_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adv|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|gdpr|side-?bar|menu|nav|navbar|navigation|navigation-?bar|breadcrumbs?|footer|foot|site-?header|masthead|topbar|comments?|comment-?list|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|subscription|popup|modal|overlay|login|signup|pagination|pager|widget|toolbar|copyright|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
 _MAIN_WORD = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body-?text|article-?body|post-?content)(?:$|[\s_-])", re.I)
+#: Words that tell how a page is laid out, not what an element is.
+_STATE = re.compile(r"(?:^|(?<=\s))(?:(?:has|no|not|with|without)[_-]\S+|\S+[_-](?:open|opened|closed|enabled|disabled))(?=\s|$)", re.I)
+_REPLY = re.compile(r"(?:^|\s)(?:comment|comment-?body|reply)(?:$|\s)", re.I)
+
+
+def _names(attrs: str) -> str:
+    """The values of class, id and role, without words of layout."""
+    found = " ".join(a or b or c for n, a, b, c in _ATTRIBUTE.findall(attrs) if n.lower() in ("class", "id", "role")) if attrs else ""
+    return _STATE.sub("", found) if found else ""
+
+
+def _reply(name: str, names: str) -> bool:
+    """Whether an article is one reader's comment."""
+    return name == "article" and bool(_REPLY.search(names)) and not _MAIN_WORD.search(names)
+
+
+def _beside(name: str, names: str) -> bool:
+    """Whether the words of an element name something beside the article."""
+    if name in ("html", "body") or name in CORE and not _reply(name, names):
+        return False
+    return bool(names and _SIDE_WORD.search(names))
+
+
+def _holders(page: str) -> set[int]:
+    """Where the regions start that hold an article, a main element or an h1. Readers' comments don't count, nor do articles
+    in a region named as beside the article when an article came before it."""
+    out: set[int] = set()
+    stack: list[list] = [["", -1, True, False, False]]  # element, start, named as beside, an article before it, one in it
+    for m in _TOKEN.finditer(page):
+        if m[3] is None:
+            continue
+        name = m[3].lower()
+        if m[2]:
+            if name in REGIONS and any(x[0] == name for x in stack):
+                while stack.pop()[0] != name:
+                    pass
+            continue
+        if name not in REGIONS and name not in CORE:
+            continue
+        names = _names(m[4])
+        if name in CORE and not _reply(name, names):
+            for above in reversed(stack):
+                if above[0] in TEASERS or name == "article" and above[3]:
+                    break
+                out.add(above[1])
+            if name != "h1":
+                next(x for x in reversed(stack) if x[2])[4] = True
+        if name in REGIONS and not m[4].rstrip().endswith("/"):
+            named = _beside(name, names)
+            stack.append([name, m.start(), named, named and any(x[4] for x in stack), False])
+    return out
 
 
 @dataclass
@@ -46,7 +101,8 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # element, whether it opens a side region, whether an article
+    stack: list[tuple[str, int, int, bool]] = []  # element, what it adds to the side regions, whether an article, beside by its words
+    holders: set[int] | None = None
     side = inside = links = own = heading = 0
     parts: list[str] = []
     linked: list[str] = []
@@ -81,20 +137,25 @@ def blocks(page: str) -> list[Block]:
         if ends:
             if name in REGIONS and any(x[0] == name for x in stack):
                 while True:
-                    top, a, b = stack.pop()
+                    top, a, b, _ = stack.pop()
                     side -= a
                     inside -= b
                     if top == name:
                         break
                 links = 0
             continue
-        names = " ".join(next(filter(None, x), "") for x in _HINT.findall(attrs)) if attrs else ""
-        beside = bool(names and _SIDE_WORD.search(names))
+        names = _names(attrs)
+        beside = _beside(name, names)
         if name in REGIONS:
-            a = int(beside or name in SIDE or name == "header" and not inside)
+            if beside or name == "form":
+                holders = _holders(page) if holders is None else holders
+                beside = beside and m.start() not in holders
+            a = int(beside or name in SIDE and not (name == "form" and m.start() in holders) or name == "header" and not inside)
+            if name == "main" or name == "article" and not beside and not any(x[0] in TEASERS or x[3] for x in stack):
+                a = -side  # the article starts anew, whatever is open around it
             b = int(name in ("article", "main") or bool(names and not beside and _MAIN_WORD.search(names)))
             if not attrs.rstrip().endswith("/"):
-                stack.append((name, a, b))
+                stack.append((name, a, b, beside))
                 side += a
                 inside += b
         else:

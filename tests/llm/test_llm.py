@@ -312,6 +312,29 @@ def test_html(spark):
     assert got[1] == (want, len(want)) and got[2] == ("", 0) == got[3] and got[5] == ("", 0)
 
 
+def test_html_side_words_on_wrappers():
+    tree = html_text.grow(html_text.labelled_table())
+    p = "The council met on Tuesday to hear the plans for the new bridge over the river. " * 9
+    body = f"<p>{p}</p><p>{p}</p><p>{p}</p>"
+    want = html_text.main_text(f"<article>{body}</article>", tree)
+    assert want.count("\n") == 2
+    for page in (
+        f"<body class='single-post no-sidebar'>{body}</body>",
+        f"<div class='page search'><article>{body}</article></div>", f"<article class='post comments-open'>{body}</article>", f"<article class='social share'>{body}</article>",
+        f"<main class='login'>{body}</main>", f"<form id=f><article>{body}</article></form>", f"<nav><a>Up</a><article>{body}</article>",
+        f"<svg viewBox='0 0 1 1'/><article>{body}</article>", f"<svg-icon></svg-icon><article>{body}</article>",
+        f"<div class='page'><article>{body}</article><div class='comments'><article><p>{p}</article></div></div>",
+        f"<article>{body}<ol class='comment-list'><li><article class='comment'><p>{p}</article></ol></article>", f"<main>{body}</main><aside><article><p>{p}</article></aside>",
+    ):
+        assert html_text.main_text(page, tree) == want, page[:80]
+    plain = html_text.main_text(f"<div>{body}</div>", tree)
+    for wrapper in ("body class='search'", "div class='layout has-sidebar'", "div data-id=menu data-role='search' title='id=menu'"):
+        assert html_text.main_text(f"<{wrapper}>{body}</{wrapper.split()[0]}>", tree) == plain != "", wrapper
+    titled = f"<h1 class='menu-title'>A bridge</h1>{body}"
+    assert html_text.main_text(f"<div class='notice'>{titled}</div>", tree) == html_text.main_text(f"<div>{titled}</div>", tree) != ""
+    assert html_text.main_text(f"<article>{body}</article><div id=x class='sidebar'>{body}</div>", tree) == want
+
+
 # Toxicity
 
 
