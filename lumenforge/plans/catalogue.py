@@ -620,7 +620,7 @@ def svm_cv(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def random_forest_cv(spark: SparkSession, d: str) -> DataFrame:
     z = learn.standardize(_folded(spark, d), features="embedding")
-    return learn.random_trees(z, "vec_id", "label", 0, trees=20)
+    return learn.random_trees_cv(z, "vec_id", "label")
 
 
 @query()

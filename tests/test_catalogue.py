@@ -47,3 +47,11 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).limit(5).count() == 5
+
+
+def test_random_forest_predicts_each_row_once(spark):
+    rows = catalogue.queries()["random_forest_cv"](spark, SF).toPandas()
+    folds = catalogue.queries()["stratified_folds"](spark, SF).toPandas()
+    assert sorted(rows.vec_id) == sorted(folds.vec_id) and set(rows.test_fold) == set(range(5))
+    both = rows.merge(folds, on="vec_id")
+    assert (both.test_fold == both.fold).all() and (both.actual == both.label).all() and both.predicted.isin(folds.label).all()
