@@ -613,8 +613,8 @@ def image_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def svm_cv(spark: SparkSession, d: str) -> DataFrame:
-    z = learn.standardize(_folded(spark, d), features="embedding").withColumn("entry", F.lit("svm"))
-    return learn.by_task(z, ["entry"], "vec_id", "label", "svm")
+    z = learn.standardize(_folded(spark, d), features="embedding")
+    return learn.svm_cv(z, "vec_id", "label")
 
 
 @query()

@@ -1,9 +1,11 @@
 """Every query with SQL gives the rows that the SQL gives."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from conftest import SF
+from lumenforge.operators import learn
 from lumenforge.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -55,3 +57,26 @@ def test_random_forest_predicts_each_row_once(spark):
     assert sorted(rows.vec_id) == sorted(folds.vec_id) and set(rows.test_fold) == set(range(5))
     both = rows.merge(folds, on="vec_id")
     assert (both.test_fold == both.fold).all() and (both.actual == both.label).all() and both.predicted.isin(folds.label).all()
+
+
+def test_svm_is_fitted_on_the_cluster(spark):
+    frame = catalogue.queries()["svm_cv"](spark, SF)
+    plan = frame._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "MapInPandas" not in plan
+    rows, folds = frame.toPandas(), catalogue._folded(spark, SF).toPandas()
+    assert sorted(rows.vec_id) == sorted(folds.vec_id)
+    both = rows.merge(folds, on="vec_id")
+    assert (both.test_fold == both.fold).all() and (both.actual == both.label).all()
+
+
+def test_svm_is_close_to_the_exact_machine(spark):
+    rng = np.random.default_rng(4)
+    y = np.arange(180) % 3
+    turn, radius = rng.uniform(0, 2 * np.pi, 180), y + 0.5 + rng.uniform(0, 0.4, 180)
+    x = np.column_stack([radius * np.cos(turn), radius * np.sin(turn)])  # rings: no straight line parts them
+    rows = spark.createDataFrame([(i, int(y[i] * 5), i % 4, f, x[i].tolist()) for f in range(4) for i in range(180)], "id long, label int, fold int, test_fold int, z array<double>")
+    got = learn.svm_cv(rows, "id", "label", c=50.0, gamma=1.0).toPandas().sort_values("id")
+    assert got.id.tolist() == list(range(180)) and (got.test_fold == got.id % 4).all()
+    exact = np.concatenate([learn.svm(x[np.arange(180) % 4 != f], y[np.arange(180) % 4 != f], x[np.arange(180) % 4 == f], 50.0, 1.0) for f in range(4)])
+    order = np.concatenate([np.flatnonzero(np.arange(180) % 4 == f) for f in range(4)])
+    assert (got.predicted.to_numpy()[order] == exact * 5).mean() > 0.9 and (got.predicted == got.actual).mean() > 0.9
