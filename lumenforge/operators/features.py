@@ -114,14 +114,53 @@ def nearest_words(descriptors: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return descriptors.crossJoin(F.broadcast(words)).withColumn("word_id", best.word_id).drop("words")
 
 
-def word_histograms(assigned: DataFrame, image: str, k: int) -> DataFrame:
-    """(image, histogram): shares of the words, zeros included."""
+def word_histograms(assigned: DataFrame, image: str, k: int, images: DataFrame | None = None) -> DataFrame:
+    """(image, histogram): shares of the words, zeros included. Of `images`, those without descriptors get zeros alone."""
     counts = assigned.groupBy(image, "word_id").agg(F.count(F.lit(1)).alias("n"))
     held = counts.groupBy(image).agg(F.map_from_entries(F.collect_list(F.struct("word_id", "n"))).alias("m"), F.sum("n").alias("all"))
-    share = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("all"))
+    if images is not None:
+        held = images.select(image).distinct().join(held, image, "left")
+    share = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("all"), F.lit(0.0)))
     return held.select(image, share.alias("histogram"))
 
 
+def gradient_descriptors(images: DataFrame, keys: list[str], most: int = 250, patch: int = 16, cells: int = 4, bins: int = 8) -> DataFrame:
+    """(keys, y, x, response, features) of an image's strongest corners, by the determinant of smoothed gradient products (less a
+    share of their trace). A descriptor is the gradient histograms of cells x cells parts of the patch around it, of length 1,
+    clipped at 0.2 and normalised again. An image too small or too flat has none."""
+
+    def one(img) -> list[dict]:
+        g = kernels.grey(img).astype(np.float64)
+        h, w = g.shape
+        if min(h, w) < patch:
+            return []
+        dy, dx = np.gradient(g)
+        smooth = lambda a: kernels.convolve(kernels.convolve(a, _BLUR[None, :]), _BLUR[:, None])
+        yy, xx, xy = smooth(dy * dy), smooth(dx * dx), smooth(dx * dy)
+        corner = np.round(yy * xx - xy * xy - 0.04 * (yy + xx) ** 2, 6)
+        r = patch // 2
+        inner = corner[r : h - r + 1, r : w - r + 1]
+        p = np.pad(inner, 1, constant_values=-np.inf)
+        peak = inner > 0
+        for y, x in [(a, b) for a in (0, 1, 2) for b in (0, 1, 2) if (a, b) != (1, 1)]:
+            peak &= inner >= p[y : y + inner.shape[0], x : x + inner.shape[1]]
+        at = np.argwhere(peak)
+        at = at[np.lexsort((at[:, 1], at[:, 0], -inner[peak]))][:most]
+        size, turn, out = np.hypot(dy, dx), np.floor((np.arctan2(dy, dx) / (2 * np.pi) % 1) * bins).astype(int) % bins, []
+        cell = np.repeat(np.repeat(np.arange(cells * cells).reshape(cells, cells), patch // cells, axis=0), patch // cells, axis=1)
+        for y, x in at:
+            part = (slice(y, y + patch), slice(x, x + patch))
+            v = np.bincount((cell * bins + turn[part]).ravel(), size[part].ravel(), cells * cells * bins)
+            v = np.minimum(v / max(np.linalg.norm(v), 1e-9), 0.2)
+            out.append({"y": int(y + r), "x": int(x + r), "response": float(inner[y, x]), "features": (v / max(np.linalg.norm(v), 1e-9)).tolist()})
+        return out
+
+    return kernels.map_images(images, keys, one, "y int, x int, response double, features array<double>")
+
+
+_BLUR = np.array([1.0, 4.0, 6.0, 4.0, 1.0]) / 16
+
+
 def fit_vocabulary(descriptors: DataFrame, k: int = 32, seed: int = 42) -> DataFrame:
     """(word_id, centre) by k-means on the cluster; at least k descriptors are needed."""
     from pyspark.ml.clustering import KMeans

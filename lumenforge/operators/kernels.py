@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import plane
 from . import transforms
@@ -268,23 +269,25 @@ def otsu(g: np.ndarray) -> int:
 
 
 def contours(img: np.ndarray) -> np.ndarray:
-    """The outlines of the Otsu mask in green, two samples wide."""
+    """The outer outlines of the Otsu mask in green, two samples wide: holes are filled, so their rims are none."""
     g = grey(img)
     mask = g > otsu(g)
-    p = np.pad(mask, 1)
+    outside = components(np.pad(~mask, 1, constant_values=True), eight=False)
+    filled = (outside != outside[0, 0])[1:-1, 1:-1]
+    p = np.pad(filled, 1)
     inner = p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]
-    line = mask & ~inner
-    line = line | np.pad(line, ((1, 0), (0, 0)))[:-1] & mask
+    line = filled & ~inner
+    line = line | np.pad(line, ((1, 0), (0, 0)))[:-1] & filled
     out = img.copy()
     out[line] = (0, 255, 0)
     return out
 
 
 def labelled(img: np.ndarray) -> np.ndarray:
-    """Components of the Otsu mask, coloured by a smooth map; the background is black."""
+    """Components of the Otsu mask, coloured by a smooth map over all of them; the background is black."""
     g = grey(img)
     labels = components(g > otsu(g))
-    t = labels * (255 // max(labels.max(), 1)) / 255.0
+    t = labels / max(labels.max(), 1)
     ramp = np.stack([0.5 + 0.5 * np.cos(math.pi * t * 2), np.sin(math.pi * t), t], axis=2)
     out = _byte(ramp * 255)
     out[labels == 0] = 0
@@ -320,11 +323,38 @@ REGISTRY: dict[str, Callable[..., np.ndarray]] = {
 EXPLORER: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
     "CLAHE": lambda i, k: lab_clahe(i), "Gaussian Blur": lambda i, k: gaussian(i, k), "Median Blur": lambda i, k: median(i, k), "Bilateral Filter": lambda i, k: bilateral(i),
     "Unsharp Mask": lambda i, k: unsharp(i, k), "HSV Saturation": lambda i, k: colour(saturation(i)), "Histogram Equalization": lambda i, k: equalized(i),
-    "Canny": lambda i, k: colour(canny(grey(i), 50, 150).astype(np.uint8) * 255), "Sobel": lambda i, k: derivative(i, transforms.SOBEL), "Scharr": lambda i, k: derivative(i, transforms.SCHARR),
-    "Laplacian": lambda i, k: derivative(i, transforms.LAPLACIAN), "Gabor": lambda i, k: derivative(i, transforms.gabor_taps(k)), "Morphological Opening": lambda i, k: colour(opening(grey(i), k)),
+    "Canny": lambda i, k: colour(canny(grey(i), 50, 150).astype(np.uint8) * 255), "Sobel": lambda i, k: derivative(i, transforms.sobel_taps(k)), "Scharr": lambda i, k: derivative(i, transforms.SCHARR),
+    "Laplacian": lambda i, k: derivative(i, transforms.laplacian_taps(k)), "Gabor": lambda i, k: derivative(i, transforms.gabor_taps(k)), "Morphological Opening": lambda i, k: colour(opening(grey(i), k)),
     "Blackhat": lambda i, k: blackhat(i, k), "Otsu Threshold": lambda i, k: colour((grey(i) > otsu(grey(i))).astype(np.uint8) * 255), "Contours": lambda i, k: contours(i), "Connected Components": lambda i, k: labelled(i),
 }
 
+#: When an operation of the explorer helps, and when it doesn't.
+GUIDANCE: dict[str, tuple[str, str]] = {
+    "CLAHE": ("low local contrast or uneven light", "fine texture under strong noise"),
+    "Gaussian Blur": ("sensor noise of a Gaussian kind", "small edges that matter"),
+    "Median Blur": ("salt-and-pepper noise", "thin lines and small dots that matter"),
+    "Bilateral Filter": ("smoothing that keeps edges", "little time for each image"),
+    "Unsharp Mask": ("soft edges", "strong fine noise"),
+    "HSV Saturation": ("classes told apart by colour", "shapes without colour"),
+    "Histogram Equalization": ("low contrast of the whole grey image", "colour that must stay"),
+    "Canny": ("a clear map of edges", "the strength of texture"),
+    "Sobel": ("gradients along one axis", "structure in no direction"),
+    "Scharr": ("exact gradients with a small kernel", "noise that was not reduced first"),
+    "Laplacian": ("edges in any direction", "noisy originals"),
+    "Gabor": ("texture of one direction and period", "data of shapes or colours alone"),
+    "Morphological Opening": ("small bright noise", "small bright objects that matter"),
+    "Blackhat": ("dark spots on a bright ground", "natural colour in the output"),
+    "Otsu Threshold": ("two groups of grey levels", "very uneven light"),
+    "Contours": ("outlines of objects in a mask", "texture that doesn't part into objects"),
+    "Connected Components": ("number and size of parted objects", "objects that touch"),
+}
+
+
+def explain(spark: SparkSession, rows: DataFrame, technique: str) -> DataFrame:
+    """`rows` with helps and hinders of the technique they name, by a join with the table above (one row an operation)."""
+    table = spark.createDataFrame([(k, *v) for k, v in GUIDANCE.items()], "technique string, helps string, hinders string")
+    return rows.join(F.broadcast(table.withColumnRenamed("technique", technique)), technique, "left")
+
 
 def diagnose(img: np.ndarray) -> dict[str, float]:
     """The 13 metrics of a whole image."""
@@ -356,8 +386,10 @@ def to_array(row) -> np.ndarray:
     return np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, 3)
 
 
-def map_images(images: DataFrame, keys: list[str], f: Callable[[np.ndarray], list[dict]], schema: str) -> DataFrame:
-    """Rows (keys, image: struct of the image source) through f, which gives rows for an image. Arrow batches are small."""
+def map_images(images: DataFrame, keys: list[str], f: Callable[..., list[dict]], schema: str, with_row: bool = False) -> DataFrame:
+    """Rows (keys, image: struct of the image source) through f, which gives rows for an image; with `with_row`, it gets the
+    row of the keys as well. Batches are small: the setting for Arrow is lowered to 32 rows, and stays so for the session, as
+    the result is computed later."""
     images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")
     fields = "image.height", "image.width", "image.data"
 
@@ -366,7 +398,7 @@ def map_images(images: DataFrame, keys: list[str], f: Callable[[np.ndarray], lis
             rows = []
             for row in b.itertuples(index=False):
                 own = {k: getattr(row, k) for k in keys}
-                rows += [own | x for x in f(to_array(row))]
+                rows += [own | x for x in (f(to_array(row), row) if with_row else f(to_array(row)))]
             if rows:
                 yield pd.DataFrame(rows)
 

@@ -98,6 +98,39 @@ SCHARR = tuple((dy, dx, s * c) for dy, c in ((-1, 3), (0, 10), (1, 3)) for dx, s
 LAPLACIAN = ((-1, 0, 1), (1, 0, 1), (0, -1, 1), (0, 1, 1), (0, 0, -4))
 
 
+def _spread(times: int, start: tuple[int, ...]) -> list[int]:
+    """Coefficients smoothed so many times with (1, 1)."""
+    out = list(start)
+    for _ in range(times):
+        out = [a + b for a, b in zip([*out, 0], [0, *out], strict=True)]
+    return out
+
+
+def _outer(down: list[int], across: list[int]) -> list[list[int]]:
+    return [[y * x for x in across] for y in down]
+
+
+def _taps(grid: list[list[int]]) -> tuple[tuple[int, int, int], ...]:
+    r = len(grid) // 2
+    return tuple((y - r, x - r, c) for y, row in enumerate(grid) for x, c in enumerate(row) if c)
+
+
+def sobel_taps(k: int) -> tuple[tuple[int, int, int], ...]:
+    """First derivative across, smoothed down; of size 1, the bare difference."""
+    k = check_kernel(k)
+    return ((0, -1, -1), (0, 1, 1)) if k == 1 else _taps(_outer(_spread(k - 1, (1,)), _spread(k - 3, (-1, 0, 1))))
+
+
+def laplacian_taps(k: int) -> tuple[tuple[int, int, int], ...]:
+    """Second derivatives both ways, each smoothed the other way; of size 1, the four neighbours."""
+    k = check_kernel(k)
+    if k == 1:
+        return LAPLACIAN
+    across = _outer(_spread(k - 1, (1,)), _spread(k - 3, (1, -2, 1)))
+    return _taps([[a + b for a, b in zip(p, q, strict=True)] for p, q in zip(across, zip(*across, strict=True), strict=True)])
+
+
+
 def derivative(px: Column, h: Column, w: Column, taps) -> Column:
     """Absolute response, saturated."""
     return F.transform(plane.weighted(px, h, w, taps), lambda v: plane.byte(F.abs(v)))

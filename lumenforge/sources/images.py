@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import stat
 import struct
 import zipfile
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from io import BytesIO
 from pathlib import Path, PurePosixPath
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from .shared import Folder, saved
+
 SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff")
 MOST_FILES, MOST_BYTES = 10_000, 1_000_000_000
 
@@ -28,7 +34,8 @@ class Manifest:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, suffix, content checksum, image) of all files below: bytes and decoded image joined on their path."""
+    """(path, suffix, content checksum, image) of all files below. Bytes are read once for the checksums, which are written and
+    joined to the decoded images by path; so the images stay where they were read if the checksums' size allows."""
     try:
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         img = spark.read.format("image").option("recursiveFileLookup", "true").load(root)
@@ -36,47 +43,159 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(root) from e
         raise
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    files = raw.select(plain(F.col("path")).alias("path"), F.sha2("content", 256).alias("checksum"))
-    return files.join(img.select(plain(F.col("image.origin")).alias("path"), "image"), "path").withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    files = saved(raw.select(plain_path(F.col("path")).alias("path"), F.sha2("content", 256).alias("checksum")))
+    return img.select(plain_path(F.col("image.origin")).alias("path"), "image").join(files, "path").withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+
+
+def plain_path(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
 
 
-def valid(image: str = "image"):
+def valid(image: str = "image") -> Column:
     """Whether a row holds a colour image of its stated size."""
     c = lambda f: F.col(f"{image}.{f}")
     return (c("nChannels") == 3) & (c("mode") == 16) & (c("height") > 0) & (c("width") > 0) & (F.length(c("data")) == c("height") * c("width") * 3)
 
 
+def _three(data: pd.Series, channels: pd.Series) -> pd.Series:
+    """Three channels from one or four."""
+
+    def one(raw: bytes, n: int) -> bytes:
+        px = np.frombuffer(raw, np.uint8)
+        return np.repeat(px, 3).tobytes() if n == 1 else px[: len(px) // 4 * 4].reshape(-1, 4)[:, :3].tobytes()
+
+    return pd.Series([None if raw is None else one(raw, n) for raw, n in zip(data, channels, strict=True)])
+
+
 def as_colour(df: DataFrame, image: str = "image") -> DataFrame:
     """Grey images replicated to three channels, a fourth channel dropped; the rest as it is."""
-    hexed = F.hex(F.col(f"{image}.data"))
-    n, size = F.col(f"{image}.nChannels"), F.length(F.col(f"{image}.data"))
-    at = F.sequence(F.lit(0), F.greatest(size / F.greatest(n, F.lit(1)) - 1, F.lit(0)).cast("int"))
-    grey = F.unhex(F.array_join(F.transform(at, lambda i: F.repeat(F.substring(hexed, i * 2 + 1, F.lit(2)), 3)), ""))
-    alpha = F.unhex(F.array_join(F.transform(at, lambda i: F.substring(hexed, i * 8 + 1, F.lit(6))), ""))
-    data = F.when(n == 1, grey).when(n == 4, alpha).otherwise(F.col(f"{image}.data"))
-    few = n.isin(1, 4)
-    return df.withColumn(image, F.struct(F.col(f"{image}.origin"), F.col(f"{image}.height"), F.col(f"{image}.width"), F.when(few, 3).otherwise(n).alias("nChannels"), F.when(few, 16).otherwise(F.col(f"{image}.mode")).alias("mode"), data.alias("data")))
+    c = lambda f: F.col(f"{image}.{f}")
+    _three.__annotations__ = {"data": pd.Series, "channels": pd.Series, "return": pd.Series}
+    few = c("mode").isin(0, 24)  # bytes of one or four channels
+    data = F.when(few, F.pandas_udf(_three, "binary")(c("data"), c("nChannels"))).otherwise(c("data"))
+    fields = (c("origin"), c("height"), c("width"), F.when(few, 3).otherwise(c("nChannels")).alias("nChannels"), F.when(few, 16).otherwise(c("mode")).alias("mode"), data.alias("data"))
+    return df.withColumn(image, F.struct(*fields))
 
 
 def discover(spark: SparkSession, root: str, least: int = 5) -> Manifest:
-    """A folder of class folders. Classes are visible folders in case-insensitive order; each needs `least` valid images."""
+    """A folder of class folders. Classes are the visible folders, empty ones too, in case-insensitive order; each needs
+    `least` images that can be read and are of 8-bit samples. Others are skipped with a reason."""
     files = scan(spark, root)
-    base = root.rstrip("/") + "/"
-    inner = files.withColumn("below", F.expr(f"substring(path, {len(base) + 1})")).withColumn("class_name", F.element_at(F.split("below", "/"), 1))
-    inner = inner.where(F.col("below").contains("/") & ~F.col("class_name").startswith(".") & F.col("suffix").isin(*SUFFIXES))
-    counts = inner.groupBy("class_name").agg(F.count(F.when(F.col("image.height") > 0, 1)).alias("n")).collect()
-    names = sorted((r.class_name for r in counts), key=lambda s: (s.casefold(), s))
+    top = Folder(spark, root)
+    base = re.sub("^file:/+", "/", top.full).rstrip("/") + "/"
+    names = sorted((n for n in top.folders() if not n.startswith(".")), key=lambda s: (s.casefold(), s))
     if len(names) < 2:
         raise ValueError("at least two class folders are needed")
-    by = {r.class_name: r.n for r in counts}
+    inner = files.where(F.col("path").startswith(base)).withColumn("below", F.substring("path", len(base) + 1, 1 << 20)).withColumn("class_name", F.element_at(F.split("below", "/"), 1))
+    inner = saved(as_colour(inner.where(F.col("class_name").isin(*names) & F.col("below").contains("/") & F.col("suffix").isin(*SUFFIXES))).withColumn("valid", F.coalesce(valid(), F.lit(False))))
+    by = {r.class_name: r.n for r in inner.groupBy("class_name").agg(F.count(F.when(F.col("valid"), 1)).alias("n")).collect()}
     for name in names:
-        if by[name] < least:
-            raise ValueError(f"class {name} has {by[name]} valid images, {least} are needed")
+        if by.get(name, 0) < least:
+            raise ValueError(f"class {name} has {by.get(name, 0)} valid images, {least} are needed")
     index = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    good = as_colour(inner.where(F.col("image.height") > 0))
-    samples = good.select("path", "class_name", index[F.col("class_name")].alias("class_index"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), "checksum", "image")
-    return Manifest(names, samples, inner.where(F.col("image.height") <= 0).select("path", F.lit("unreadable image").alias("reason")))
+    samples = inner.where("valid").select("path", "class_name", index[F.col("class_name")].alias("class_index"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), "checksum", "image")
+    why = F.when(F.coalesce(F.col("image.height"), F.lit(-1)) <= 0, "unreadable image").otherwise("not an image of 8-bit samples")
+    return Manifest(names, samples, inner.where("not valid").select("path", why.alias("reason")))
+
+
+def in_file_order(samples: DataFrame) -> DataFrame:
+    """By path without regard to case, then by path: a sort by ranges, in no single task."""
+    return samples.orderBy(F.lower("path"), "path")
+
+
+def check_bgr(img: object) -> np.ndarray:
+    """The contract of a decoded image: blue, green and red samples of 8 bits, not empty."""
+    if not isinstance(img, np.ndarray):
+        raise TypeError("an image is an array")
+    if img.dtype != np.uint8:
+        raise ValueError("an image has samples of 8 bits")
+    if img.ndim != 3 or img.shape[2] != 3 or not img.size:
+        raise ValueError("an image has rows, columns and three channels, and none is empty")
+    return img
+
+
+def decode_image(data: bytes) -> np.ndarray:
+    """An uploaded PNG or BMP as blue, green and red samples; ValueError for anything else."""
+    try:
+        if data[:8] == b"\x89PNG\r\n\x1a\n":
+            return check_bgr(_decode_png(data))
+        if data[:2] == b"BM":
+            return check_bgr(_decode_bmp(data))
+    except (struct.error, zlib.error, IndexError, OverflowError, MemoryError) as e:
+        raise ValueError("not a readable image") from e
+    raise ValueError("not a PNG or BMP image")
+
+
+def decode_bytes(df: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, image as in the image source) of a column of bytes; null where it cannot be decoded."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, data in zip(b[key], b[content], strict=True):
+                try:
+                    img = decode_image(data or b"")
+                    rows.append((k, {"origin": "", "height": img.shape[0], "width": img.shape[1], "nChannels": 3, "mode": 16, "data": img.tobytes()}))
+                except ValueError:
+                    rows.append((k, None))
+            yield pd.DataFrame(rows, columns=[key, "image"])
+
+    return df.select(key, content).mapInPandas(run, f"`{key}` {kind}, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+
+
+MOST_SAMPLES = 1 << 28
+
+
+def _decode_png(data: bytes) -> np.ndarray:
+    w, h, depth, kind, _, _, laced = struct.unpack(">IIBBBBB", data[16:29])
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
+    if depth != 8 or laced or channels is None or not 0 < w * h * channels <= MOST_SAMPLES:
+        raise ValueError("a PNG of this kind is not supported")
+    at, packed, palette = 8, [], b""
+    while at + 8 <= len(data):
+        n, name = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + n]
+        packed += [body] if name == b"IDAT" else []
+        palette = body if name == b"PLTE" else palette
+        at += n + 12
+    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)[: h * (w * channels + 1)].reshape(h, -1)
+    out = np.zeros((h + 1, w * channels + channels), np.int64)  # a row and a sample of nothing before the first
+    for y in range(h):
+        _unfilter(int(raw[y, 0]), raw[y, 1:].astype(np.int64), out[y], out[y + 1], channels)
+    px = out[1:, channels:].astype(np.uint8).reshape(h, w, channels)
+    if kind == 3:
+        return np.frombuffer(palette, np.uint8).reshape(-1, 3)[px[..., 0]][..., ::-1].copy()
+    return px[..., :1].repeat(3, axis=2) if channels < 3 else px[..., 2::-1].copy()
+
+
+def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, own: np.ndarray, step: int) -> None:
+    """A PNG row from its filtered samples; rows have `step` zeros in front."""
+    if kind in (0, 2):
+        own[step:] = (line + (above[step:] if kind else 0)) & 255
+        return
+    if kind == 1:
+        own[step:] = np.cumsum(line.reshape(-1, step), axis=0).ravel() & 255
+        return
+    if kind not in (3, 4):
+        raise ValueError("an unknown PNG filter")
+    for i in range(step, len(own)):
+        a, b, c = int(own[i - step]), int(above[i]), int(above[i - step])
+        guess = (a + b) // 2 if kind == 3 else min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+        own[i] = (int(line[i - step]) + guess) & 255
+
+
+def _decode_bmp(data: bytes) -> np.ndarray:
+    start, (w, h) = struct.unpack("<I", data[10:14])[0], struct.unpack("<ii", data[18:26])
+    bits, packed = struct.unpack("<HI", data[28:34])
+    if bits not in (24, 32) or packed not in (0, 3) or not 0 < w * abs(h) * 4 <= MOST_SAMPLES:
+        raise ValueError("a BMP of this kind is not supported")
+    width = (w * bits // 8 + 3) // 4 * 4
+    rows = np.frombuffer(data[start : start + width * abs(h)], np.uint8)
+    if len(rows) < width * abs(h):
+        raise ValueError("the BMP is cut short")
+    px = rows.reshape(abs(h), width)[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[..., :3]
+    return px[::-1].copy() if h > 0 else px.copy()
 
 
 def encode_png(img: np.ndarray) -> bytes:
@@ -101,9 +220,20 @@ def extract_zip(data: bytes, to: str | Path) -> Path:
         if not files or len(files) > MOST_FILES or sum(i.file_size for i in files) > MOST_BYTES:
             raise ValueError("the archive is empty or too large")
         for i in z.infolist():
-            path = PurePosixPath(i.filename.replace("\\", "/"))
-            if path.is_absolute() or ".." in path.parts or ":" in path.parts[0] or i.external_attr >> 16 & 0o170000 == 0o120000 or i.flag_bits & 1:
-                raise ValueError(f"refused: {i.filename}")
+            if why := _refused(i):
+                raise ValueError(f"refused, {why}: {i.filename}")
         z.extractall(to)
     inside = [p for p in to.iterdir() if not p.name.startswith(".")]
     return inside[0] if len(inside) == 1 and inside[0].is_dir() else to
+
+
+def _refused(entry: zipfile.ZipInfo) -> str:
+    """Why an entry of an archive must not be written, or nothing."""
+    path = PurePosixPath(entry.filename.replace("\\", "/"))
+    reasons = {
+        "an absolute path": path.is_absolute() or any(":" in p for p in path.parts[:1]),
+        "a path that leads out": ".." in path.parts,
+        "a symbolic link": stat.S_ISLNK(entry.external_attr >> 16),
+        "encrypted": bool(entry.flag_bits & 1),
+    }
+    return next((why for why, so in reasons.items() if so), "")

@@ -18,6 +18,11 @@ def darkened(rasters: DataFrame) -> DataFrame:
     return rasters.withColumn("px", F.transform("px", lambda g: F.floor(g * 0.5).cast("int")))
 
 
+def stretched(rasters: DataFrame) -> DataFrame:
+    """With three times the contrast, clipped at both ends."""
+    return rasters.withColumn("px", F.transform("px", lambda g: F.greatest(F.lit(0), F.least(F.lit(255), g * 3 - 255))))
+
+
 def coloured(rasters: DataFrame) -> DataFrame:
     """With planes b, g and r that differ."""
     return rasters.withColumns({"b": F.col("px"), "g": F.transform("px", lambda g: 255 - g), "r": F.transform("px", lambda g: (g * 7) % 256)}).drop("px")
