@@ -108,6 +108,10 @@ def changes(before: DataFrame, after: DataFrame, keys: list[str], metrics: list[
 
     Both sides are unpivoted and joined on key and metric."""
     long = lambda df, name: df.unpivot(keys, metrics, "metric", name)
-    both = long(before, "before").join(long(after, "after"), [*keys, "metric"])
+    return deltas(long(before, "before").join(long(after, "after"), [*keys, "metric"]))
+
+
+def deltas(rows: DataFrame) -> DataFrame:
+    """Rows with before and after, and how far they are apart."""
     delta = F.col("after") - F.col("before")
-    return both.withColumns({"absolute_delta": delta, "percent_delta": F.when(F.abs("before") >= 1e-9, delta / F.abs("before") * 100)})
+    return rows.withColumns({"absolute_delta": delta, "percent_delta": F.when(F.abs("before") >= 1e-9, delta / F.abs("before") * 100)})

@@ -54,8 +54,13 @@ def over_folds(folds: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def mean_timings(folds: DataFrame, keys: list[str]) -> DataFrame:
+    return folds.groupBy(*keys).agg(F.avg("fit_ms").alias("mean_fit_ms"), F.avg("predict_ms").alias("mean_predict_ms"))
+
+
 def leaderboard(entries: DataFrame) -> DataFrame:
-    """Entries (pipeline_id, feature_profile, classifier, means, total_ms) with their rank; a row for each combination."""
+    """Entries (pipeline_id, feature_profile, classifier, means, total_ms) with their rank. There is a row for each combination,
+    of which a run has as many as it was told to fit: one task sorts them."""
     w = W.orderBy(F.desc(F.round("mean_macro_f1", 6)), F.desc(F.round("mean_accuracy", 6)), "total_ms", "pipeline_id", "feature_profile", "classifier")
     return entries.withColumn("rank", F.row_number().over(w))
 
@@ -64,3 +69,9 @@ def top_pipelines(board: DataFrame, n: int = 3) -> DataFrame:
     """The best entry of each pipeline, the n best of these."""
     first = board.withColumn("own", F.row_number().over(W.partitionBy("pipeline_id").orderBy("rank"))).where("own = 1").drop("own")
     return first.orderBy("rank").limit(n)
+
+
+def positions(board: DataFrame, top: DataFrame) -> DataFrame:
+    """Entries of the leaderboard that stand in `top`, with their place there, by a join on the three names of an entry."""
+    keys = ["pipeline_id", "feature_profile", "classifier"]
+    return board.join(F.broadcast(top.select(*keys, F.col("rank").alias("top_rank"))), keys).orderBy("rank")

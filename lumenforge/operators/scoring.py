@@ -59,6 +59,7 @@ def totals(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def reason_text(metric: Column, value: Column) -> Column:
+    """Over 52 is an improvement, under 48 a decline."""
     return F.concat(metric, F.when(value > 52, " improved").when(value < 48, " declined").otherwise(" unchanged"))
 
 
@@ -83,6 +84,16 @@ def warnings() -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules]), lambda x: x.isNotNull())
 
 
+def scored(candidates: DataFrame, weights: dict[str, float], n: int = 2) -> DataFrame:
+    """`candidates` with parts (array of metric, value, weight, in the order of the weights), score, warnings and reasons (texts
+    of the n best parts). All of it stands in a candidate's own row; nothing is joined or grouped."""
+    own = components()
+    parts = F.array(*[F.struct(F.lit(m).alias("metric"), own[m].alias("value"), F.lit(float(w)).alias("weight")) for m, w in weights.items()])
+    best = F.slice(F.array_sort(F.transform("parts", lambda p: F.struct((-F.round(p.value, 6)).alias("order"), p.metric.alias("metric"), p.value.alias("value")))), 1, n)
+    score = clip(F.aggregate("parts", F.lit(0.0), lambda s, p: s + p.value * p.weight))
+    return candidates.withColumns({"parts": parts, "warnings": warnings()}).withColumns({"score": score, "reasons": F.transform(best, lambda p: reason_text(p.metric, p.value)), "n_warnings": F.size("warnings")})
+
+
 def ranked(scored: DataFrame, group: list[str], limit: int = 3) -> DataFrame:
     """The best of each group by score, fewer warnings, time and id. Frames with score, n_warnings, processing_ms, pipeline_id."""
     if limit < 1:

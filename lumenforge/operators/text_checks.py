@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: What a scan looks for: description and pattern.
-SCANS: dict[str, str] = {
-    "assigned secret": r"(?i)\b(?:api[_-]?key|secret|token|password)\s*[:=]\s*['\x22][A-Za-z0-9_\-]{12,}['\x22]",
-    "cloud access key": r"AKIA[0-9A-Z]{16}",
-    "private key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "e-mail address": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}",
-    "home folder": r"/(?:home|Users)/[A-Za-z0-9._-]+/",
-    "drive path": r"[A-Za-z]:\\Users\\",
-}
-
-
-def findings(files: DataFrame, key: str, text: str = "text", scans: dict[str, str] = SCANS, exempt: DataFrame | None = None) -> DataFrame:
+from ..sources.shared import Folder
+
+#: What a scan looks for, by description and pattern; some patterns share a description.
+SCANS: tuple[tuple[str, str], ...] = (
+    ("an OAuth token", r"\bgho_[A-Za-z0-9]{20,}\b"),
+    ("a personal access token", r"\bgithub_pat_[A-Za-z0-9_]{20,}\b"),
+    ("a personal access token", r"\bghp_[A-Za-z0-9]{20,}\b"),
+    ("an API key", r"\bsk-(?:[A-Za-z0-9]{20,}|proj-[A-Za-z0-9_-]{20,})\b"),
+    ("an environment file", r"(?<![\w.\\])\.env(?![\w.-])"),
+    ("a dataset folder", r"(?i)(?:[A-Z]:\\|/)(?:[^\\/\r\n]+[\\/])*mvtec(?:_anomaly_detection|[_ -]?ad)?(?:[\\/]|$)"),
+    ("a temporary render folder", r"(?i)(?<![A-Za-z0-9_])tmp[\\/]pdfs[\\/]"),
+    ("an unresolved link", r"(?i)\b(?:NOTION_CASE_STUDY_URL|notion(?:\s+case\s+study)?\s+(?:url|link))\s*:\s*(?:pending|tbd|todo)\b"),
+    ("a user's folder", r"(?i)C:\\Users\\[A-Za-z0-9][A-Za-z0-9._-]*"),
+)
+#: Further patterns, of this library's own.
+MORE_SCANS: tuple[tuple[str, str], ...] = (
+    ("assigned secret", r"(?i)\b(?:api[_-]?key|secret|token|password)\s*[:=]\s*['\x22][A-Za-z0-9_\-]{12,}['\x22]"),
+    ("cloud access key", r"AKIA[0-9A-Z]{16}"),
+    ("private key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("e-mail address", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}"),
+    ("home folder", r"/(?:home|Users)/[A-Za-z0-9._-]+/"),
+)
+#: Suffixes of text files; files without one count too.
+TEXT_SUFFIXES = ("cfg", "css", "html", "ini", "js", "json", "md", "py", "toml", "txt", "yaml", "yml")
+
+
+def text_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = TEXT_SUFFIXES) -> DataFrame:
+    """(path below the root, text) of the text files of a folder, hidden folders left out; a file that isn't UTF-8 is no text."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = re.sub("^file:/+", "/", Folder(spark, root).full).rstrip("/") + "/"
+    below = F.substring(F.regexp_replace("path", "^file:/+", "/"), len(base) + 1, 1 << 20)
+    named = files.select(below.alias("path"), "content").withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    kept = named.where(F.col("suffix").isin("", *suffixes) & ~F.concat(F.lit("/"), F.col("path")).contains("/."))
+    return kept.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where("text is not null")
+
+
+def findings(files: DataFrame, key: str, text: str = "text", scans: tuple[tuple[str, str], ...] = SCANS + MORE_SCANS, exempt: DataFrame | None = None) -> DataFrame:
     """(key, description), once for each file and description. `exempt` has pairs that are allowed."""
-    hits = F.filter(F.array(*[F.when(F.col(text).rlike(p), F.lit(d)) for d, p in scans.items()]), lambda x: x.isNotNull())
+    hits = F.filter(F.array(*[F.when(F.col(text).rlike(p), F.lit(d)) for d, p in scans]), lambda x: x.isNotNull())
     out = files.select(key, F.explode(F.array_distinct(hits)).alias("description"))
     return out if exempt is None else out.join(exempt, [key, "description"], "left_anti")
 
@@ -28,41 +56,143 @@ def lines(files: DataFrame, key: str, text: str = "text") -> DataFrame:
     return files.select(key, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
 
 
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
+
+
+def unfenced(text: str) -> list[dict]:
+    """Lines outside fenced code. A fence ends at one of its own character that is at least as long."""
+    out, fence = [], ""
+    for i, line in enumerate(text.splitlines()):
+        m = _FENCE.match(line)
+        if not fence and not m:
+            out.append({"line_no": i, "line": line})
+        elif not fence:
+            fence = m[1]
+        elif m and m[1][0] == fence[0] and len(m[1]) >= len(fence):
+            fence = ""
+    return out
+
+
 def outside_fences(files: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line_no, line) of lines outside fenced code; a fence toggles. Folded inside each file's row."""
-    start = F.struct(F.lit(False).alias("fenced"), F.lit(0).alias("i"), F.array().cast("array<struct<line_no:int,line:string>>").alias("out"))
+    """(key, line_no, line) of lines outside fenced code."""
 
-    def step(acc: Column, line: Column) -> Column:
-        fence = line.rlike(r"^\s*(```|~~~)")
-        keep = ~fence & ~acc.fenced
-        out = F.when(keep, F.concat(acc.out, F.array(F.struct(acc.i.alias("line_no"), line.alias("line"))))).otherwise(acc.out)
-        return F.struct(F.when(fence, ~acc.fenced).otherwise(acc.fenced).alias("fenced"), (acc.i + 1).alias("i"), out.alias("out"))
+    def kept(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unfenced(t or ""))
 
-    kept = F.aggregate(F.split(text, "\n", -1), start, step, lambda acc: acc.out)
-    return files.select(key, F.inline(kept))
+    kept.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return files.select(key, F.inline(F.pandas_udf(kept, "array<struct<line_no:int,line:string>>")(F.col(text))))
 
 
 def slug(heading: Column) -> Column:
-    """The anchor of a heading: lower case, signs out, blanks to hyphens."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(heading)), r"[^\w\- ]", ""), " ", "-")
+    """The anchor of a heading: lower case, tags and signs out, blanks to hyphens."""
+    plain = F.lower(F.regexp_replace(heading, r"<[^>]+>", ""))
+    return F.regexp_replace(F.regexp_replace(F.trim(plain), r"(?U)[^\w\s-]", ""), r"\s+", "-")
 
 
-def heading_slugs(rows: DataFrame, key: str, order: list[str], heading: str) -> DataFrame:
+def heading_slugs(rows: DataFrame, keys: list[str], order: list[str], heading: str) -> DataFrame:
     """With `anchor`: repeated slugs of a file get -1, -2, ... in order."""
     base = rows.withColumn("slug", slug(F.col(heading)))
-    n = F.row_number().over(W.partitionBy(key, "slug").orderBy(*order)) - 1
+    n = F.row_number().over(W.partitionBy(*keys, "slug").orderBy(*order)) - 1
     return base.withColumn("anchor", F.when(n == 0, F.col("slug")).otherwise(F.concat_ws("-", "slug", n.cast("string"))))
 
 
+def anchors(files: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, anchor) of the headings of Markdown files."""
+    heads = outside_fences(files, key, text).withColumn("heading", F.regexp_extract("line", r"^#{1,6}\s+(.+?)\s*#*\s*$", 1)).where("heading <> ''")
+    return heading_slugs(heads, [key], ["line_no"], "heading").select(key, "anchor")
+
+
+def missing_headings(files: DataFrame, key: str, required: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (key, heading) of `required` that no line of the file is."""
+    own = outside_fences(files, key, text).select(key, F.rtrim("line").alias("heading")).distinct()
+    return required.join(own, [key, "heading"], "left_anti")
+
+
 def html_links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, link_no, target)."""
     return pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), F.lit(1))).alias("link_no", "target"))
 
 
+_DEFINED = r"^[ \t]{0,3}\[([^\]]+)\]:[ \t]*(<[^>]+>|\S+)"
+
+
 def markdown_links(files: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, target) of inline links and images, autolinks and references."""
-    every = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (r"\]\(\s*<?([^)\s>]+)", r"<(https?://[^>\s]+)>", r"(?m)^\s{0,3}\[[^\]]+\]:\s*(\S+)")]
-    return files.select(key, F.explode(F.concat(*every)).alias("target"))
+    """(key, target) of the inline links and images, autolinks, and references by full or short label outside fenced code. A
+    label is looked up without regard to case and blanks; its last definition holds."""
+    label = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    bare = lambda c: F.regexp_replace(c, "^<|>$", "")
+    rows = outside_fences(files, key, text).where(F.col("line").contains("[") | F.col("line").contains("<"))
+    every = lambda p, g: F.regexp_extract_all("line", F.lit(p), F.lit(g))
+    defined = rows.where(F.col("line").rlike(_DEFINED)).select(key, "line_no", label(F.regexp_extract("line", _DEFINED, 1)).alias("label"), bare(F.regexp_extract("line", _DEFINED, 2)).alias("target"))
+    defined = defined.groupBy(key, "label").agg(F.max_by("target", "line_no").alias("target"))
+    rest = rows.where(~F.col("line").rlike(_DEFINED))
+    full = r"!?\[([^\]]*)\]\[([^\]]*)\]"
+    named = F.zip_with(every(full, 1), every(full, 2), lambda shown, own: F.when(own == "", shown).otherwise(own))
+    short = every(r"(?<![!\[\]])\[([^\]]+)\](?![\[(])", 1)
+    direct = F.concat(every(r"\[[^\]]*\]\((<[^>]+>|[^\s)]+)(?:\s+\"[^\"]*\")?\)", 1), every(r"<((?:https?://|mailto:)[^\s>]+)>", 1))
+    by_label = rest.select(key, F.explode(F.concat(named, short)).alias("label")).withColumn("label", label(F.col("label"))).join(defined, [key, "label"])
+    return rest.select(key, F.explode(direct).alias("target")).withColumn("target", bare(F.col("target"))).unionByName(by_label.select(key, "target"))
+
+
+def broken_links(files: DataFrame, key: str = "path", text: str = "text", present: DataFrame | None = None) -> DataFrame:
+    """(key, target, reason) of the links of Markdown files to other files: `outside` leads out of the root, `missing` names no
+    file of `present` (by default `files`), `anchor` names no heading of it. Keys are paths below the root."""
+    links = markdown_links(files.where(F.lower(key).endswith(".md")), key, text).distinct().where(~F.col("target").rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//)"))
+    decoded = lambda c: F.coalesce(F.try_url_decode(F.regexp_replace(c, r"\+", "%2B")), c)
+    parts = F.split(F.concat(F.regexp_replace(key, r"[^/]*$", ""), decoded(F.substring_index("target", "#", 1))), "/")
+
+    def step(acc: Column, part: Column) -> Column:
+        up = F.when(F.size(acc.at) == 0, F.struct(acc.at.alias("at"), F.lit(True).alias("out"))).otherwise(F.struct(F.slice(acc.at, 1, F.greatest(F.size(acc.at) - 1, F.lit(0))).alias("at"), acc.out.alias("out")))
+        return F.when(part.isin("", "."), acc).when(part == "..", up).otherwise(F.struct(F.concat(acc.at, F.array(part)).alias("at"), acc.out.alias("out")))
+
+    start = F.struct(F.array().cast("array<string>").alias("at"), F.lit(False).alias("out"))
+    own = F.substring_index("target", "#", 1) == ""
+    ends = links.withColumn("end", F.aggregate(parts, start, step)).withColumn("file", F.when(own, F.col(key)).otherwise(F.array_join("end.at", "/")))
+    ends = ends.withColumn("anchor", F.when(F.col("target").contains("#"), F.lower(decoded(F.regexp_extract("target", "#(.*)$", 1)))))
+    there = (present if present is not None else files).select(F.col(key).alias("file")).distinct().withColumn("found", F.lit(True))
+    known = anchors(files, key, text).withColumnsRenamed({key: "file"}).distinct().withColumn("headed", F.lit(True))
+    both = ends.join(there, "file", "left").join(known, ["file", "anchor"], "left")
+    why = F.when(F.col("end.out"), "outside").when(F.col("found").isNull(), "missing").when(F.col("anchor").isNotNull() & F.col("headed").isNull(), "anchor")
+    return both.withColumn("reason", why).where("reason is not null").select(key, "target", "reason")
+
+
+def url_map_problems(entries: DataFrame, names: list[str], prefix: str, name: str = "name", url: str = "url") -> DataFrame:
+    """(name, problem) of a table of named addresses: `missing`, `unexpected`, `repeated`, `prefix`, `pending`."""
+    wanted = entries.sparkSession.createDataFrame([(n, True) for n in names], f"`{name}` string, wanted boolean")
+    shared = entries.groupBy(url).agg(F.count(F.lit(1)).alias("times"))
+    both = entries.withColumn("given", F.lit(True)).join(F.broadcast(wanted), name, "full").join(shared, url, "left")
+    rules = (
+        ("missing", F.col("given").isNull()), ("unexpected", F.col("wanted").isNull()), ("repeated", F.col("times") > 1),
+        ("prefix", F.col("given") & ~F.coalesce(F.col(url).startswith(prefix), F.lit(False))), ("pending", F.lower(url).contains("pending")),
+    )
+    return both.select(name, F.explode(F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules]), lambda x: x.isNotNull())).alias("problem"))
+
+
+#: What a file of evidence holds.
+EVIDENCE = "sample_count int, class_count int, evaluation struct<folds:int,seed:int>, top_pipelines array<struct<pipeline:string,classifier:string,mean_accuracy:double,mean_macro_f1:double>>"
+
+
+def evidence(rows: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
+    """The columns of EVIDENCE from JSON texts; a row that lacks a field or has fewer than `least` pipelines ends the job."""
+    read = rows.select(F.from_json(text, EVIDENCE, {"mode": "PERMISSIVE"}).alias("e")).select("e.*")
+    best = F.slice("top_pipelines", 1, least)
+    whole = F.forall(best, lambda p: p.pipeline.isNotNull() & p.classifier.isNotNull() & p.mean_accuracy.isNotNull() & p.mean_macro_f1.isNotNull())
+    sound = F.col("sample_count").isNotNull() & F.col("class_count").isNotNull() & F.col("evaluation.folds").isNotNull() & F.col("evaluation.seed").isNotNull() & (F.size("top_pipelines") >= least) & whole
+    return read.withColumn("top_pipelines", F.when(F.coalesce(sound, F.lit(False)), best).otherwise(F.raise_error(F.lit("the evidence lacks a field or a pipeline")).cast(dict(read.dtypes)["top_pipelines"])))
+
+
+def shown(value: Column) -> Column:
+    """A figure as it is printed, with three decimals."""
+    return F.format_string("%.3f", value)
+
+
+def unbacked_rows(report: DataFrame, line: str, found: DataFrame) -> DataFrame:
+    """Pipelines of `evidence` whose table row in a report lacks the classifier or one of the figures as printed."""
+    top = found.select(F.inline("top_pipelines"))
+    cells = table_cells(report, line).select("cells")
+    told = top.join(cells, F.array_contains("cells", F.col("pipeline")) & F.array_contains("cells", F.col("classifier")))
+    both = told.where(F.exists("cells", lambda c: c.contains(shown(F.col("mean_accuracy")))) & F.exists("cells", lambda c: c.contains(shown(F.col("mean_macro_f1")))))
+    return top.join(both.select("pipeline"), "pipeline", "left_anti")
 
 
 def missing(wanted: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:

@@ -1,12 +1,13 @@
-"""Advice on the rasters: three pipelines of expressions, their metrics before and after, scores, reasons and ranks.
+"""Advice on the rasters in expressions alone: three pipelines and the five metrics that need no kernel, before and after,
+scores, reasons and ranks. `plans.advisor` does the whole catalogue with all metrics.
 
 The images are dark rasters; a pipeline is an expression on the image's own row, so candidates are a projection and an
-explode, the baseline metrics stand in the same row, and only the ranks need rows of an image together (a handful).
+explode, the metrics before stand in the same row, and only the ranks need rows of an image together (a handful).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics as dx
@@ -20,49 +21,33 @@ PIPELINES = {"auto-gamma": tx.auto_gamma, "baseline-normalize": tx.normalize, "g
 WEIGHTS = {"local_contrast": 0.5, "entropy": 0.3, "clipping_control": 0.2}
 
 
-def _measure(df: DataFrame, keys: list[str]) -> DataFrame:
-    values = (dx.mean_brightness(), dx.dark_clip_ratio(), dx.bright_clip_ratio(), dx.local_contrast(side=4), dx.entropy())
-    return df.select(*keys, *[v.alias(m) for m, v in zip(METRICS, values, strict=True)])
+def _measured(px: str, into: str) -> list[Column]:
+    values = (dx.mean_brightness(px), dx.dark_clip_ratio(px), dx.bright_clip_ratio(px), dx.local_contrast(px, side=4), dx.entropy(px))
+    return [v.alias(f"{into}_{m}") for m, v in zip(METRICS, values, strict=True)]
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.darkened(rasters.load(spark, sf_dir))
 
 
-def outputs(source: DataFrame) -> DataFrame:
-    """(image_id, pipeline_id, h, w, px) of each pipeline."""
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, pipeline_id, before_*, after_*): an image is measured once, then its pipelines' outputs are."""
     runs = F.array(*[F.struct(F.lit(k).alias("pipeline_id"), f(F.col("px"), F.col("h"), F.col("w")).alias("px")) for k, f in PIPELINES.items()])
-    return source.select("image_id", "h", "w", F.explode(runs).alias("run")).select("image_id", "h", "w", "run.pipeline_id", "run.px")
-
-
-def measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    source = images(spark, sf_dir)
-    return _measure(source, ["image_id"]), _measure(outputs(source), ["image_id", "pipeline_id"])
+    before = images(spark, sf_dir).select("image_id", "h", "w", *_measured("px", "before"), runs.alias("runs"))
+    after = before.select("image_id", "h", "w", *[f"before_{m}" for m in METRICS], F.explode("runs").alias("run")).withColumn("px", F.col("run.px"))
+    return after.select("image_id", F.col("run.pipeline_id").alias("pipeline_id"), *[f"before_{m}" for m in METRICS], *_measured("px", "after"))
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before, after = measured(spark, sf_dir)
-    b = before.withColumnsRenamed({m: f"before_{m}" for m in METRICS})
-    out = after.withColumnsRenamed({m: f"after_{m}" for m in METRICS}).join(b, "image_id")
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the parts, scores, warnings and reasons of the weights above, which none of the other metrics enters."""
     rest = ("sharpness", "edge_density", "edge_continuity", "noise_estimate", "colorfulness", "saturation_spread")
-    return out.withColumns({f"{s}_{m}": F.lit(0.0) for s in ("before", "after") for m in rest})
-
-
-def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("advice", i, m, w) for i, (m, w) in enumerate(WEIGHTS.items())]
-    weights = spark.createDataFrame(rows, "profile string, ordinal int, metric string, weight double")
-    return scoring.component_rows(candidates(spark, sf_dir), ["image_id", "pipeline_id"], weights, "advice")
+    none = {f"{s}_{m}": F.lit(None).cast("double") for s in ("before", "after") for m in rest}
+    return scoring.scored(candidates(spark, sf_dir).withColumns(none), WEIGHTS)
 
 
 def recommendations(spark: SparkSession, sf_dir: str, limit: int = 3) -> DataFrame:
-    keys = ["image_id", "pipeline_id"]
-    rows = components(spark, sf_dir)
-    reasons = scoring.top_reasons(rows, keys).withColumn("text", scoring.reason_text(F.col("metric"), F.col("value")))
-    reasons = reasons.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reason_no", "text"))), lambda s: s.text), "; ").alias("reasons"))
-    warned = candidates(spark, sf_dir).select(*keys, scoring.warnings().alias("w"))
-    scored = scoring.totals(rows, keys).join(warned, keys).join(reasons, keys).withColumns({"n_warnings": F.size("w"), "processing_ms": F.lit(0.0), "warnings": F.array_join("w", ",")})
-    best = scoring.ranked(scored, ["image_id"], limit)
-    return best.select("image_id", F.col("rank").cast("long").alias("rank"), "pipeline_id", F.round("score", 6).alias("score"), "warnings", "reasons")
+    best = scoring.ranked(scored(spark, sf_dir).withColumn("processing_ms", F.lit(0.0)), ["image_id"], limit)
+    return best.select("image_id", F.col("rank").cast("long").alias("rank"), "pipeline_id", F.round("score", 6).alias("score"), F.array_join("warnings", ",").alias("warnings"), F.array_join("reasons", "; ").alias("reasons"))
 
 
 def sql(grid: str, norm: str, dark: str, gamma: str) -> str:

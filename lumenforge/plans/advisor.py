@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics, kernels, scoring
+from ..sources.images import encode_png
+from ..sources.shared import saved
 from . import benchmark, catalog
 
 
@@ -35,20 +37,47 @@ def measure(images: DataFrame, profile: str = "auto", pipelines: tuple[catalog.P
 
 
 def advise(images: DataFrame, profile: str = "auto", limit: int = 3, weights: dict | None = None, pipelines: tuple[catalog.Pipeline, ...] = catalog.DEFAULT) -> DataFrame:
-    """(path, rank, pipeline_id, score, warnings, reasons), the best `limit` of each image."""
-    keys = ["path", "pipeline_id"]
-    found = measure(images, profile, pipelines)
-    rows = scoring.component_rows(found, keys, catalog.weights_table(images.sparkSession, catalog.check_weights(weights) if weights else catalog.WEIGHTS), profile)
-    top = scoring.top_reasons(rows, keys).withColumn("text", scoring.reason_text(F.col("metric"), F.col("value")))
-    reasons = top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("reason_no", "text"))), lambda s: s.text).alias("reasons"))
-    noted = found.select(*keys, "processing_ms", scoring.warnings().alias("warnings")).withColumn("n_warnings", F.size("warnings"))
-    scored = scoring.totals(rows, keys).join(noted, keys).join(reasons, keys)
-    return scoring.ranked(scored, ["path"], limit).select("path", "rank", "pipeline_id", "score", "warnings", "reasons", "processing_ms")
-
-
-def metric_changes(measured: DataFrame) -> DataFrame:
-    """(path, pipeline_id, metric, before, after, absolute_delta, percent_delta) of `measure`."""
+    """(path, rank, pipeline_id, score, warnings, reasons, processing_ms, parts), the best `limit` of each image."""
+    return recommend(measured(images, profile, pipelines), profile, limit, weights)
+
+
+def measured(images: DataFrame, profile: str = "auto", pipelines: tuple[catalog.Pipeline, ...] = catalog.DEFAULT) -> DataFrame:
+    """`measure`, written once: all that is told of a run then comes from the same times and figures."""
+    return saved(measure(images, profile, pipelines))
+
+
+def recommend(found: DataFrame, profile: str = "auto", limit: int = 3, weights: dict | None = None) -> DataFrame:
+    """Advice from the rows of `measure`: scores stand in a candidate's row, only the ranks need those of an image together."""
+    own = (catalog.check_weights(weights) if weights else catalog.WEIGHTS)[profile]
+    scored = scoring.scored(found, own)
+    return scoring.ranked(scored, ["path"], limit).select("path", "rank", "pipeline_id", "score", "warnings", "reasons", "processing_ms", "parts")
+
+
+def diagnostics_rows(found: DataFrame, advice: DataFrame) -> DataFrame:
+    """(path, scope, pipeline_id, the metrics): the original of each image, then its recommendations in order."""
+    row = lambda scope, name, when: F.struct(scope.alias("scope"), name.alias("pipeline_id"), *[F.col(f"{when}_{m}").alias(m) for m in diagnostics.METRICS])
+    best = found.join(advice.select("path", "pipeline_id", "rank"), ["path", "pipeline_id"])
+    after = row(F.concat(F.lit("recommendation_"), F.col("rank").cast("string")), F.col("pipeline_id"), "after")
+    first = row(F.lit("original"), F.lit("original"), "before")
+    return best.select("path", F.explode(F.when(F.col("rank") == 1, F.array(first, after)).otherwise(F.array(after))).alias("row")).select("path", "row.*")
+
+
+def steps(images: DataFrame, advice: DataFrame, pipelines: tuple[catalog.Pipeline, ...] = catalog.DEFAULT) -> DataFrame:
+    """(path, pipeline_id, step_no, transform, png) of every step of the pipelines that `advice` names for an image."""
+    by_id = {p.id: p for p in pipelines}
+    named = images.join(advice.groupBy("path").agg(F.collect_set("pipeline_id").alias("chosen")), "path")
+
+    def one(img, row) -> list[dict]:
+        out = []
+        for name in sorted(row.chosen):
+            for i, (step, done) in enumerate(benchmark.run_steps(img, by_id[name]), 1):
+                out.append({"pipeline_id": name, "step_no": i, "transform": step.transform, "png": encode_png(done)})
+        return out
+
+    return kernels.map_images(named, ["path", "chosen"], one, "pipeline_id string, step_no int, transform string, png binary", with_row=True).drop("chosen")
+
+
+def metric_changes(found: DataFrame) -> DataFrame:
+    """(path, pipeline_id, metric, before, after, absolute_delta, percent_delta) of the rows of `measure`."""
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"before_{m}").alias("before"), F.col(f"after_{m}").alias("after")) for m in diagnostics.METRICS])
-    long = measured.select("path", "pipeline_id", F.inline(rows))
-    delta = F.col("after") - F.col("before")
-    return long.withColumns({"absolute_delta": delta, "percent_delta": F.when(F.abs("before") >= 1e-9, delta / F.abs("before") * 100)})
+    return diagnostics.deltas(found.select("path", "pipeline_id", F.inline(rows)))

@@ -7,14 +7,17 @@ Every learner works on the rows where they lie; no task needs all rows of a comb
 from __future__ import annotations
 
 import time
-import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, kernels, learn, metrics, split
 from ..sources.images import Manifest
+from ..sources.shared import saved
 from . import catalog
 
 ORIGINAL = "original"
@@ -24,7 +27,7 @@ ORIGINAL = "original"
 class Config:
     pipelines: tuple[str, ...]
     features: tuple[str, ...] = ("combined",)
-    classifiers: tuple[str, ...] = learn.CLASSIFIERS
+    classifiers: tuple[str, ...] = tuple(learn.CLASSIFIERS)
     folds: int = 5
     seed: int = 42
 
@@ -38,56 +41,80 @@ class Config:
 
 @dataclass(frozen=True)
 class Result:
-    """leaderboard, top pipelines, fold metrics, class metrics, matrices (all DataFrames) and the folds used."""
+    """leaderboard, top pipelines, fold metrics, class metrics, matrices, timings, samples with their folds, skipped files (all
+    DataFrames) and the number of folds used."""
 
     leaderboard: DataFrame
     top: DataFrame
     folds: DataFrame
     classes: DataFrame
     matrix: DataFrame
+    timings: DataFrame
+    assignments: DataFrame
+    skipped: DataFrame
     fold_count: int
 
 
-def run_pipeline(img, pipeline: catalog.Pipeline):
+def run_steps(img, pipeline: catalog.Pipeline) -> Iterator[tuple[catalog.Step, np.ndarray]]:
+    """Each step with the image after it."""
     for step in pipeline.steps:
         img = kernels.REGISTRY[step.transform](kernels.check_image(img), **step.params)
+        yield step, img
+
+
+def run_pipeline(img, pipeline: catalog.Pipeline):
+    for _, img in run_steps(img, pipeline):
+        pass
     return img
 
 
+def _extracted(pipeline: catalog.Pipeline | None, profile: str) -> Callable[[np.ndarray], list[dict]]:
+    """Features of an image after a pipeline, with the time that each of the two took."""
+    extractor = features.EXTRACTORS[profile]
+
+    def one(img) -> list[dict]:
+        began = time.perf_counter()
+        done = run_pipeline(img, pipeline) if pipeline else img
+        between = time.perf_counter()
+        values = extractor(done).tolist()
+        return [{"features": values, "preprocessing_ms": (between - began) * 1000, "feature_extraction_ms": (time.perf_counter() - between) * 1000}]
+
+    return one
+
+
+KEYS = ("pipeline_id", "feature_profile", "classifier")
+
+
 def run(spark: SparkSession, manifest: Manifest, config: Config, pipelines: tuple[catalog.Pipeline, ...] = catalog.DEFAULT) -> Result:
+    """A classifier's job fits and predicts all folds of a combination together; its times are shared evenly among them."""
     by_id = {p.id: p for p in pipelines}
     if bad := set(config.pipelines) - set(by_id) - {ORIGINAL}:
         raise KeyError(f"unknown pipeline: {sorted(bad)}")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     samples = manifest.samples.select("path", "class_index", "image")
     k = split.fold_count(samples, "class_index", config.folds)
-    folds = split.stratified_folds(samples.select("path", "class_index"), "path", "class_index", k, config.seed)
-    keys, parts, spent = ["pipeline_id", "feature_profile", "classifier"], [], []
+    about = manifest.samples.drop("image")
+    assigned = saved(split.stratified_folds(about, "path", "class_index", k, config.seed))
+    parts, spent, took = [], [], []
     for pid in config.pipelines:
-        chosen = by_id.get(pid)
         for profile in config.features:
-            extractor, began = features.EXTRACTORS[profile], time.perf_counter()
-            rows = kernels.map_images(samples, ["path", "class_index"], lambda img, p=chosen, f=extractor: [{"features": f(run_pipeline(img, p) if p else img).tolist()}], "features array<float>")
-            at = f"{shared}/{uuid.uuid4().hex}"
-            rows.join(folds.select("path", "fold"), "path").write.parquet(at)
-            spent.append((pid, profile, (time.perf_counter() - began) * 1000))
-            z = learn.standardize(spark.read.parquet(at))
+            rows = kernels.map_images(samples, ["path", "class_index"], _extracted(by_id.get(pid), profile), "features array<float>, preprocessing_ms double, feature_extraction_ms double")
+            rows = saved(rows.join(assigned.select("path", "fold"), "path"))
+            spent.append(rows.agg(F.lit(pid).alias("pipeline_id"), F.lit(profile).alias("feature_profile"), F.sum("preprocessing_ms").alias("preprocessing_ms"), F.sum("feature_extraction_ms").alias("feature_extraction_ms")))
+            z = learn.standardize(rows.drop("preprocessing_ms", "feature_extraction_ms"))
             for name in config.classifiers:
-                if name == "rtrees":
-                    ids = range(k)
-                    found = [learn.random_trees(z, "path", "class_index", i, seed=config.seed).select("test_fold", "actual", "predicted") for i in ids]
-                else:
-                    f = {"svm": learn.svm_cv, "knn": learn.knn}[name]
-                    found = [f(z, "path", "class_index").select("test_fold", "actual", "predicted")]
-                for one in found:
-                    parts.append(one.select(F.lit(pid).alias("pipeline_id"), F.lit(profile).alias("feature_profile"), F.lit(name).alias("classifier"), F.col("test_fold").cast("int").alias("fold"), F.col("actual").cast("int").alias("actual"), F.col("predicted").cast("int").alias("predicted")))
-    at = f"{shared}/{uuid.uuid4().hex}"
-    for one in parts:
-        one.write.mode("append").parquet(at)
-    predictions = spark.read.parquet(at)
+                began = time.perf_counter()
+                found = learn.classifier(name)(z, "path", "class_index", seed=config.seed)
+                fitted = time.perf_counter()
+                int_ = lambda c: F.col(c).cast("int").alias(c)
+                parts.append(saved(found.select(F.lit(pid).alias("pipeline_id"), F.lit(profile).alias("feature_profile"), F.lit(name).alias("classifier"), int_("test_fold").alias("fold"), int_("actual"), int_("predicted"))))
+                took.append((pid, profile, name, (fitted - began) * 1000 / k, (time.perf_counter() - fitted) * 1000 / k))
+    predictions = reduce(DataFrame.unionByName, parts)
     classes = spark.createDataFrame([(i,) for i in range(len(manifest.class_names))], "class_index int")
-    matrix = metrics.confusion(predictions, classes, [*keys, "fold"])
-    by_fold = metrics.macro(matrix, [*keys, "fold"])
-    timing = spark.createDataFrame(spent, "pipeline_id string, feature_profile string, total_ms double")
-    board = metrics.leaderboard(metrics.over_folds(by_fold, keys).join(F.broadcast(timing), ["pipeline_id", "feature_profile"]))
-    return Result(board, metrics.top_pipelines(board), by_fold, metrics.per_class(matrix, [*keys, "fold"]), matrix, k)
+    matrix = saved(metrics.confusion(predictions, classes, [*KEYS, "fold"]))
+    fit_times = spark.createDataFrame(took, "pipeline_id string, feature_profile string, classifier string, fit_ms double, predict_ms double")
+    by_fold = metrics.macro(matrix, [*KEYS, "fold"]).join(F.broadcast(fit_times), list(KEYS))
+    timing = saved(reduce(DataFrame.unionByName, spent))
+    timings = metrics.mean_timings(by_fold, list(KEYS)).join(F.broadcast(timing), ["pipeline_id", "feature_profile"])
+    entries = metrics.over_folds(by_fold, list(KEYS)).join(F.broadcast(timing), ["pipeline_id", "feature_profile"])
+    board = metrics.leaderboard(entries.withColumn("total_ms", F.col("preprocessing_ms") + F.col("feature_extraction_ms")))
+    return Result(board, metrics.top_pipelines(board), by_fold, metrics.per_class(matrix, [*KEYS, "fold"]), matrix, timings, assigned, manifest.skipped, k)

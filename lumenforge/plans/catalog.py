@@ -33,24 +33,24 @@ class Pipeline:
     id: str
     profiles: tuple[str, ...]
     steps: tuple[Step, ...]
+    rationale: tuple[str, ...] = ()
+    cautions: tuple[str, ...] = ()
 
 
-def _p(name: str, profiles: str, *steps: Step) -> Pipeline:
-    return Pipeline(name, tuple(profiles.split()), steps)
-
-
-#: The ten pipelines.
+_CLAHE = Step("lab_clahe", {"clip_limit": 2.0, "grid_size": 8})
+_GREY = Step("gray_bgr")
+#: The ten pipelines, with why one would take them and what to expect.
 DEFAULT = (
-    _p("baseline-normalize", "auto shape color texture", Step("normalize")),
-    _p("lab-clahe", "auto shape color texture", Step("lab_clahe", {"clip_limit": 2.0, "grid_size": 8})),
-    _p("auto-gamma", "auto color", Step("auto_gamma", {"target_midpoint": 0.5})),
-    _p("gaussian-clean", "auto shape texture", Step("gaussian", {"kernel_size": 5, "sigma": 0.8})),
-    _p("median-clean", "auto shape texture", Step("median", {"kernel_size": 5})),
-    _p("bilateral-detail", "auto shape color texture", Step("bilateral", {"diameter": 7, "sigma_color": 45, "sigma_space": 45})),
-    _p("clahe-bilateral", "auto shape color texture", Step("lab_clahe", {"clip_limit": 2.0, "grid_size": 8}), Step("bilateral", {"diameter": 7, "sigma_color": 40, "sigma_space": 40})),
-    _p("unsharp-detail", "auto shape texture", Step("unsharp", {"kernel_size": 5, "sigma": 1.0, "amount": 0.8, "threshold": 3})),
-    _p("gray-clahe-unsharp", "shape texture", Step("gray_bgr"), Step("lab_clahe", {"clip_limit": 2.0, "grid_size": 8}), Step("unsharp", {"kernel_size": 5, "sigma": 1.0, "amount": 0.7, "threshold": 2})),
-    _p("texture-blackhat", "texture shape", Step("gray_bgr"), Step("blackhat", {"kernel_size": 9, "shape": "ellipse"}), Step("normalize")),
+    Pipeline("baseline-normalize", ("auto", "shape", "color", "texture"), (Step("normalize"),), ("stable_baseline",)),
+    Pipeline("lab-clahe", ("auto", "shape", "color", "texture"), (_CLAHE,), ("low_local_contrast",), ("may_amplify_texture",)),
+    Pipeline("auto-gamma", ("auto", "color"), (Step("auto_gamma", {"target_midpoint": 0.5}),), ("unbalanced_exposure",), ("may_shift_tones",)),
+    Pipeline("gaussian-clean", ("auto", "shape", "texture"), (Step("gaussian", {"kernel_size": 5, "sigma": 0.8}),), ("high_frequency_noise",), ("may_blur_edges",)),
+    Pipeline("median-clean", ("auto", "shape", "texture"), (Step("median", {"kernel_size": 5}),), ("impulse_noise",), ("may_remove_small_detail",)),
+    Pipeline("bilateral-detail", ("auto", "shape", "color", "texture"), (Step("bilateral", {"diameter": 7, "sigma_color": 45, "sigma_space": 45}),), ("noise_with_edges",), ("higher_processing_cost",)),
+    Pipeline("clahe-bilateral", ("auto", "shape", "color", "texture"), (_CLAHE, Step("bilateral", {"diameter": 7, "sigma_color": 40, "sigma_space": 40})), ("low_contrast_and_noise",), ("may_amplify_texture", "higher_processing_cost")),
+    Pipeline("unsharp-detail", ("auto", "shape", "texture"), (Step("unsharp", {"kernel_size": 5, "sigma": 1.0, "amount": 0.8, "threshold": 3}),), ("low_sharpness",), ("may_amplify_noise",)),
+    Pipeline("gray-clahe-unsharp", ("shape", "texture"), (_GREY, _CLAHE, Step("unsharp", {"kernel_size": 5, "sigma": 1.0, "amount": 0.7, "threshold": 2})), ("shape_priority",), ("color_information_removed",)),
+    Pipeline("texture-blackhat", ("texture", "shape"), (_GREY, Step("blackhat", {"kernel_size": 9, "shape": "ellipse"}), Step("normalize")), ("dark_local_structure",), ("not_natural_color_output",)),
 )
 
 
@@ -66,19 +66,24 @@ def check_catalog(pipelines: tuple[Pipeline, ...]) -> tuple[Pipeline, ...]:
     return pipelines
 
 
+def faults_of_sets(weights: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, faults) of sets of rows (keys, profile, metric, weight): `profile`, `metric`, `number`, `sum`, as far as they hold."""
+    odd = lambda c, known: ~F.coalesce(F.col(c).isin(*known), F.lit(False))
+    number = F.coalesce((F.col("weight") >= 0) & (F.col("weight") < float("inf")), F.lit(False))
+    by = weights.groupBy(*keys).agg(F.max(odd("profile", PROFILES)).alias("profile"), F.max(odd("metric", COMPONENTS)).alias("metric"), F.max(~number).alias("number"), F.coalesce(F.abs(F.sum("weight") - 1) > 1e-9, F.lit(True)).alias("sum"))
+    return by.select(*keys, F.filter(F.array(*[F.when(F.col(c), F.lit(c)) for c in ("profile", "metric", "number", "sum")]), lambda x: x.isNotNull()).alias("faults"))
+
+
 def check_weights(weights: dict[str, dict[str, float]]) -> dict[str, dict[str, float]]:
-    for profile, own in weights.items():
-        if profile not in PROFILES:
-            raise ValueError(f"unknown profile: {profile}")
-        if not own or not set(own) <= set(COMPONENTS):
-            raise ValueError(f"{profile}: no weights, or an unknown metric")
-        for v in own.values():
-            if isinstance(v, bool) or not isinstance(v, (int, float)) or not math.isfinite(v) or v < 0:
-                raise ValueError(f"{profile}: weights must be finite numbers of 0 or more")
-        if abs(sum(own.values()) - 1) > 1e-9:
-            raise ValueError(f"{profile}: weights must sum to 1")
-    if missing := set(PROFILES) - set(weights):
-        raise ValueError(f"profiles without weights: {sorted(missing)}")
+    """The weights themselves, or ValueError with all that is wrong with them: names, numbers, sums."""
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and 0 <= v < math.inf
+    faults = [f"no weights for {p}" for p in PROFILES if not weights.get(p)]
+    faults += [f"unknown profile: {p}" for p in weights if p not in PROFILES]
+    faults += [f"{p}: unknown metric {m}" for p, own in weights.items() for m in own if m not in COMPONENTS]
+    faults += [f"{p}: {m} is no finite number of 0 or more" for p, own in weights.items() for m, v in own.items() if not number(v)]
+    faults += [f"{p}: the sum is not 1" for p, own in weights.items() if own and all(map(number, own.values())) and abs(math.fsum(own.values()) - 1) > 1e-9]
+    if faults:
+        raise ValueError("; ".join(faults))
     return weights
 
 
@@ -89,7 +94,7 @@ def load_catalog(path: str) -> tuple[Pipeline, ...]:
     raw = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
     if not isinstance(raw, dict) or not isinstance(raw.get("pipelines"), list):
         raise ValueError("a catalogue has a list of pipelines")
-    return check_catalog(tuple(Pipeline(p["id"], tuple(p["profiles"]), tuple(Step(s["transform"], s.get("params") or {}) for s in p["steps"])) for p in raw["pipelines"]))
+    return check_catalog(tuple(Pipeline(p["id"], tuple(p["profiles"]), tuple(Step(s["transform"], s.get("params") or {}) for s in p["steps"]), tuple(p.get("rationale_codes") or ()), tuple(p.get("warning_codes") or ())) for p in raw["pipelines"]))
 
 
 def load_weights(path: str) -> dict[str, dict[str, float]]:
@@ -102,8 +107,8 @@ def load_weights(path: str) -> dict[str, dict[str, float]]:
 
 
 def pipelines_table(spark: SparkSession, pipelines: tuple[Pipeline, ...] = DEFAULT) -> DataFrame:
-    rows = [(p.id, list(p.profiles), [(i, s.transform, {k: str(v) for k, v in s.params.items()}) for i, s in enumerate(p.steps)]) for p in pipelines]
-    return spark.createDataFrame(rows, "pipeline_id string, profiles array<string>, steps array<struct<step_no:int,transform:string,params:map<string,string>>>")
+    rows = [(p.id, list(p.profiles), [(i, s.transform, {k: str(v) for k, v in s.params.items()}) for i, s in enumerate(p.steps)], list(p.rationale), list(p.cautions)) for p in pipelines]
+    return spark.createDataFrame(rows, "pipeline_id string, profiles array<string>, steps array<struct<step_no:int,transform:string,params:map<string,string>>>, rationale array<string>, cautions array<string>")
 
 
 def weights_table(spark: SparkSession, weights: dict[str, dict[str, float]] = WEIGHTS) -> DataFrame:

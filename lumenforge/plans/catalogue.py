@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ from ..operators import diagnostics as dx
 from ..operators import features, learn, metrics, scoring, split, text_checks
 from ..operators import transforms as tx
 from ..sources import rasters
-from . import advice, catalog
+from . import advice, advisor, catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -51,9 +54,10 @@ def mean_brightness(spark: SparkSession, d: str) -> DataFrame:
     return rasters.load(spark, d).select("image_id", _r(dx.mean_brightness()).alias("mean_brightness"))
 
 
-@query(GRID + " SELECT image_id, round(avg(CASE WHEN g // 2 <= 5 THEN 1.0 ELSE 0 END), 6) AS dark_clip_ratio, round(avg(CASE WHEN g // 2 >= 250 THEN 1.0 ELSE 0 END), 6) AS bright_clip_ratio FROM px GROUP BY image_id")
+@query(GRID + " SELECT image_id, round(avg(CASE WHEN 3 * g - 255 <= 5 THEN 1.0 ELSE 0 END), 6) AS dark_clip_ratio, round(avg(CASE WHEN 3 * g - 255 >= 250 THEN 1.0 ELSE 0 END), 6) AS bright_clip_ratio FROM px GROUP BY image_id")
 def clip_ratios(spark: SparkSession, d: str) -> DataFrame:
-    return rasters.darkened(rasters.load(spark, d)).select("image_id", _r(dx.dark_clip_ratio()).alias("dark_clip_ratio"), _r(dx.bright_clip_ratio()).alias("bright_clip_ratio"))
+    """On stretched rasters, which are clipped at either end."""
+    return rasters.stretched(rasters.load(spark, d)).select("image_id", _r(dx.dark_clip_ratio()).alias("dark_clip_ratio"), _r(dx.bright_clip_ratio()).alias("bright_clip_ratio"))
 
 
 @query(GRID + " SELECT image_id, round(stddev_pop(g), 6) AS global_contrast FROM px GROUP BY image_id")
@@ -273,32 +277,31 @@ _ADVICE_SQL = advice.sql(GRID, _NORM, _DARK, _GAMMA)
 
 @query(_ADVICE_SQL + " SELECT image_id, pipeline_id, metric, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS absolute_delta, round(CASE WHEN abs(before) >= 1e-9 THEN (after - before) / abs(before) * 100 END, 4) AS percent_delta FROM pairs")
 def metric_changes(spark: SparkSession, d: str) -> DataFrame:
-    before, after = advice.measured(spark, d)
-    both = after.select("image_id", "pipeline_id").join(before, "image_id")
-    rows = dx.changes(both, after, ["image_id", "pipeline_id"], list(advice.METRICS))
+    both = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"before_{m}").alias("before"), F.col(f"after_{m}").alias("after")) for m in advice.METRICS])
+    rows = dx.deltas(advice.candidates(spark, d).select("image_id", "pipeline_id", F.inline(both)))
     return rows.select("image_id", "pipeline_id", "metric", _r("before").alias("before"), _r("after").alias("after"), _r("absolute_delta").alias("absolute_delta"), F.round("percent_delta", 4).alias("percent_delta"))
 
 
 @query(_ADVICE_SQL + advice.SCORE_SQL + " SELECT image_id, pipeline_id, metric, round(value, 6) AS value, weight, round(value * weight, 6) AS weighted FROM comps")
 def component_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = advice.components(spark, d)
-    return rows.select("image_id", "pipeline_id", "metric", _r("value").alias("value"), "weight", _r("weighted").alias("weighted"))
+    rows = advice.scored(spark, d).select("image_id", "pipeline_id", F.inline("parts"))
+    return rows.select("image_id", "pipeline_id", "metric", _r("value").alias("value"), "weight", _r(F.col("value") * F.col("weight")).alias("weighted"))
 
 
 @query(_ADVICE_SQL + advice.SCORE_SQL + " SELECT image_id, pipeline_id, round(score, 6) AS score FROM totals")
 def weighted_total(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.totals(advice.components(spark, d), ["image_id", "pipeline_id"]).select("image_id", "pipeline_id", _r("score").alias("score"))
+    return advice.scored(spark, d).select("image_id", "pipeline_id", _r("score").alias("score"))
 
 
 @query(_ADVICE_SQL + advice.SCORE_SQL + " SELECT image_id, pipeline_id, warnings FROM warned")
 def warnings(spark: SparkSession, d: str) -> DataFrame:
-    return advice.candidates(spark, d).select("image_id", "pipeline_id", F.array_join(scoring.warnings(), ",").alias("warnings"))
+    return advice.scored(spark, d).select("image_id", "pipeline_id", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query(_ADVICE_SQL + advice.SCORE_SQL + " SELECT image_id, pipeline_id, reason_no, metric, reason FROM reasons")
+@query(_ADVICE_SQL + advice.SCORE_SQL + " SELECT image_id, pipeline_id, reason_no, reason FROM reasons")
 def top2_reasons(spark: SparkSession, d: str) -> DataFrame:
-    rows = scoring.top_reasons(advice.components(spark, d), ["image_id", "pipeline_id"])
-    return rows.select("image_id", "pipeline_id", F.col("reason_no").cast("long").alias("reason_no"), "metric", scoring.reason_text(F.col("metric"), F.col("value")).alias("reason"))
+    rows = advice.scored(spark, d).select("image_id", "pipeline_id", F.posexplode("reasons").alias("n", "reason"))
+    return rows.select("image_id", "pipeline_id", (F.col("n") + 1).cast("long").alias("reason_no"), "reason")
 
 
 @query(_ADVICE_SQL + advice.SCORE_SQL + """ SELECT image_id, rank, pipeline_id, round(score, 6) AS score, warnings, reasons FROM (
@@ -308,6 +311,76 @@ def top3_recommendations(spark: SparkSession, d: str) -> DataFrame:
     return advice.recommendations(spark, d)
 
 
+#: Figures with all metrics before and after, from the values of embeddings: metric, scale of its values.
+_FIGURES = {
+    "mean_brightness": 400.0, "dark_clip_ratio": 0.1, "bright_clip_ratio": 0.1, "local_contrast": 100.0, "entropy": 10.0, "sharpness": 900.0, "noise_estimate": 30.0,
+    "edge_density": 1.5, "edge_continuity": 2.0, "colorfulness": 150.0, "saturation_spread": 200.0,
+}
+
+
+def _figures(spark: SparkSession, d: str) -> DataFrame:
+    value = lambda i, scale: F.abs(F.get("embedding", F.lit(i)).cast("double")) * F.lit(scale)
+    both = {f"{side}_{m}": value(i + (20 if side == "after" else 0), scale) for i, (m, scale) in enumerate(_FIGURES.items()) for side in ("before", "after")}
+    return _table(spark, d, "embeddings").select("vec_id", "label", *[v.alias(k) for k, v in both.items()])
+
+
+_IMPROVED = {"local_contrast": 50, "entropy": 40, "sharpness": 35, "edge_continuity": 50, "saturation_spread": 35}
+
+
+def _figures_sql() -> str:
+    """CTEs `parts` (vec_id, label, profile, metric, value, weight), `totals`, `warned` and `best` for the SQL of the queries."""
+    own = ", ".join(f"abs(CAST(embedding[{i + 1 + off}] AS DOUBLE)) * {scale}::DOUBLE AS {side}_{m}" for i, (m, scale) in enumerate(_FIGURES.items()) for side, off in (("b", 0), ("a", 20)))
+    clip = lambda x: f"greatest(0::DOUBLE, least(100::DOUBLE, {x}))"
+    better = lambda b, a, scale: clip(f"50 + ({a} - {b}) / greatest(abs({b}), 1e-9) * {scale}")
+    values = {("saturation_separation" if m == "saturation_spread" else m): better(f"b_{m}", f"a_{m}", k) for m, k in _IMPROVED.items()}
+    edges = better("b_edge_density", "a_edge_density", 35)
+    values["edge_density"] = f"CASE WHEN a_edge_density > greatest(0.25, b_edge_density * 2.5) THEN {edges} / 2 ELSE {edges} END"
+    values["noise_reduction"] = better("b_noise_estimate", "(2 * b_noise_estimate - a_noise_estimate)", 50)
+    values["clipping_control"] = clip("100 - 500 * (a_dark_clip_ratio + a_bright_clip_ratio)")
+    values["exposure_balance"] = clip("100 - abs(a_mean_brightness - 127.5) / 127.5 * 100")
+    kept = clip("100 - abs(a_colorfulness - b_colorfulness) / greatest(abs(b_colorfulness), 1e-9) * 100")
+    values["color_preservation"] = f"CASE WHEN abs(b_colorfulness) >= 1e-9 THEN {kept} WHEN abs(a_colorfulness) < 1e-9 THEN 100 ELSE 50 END"
+    named = " UNION ALL ".join(f"SELECT vec_id, label, '{m}' AS metric, {v} AS value FROM f" for m, v in values.items())
+    weights = ", ".join(f"('{p}', '{m}', {w}::DOUBLE)" for p, own_ in catalog.WEIGHTS.items() for m, w in own_.items())
+    clips = "(a_dark_clip_ratio + a_bright_clip_ratio - b_dark_clip_ratio - b_bright_clip_ratio > 0.01 OR a_dark_clip_ratio + a_bright_clip_ratio > 0.05)"
+    rules = (("clipping", clips), ("excessive_edges", "a_edge_density > greatest(0.25, b_edge_density * 2.5)"), ("oversmoothing", "b_sharpness > 1e-9 AND a_sharpness < b_sharpness * 0.5"), ("color_loss", "b_colorfulness > 1e-9 AND a_colorfulness < b_colorfulness * 0.5"))
+    told = ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in rules)
+    return f"""WITH f AS (SELECT vec_id, label, {own} FROM embeddings), vals AS ({named}), w AS (SELECT * FROM (VALUES {weights}) t(profile, metric, weight)),
+parts AS (SELECT vec_id, label, profile, metric, value, weight FROM vals JOIN w USING (metric)),
+totals AS (SELECT vec_id, label, profile, greatest(0, least(100, sum(value * weight))) AS score FROM parts GROUP BY ALL),
+warned AS (SELECT vec_id, concat_ws(',', {told}) AS warnings, len(list_filter([{told}], lambda x: x IS NOT NULL)) AS n FROM f),
+why AS (SELECT vec_id, profile, metric || CASE WHEN value > 52 THEN ' improved' WHEN value < 48 THEN ' declined' ELSE ' unchanged' END AS reason, row_number() OVER (PARTITION BY vec_id, profile ORDER BY round(value, 6) DESC, metric) AS no FROM parts),
+reasons AS (SELECT vec_id, profile, string_agg(reason, '; ' ORDER BY no) AS reasons FROM why WHERE no <= 2 GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY label, profile ORDER BY round(score, 6) DESC, n, vec_id % 7, CAST(vec_id AS VARCHAR)) AS rank FROM totals JOIN warned USING (vec_id) JOIN reasons USING (vec_id, profile))"""
+
+
+def _scored(spark: SparkSession, d: str, profile: str) -> DataFrame:
+    return scoring.scored(_figures(spark, d), catalog.WEIGHTS[profile]).withColumn("profile", F.lit(profile))
+
+
+def _of_profiles(f: Callable[[str], DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, map(f, catalog.PROFILES))
+
+
+@query(_figures_sql() + " SELECT vec_id, profile, metric, round(value, 6) AS value, weight FROM parts")
+def score_parts(spark: SparkSession, d: str) -> DataFrame:
+    """All ten components, by profile."""
+    return _of_profiles(lambda p: _scored(spark, d, p).select("vec_id", "profile", F.inline("parts"))).withColumn("value", _r("value"))
+
+
+@query(_figures_sql() + " SELECT vec_id, warnings FROM warned")
+def score_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """All four rules."""
+    return _scored(spark, d, "auto").select("vec_id", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(_figures_sql() + " SELECT label, profile, rank, vec_id, round(score, 6) AS score, warnings, reasons FROM best WHERE rank <= 3")
+def score_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The three best of each label, with scores, warnings and reasons, by profile."""
+    timed = lambda p: _scored(spark, d, p).withColumns({"processing_ms": (F.col("vec_id") % 7).cast("double"), "pipeline_id": F.col("vec_id").cast("string")})
+    return _of_profiles(lambda p: scoring.ranked(timed(p), ["label"]).select("label", "profile", F.col("rank").cast("long").alias("rank"), "vec_id", _r("score").alias("score"), F.array_join("warnings", ",").alias("warnings"), F.array_join("reasons", "; ").alias("reasons")))
+
+
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{p.id}', '{q}')" for p in catalog.DEFAULT for q in p.profiles) + ") t(pipeline_id, profile)")
 def profile_filter(spark: SparkSession, d: str) -> DataFrame:
     table = catalog.pipelines_table(spark)
@@ -321,6 +394,24 @@ def weight_validation(spark: SparkSession, d: str) -> DataFrame:
     return sums.withColumn("valid", F.abs(F.col("total") - 1) <= 1e-9)
 
 
+_SETS = """WITH u AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS pos, abs(CAST(unnest(embedding) AS DOUBLE)) AS v FROM embeddings),
+s AS (SELECT *, sum(v) OVER (PARTITION BY vec_id) AS total FROM u WHERE pos < 6),
+w AS (SELECT vec_id, ['auto', 'shape', 'color', 'texture', 'depth'][label % 5 + 1] AS profile, CASE WHEN vec_id % 11 = pos THEN 'glow' ELSE ['entropy', 'sharpness', 'local_contrast', 'edge_density', 'noise_reduction', 'clipping_control'][pos + 1] END AS metric, CASE WHEN vec_id % 13 = pos THEN -v WHEN vec_id % 3 = 0 THEN v ELSE v / total END AS weight FROM s)"""
+
+
+@query(_SETS + """, f AS (SELECT vec_id, any_value(profile) = 'depth' AS profile, bool_or(metric = 'glow') AS metric, bool_or(weight < 0) AS number, abs(sum(weight) - 1) > 1e-9 AS sum FROM w GROUP BY vec_id)
+SELECT vec_id, concat_ws(',', CASE WHEN profile THEN 'profile' END, CASE WHEN metric THEN 'metric' END, CASE WHEN number THEN 'number' END, CASE WHEN sum THEN 'sum' END) AS faults FROM f""")
+def weight_sets(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with sets of weights, one from each vector."""
+    names = ["entropy", "sharpness", "local_contrast", "edge_density", "noise_reduction", "clipping_control"]
+    v = lambda i: F.abs(F.get("embedding", F.lit(i)).cast("double"))
+    total = sum((v(i) for i in range(1, 6)), v(0))
+    weight = lambda i: F.when(F.col("vec_id") % 13 == i, -v(i)).when(F.col("vec_id") % 3 == 0, v(i)).otherwise(v(i) / total)
+    profile = F.get(F.array(*[F.lit(p) for p in (*catalog.PROFILES, "depth")]), (F.col("label") % 5).cast("int"))
+    rows = _table(spark, d, "embeddings").select("vec_id", profile.alias("profile"), F.inline(F.array(*[F.struct(F.when(F.col("vec_id") % 11 == i, "glow").otherwise(n).alias("metric"), weight(i).alias("weight")) for i, n in enumerate(names)])))
+    return catalog.faults_of_sets(rows, ["vec_id"]).select("vec_id", F.array_join("faults", ",").alias("faults"))
+
+
 # Folds, learners, metrics
 
 _ORDER = "md5('42:' || CAST(vec_id AS VARCHAR)), vec_id"
@@ -338,7 +429,8 @@ def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def class_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    """The largest class first."""
+    return _table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label")
 
 
 _Z = _FOLDS + """, k AS (SELECT unnest(range(5)) AS test_fold), u AS (SELECT vec_id, label, fold, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM f),
@@ -477,6 +569,13 @@ def top_descriptors(spark: SparkSession, d: str) -> DataFrame:
     return features.top_descriptors(rows, "vec_id", "v", "pos", 25).select("vec_id", "pos", F.col("place").cast("long").alias("place"))
 
 
+@query("SELECT t.rank AS top_rank, l.rank, l.pipeline_id, l.classifier FROM (" + _LB + " SELECT * FROM lb) l JOIN (" + _LB + " SELECT rank, pipeline_id, classifier FROM (SELECT *, row_number() OVER (PARTITION BY pipeline_id ORDER BY rank) AS own FROM lb) WHERE own = 1 ORDER BY rank LIMIT 3) t ON l.pipeline_id = t.pipeline_id AND l.classifier = t.classifier")
+def leaderboard_positions(spark: SparkSession, d: str) -> DataFrame:
+    board = _board(spark, d)
+    rows = metrics.positions(board, metrics.top_pipelines(board))
+    return rows.select(F.col("top_rank").cast("long").alias("top_rank"), F.col("rank").cast("long").alias("rank"), "pipeline_id", "classifier")
+
+
 @query("WITH u AS (SELECT label, abs(CAST(unnest(embedding) AS DOUBLE)) AS v FROM embeddings) SELECT label, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.95), 6) AS p95 FROM u GROUP BY label")
 def feature_stats(spark: SparkSession, d: str) -> DataFrame:
     v = _table(spark, d, "embeddings").select("label", F.explode("embedding").alias("v")).withColumn("v", F.abs(F.col("v").cast("double")))
@@ -485,7 +584,13 @@ def feature_stats(spark: SparkSession, d: str) -> DataFrame:
 
 # Texts
 
-_SCAN_SQL = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS description FROM documents WHERE regexp_matches(text, '{v.replace(chr(92) + 'x22', chr(34)).replace(chr(39), chr(39) * 2)}')" for k, v in text_checks.SCANS.items())
+def _re2(pattern: str) -> str:
+    """A scan's pattern for SQL, where nothing can look behind or ahead: a sign or an end of the text stands in its place."""
+    pattern = pattern.replace(r"(?<![\w.\\])", r"(^|[^\w.\\])").replace(r"(?![\w.-])", r"($|[^\w.-])").replace("(?<![A-Za-z0-9_])", "(^|[^A-Za-z0-9_])")
+    return pattern.replace(r"\x22", '"').replace("'", "''")
+
+
+_SCAN_SQL = "SELECT DISTINCT doc_id, description FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k.replace(chr(39), chr(39) * 2)}' AS description FROM documents WHERE regexp_matches(text, '{_re2(v)}')" for k, v in text_checks.SCANS + text_checks.MORE_SCANS) + ")"
 
 
 @query(_SCAN_SQL)
@@ -572,9 +677,12 @@ def class_manifest(spark: SparkSession, d: str) -> DataFrame:
 def _as_images(spark: SparkSession, d: str, scale: int = 4) -> DataFrame:
     """Rasters as colour images of the image source's struct, each sample repeated `scale` times both ways."""
     side = rasters.SIDE * scale
-    at = lambda i: F.get("px", (F.floor(F.floor(i / side) / scale) * rasters.SIDE + F.floor((i % side) / scale)).cast("int"))
-    hexes = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.repeat(F.lpad(F.hex(at(i)), 2, "0"), 3))
-    return rasters.load(spark, d).select("image_id", "label", F.struct(F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), F.unhex(F.array_join(hexes, "")).alias("data")).alias("image"))
+
+    def grown(planes: pd.Series) -> pd.Series:
+        return planes.map(lambda px: np.kron(np.asarray(px, np.uint8).reshape(rasters.SIDE, -1), np.ones((scale, scale), np.uint8))[..., None].repeat(3, axis=2).tobytes())
+
+    grown.__annotations__ = {"planes": pd.Series, "return": pd.Series}
+    return rasters.load(spark, d).select("image_id", "label", F.struct(F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), F.pandas_udf(grown, "binary")("px").alias("data")).alias("image"))
 
 
 def _kernel(name: str) -> Query:
@@ -606,6 +714,21 @@ def image_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return kernels.map_images(_as_images(spark, d), ["image_id"], lambda img: [{k: float(v) for k, v in kernels.diagnose(img).items()}], ", ".join(f"{m} double" for m in dx.METRICS))
 
 
+@query()
+def advise_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """The whole job: every pipeline of the catalogue that suits the profile on every image, all metrics, the three best."""
+    best = advisor.recommend(advisor.measured(_as_images(spark, d).withColumnRenamed("image_id", "path"), "auto"), "auto")
+    return best.select(F.col("path").alias("image_id"), "rank", "pipeline_id", _r("score").alias("score"), F.array_join("warnings", ",").alias("warnings"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query()
+def bovw_fitted(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of fitted words: the k-means of all descriptors of all images."""
+    rows = rasters.load(spark, d).select("image_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice("px", y * 8 + 1, F.lit(8)))).alias("features"))
+    words = features.fit_vocabulary(rows, 16)
+    return features.word_histograms(features.nearest_words(rows, words), "image_id", 16, rasters.load(spark, d).select("image_id"))
+
+
 @query()
 def image_features(spark: SparkSession, d: str) -> DataFrame:
     return features.extract(_as_images(spark, d), ["image_id", "label"], "texture")
