@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--seed", type=int, default=42)
     b.add_argument("--output", required=True)
     c = sub.add_parser("self-check")
-    c.add_argument("--output", required=True)
+    c.add_argument("--output")
     return p
 
 
@@ -41,7 +41,7 @@ def analyze(spark: SparkSession, image: str, profile: str, output: str) -> str:
     found = images.as_colour(images.scan(spark, image).where("image.height > 0"))
     if not found.take(1):
         raise ValueError(f"no readable image: {image}")
-    return reports.write_advice(advisor.advise(found, profile), advisor.measure(found, profile), output, profile=profile, image=image)
+    return reports.write_advice(found.where(images.valid()), profile, output, image=image)
 
 
 def bench(spark: SparkSession, a: argparse.Namespace) -> str:
@@ -50,23 +50,29 @@ def bench(spark: SparkSession, a: argparse.Namespace) -> str:
 
     manifest = images.discover(spark, a.dataset)
     config = benchmark.Config(_names(a.pipelines), _names(a.features), _names(a.classifiers), a.folds, a.seed)
-    return reports.write_benchmark(benchmark.run(spark, manifest, config), manifest.class_names, a.output, seed=a.seed, requested_folds=a.folds)
+    return reports.write_benchmark(benchmark.run(spark, manifest, config), manifest.class_names, a.output, seed=a.seed, requested_folds=a.folds, dataset=a.dataset, pipelines=config.pipelines, features=config.features, classifiers=config.classifiers)
 
 
-def self_check(spark: SparkSession, output: str) -> None:
-    import numpy as np
-
-    from .sources import images
+def self_check(spark: SparkSession, output: str | None) -> None:
+    """Advice on a gradient and a benchmark of two classes of shapes; what both have written is read again."""
+    from .plans import catalog
+    from .sources import images, samples
+    from .sources.shared import Folder
 
     root = Path(tempfile.mkdtemp(prefix="self-check-"))
-    y, x = np.mgrid[:32, :32]
-    for name, mask in (("circle", (y - 16) ** 2 + (x - 16) ** 2 < 80), ("square", (abs(y - 16) < 8) & (abs(x - 16) < 8))):
-        (root / name).mkdir()
-        for i in range(6):
-            img = np.where(mask[..., None], 200 + i, 60 + 2 * i).repeat(3, axis=2).astype(np.uint8)
-            (root / name / f"{i}.png").write_bytes(images.encode_png(img))
-    analyze(spark, str(root / "circle" / "0.png"), "auto", output)
-    bench(spark, parser().parse_args(["benchmark", "--dataset", str(root), "--folds", "2", "--pipelines", "original", "--features", "color", "--classifiers", "knn", "--output", output]))
+    out = output or str(root / "out")
+    (root / "low_contrast.png").write_bytes(images.encode_png(samples.ramp()))
+    data = samples.shapes(root / "classification")
+    catalog.check_catalog(catalog.DEFAULT)
+    catalog.check_weights(catalog.WEIGHTS)
+    advice = analyze(spark, str(root / "low_contrast.png"), "auto", out)
+    board = bench(spark, parser().parse_args(["benchmark", "--dataset", str(data), "--folds", "3", "--pipelines", "original,lab-clahe", "--features", "color", "--classifiers", "svm,knn", "--output", out]))
+    read = lambda at, name: spark.read.option("header", "true").csv(f"{at}/{name}.csv")
+    told = {"recommendations": (read(advice, "recommendations").count(), 3), "diagnostics": (read(advice, "diagnostics").count(), 4), "leaderboard": (read(board, "leaderboard").count(), 4), "timings": (read(board, "timings").count(), 4), "samples": (read(board, "samples").count(), 12)}
+    if wrong := {k: v for k, v in told.items() if v[0] != v[1]}:
+        raise RuntimeError(f"rows found and expected: {wrong}")
+    if not Folder(spark, advice).exists("run.json") or not Folder(spark, board).exists("run_config.json"):
+        raise RuntimeError("a report lacks its settings")
     print("SELF-CHECK PASSED")
 
 
@@ -89,5 +95,9 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
-if __name__ == "__main__":
+def run() -> None:
     sys.exit(main())
+
+
+if __name__ == "__main__":
+    run()
