@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
+
+__all__ = ["BLANK", "arrow_rows", "one_space", "saved", "table", "text_or_empty"]
+
 #: Fixed value: the white space of the contracts, space and 0x09 to 0x0D.
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -16,28 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (as in tests, on one machine) an own one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark)
-
-
-def _own_dir(spark: SparkSession) -> str:
-    path = tempfile.mkdtemp(prefix="spark-shared-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """`df` written once as a table in the shared folder and read back: cuts the lineage, survives lost executors, is
-    computed once however often it is read, and gives the optimiser its true size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
-    """Rows in one Arrow batch: with texts of up to some hundred kB, a batch stays within tens of MB."""
+    """Rows in one Arrow batch: with texts of up to some hundred kB, a batch stays within tens of MB. The setting stays so for
+    the session, as results are computed after the operator has returned."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
