@@ -8,13 +8,18 @@ belongs to its own band and, where the smaller set of a pair may lie there, to t
 
 Empty segments tell nothing, and some subsets are held by many sets (a common line). Both can be left out by a set that has
 H + 1 other segments, and a pair is found if one of its two sets has. For pairs of sets that both have not, empty segments are
-indexed too, and sets full of common subsets are paired by their rarest tokens.
+indexed too, and sets full of common subsets take the finest partition, each token a segment of its own: of these a set indexes
+the rarest, as many as the pigeonhole asks for with partners of a size class (a ratio of 1.05), so that tokens of a passage
+that many sets share are indexed only by sets that it alone could link.
 
 Candidates are not all pairs of those that share a subset: a subset links its sets to the least of them, within each task
-first. Verified links make components; only where a subset's sets are still in several components, pairs across these are
-verified too. Verification reads both whole texts and compares the sets.
+first. Verified links make components. Where a common subset's sets are still in several components, rounds follow in which
+each of them is compared with a set that stands in the middle of the subset's, another one in each round, until that joins
+hardly any. Only then are
+pairs across the components left verified too, of which none lie within the largest component of a key. Verification compares
+the whole sets.
 
-Sets are told apart by 64-bit hashes of their shingles, shingles by 64-bit hashes of their words.
+Sets are told apart by 128-bit hashes of their shingles, shingles by 64-bit hashes of their words.
 
 Defined results: a null or blank text has the empty set and is linked with nothing; a text of fewer words than n is one
 shingle; rows with the same id are rows of their own; a row without id is linked through rows that have its very set;
@@ -26,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -42,6 +48,15 @@ from .hashing import Powers, mix
 RATIO = 1.25
 #: Sets that share a subset beyond which it counts as common.
 COMMON = 8
+#: Subsets that it costs as much to index as one of a single token, which many sets share by chance.
+LONE = 4
+#: Rounds in which sets of common subsets are compared with one other each, at most, and the share of them that must be
+#: linked for another round; what is still apart is compared across.
+ROUNDS, WORTH = 8, 0.02
+#: Bits of a subset's key beside the number of its part; keys that agree by chance only give a candidate more.
+KEY_BITS = 40
+#: Bytes up to which a table, whose rows have been counted, is broadcast to join it; beyond that both sides are exchanged.
+LIGHT = 16 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -94,14 +109,27 @@ def scheme(band: int) -> tuple[int, int, bool]:
     h = (hi - 1) // 4
     if h == 0:
         return 0, 1, False
-    if lo < 36:
-        return h, 1 if h == 1 else (h + 2) // 2 + 1, True
+    large = 1 if h == 1 else (h + 2) // 2 + 1
     m = h + 2
-    while True:
+    while m <= 64 * lo:
         empty = math.exp(-lo / m)
         if m * (1 - empty) - 4 * math.sqrt(m * empty * (1 - empty)) >= h + 1:
-            return h, m, False
+            break
         m += max(1, m // 100)
+    if m > 64 * lo or _cost(lo, large) + lo + LONE * 2 * _lone(lo, large, 2) < _cost(lo, m):
+        return h, large, True
+    return h, m, False
+
+
+def _lone(size: int, m: int, tokens: int) -> float:
+    """Segments of so many tokens among m, by chance."""
+    load = size / m
+    return m * math.exp(-load) * load**tokens / math.factorial(tokens)
+
+
+def _cost(size: int, m: int) -> float:
+    """Subsets that a set indexes in m segments, and what those of one token bring along."""
+    return m * (1 - math.exp(-size / m)) + LONE * _lone(size, m, 1)
 
 
 def bands_of(sizes: np.ndarray) -> np.ndarray:
@@ -158,8 +186,25 @@ def _sums(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return low + (high << np.uint64(32))
 
 
-def _set_id(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _set_id(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _numbered(ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 16-byte ids in order, as rows of bytes, and the number of each given one among them."""
+    words = np.frombuffer(ids, ">u8").reshape(-1, 2)
+    order = np.lexsort((words[:, 1], words[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return np.frombuffer(ids, np.uint8).reshape(-1, 16)[order[new]], number
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes, all of one width, as binary values."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 # The join
@@ -193,88 +238,101 @@ def shared_subsets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataF
     """In one pass over the texts, two kinds of rows: (key, a, b), sets a and b share the subset `key` and a is the least
     that has it, in all tasks or in one; and for each document (id, n_shingles, sid, slack, sketch), sid null if it has none.
 
-    A task sends each of its subsets once, with its least set, as packed bytes for each part of the keys: 48 bits of the key
+    A task sends each of its subsets once, with its least set, as packed bytes for each part of the keys: KEY_BITS of the key
     and a number in the list of the sets sent along. Its other sets are linked to that one on the spot, and these rows are
     spread. So what meets in one place for a subset is at most an entry for each task."""
     spark = docs.sparkSession
     parts = min(1 << 15, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_col].dataType.simpleString()
-    i64 = pa.int64()
-    light = {"id": None, "n_shingles": i64, "sid": i64, "slack": i64, "sketch": pa.binary()}
-    sent = {"part": i64, "keys": pa.binary(), "owners": pa.binary(), "sids": pa.binary(), "key": i64, "a": i64, "b": i64}
+    i64, raw = pa.int64(), pa.binary()
+    light = {"id": None, "n_shingles": i64, "sid": raw, "slack": i64, "sketch": raw}
+    sent = {"part": i64, "keys": raw, "owners": raw, "sids": raw, "key": i64, "a": raw, "b": raw}
+
+    def linked_rows(fields: dict, ids: np.ndarray, key: np.ndarray, least: np.ndarray, other: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(key), 65_536):
+            j = slice(i, i + 65_536)
+            spread = {"part": pa.array(key[j] ^ other[j])} if "part" in fields else {}
+            yield _batch(fields, len(key[j]), key=pa.array(key[j]), a=_binary(ids[least[j]]), b=_binary(ids[other[j]]), **spread)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, keys, sids, fields = Powers(), [], [], None
+        powers, keys, owners, ids, fields = Powers(), [], [], [], None
         for b in batches:
             fields = sent | light | {"id": b.column(0).type}
             sets = [shingle_set(t, powers, n) for t in b.column(1).to_pylist()]
             k, owner, slack = subsets(sets)
-            own = np.array([_set_id(s) if len(s) else 0 for s in sets], np.int64)
+            own = [_set_id(s) if len(s) else None for s in sets]
             keys.append(k)
-            sids.append(own[owner] if len(k) else np.zeros(0, np.int64))
-            some = np.array([len(s) > 0 for s in sets], bool)
-            yield _batch(fields, len(sets), part=pa.array(own), id=b.column(0), n_shingles=pa.array(map(len, sets), i64), sid=pa.array(own, mask=~some), slack=pa.array(slack), sketch=pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()))
+            owners.append(owner + len(ids))
+            ids += [x or bytes(16) for x in own]
+            part = np.array([int.from_bytes(x[:7], "little") if x else i for i, x in enumerate(own)], np.int64)
+            yield _batch(fields, len(sets), part=pa.array(part), id=b.column(0), n_shingles=pa.array(map(len, sets), i64), sid=pa.array(own, raw), slack=pa.array(slack), sketch=pa.array([sketch(s) if len(s) else None for s in sets], raw))
         if not keys:
             return
+        distinct, number = _numbered(b"".join(ids))
         key = np.concatenate(keys)
         part = (key & np.uint64(0xFFFF)).astype(np.int64) % parts
-        k, lo, k2, lo2, other = _stars(part << 48 | (key >> np.uint64(16)).astype(np.int64), np.concatenate(sids))
-        for i in range(0, len(k2), 65_536):
-            j = slice(i, i + 65_536)
-            yield _batch(fields, len(k2[j]), part=pa.array(other[j]), key=pa.array(k2[j]), a=pa.array(lo2[j]), b=pa.array(other[j]))
-        at = np.searchsorted(k, np.arange(parts + 1) << 48)
+        k, lo, *others = _stars(part << KEY_BITS | (key >> np.uint64(64 - KEY_BITS)).astype(np.int64), number[np.concatenate(owners)])
+        yield from linked_rows(fields, distinct, *others)
+        at = np.searchsorted(k, np.arange(parts + 1) << KEY_BITS)
         for p in range(parts):
             a, z = at[p], at[p + 1]
             if a < z:
-                held, number = np.unique(lo[a:z], return_inverse=True)
-                packed = np.ascontiguousarray(k[a:z].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
-                yield _batch(fields, 1, part=pa.array([p], i64), keys=pa.array([packed.tobytes()], pa.binary()), owners=pa.array([number.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes() if len(held) < 1 << 24 else b""], pa.binary()), sids=pa.array([(held if len(held) < 1 << 24 else lo[a:z]).tobytes()], pa.binary()))
+                held, place = np.unique(lo[a:z], return_inverse=True)
+                packed = np.ascontiguousarray(k[a:z].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
+                yield _batch(fields, 1, part=pa.array([p], i64), keys=pa.array([packed.tobytes()], raw), owners=pa.array([place.astype("<u2" if len(held) < 1 << 16 else "<u4").tobytes()], raw), sids=pa.array([distinct[held].tobytes()], raw))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sids, fields = [], [], None
+        keys, owners, ids, fields, before = [], [], [], None, 0
         for b in batches:
-            fields = {"key": i64, "a": i64, "b": i64} | light | {"id": b.schema.field("id").type}
+            fields = {"key": i64, "a": raw, "b": raw} | light | {"id": b.schema.field("id").type}
             packed = b.column("keys").is_valid()
             yield b.filter(pc.invert(packed)).select(list(fields))
             rows = b.filter(packed).select(["part", "keys", "owners", "sids"])
             for part, k, number, held in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                m = len(k) // 6
+                m = len(k) // (KEY_BITS // 8)
                 wide = np.zeros((m, 8), np.uint8)
-                wide[:, :6] = np.frombuffer(k, np.uint8).reshape(m, 6)
-                keys.append(wide.view("<i8").ravel() | part << 48)
-                own = np.frombuffer(held, np.int64)
-                if number:
-                    wide = np.zeros((m, 4), np.uint8)
-                    wide[:, :3] = np.frombuffer(number, np.uint8).reshape(m, 3)
-                    own = own[wide.view("<u4").ravel()]
-                sids.append(own)
+                wide[:, : KEY_BITS // 8] = np.frombuffer(k, np.uint8).reshape(m, -1)
+                keys.append(wide.view("<i8").ravel() | part << KEY_BITS)
+                owners.append(np.frombuffer(number, "<u2" if len(number) == 2 * m else "<u4").astype(np.int64) + before)
+                ids.append(held)
+                before += len(held) // 16
         if keys:
-            _, _, k, lo, other = _stars(np.concatenate(keys), np.concatenate(sids))
-            for i in range(0, len(k), 65_536):
-                j = slice(i, i + 65_536)
-                yield _batch(fields, len(k[j]), key=pa.array(k[j]), a=pa.array(lo[j]), b=pa.array(other[j]))
-
-    own = f"id {kind}, n_shingles bigint, sid bigint, slack bigint, sketch binary"
-    rows = docs.select(id_col, text_col).mapInArrow(emit, f"part bigint, keys binary, owners binary, sids binary, key bigint, a bigint, b bigint, {own}")
-    return rows.repartition(parts, "part").mapInArrow(meet, f"key bigint, a bigint, b bigint, {own}")
-
-
-def fetch(rows: DataFrame, docs: DataFrame, key: str, id_col: str, text_col: str, into: str = "text") -> DataFrame:
-    """`rows` with the whole texts of the documents whose ids stand in `key`. Spark may put a Bloom filter of these ids (of
-    a fixed size) before the exchange of the texts; the comparison, true of every id, is what lets it consider that."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    texts = docs.select(F.col(id_col).alias(key), text_or_empty(text_col).alias(into))
-    some = rows.where(F.col(key) >= -(2**63)) if dict(rows.dtypes)[key] == "bigint" else rows
-    return some.join(texts, key)
-
-
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Those of the pairs (a, b) of sets that are linked. Pairs whose sketches differ by more than linked sets can are left
-    out; for the others their representatives' whole texts come together by two joins."""
-    of = lambda s: reps.select(F.col("sid").alias(s), F.col("rep").alias(f"rep_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    sized = "n_a * 10 >= n_b * 8 and n_b * 10 >= n_a * 8"
-    near = pairs.join(of("a"), "a").join(of("b"), "b").where(sized).select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b")
+            distinct, number = _numbered(b"".join(ids))
+            yield from linked_rows(fields, distinct, *_stars(np.concatenate(keys), number[np.concatenate(owners)])[2:])
+
+    own = f"id {kind}, n_shingles bigint, sid binary, slack bigint, sketch binary"
+    rows = docs.select(id_col, text_col).mapInArrow(emit, f"part bigint, keys binary, owners binary, sids binary, key bigint, a binary, b binary, {own}")
+    return rows.repartition(parts, "part").mapInArrow(meet, f"key bigint, a binary, b binary, {own}")
+
+
+def sieved(rows: DataFrame, key: str) -> DataFrame:
+    """`rows`, of which Spark may make a Bloom filter (of a fixed size) for the other side of a join on `key`, before that is
+    exchanged. The comparison is true of every key but null; it is what lets Spark consider that for a written table."""
+    least = {"bigint": F.lit(-(2**63)), "binary": F.lit(b"")}.get(dict(rows.dtypes)[key])
+    return rows if least is None else rows.where(F.col(key) >= least)
+
+
+@contextmanager
+def bloom_filters(df: DataFrame) -> Iterator[None]:
+    """Lets Spark consider runtime Bloom filters for tables of any size, not from 10 GB only."""
+    conf, name = df.sparkSession.conf, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = conf.get(name)
+    conf.set(name, "0")
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
+def near_enough(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of sets that sizes and sketches allow to be linked, with their representatives' ids. Sketches
+    of linked sets differ by at most a ninth of what both hold."""
+    pairs = saved(pairs)
+    sids = saved(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
+    with bloom_filters(pairs):
+        some = saved(sieved(sids, "sid").join(reps, "sid"))
+    of = lambda s: some.select(F.col("sid").alias(s), F.col("rep").alias(f"rep_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    near = pairs.join(of("a"), "a").join(of("b"), "b").where(_SIZED).select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -284,9 +342,21 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, te
             yield b.select(["a", "b", "rep_a", "rep_b"]).filter(mask)
 
     kind = reps.schema["rep"].dataType.simpleString()
-    named = saved(near.mapInArrow(close, f"a bigint, b bigint, rep_a {kind}, rep_b {kind}"))
-    rows = fetch(named, docs, "rep_b", id_col, text_col, "text_b")
-    rows = fetch(rows, docs, "rep_a", id_col, text_col, "text_a").select("a", "b", "text_a", "text_b")
+    return saved(near.mapInArrow(close, f"a binary, b binary, rep_a {kind}, rep_b {kind}"))
+
+
+_SIZED = "n_a * 10 >= n_b * 8 and n_b * 10 >= n_a * 8"
+
+
+def with_texts(rows: DataFrame, docs: DataFrame, key: str, id_col: str, text_col: str, into: str = "text") -> DataFrame:
+    """`rows` with the whole texts of the documents whose ids stand in `key`."""
+    return sieved(rows, key).join(docs.select(F.col(id_col).alias(key), text_or_empty(text_col).alias(into)), key)
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are linked; their representatives' whole texts come together by two joins."""
+    rows = with_texts(near_enough(pairs, reps), docs, "rep_b", id_col, text_col, "text_b")
+    rows = with_texts(rows, docs, "rep_a", id_col, text_col, "text_a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, last, first = Powers(), None, None
@@ -301,7 +371,44 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, te
             mask = pa.array(found, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    with bloom_filters(docs):
+        return saved(rows.mapInArrow(run, "a binary, b binary"))
+
+
+def token_sets(sids: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(sid, tokens) of the sets named in `sids`, the tokens as packed 64-bit hashes in order. A set comes more than once if its
+    representative's id stands on several rows of its text."""
+    named = saved(sids.join(reps.select("sid", "rep"), "sid"))
+    rows = with_texts(named, docs, "rep", id_col, text_col).select("sid", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for b in batches:
+            sets = [shingle_set(t, powers, n) for t in b.column(1).to_pylist()]
+            own = pa.array([_set_id(s) == sid for s, sid in zip(sets, b.column(0).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(own), pa.array([s.tobytes() for s in sets], pa.binary()).filter(own)], names=["sid", "tokens"])
+
+    with bloom_filters(docs):
+        return saved(rows.mapInArrow(run, "sid binary, tokens binary"))
+
+
+def verified_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are linked, from the table of `token_sets`."""
+    of = lambda s: sets.select(F.col("sid").alias(s), F.col("tokens").alias(f"tokens_{s}"))
+    rows = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "tokens_a", "tokens_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return saved(rows.mapInArrow(run, "a binary, b binary"))
+
+
+def most_shared(shared: DataFrame) -> DataFrame:
+    """Of rows (a, b) for each subset they share: each b with the a it shares most with."""
+    by_pair = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
+    return by_pair.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
@@ -313,72 +420,130 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = (F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("slack").alias("slack"), F.first("sketch").alias("sketch"))
     reps = saved(light.where("sid is not null").groupBy("sid").agg(*firsts))
 
-    # First each set with the one it shares most subsets with.
-    by_pair = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
-    first = by_pair.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
-    links = saved(verified(first.select("a", "b"), reps, docs, id_col, text_col, n))
+    links = verified(most_shared(shared), reps, docs, id_col, text_col, n)
     roots = saved(components(links))
 
-    # Then, of subsets whose sets are still apart, the pairs across components.
-    root = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
-    at = lambda s: F.coalesce(f"root_{s}", s)
-    apart = saved(shared.join(root("a"), "a", "left").join(root("b"), "b", "left").where(at("a") != at("b")).select("key").distinct())
-    members = apart_members(shared, apart, roots, reps)
-    pairs = across(members, reps, docs, id_col, text_col, n)
-    more = saved(verified(pairs, reps, docs, id_col, text_col, n))
-    all_roots = saved(components(links.unionByName(more))) if more.limit(1).count() else roots
-
-    known = all_roots.join(reps.select(F.col("sid").alias("node"), "rep"), "node")
+    # Common subsets: those of sets that can't do without them; pairs of which one can are found by the others.
+    common = saved(shared.groupBy("key").agg(F.count(F.lit(1)).alias("links")).where(F.col("links") > COMMON).select("key"))
+    often = shared.join(sized(common, 8), "key")
+    members = often.select("key", F.col("a").alias("sid")).unionByName(often.select("key", F.col("b").alias("sid"))).distinct()
+    members = apart(saved(rooted(members, roots)))
+    burden = members.groupBy("sid").agg(F.count(F.lit(1)).alias("commons"))
+    needy = saved(burden.join(reps.select("sid", "slack", "n_shingles"), "sid").where("slack < 2 * commons").select("sid", "slack", "n_shingles"))
+    sets = token_sets(needy.select("sid"), reps, docs, id_col, text_col, n)
+    crowded, roots = settled(saved(members.join(sized(needy, 32), "sid")), roots, sets)
+
+    pairs = rare_pairs(shared.join(sized(common, 8), "key", "left_anti"), roots)
+    more = verified(pairs, reps, docs, id_col, text_col, n)
+    few = verified_sets(crossing(finest(crowded, sets)), sets)
+    roots = merged(roots, more.unionByName(few))
+
+    known = roots.join(reps.select(F.col("sid").alias("node"), "rep"), "node")
     least = saved(known.groupBy("root").agg(F.min("rep").alias("component_id")))
-    near = saved(all_roots.join(least, "root").select(F.col("node").alias("sid"), "component_id"))
+    near = saved(roots.join(least, "root").select(F.col("node").alias("sid"), "component_id"))
     same = reps.where("rows > 1").join(near, "sid", "left_anti").select("sid", F.col("rep").alias("component_id"))
     of = saved(near.unionByName(same))
     out = light.join(of, "sid", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def apart_members(shared: DataFrame, apart: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
-    """(key, sid, root, n_shingles) of the sets that share a subset of `apart`."""
-    kept = shared.join(apart, "key")
-    members = kept.select("key", F.col("a").alias("sid")).unionByName(kept.select("key", F.col("b").alias("sid"))).distinct()
-    members = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    return saved(members.join(reps.select("sid", "n_shingles"), "sid"))
-
-
-def _crossing(part: DataFrame, key: str) -> DataFrame:
-    """Distinct pairs (a, b) of sets of like size in different components that share a key. `at` is the key's place in a set
-    (at least): as a pair's first common key, it leaves no more common ones than stand behind it in either set."""
-    side = lambda s: part.select(key, F.col("sid").alias(s), F.col("root").alias(f"root_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("at").alias(f"at_{s}"))
-    sized = "n_a * 10 >= n_b * 8 and n_b * 10 >= n_a * 8 and 9 * (least(n_a - at_a, n_b - at_b) + 1) >= 4 * (n_a + n_b)"
-    return side("a").join(side("b"), key).where(f"a < b and root_a <> root_b and {sized}").select("a", "b").distinct()
-
-
-def across(members: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Pairs (a, b) of sets of different components that may be linked. Subsets of up to COMMON sets pair these. Sets that
-    hold so many common subsets that they can't do without them are paired by the exact rule for the rest: linked sets share
-    one of their rarest tokens, as many as a fifth of the set and one more; a token of one such set alone pairs nothing."""
-    common = saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > COMMON).select("key"))
-    rare = members.join(common, "key", "left_anti")
-    burden = members.join(common, "key").groupBy("sid").agg(F.count(F.lit(1)).alias("commons"), F.first("root").alias("root"))
-    needy = saved(burden.join(reps, "sid").where("slack < 2 * commons").select("sid", "root", "rep", "n_shingles"))
-    rows = fetch(needy, docs, "rep", id_col, text_col).select("sid", "text")
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+def sized(df: DataFrame, width: int) -> DataFrame:
+    """A written table for the smaller side of a join: broadcast if its rows of so many bytes are few enough."""
+    return F.broadcast(df) if df.count() * width <= LIGHT else df
+
+
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """`members` with the roots of their sets."""
+    return members.join(sized(roots.withColumnRenamed("node", "sid"), 32), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+
+def apart(members: DataFrame) -> DataFrame:
+    """The rows of the subsets whose sets have several roots; `members` is a written table."""
+    keys = saved(members.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key"))
+    return saved(members.join(sized(keys, 8), "key"))
+
+
+def rare_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of sets in different components that share a subset which COMMON + 1 sets have at most."""
+    every = F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    both = saved(shared.groupBy("key").agg(every.alias("m")).select(F.inline(pairs)).distinct())
+    ends = rooted(rooted(both.withColumnRenamed("a", "sid"), roots).select(F.col("sid").alias("a"), F.col("root").alias("root_a"), F.col("b").alias("sid")), roots)
+    return ends.where("root_a <> root").select("a", F.col("sid").alias("b"))
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """`roots` after further links: the components of the old roots."""
+    ends = rooted(rooted(links.withColumnRenamed("a", "sid"), roots).select(F.col("root").alias("a"), F.col("b").alias("sid")), roots)
+    more = saved(components(ends.select("a", F.col("root").alias("b"))))
+    old = roots.join(sized(more.select(F.col("node").alias("root"), F.col("root").alias("top")), 32), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return saved(old.unionByName(more.join(roots.select("node"), "node", "left_anti")))
+
+
+def settled(crowded: DataFrame, roots: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rounds on the rows (key, sid, root, slack, n_shingles) of common subsets. In each, a subset names the set that most of whose subsets
+    are common ones, in later rounds with a random factor: among near copies that is the one with the fewest changes. Each set
+    is compared with the one, of those its subsets name, that it shares most with. Gives the rows of the subsets that are
+    still apart, with roots, and all roots."""
+    for turn in range(ROUNDS):
+        central = crowded.groupBy("sid").agg((F.count(F.lit(1)) / F.first("n_shingles")).alias("central"))
+        chance = F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20) if turn else F.lit(1.0)
+        first = crowded.join(central, "sid").groupBy("key").agg(F.max_by(F.struct("sid", "root", "n_shingles"), F.struct(F.col("central") * chance, "sid")).alias("first"))
+        shared = crowded.join(first, "key").select(F.col("first.sid").alias("a"), F.col("sid").alias("b"), F.col("first.root").alias("root_a"), F.col("root").alias("root_b"), F.col("first.n_shingles").alias("n_a"), F.col("n_shingles").alias("n_b"))
+        pairs = saved(most_shared(shared.where(f"root_a <> root_b and {_SIZED}").select("a", "b")))
+        links = verified_sets(pairs, sets)
+        found = links.count()
+        if found:
+            roots = merged(roots, links)
+            crowded = apart(saved(rooted(crowded.drop("root"), roots)))
+        if found <= WORTH * pairs.count():
+            break
+    return crowded, roots
+
+
+def crossing(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of sets of like size in different components that share a key (token, low, high) of `finest`. Of
+    the largest component of a key none meet each other. `at` is the token's place in a set: as a pair's first common one, it
+    leaves no more common tokens than stand behind it in either set."""
+    keys = ["token", "low", "high"]
+    by_root = rows.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("sets"))
+    most = by_root.groupBy(*keys).agg(F.max_by("root", F.struct("sets", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    rows = saved(rows.join(most, keys))
+    side = lambda s: rows.select(*keys, *[F.col(c).alias(f"{d}_{s}") for c, d in (("root", "root"), ("n_shingles", "n"), ("at", "at"), ("kind", "kind"))], F.col("sid").alias(s), (F.col("root") == F.col("most")).alias(f"most_{s}"))
+    met = side("a").where("not most_a").join(side("b"), keys)
+    met = met.where(f"root_a <> root_b and (most_b or a < b) and (kind_a <> kind_b or low = high) and {_SIZED} and 9 * (least(n_a - at_a, n_b - at_b) + 1) >= 4 * (n_a + n_b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def finest(crowded: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (token, low, high) of the sets that can't do without common subsets and have some still apart: the rarest tokens of
+    each, for partners of each size class. Linked sets of sizes a and b share four ninths of a + b tokens at least, so the
+    first of these in an order of all tokens stands that far before the end of both. Tokens of one component alone come first
+    and pair none."""
+    needy = crowded.groupBy("sid").agg(F.first("root").alias("root"), F.first("n_shingles").alias("n_shingles"), F.first("slack").alias("slack"), F.count(F.lit(1)).alias("commons"))
+    needy = saved(needy.where("slack < 2 * commons").select("sid", "root", "n_shingles"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for sid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, powers, n)
-                if _set_id(s) == sid:
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), sid, np.int64))], names=["token", "sid"])
-
-    held = saved(rows.mapInArrow(tokens, "token bigint, sid bigint"))
-    often = saved(held.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"))
-    both = held.join(often, "token").join(needy, "sid")
+            for sid, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(tokens, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([sid] * len(s), pa.binary())], names=["token", "sid"])
+
+    held = saved(sets.join(sized(needy.select("sid"), 16), "sid").dropDuplicates(["sid"]).mapInArrow(spread, "token bigint, sid binary").join(sized(needy, 40), "sid"))
+    often = saved(held.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token", "sets"))
+    both = held.join(often, "token")
     alone = F.col("n_shingles") - F.count(F.lit(1)).over(W.partitionBy("sid"))
     place = F.row_number().over(W.partitionBy("sid").orderBy("sets", "token"))
-    prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * 8 / 10) + 1
-    part = saved(both.withColumn("at", alone + place).where(F.col("at") <= prefix).select("token", "sid", "root", "n_shingles", "at"))
-    return _crossing(rare.withColumn("at", F.lit(1)), "key").unionByName(_crossing(part, "token")).distinct()
+    size = lambda c: F.floor(F.log(c) / F.lit(math.log(STEP))).cast("int")
+    a, least = F.col("n_shingles"), F.ceil(F.col("n_shingles") * 8 / 10)
+    most = F.least(F.floor(a * 10 / 8), F.floor((a - F.col("at") + 1) * 9 / 4) - a)
+    rows = both.withColumn("at", alone + place).withColumns({"kind": size(a), "least": least, "most": most}).where("most >= least")
+    rows = rows.withColumn("partner", F.explode(F.sequence(size(F.col("least")), size(F.col("most")))))
+    return saved(rows.select("token", F.least("kind", "partner").alias("low"), F.greatest("kind", "partner").alias("high"), "sid", "root", "n_shingles", "at", "kind"))
+
+
+#: Ratio of the size classes of partners.
+STEP = 1.05
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
