@@ -1,5 +1,8 @@
-"""Main text of web pages: flat text blocks, described by their word counts, link densities, those of their neighbours and
-the region they stand in, kept or dropped by a decision tree that is trained on a small labelled table.
+"""Main text of web pages: flat text blocks, described by their word counts and link densities, those of two neighbours on
+either side, and the regions they stand in, kept or dropped by a decision tree that is trained on a small labelled table.
+
+Regions come from elements (nav, footer, article) and from words in class, id or role that name one clearly. Words such as
+`banner` or `share` only give a hint: text and links around a block decide there, and on pages without any markup.
 
 The table is the blocks of a few short pages below, each with its label; the tree is fitted on the driver in milliseconds
 and sent with the tasks. Pages are read one by one where they lie: nothing is shuffled.
@@ -33,7 +36,9 @@ CORE = frozenset("article main h1".split())
 #: Elements whose articles are teasers: these neither end the side region nor speak for what is around it.
 TEASERS = frozenset("aside footer".split())
 #: Words in class, id or role that name a region beside the article.
-_SIDE_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adv|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|gdpr|side-?bar|menu|nav|navbar|navigation|navigation-?bar|breadcrumbs?|footer|foot|site-?header|masthead|topbar|comments?|comment-?list|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|subscription|popup|modal|overlay|login|signup|pagination|pager|widget|toolbar|copyright|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+_SIDE_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adv|sponsor\w*|cookies?|consent|notice|gdpr|side-?bar|nav|navbar|navigation|navigation-?bar|breadcrumbs?|footer|foot|site-?header|masthead|comments?|comment-?list|replies|disqus|related|recommended|newsletter|subscribe|subscription|pagination|pager|copyright|complementary|contentinfo)(?:$|[\s_-])", re.I)
+#: Words that may name such a region or a kind of story.
+_HINT_WORD = re.compile(r"(?:^|[\s_-])(?:alert|banner|login|menu|modal|overlay|popup|promo\w*|search|share|sharing|signup|social|toolbar|topbar|widget)(?:$|[\s_-])", re.I)
 _MAIN_WORD = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body-?text|article-?body|post-?content)(?:$|[\s_-])", re.I)
 #: Words that tell how a page is laid out, not what an element is.
 _STATE = re.compile(r"(?:^|(?<=\s))(?:(?:has|no|not|with|without)[_-]\S+|\S+[_-](?:open|opened|closed|enabled|disabled))(?=\s|$)", re.I)
@@ -51,11 +56,11 @@ def _reply(name: str, names: str) -> bool:
     return name == "article" and bool(_REPLY.search(names)) and not _MAIN_WORD.search(names)
 
 
-def _beside(name: str, names: str) -> bool:
+def _beside(name: str, names: str, words: re.Pattern = _SIDE_WORD) -> bool:
     """Whether the words of an element name something beside the article."""
     if name in ("html", "body") or name in CORE and not _reply(name, names):
         return False
-    return bool(names and _SIDE_WORD.search(names))
+    return bool(names and words.search(names))
 
 
 def _holders(page: str) -> set[int]:
@@ -96,27 +101,28 @@ class Block:
     side: int
     inside: int
     heading: int
+    hint: int
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, bool]] = []  # element, what it adds to the side regions, whether an article, beside by its words
+    stack: list[tuple[str, int, int, bool, int]] = []  # element, what it adds to the side regions, whether an article, beside by its words, by a hint
     holders: set[int] | None = None
-    side = inside = links = own = heading = 0
+    side = inside = links = own = heading = hint = own_hint = 0
     parts: list[str] = []
     linked: list[str] = []
 
     def flush() -> None:
-        nonlocal own, heading
+        nonlocal own, heading, own_hint
         if parts:
             words = html.unescape("".join(parts)).split()
             if words:
                 n = len(html.unescape("".join(linked)).split()) if linked else 0
-                out.append(Block(" ".join(words), len(words), min(n, len(words)), int(side > 0 or own > 0), int(inside > 0), heading))
+                out.append(Block(" ".join(words), len(words), min(n, len(words)), int(side > 0 or own > 0), int(inside > 0), heading, int(hint > 0 or own_hint > 0)))
             parts.clear()
             linked.clear()
-        own = heading = 0
+        own = heading = own_hint = 0
 
     for m in _TOKEN.finditer(page):
         name = m[3]
@@ -137,39 +143,45 @@ def blocks(page: str) -> list[Block]:
         if ends:
             if name in REGIONS and any(x[0] == name for x in stack):
                 while True:
-                    top, a, b, _ = stack.pop()
+                    top, a, b, _, c = stack.pop()
                     side -= a
                     inside -= b
+                    hint -= c
                     if top == name:
                         break
                 links = 0
             continue
         names = _names(attrs)
-        beside = _beside(name, names)
+        beside, hinted = _beside(name, names), _beside(name, names, _HINT_WORD)
         if name in REGIONS:
-            if beside or name == "form":
+            if beside or hinted or name == "form":
                 holders = _holders(page) if holders is None else holders
-                beside = beside and m.start() not in holders
+                beside, hinted = beside and m.start() not in holders, hinted and m.start() not in holders
             a = int(beside or name in SIDE and not (name == "form" and m.start() in holders) or name == "header" and not inside)
             if name == "main" or name == "article" and not beside and not any(x[0] in TEASERS or x[3] for x in stack):
                 a = -side  # the article starts anew, whatever is open around it
             b = int(name in ("article", "main") or bool(names and not beside and _MAIN_WORD.search(names)))
             if not attrs.rstrip().endswith("/"):
-                stack.append((name, a, b, beside))
+                stack.append((name, a, b, beside, int(hinted)))
                 side += a
                 inside += b
+                hint += hinted
         else:
-            own = int(beside)
+            own, own_hint = int(beside), int(hinted)
             heading = int(len(name) == 2 and name[0] == "h" and name[1] in "123456")
     flush()
     return out
 
 
+NEIGHBOURS = (-1, 1, -2, 2)
+
+
 def features(found: list[Block]) -> list[tuple[float, ...]]:
-    """side, inside, words, link density, the same two of the neighbours, heading."""
+    """Words and link density of the block and of its neighbours, whether a heading, then whether hinted at as beside the
+    article, in a region beside it, in a region of it. Beyond the ends of a page stand blocks of no words and no links."""
     own = [(float(b.words), b.linked / b.words) for b in found]
-    edge = (0.0, 0.0)
-    return [(float(b.side), float(b.inside), *own[i], *(own[i - 1] if i else edge), *(own[i + 1] if i + 1 < len(own) else edge), float(b.heading)) for i, b in enumerate(found)]
+    near = lambda i: own[i] if 0 <= i < len(own) else (0.0, 0.0)
+    return [(*own[i], *(x for d in NEIGHBOURS for x in near(i + d)), float(b.heading), float(b.hint), float(b.side), float(b.inside)) for i, b in enumerate(found)]
 
 
 # The labelled table: pages and the labels of their blocks in order, 1 for main text.
@@ -184,6 +196,19 @@ LABELLED: tuple[tuple[str, str], ...] = (
     ("<div id=cookie-notice><p>" + _LONG + "</p><p>Accept</p></div><section class=post-content><h2>Part one</h2><p>" + _LONG * 2 + "<p>End.</section><div class=related><a>More of this</a><p>" + _LONG + "</div>", "00" "111" "00"),
     ("<main><p>Start.<nav><a>Up</a></nav><p>" + _LONG + "<footer>By the desk, " + _LONG + "</footer><p>Last.</main>", "1" "0" "1" "0" "1"),
     ("<p>Menu</p><p><a>a</a> <a>b</a></p><p>" + _LONG * 3 + "</p><p>" + _LONG * 3 + "</p><p><a>Back</a></p>", "00" "11" "0"),
+    # Pages without any region.
+    ("<body><p>" + _LONG * 2 + "</p></body>", "1"),
+    ("<p>" + _LONG * 4 + "</p><p>" + _LONG + "</p><p>" + _LONG * 2 + "</p>", "111"),
+    ("<h1>On the river</h1><p>" + _LONG + "</p><p>So they said.</p><p>" + _LONG * 2 + "</p><p>" + _LONG + "</p>", "11111"),
+    ("<p>Home News Sport</p><p>" + _LONG * 2 + "</p><p>No.</p><p>" + _LONG + "</p><p>c 2021 The Paper</p>", "0" "111" "0"),
+    ("<p><a>Home</a></p><p><a>News</a></p><h2>Rain again</h2><p>" + _LONG + "</p><p>" + _LONG + "</p><p><a>" + _LONG + "</a></p><p><a>More</a></p>", "00" "111" "00"),
+    ("<p>" + _LONG + "</p><p>By <a>the desk</a> in town</p><p>" + _LONG * 3 + "</p><p><a>Up</a> <a>Down</a></p>", "111" "0"),
+    # Regions that are only hinted at.
+    ("<div class=banner><p>Save more than ever today</p></div><article><p>" + _LONG + "<p>Well.</article><div class=share><p><a>Mail</a> <a>Print</a></p></div>", "0" "11" "0"),
+    ("<div class='promo-story'><h2>A bridge</h2><p>" + _LONG * 2 + "</p><p>" + _LONG + "</p></div><div class=toolbar>Bigger Smaller</div>", "111" "0"),
+    ("<div class=menu><a>Soup</a> <a>Bread</a></div><div class=search>Find</div><p>" + _LONG * 2 + "</p><p>" + _LONG * 2 + "</p><div class=widget>Hits 4711</div>", "00" "11" "0"),
+    ("<div class='menu-of-the-week'><p>" + _LONG + "</p><p>" + _LONG * 3 + "</p><p>" + _LONG + "</p></div>", "111"),
+    ("<div class=popup><p>Join us now</p><p><a>Yes</a></p></div><p>" + _LONG * 2 + "</p>", "00" "1"),
 )
 
 
@@ -200,7 +225,7 @@ def labelled_table() -> list[tuple[tuple[float, ...], int]]:
 Tree = tuple  # (feature, threshold, left, right) or (share of main text,)
 
 
-def grow(rows: list[tuple[tuple[float, ...], int]], depth: int = 6) -> Tree:
+def grow(rows: list[tuple[tuple[float, ...], int]], depth: int = 8) -> Tree:
     """A decision tree by Gini impurity; the first feature and lowest threshold win ties."""
     ones = sum(y for _, y in rows)
     if not depth or ones in (0, len(rows)):
