@@ -4,6 +4,8 @@ Tokens that don't read as plain words (leetspeak, letters set apart, repeated le
 Viterbi search finds the likeliest plain reading under a character trigram model of the whole corpus. The text as restored
 is scored by a logistic regression on words and word beginnings, learned from labelled documents.
 
+A word cut in two by a blank is read as one where the model finds that likelier and the classifier knows the word.
+
 - The language model counts the characters of all documents. Its table has at most SYMBOLS ** 3 cells at any input size.
 - The classifier is fitted on at most `labelled_rows` labelled documents (the first in the order of a hash of their id,
   from the learning folds alone) and `most_features` features; both bounds are parameters. Their ids are the only thing
@@ -47,12 +49,13 @@ LEET = {
 }
 #: Signs that may stand between the letters of a word and mean nothing.
 GAPS = frozenset(".-_*~'`^·•,:;/\\#=\"")
-_LEET_COST, _GAP_COST, _REPEAT_COST, _KEEP_COST, _SPLIT_COST = math.log(0.5), math.log(0.8), math.log(0.6), math.log(0.05), math.log(0.2)
+_LEET_COST, _GAP_COST, _REPEAT_COST, _KEEP_COST, _SPLIT_COST, _CUT_COST = math.log(0.5), math.log(0.8), math.log(0.6), math.log(0.05), math.log(0.2), math.log(0.1)
 
 _PLAIN = re.compile(r"[^\W\d_]+")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_REPEATED = re.compile(r"([^\W\d_])\1")
 _LETTER = re.compile(r"[^\W\d_]")
-_SPACED = re.compile(r"(?<!\S)(?:[^\s.,:;#%&*] ){3,}[^\s.,:;#%&*](?!\S)")
+#: Three single signs or more, apart by blanks of any kind; signs may follow the last.
+_SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S[.,:;!?]*(?!\S)")
 _ENDS = ".,:;?#%&*()[]{}<>\"'`~^-_=/\\"
 
 
@@ -118,10 +121,10 @@ class Reader:
         self.p, self.most, self.seen = model.ravel().tolist(), most, {}
 
     def _choices(self, c: str, before: str, spaced: bool) -> list[tuple[str, float]]:
-        if c == " ":
+        if c.isspace():
             return [("", 0.0)]
         out = [(x, _LEET_COST) for x in LEET.get(c, "")]
-        if c in _INDEX:
+        if c.isalpha():
             out.append((c, 0.0))
             if c == before:
                 out.append(("", _REPEAT_COST))
@@ -164,16 +167,29 @@ class Reader:
         if got is None:
             core = token.strip(_ENDS)
             plain = core.strip("!$@|+€£")
-            words = [plain] if plain else []
+            words = [plain] if _PLAIN.fullmatch(plain) else []
             for x in dict.fromkeys((core, plain)):
-                if _LETTER.search(x) and (not _PLAIN.fullmatch(x) or _TRIPLE.search(x)):
-                    if (y := self.decode(x)) not in words:
-                        words.append(y)
-            got = tuple(words)
+                if _noisy(x) and (y := self.decode(x)) not in words:
+                    words.append(y)
+            got = tuple(words or [plain] if plain else words)
             if len(self.seen) < self.most:
                 self.seen[token] = got
         return got
 
+    def likelihood(self, word: str) -> float:
+        """The log probability of a word between edges."""
+        a = b = 0
+        total, p = 0.0, self.p
+        for c in word:
+            x = _INDEX.get(c, OTHER)
+            total += p[(a * SYMBOLS + b) * SYMBOLS + x]
+            a, b = b, x
+        return total + p[(a * SYMBOLS + b) * SYMBOLS]
+
+    def joined(self, left: str, right: str) -> bool:
+        """Whether two neighbours read better as one word that a blank has cut in two."""
+        return self.likelihood(left + right) + _CUT_COST > self.likelihood(left) + self.likelihood(right)
+
     def words(self, text: str) -> set[str]:
         """The distinct words of a text as restored."""
         low = text.lower()
@@ -185,6 +201,14 @@ class Reader:
         return out
 
 
+def _noisy(token: str) -> bool:
+    """Whether a token may be something else than it reads: it has letters, and signs or a repetition among them; or it has no
+    letter, but three signs or more that stand for some, digits alone not counting."""
+    if _LETTER.search(token):
+        return not _PLAIN.fullmatch(token) or bool(_REPEATED.search(token))
+    return sum(c in LEET for c in token) >= 3 and any(c in LEET and not c.isdigit() for c in token)
+
+
 def word_features(word: str) -> tuple[str, ...]:
     return (word, *(f"{word[:n]}~" for n in (4, 5) if len(word) > n))
 
@@ -272,8 +296,8 @@ def logistic(hits: list, y: np.ndarray, size: int, steps: int = 400, decay: floa
     return w, float(b)
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`docs` with a further column `toxic_score`, 0 to 1."""
+def with_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "toxic_score", **how) -> DataFrame:
+    """`docs` with a further column `into`, 0 to 1; it takes the place of one of that name."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(log_probabilities(count_trigrams(docs, text_col)))
     fitted = spark.sparkContext.broadcast(learn(docs, labels, model, id_col, text_col, **how))
@@ -287,7 +311,11 @@ def with_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             for text in texts.to_pylist():
                 low = (text or "").lower()
                 found: set[str] = set()
-                for token in set(low.split()):
+                tokens = low.split()
+                for left, right in zip(tokens, tokens[1:], strict=False):
+                    if (both := left + right.rstrip(_ENDS)) in c.weights and reader.joined(left, both[len(left) :]):
+                        found.add(both)
+                for token in set(tokens):
                     got = of.get(token)
                     if got is None:
                         got = tuple(f for w in reader.readings(token) for f in word_features(w) if f in c.weights)
@@ -301,4 +329,4 @@ def with_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.array(out, pa.float64())
 
-    return docs.withColumn("toxic_score", score(text_or_empty(text_col)))
+    return docs.withColumn(into, score(text_or_empty(text_col)))
