@@ -8,11 +8,9 @@ columns in `media_columns`; rows with the same id stay rows of their own; furthe
 
 from __future__ import annotations
 
-import hashlib
 import io
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +20,8 @@ from pyspark.sql import DataFrame
 from .common import arrow_rows
 
 WIDTH = 64
+#: Samples of the largest image that is decoded.
+MOST_SAMPLES = 1 << 30
 
 
 def encode_pgm(pixels: np.ndarray) -> bytes:
@@ -34,13 +34,21 @@ _TOKEN = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([^\s#]+)")
 
 def decode(data: bytes) -> np.ndarray:
     """Netpbm P1 to P6 or BMP (8-bit grey or palette, 24 or 32 bits, uncompressed) as uint8 (h, w) or RGB (h, w, 3)."""
-    if data[:2] in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
-        return _netpbm(data)
-    if data[:2] == b"BM":
-        return _bmp(data)
+    try:
+        if data[:2] in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
+            return _netpbm(data)
+        if data[:2] == b"BM":
+            return _bmp(data)
+    except (struct.error, IndexError, OverflowError, MemoryError) as e:
+        raise ValueError("damaged image") from e
     raise ValueError("neither Netpbm nor BMP")
 
 
+def _check_size(w: int, h: int, depth: int = 1) -> None:
+    if w < 1 or h < 1 or w * h * depth > MOST_SAMPLES:
+        raise ValueError(f"an image of {w} x {h}")
+
+
 def _netpbm(data: bytes) -> np.ndarray:
     kind, at, head = data[1] - 48, 2, []
     for _ in range(2 if kind in (1, 4) else 3):
@@ -51,6 +59,9 @@ def _netpbm(data: bytes) -> np.ndarray:
         at = m.end()
     w, h, top = head[0], head[1], (head[2] if len(head) > 2 else 1)
     depth = 3 if kind in (3, 6) else 1
+    _check_size(w, h, depth)
+    if not 0 < top < 65536:
+        raise ValueError(f"samples up to {top}")
     n = w * h * depth
     if kind == 1:  # digits may stand without blanks between them
         samples = np.frombuffer(re.sub(rb"#[^\n\r]*|\s", b"", data[at:]), np.uint8)[:n] - 48
@@ -63,6 +74,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         samples = np.frombuffer(data, np.uint8 if top < 256 else ">u2", n, at + 1)
     if len(samples) < n:
         raise ValueError("samples cut short")
+    if samples.size and not 0 <= samples.min() <= samples.max() <= top:
+        raise ValueError("samples out of range")
     if kind in (1, 4):
         samples = (1 - samples) * 255  # 1 is black
     elif top != 255:
@@ -75,12 +88,15 @@ def _bmp(data: bytes) -> np.ndarray:
     start, size, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
     if packed not in (0, 3) or bits not in (8, 24, 32):
         raise ValueError(f"BMP of {bits} bits, compression {packed}")
+    _check_size(w, abs(h), bits // 8)
     step, rows = (w * bits // 8 + 3) // 4 * 4, abs(h)
     px = np.frombuffer(data, np.uint8, step * rows, start).reshape(rows, step)[:, : w * bits // 8]
     if h > 0:
         px = px[::-1]
     if bits == 8:
         used = struct.unpack_from("<I", data, 46)[0] or 256
+        if used > 256:
+            raise ValueError(f"a palette of {used}")
         palette = np.zeros((256, 4), np.uint8)
         palette[:used] = np.frombuffer(data, np.uint8, used * 4, 14 + size).reshape(-1, 4)
         rgb = palette[px][..., 2::-1]
@@ -105,7 +121,7 @@ def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     xs = np.linspace(0, w, width + 1)
     x0 = np.minimum(xs.astype(np.int64), w - 1)
     sums = np.diff(cols[:, x0] + (xs - x0) * bands[:, x0], axis=1)
-    return np.floor(sums / ((h / height) * (w / width)) + 0.5).clip(0, 255).astype(np.uint8)
+    return np.floor(np.round(sums / ((h / height) * (w / width)), 6) + 0.5).clip(0, 255).astype(np.uint8)  # halves go up, whatever the last bits
 
 
 def difference_hash(pixels: np.ndarray) -> str:
@@ -138,7 +154,7 @@ def media_columns(media: DataFrame, id_col: str, data_col: str, tile_side: int =
                 try:
                     px = decode(data or b"")
                     got.append((*px.shape[:2], 1 if px.ndim == 2 else 3, difference_hash(px), npy_tile(px, tile_side)))
-                except (ValueError, struct.error):
+                except ValueError:
                     got.append((None,) * 5)
             cols = list(zip(*got, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True))], names=[id_col, "height", "width", "channels", "dhash", "npy_tile"])
@@ -148,8 +164,8 @@ def media_columns(media: DataFrame, id_col: str, data_col: str, tile_side: int =
 
 
 def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text stored as an image, the stored bytes decoded again, and what the decoded samples hold:
-    id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    """Each text stored as an image and the stored bytes decoded again: id, n_bytes, media (binary PGM), payload (its samples),
+    dhash, npy_tile (binary NPY). Written as a table, that is the tiles with their hashes."""
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +174,10 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text in b.column(1).to_pylist():
                 stored, n = text_to_pgm(text)
                 px = decode(stored)
-                back = px.tobytes()
-                feature = f"{difference_hash(px)}:{hashlib.sha256(npy_tile(px)).hexdigest()[:16]}"
-                got.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
-            cols = list(zip(*got, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                got.append((n, stored, px.tobytes(), difference_hash(px), npy_tile(px)))
+            cols = list(zip(*got, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[id_col, "n_bytes", "media", "payload", "dhash", "npy_tile"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, media binary, payload binary, dhash string, npy_tile binary")

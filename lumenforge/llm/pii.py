@@ -1,7 +1,8 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words nearby adjust a score.
 
-Base kinds (email, ip, card, phone) are decided by pattern and checksum alone; the method adds kinds of its own, which
-also need a score: `iban` (mod 97) and `ssn` (only beside a context word).
+Base kinds (email, ip, card, phone) are decided by pattern and checksum alone, and their scores tell how likely each is. The
+method adds kinds of its own, which also need a score of LEAST: `iban` (mod 97), unless words nearby say that it is some
+other number, and `ssn`, only beside a word that says so.
 
 Defined results: a null text counts as empty and has no spans; every row gives one row, rows with the same id too; an
 empty table gives an empty one; further columns are ignored. Patterns are read in time linear in the text.
@@ -9,12 +10,11 @@ empty table gives an empty one; further columns are ignored. Patterns are read i
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows
@@ -39,9 +39,23 @@ CONTEXT = {
     "iban": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social", "security", "taxpayer"),
 }
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3}
-WINDOW, BONUS, LEAST = 40, 0.2, 0.5
-_CONTEXT = {k: re.compile(r"\b(?:" + "|".join(w) + r")", re.I) for k, w in CONTEXT.items()}
+#: Words that speak against a kind, and take MALUS off the score.
+AGAINST = {
+    "email": ("example", "placeholder"),
+    "ip": ("version", "release", "build"),
+    "card": ("order", "invoice", "tracking", "isbn"),
+    "phone": ("isbn", "order", "serial"),
+    "iban": ("order", "tracking", "serial", "part number"),
+    "ssn": ("order", "invoice", "part number"),
+}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.6, "ssn": 0.3}
+WINDOW, BONUS, MALUS, LEAST = 40, 0.2, 0.3, 0.5
+_words = lambda w: re.compile(r"\b(?:" + "|".join(w) + r")", re.I)
+_CONTEXT, _AGAINST = ({k: _words(w) for k, w in table.items()} for table in (CONTEXT, AGAINST))
+
+
+def _near(words: re.Pattern, text: str, a: int, b: int) -> bool:
+    return bool(words.search(text, max(0, a - WINDOW), a) or words.search(text, b, b + WINDOW))
 
 
 def luhn(digits: str) -> bool:
@@ -98,8 +112,7 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
         found += [("ssn", *m.span()) for m in _SSN.finditer(text)]
     out = []
     for kind, a, b in found:
-        near = _CONTEXT[kind].search(text, max(0, a - WINDOW), a) or _CONTEXT[kind].search(text, b, b + WINDOW)
-        score = min(1.0, PRIOR[kind] + BONUS * bool(near))
+        score = round(min(1.0, PRIOR[kind] + BONUS * _near(_CONTEXT[kind], text, a, b)) - MALUS * _near(_AGAINST[kind], text, a, b), 3)
         if kind in BASE or score >= LEAST:
             out.append((kind, a, b, score))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
@@ -127,10 +140,16 @@ def span_digest(docs: DataFrame, base: tuple[str, ...]) -> list:
     return [F.sha2(joined(F.filter("spans", lambda s: s.kind.isin(*base))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")]
 
 
+def scores() -> Column:
+    """The scores of `spans`, in their order."""
+    return F.array_join(F.transform("spans", lambda s: s.score.cast("string")), ",")
+
+
+def confident() -> Column:
+    """How many of `spans` have a score of LEAST or more."""
+    return F.size(F.filter("spans", lambda s: s.score >= LEAST)).cast("long")
+
+
 def counts(base: tuple[str, ...]) -> list:
     of = lambda k: F.filter("spans", lambda s: s.kind == k)
     return [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
-
-
-def base_digest(found: list[tuple[str, int, int, float]], base: tuple[str, ...] = BASE) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b, _ in found if k in base).encode()).hexdigest()

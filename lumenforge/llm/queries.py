@@ -20,7 +20,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *pii.counts(pii.BASE), *pii.span_digest(found, pii.BASE), F.size("spans").cast("long").alias("n_spans"))
+    return found.select("doc_id", *pii.counts(pii.BASE), *pii.span_digest(found, pii.BASE), F.size("spans").cast("long").alias("n_spans"), pii.confident().alias("n_confident"), pii.scores().alias("scores"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,12 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.stored_texts(table(spark, sf_dir, "documents"))
+    stored = media.stored_texts(table(spark, sf_dir, "documents"))
+    size = lambda c: F.octet_length(c).cast("long")
+    return stored.select(
+        "doc_id", "n_bytes", size("payload").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -media.WIDTH, media.WIDTH)).alias("tail_crc32"),
+        size("media").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.concat_ws(":", "dhash", F.sha2("npy_tile", 256)).alias("feature"),
+    )
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +88,8 @@ def _mixing_sql(mix: mixing.Mix) -> str:
         WITH d AS (
           SELECT doc_id, coalesce(lang, '') AS language, coalesce(source, '') AS leaf_source, coalesce(CAST(doc_id AS VARCHAR), '') AS key,
                  CASE CAST('0x' || substr(md5(coalesce(source, '')), 1, 8) AS BIGINT) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'reference' ELSE 'forum' END AS domain,
-                 CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens
+                 CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS n_tokens
           FROM documents),
         leaves AS (SELECT domain, language, leaf_source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {mix.max_epochs} AS DOUBLE) AS room FROM d GROUP BY ALL),
         top AS ({_share_sql(top, "1", "domain", "b1")}),
@@ -104,6 +110,27 @@ _SQL = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
                sha256(body) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY body)""",
+    "op6_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        b AS (SELECT doc_id, len(h) // 2 AS n, unnest(range(0, len(h) // 2, 1000)) AS o, substr(h, 2 * unnest(range(0, len(h) // 2, 1000)) + 1, 2398) AS part FROM d),
+        g AS (SELECT doc_id, o + i AS pos, md5(substr(part, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, n, o, part, unnest(range(1000)) AS i FROM b) WHERE o + i + 200 <= n),
+        q AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM g) WHERE n > 1),
+        i AS (SELECT *, sum(CASE WHEN pos - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT *, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM q)),
+        s AS (SELECT doc_id, run, min(pos) AS a, max(pos) + 200 AS z FROM i GROUP BY ALL),
+        t AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM s),
+        u AS (SELECT doc_id, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) AS kept, max(z) AS last, sum(z - a) AS n_removed, count(*) AS n_spans FROM t JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN u USING (doc_id)""",
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        d AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM d a JOIN d b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON r.doc_id = e.a WHERE r.root < e.b),
+        c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)""",
     "op10_mixing": _mixing_sql(mixing.Mix()),
 }
 
