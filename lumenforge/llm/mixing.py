@@ -84,8 +84,8 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     """A row for each document and epoch in which it is taken: `doc` (a struct of the columns `carry`, by default all),
     domain, language, leaf_source, n_tokens, epoch, leaf_budget.
 
-    A leaf may hold any share of the rows: its order is cut into 65,536 ranges of a hash, only their sums are put in order,
-    and documents are sorted in none but the one range in which its budget ends. So no task ever holds a leaf."""
+    A leaf may hold any share of the rows: its order is cut into 65,536 ranges of a hash, only sums of ranges are put in order,
+    256 at a time, and documents are sorted in none but the one range in which its budget ends. So no task ever holds a leaf."""
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     keys = list(LEVELS)
     rows = docs.select(
@@ -107,10 +107,13 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     some = lambda c: F.when(F.col("tokens") > 0, c).otherwise(0).cast("long")
     budgets = leaf_budgets(leaves, mix).withColumns({"epochs": some(F.floor(F.col("leaf_budget") / F.greatest("tokens", F.lit(1)))), "rest": some(F.col("leaf_budget") % F.greatest("tokens", F.lit(1)))})
     budgets = saved(budgets.select(*keys, "leaf_budget", "epochs", "rest"))
-    sums = placed(light.join(budgets, keys)).groupBy(*keys, "range").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-    upto = F.sum("n").over(W.partitionBy(*keys).orderBy("range"))
-    over = sums.withColumn("upto", upto).where("upto > rest")
-    ends = over.groupBy(*keys).agg(F.min(F.struct("range", (F.col("upto") - F.col("n")).alias("before"))).alias("end"))
+    sums = saved(placed(light.join(budgets, keys)).groupBy(*keys, "range").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest")).withColumn("block", F.floor(F.col("range") / 256)))
+    # The range in which the budget ends: first the block of 256 ranges, then the range in it.
+    first = lambda df, place: df.where("upto > rest").groupBy(*keys).agg(F.min(F.struct(place, (F.col("upto") - F.col("n")).alias("before"))).alias("end"))
+    blocks = sums.groupBy(*keys, "block").agg(F.sum("n").alias("n"), F.first("rest").alias("rest"))
+    blocks = first(blocks.withColumn("upto", F.sum("n").over(W.partitionBy(*keys).orderBy("block"))), "block").select(*keys, F.col("end.block").alias("block"), F.col("end.before").alias("before"))
+    inner = sums.join(blocks, [*keys, "block"]).withColumn("upto", F.col("before") + F.sum("n").over(W.partitionBy(*keys).orderBy("range")))
+    ends = first(inner, "range")
     ends = saved(budgets.join(ends, keys, "left").select(*keys, "leaf_budget", "epochs", "rest", F.coalesce("end.range", F.lit(65536)).alias("end_range"), F.coalesce("end.before", F.lit(0)).alias("before")))
 
     taken = placed(rows.join(ends, keys))
