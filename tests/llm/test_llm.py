@@ -83,6 +83,16 @@ def test_exact_dedup_repeated_and_null_ids(spark):
     assert exact_dedup.exact_groups(docs).count() == 6
 
 
+def test_exact_dedup_of_any_columns(spark):
+    rows = [(1, "a", "x"), (1, "a", "w"), (1, "b", None), (None, "a", "q"), (None, "c", "z"), (None, "c", "y"), (3, None, "n"), (2, "", "m"), (9, "q  r", None), (8, "q\n r", "t"), (10, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, body string").withColumns({"a.b": F.lit(1), "c1": F.lit(2), "h": F.lit(0), "maps": F.create_map(F.lit("k"), F.col("doc_id"))})
+    want = {(1, "a", "w"), (1, "b", None), (None, "c", "y"), (2, "", "m"), (8, "q\n r", "t")}
+    for parts in (1, 3, 7):
+        kept = exact_dedup.drop_exact_copies(docs.repartition(parts))
+        assert kept.columns == docs.columns and kept._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+        assert {tuple(r[:3]) for r in kept.collect()} == want and all(r.maps == {"k": r.doc_id} and (r["a.b"], r.c1, r.h) == (1, 2, 0) for r in kept.collect())
+
+
 # PII and secrets
 
 SPICE = ["ann@x.org", "a.b+c@d-e.co.uk,", "@x.y", "a@b", "1.2.3.4", "300.1.1.1", "001.02.3.004.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 1234-567", "+1", "GB82 WEST 1234 5698 7654 32", "ssn 078-05-1120",
@@ -124,6 +134,9 @@ def test_pii_frame(spark):
     texts = spiced(30)
     for i, r in by_id(pii.find_pii(table(spark, texts))).items():
         assert [(s.kind, s.start, s.end) for s in r.spans if s.kind in pii.BASE] == brute_pii(texts[i] or "")
+    score = lambda t, kind: [s[3] for s in pii.spans(t) if s[0] == kind]
+    assert score("to account GB82 WEST 1234 5698 7654 32", "iban") == [0.8] and score("GB82 WEST 1234 5698 7654 32", "iban") == [0.6]
+    assert score("tracking GB82 WEST 1234 5698 7654 32", "iban") == [] and score("tracking number: 4111 1111 1111 1111", "card") == [0.5] and score("version 1.2.3.4", "ip") == [0.3]
     assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33")
     assert [s[0] for s in pii.spans("iban GB82 WEST 1234 5698 7654 32, ssn 078-05-1120; 078-05-1120")][-3:].count("ssn") >= 1
 
@@ -150,16 +163,35 @@ def test_secrets_frame(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 300), max_size=40))
 def test_pack_block(lengths):
-    seqs = packing.pack_block(lengths, 64)
+    full, left = packing.pack_block([(d, 0, n) for d, n in enumerate(lengths)], 64)
+    short = packing.short_sequences(left)
+    assert sum(p[2] for p in left) < 64 and all(sum(p[2] for p in s) == 64 for s in full)
+    assert all((n := sum(p[2] for p in s)) and n & (n - 1) == 0 for s in short)
     covered = Counter()
-    for s in seqs:
-        n = sum(p[2] for p in s)
-        assert 0 < n <= 64 and (n == 64 or n & (n - 1) == 0) and all(p[2] > 0 for p in s)
+    for s in full + short:
         for d, at, m in s:
+            assert m > 0
             covered.update((d, i) for i in range(at, at + m))
     assert covered == Counter((d, i) for d, n in enumerate(lengths) for i in range(n))
 
 
+def test_window_count_rises():
+    windows = packing.near_equal_windows([(i, 0, 40) for i in range(3)], 64)  # 120 tokens would need 2
+    assert sorted(sum(p[2] for p in w) for w in windows) == [40, 40, 40]
+
+
+_WORDS = st.text(st.one_of(st.characters(exclude_categories=("Cs",)), st.sampled_from("aİZé'.,!-?1<|>\u0307\u0338ßΣﬁ")), max_size=9)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(_WORDS, max_size=12))
+def test_word_ids_are_the_tokenizers(parts):
+    words = packing.ids_by(packing.tokenizer_path())
+    text = " ".join(parts)
+    want = words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(words.batch([text])[0], "<u4").tolist() == want, parts
+
+
 def test_differencing_is_near_equal():
     rng = random.Random(2)
     sizes = [rng.randint(1, 500) for _ in range(200)]
@@ -186,6 +218,18 @@ def test_pack(spark, texts):
         assert at == 4096 or at & (at - 1) == 0
 
 
+def test_pack_by_another_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, texts = public_tokenizers.path("byte_bpe_50k.json"), ["Two  Words, İ.", None, "x\n y"]
+    tok = Tokenizer.from_file(path)
+    rows = packing.pack(table(spark, texts), tokenizer=path).collect()
+    for i, t in enumerate(texts):
+        got = b"".join(bytes(r.ids) for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start))
+        assert np.frombuffer(got, "<u4").tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+
+
 # Suffix dedup
 
 
@@ -239,7 +283,10 @@ def test_jaccard_join(spark, texts, common, monkeypatch):
     small = [" ".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(40)]
     hot = [line + " " + words(rng, rng.randint(0, 12)) for _ in range(30)]
     family = [" ".join([*(w := words(random.Random(4), 40).split())[:k], "new", *w[k:]]) for k in range(1, 40, 2)]
-    every = [*texts, *small, *hot, *family]
+    passage = words(rng, 45)
+    apart = [words(rng, 3) + " " + passage + " " + words(rng, 5) for _ in range(60)]
+    short = [passage + " " + words(rng, k % 4) for k in range(12)]
+    every = [*texts, *small, *hot, *family, *apart, *short]
     monkeypatch.setattr(jaccard_join, "COMMON", common)
     got = by_id(jaccard_join.near_duplicates(table(spark, every).repartition(6)))
     sets, root = brute_components(every)
@@ -290,11 +337,50 @@ def test_decoders():
         media.decode(b"what")
 
 
+def plain_resize(px, h, w):
+    """Area means by sums over the parts of samples under each target sample."""
+
+    def weights(n, m):
+        return np.array([[max(0.0, min((i + 1) * n / m, j + 1) - max(i * n / m, j)) for j in range(n)] for i in range(m)])
+
+    area = px.shape[0] / h * px.shape[1] / w
+    return np.floor(np.round(weights(px.shape[0], h) @ px @ weights(px.shape[1], w).T / area, 9) + 0.5)
+
+
 def test_media_frames(spark, texts):
-    for i, r in by_id(media.stored_texts(table(spark, texts))).items():
-        raw = (texts[i] or "").encode()
+    import io
+
+    from lumenforge.llm import queries
+
+    rows = media.stored_texts(table(spark, [*texts, texts[6]], [*range(len(texts)), 6])).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        pad = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert (r.n_bytes, bytes(r.payload)) == (len(raw), pad) and media.decode(bytes(r.media)).tobytes() == pad
+        px = np.frombuffer(pad, np.uint8).reshape(-1, 64)
+        if len(px) < 60:
+            small = plain_resize(px, 8, 9)
+            assert r.dhash == np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
+            assert np.abs(np.load(io.BytesIO(bytes(r.npy_tile))).astype(int) - plain_resize(px, 16, 16)).max() <= 1
+    sf = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op8_media(spark, sf).collect():
+        raw = text[r.doc_id].encode()
         pad = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
+
+
+def test_damaged_media(spark):
+    bad = [b"P5 0 0", b"P5 0 0 255\n", b"P5 -1 1 255\n\0", b"P5 1 1 0\n\0", b"P2 1 1 9\n12", b"P2 1 1 9\nx", b"P5 99999999999 9999999999 255\n", b"P4 9 9", b"P7", b"BM", b"BM" + b"\xff" * 60, b"P1 2 2\n10", b"", None]
+    df = spark.createDataFrame([(i, b, 5) for i, b in enumerate(bad)], "k int, data binary, height int")
+    assert all(r.height is None and r.npy_tile is None for r in media.media_columns(df, "k", "data").collect())
+    for b in bad:
+        with pytest.raises(ValueError):
+            media.decode(b or b"")
+
+
+def test_media_columns(spark):
     df = spark.createDataFrame([(1, media.encode_pgm(np.zeros((5, 7), np.uint8))), (2, b"bad"), (3, None)], "k int, data binary")
     rows = {r.k: r for r in media.media_columns(df, "k", "data").collect()}
     assert (rows[1].height, rows[1].width) == (5, 7) and rows[2].dhash is None and rows[3].npy_tile is None
@@ -335,6 +421,52 @@ def test_html_side_words_on_wrappers():
     assert html_text.main_text(f"<article>{body}</article><div id=x class='sidebar'>{body}</div>", tree) == want
 
 
+#: Pages that the tree has not seen, with the labels of their blocks; P is a paragraph of some length, L a line of links.
+P, L = "<p>" + "Rain fell on the hills all night and the river rose by a yard before the morning came. " * 3 + "</p>", "<p><a>Home</a> <a>News</a> <a>Shop</a></p>"
+HELD_OUT = (
+    (f"<body>{P}</body>", "1"), (f"<body>{P}{P}</body>", "11"), (f"{P}<p>He went.</p>{P}", "111"), (f"{L}{P}{P}{L}", "0110"), (f"{L}<h1>Rain</h1>{P}<p>c 2020 us</p>", "0110"),
+    (f"<div class=banner>Sale today</div>{P}{P}<div class=social><a>Tell a friend</a></div>", "0110"), (f"<div class=widget>{P}{P}{P}</div>", "111"), (f"<nav>{P}</nav>{P}{P}", "011"),
+    (f"<article>{P}{L}<p>So.</p></article><div class=comments>{P}{P}</div>", "11100"), (f"<main><h1>A</h1><p>b</p></main><footer>{P}</footer>", "110"), (f"<div class=menu>{L}</div><article class=promo>{P}</article>", "01"),
+    (f"<aside>{P}</aside><div id=content>{P}<p>Yes.</p></div>", "011"), (f"<ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul>{P}{P}<form><p>Write to us</p></form>", "000110"),
+)
+
+
+def test_html_on_unseen_pages():
+    tree = html_text.grow(html_text.labelled_table())
+    hit = miss = wrong = 0
+    for page, labels in HELD_OUT:
+        found = html_text.blocks(page)
+        assert len(found) == len(labels), page
+        for b, x, y in zip(found, html_text.features(found), labels, strict=True):
+            got = html_text.share(tree, x) >= 0.5
+            hit, miss, wrong = hit + (got and y == "1"), miss + (not got and y == "1"), wrong + (got and y == "0")
+    assert hit / (hit + miss) >= 0.9 and hit / (hit + wrong) >= 0.9, (hit, miss, wrong)
+
+
+def test_html_blocks_by_hand():
+    found = html_text.blocks("<p>One <a>two three</a> four<ul><li><a>x</a><li>y &amp; z</ul><h2 class=note>T</h2>tail")
+    assert [(b.text, b.words, b.linked, b.heading) for b in found] == [("One two three four", 4, 2, 0), ("x", 1, 1, 0), ("y & z", 3, 0, 0), ("T", 1, 0, 1), ("tail", 1, 0, 0)]
+    assert html_text.features(found)[2][:10] == (3.0, 0.0, 1.0, 1.0, 1.0, 0.0, 4.0, 0.5, 1.0, 0.0)
+    splits = set()
+
+    def used(tree):
+        if len(tree) > 1:
+            splits.add(tree[0])
+            used(tree[2])
+            used(tree[3])
+
+    used(html_text.grow(html_text.labelled_table()))
+    assert {0, 1} <= splits and splits & set(range(2, 10))  # words and links of the block and of its neighbours
+
+
+def test_html_rows(spark):
+    long = "<article>" + "<p>word</p>" * 40_000 + "</article>"
+    rows = [(1, "u", "<p" * 5000, 3), (2, "u", long, 4), (2, "u", long, 5), (None, None, "<p>" + "a b c " * 30, 6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = sorted(((r.page_id or 0, r.n_chars) for r in html_text.extract(pages).collect()))
+    assert got == [(0, 179), (1, 0), (2, 40_000 * 5 - 1), (2, 40_000 * 5 - 1)]
+
+
 # Toxicity
 
 
@@ -347,6 +479,48 @@ def test_decoding():
     assert reader.words("") == set()
 
 
+def test_noise_of_every_kind():
+    plain = Counter({"idiot": 500, "loser": 500, "the": 500, "stupid": 400, "reading": 60, "table": 30, "letter": 300, "book": 300, "see": 200, "hurra": 9})
+    reader = toxicity.Reader(toxicity.log_probabilities(toxicity._trigrams(plain)))
+    for noisy, word in (("stuupid", "stupid"), ("iddiot", "idiot"), ("1d!0t", "idiot"), ("$7up!d", "stupid"), ("!d!07", "idiot")):
+        assert word in reader.words(noisy), noisy
+    for noisy in ("i  d  i  o  t", "i\nd\ni\no\nt", "i d i o t.", "x i\td i  o t !"):
+        assert any("idiot" in w for w in reader.words(noisy)), noisy
+    assert "letter" in reader.words("letter") and "book" in reader.words("book") and reader.words("2024-11-05") == {"2024-11-05"}
+    assert reader.joined("stu", "pid") and not reader.joined("the", "table") and not reader.joined("letter", "book")
+    assert not any(toxicity._noisy(x) for x in ("12345", "3.14", "plain", "--"))
+
+
+def every_reading(reader, token, spaced):
+    """All readings of a token with their scores, by plain enumeration."""
+    p, size = reader.p, toxicity.SYMBOLS
+
+    def go(i, before, a, b, score, text):
+        if i == len(token):
+            yield score + p[(a * size + b) * size], text
+            return
+        for out, cost in reader._choices(token[i], before, spaced):
+            if out.startswith(" ") and b == 0:
+                continue
+            s, x, y = score + cost, a, b
+            for c in out:
+                sym = 0 if c == " " else toxicity._INDEX.get(c, toxicity.OTHER)
+                s += p[(x * size + y) * size + sym]
+                x, y = (0, 0) if sym == 0 else (y, sym)
+            yield from go(i + 1, token[i], x, y, s, text + out)
+
+    return list(go(0, "", 0, 0, 0.0, ""))
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.text(alphabet="idotsl10$!.- ", min_size=1, max_size=7), st.booleans())
+def test_viterbi_finds_the_likeliest_reading(token, spaced):
+    reader = toxicity.Reader(toxicity.log_probabilities(toxicity._trigrams(Counter({"idiot": 50, "loser": 20, "dot": 5, "list": 9, "solid": 7}))))
+    scored = every_reading(reader, token, spaced)
+    got, best = reader.decode(token, spaced), max(s for s, _ in scored)
+    assert max(s for s, t in scored if t == got) == pytest.approx(best)
+
+
 def test_toxic_scores(spark):
     rng = random.Random(1)
     rows, labels = [], []
@@ -355,7 +529,7 @@ def test_toxic_scores(spark):
         rows.append((i, words(rng, 60) + (" idiot loser stupid " if toxic else " ") + words(rng, 10)))
         labels.append((i, int(toxic)))
     rows += [(1000, "w0rthy 1d10t l0ser st*pid"), (1001, None), (1002, ""), (1003, words(rng, 50)), (1004, "you i d i o t and l o s e r")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic_score_", F.lit(1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic_score", F.lit(1))
     got = {r.doc_id: r.toxic_score for r in toxicity.with_scores(docs, spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")).collect()}
     assert all((got[i] >= 0.3) == (i % 5 == 0) for i in range(300)) and got[1000] >= 0.3 and got[1004] >= 0.3
     assert got[1001] == got[1002] < 0.3 and got[1003] < 0.3
