@@ -104,7 +104,28 @@ def _mixing_sql(mix: mixing.Mix) -> str:
         SELECT doc_id, domain, language, leaf_source, n_tokens, CAST(epoch AS BIGINT) AS epoch, leaf_budget FROM copies"""
 
 
+def _secrets_sql() -> str:
+    """The parts between a pattern's matches and the matches, in turn, add up to the places."""
+    quoted = {k: v.replace("'", "''") for k, v in secrets.PATTERNS.items()}
+    hits = " UNION ALL ".join(f"SELECT doc_id, owner, repo, '{k}' AS kind, {i} AS rank, string_split_regex(text, '{v}') AS gaps, regexp_extract_all(text, '{v}') AS hits FROM t WHERE regexp_matches(text, '{v}')" for i, (k, v) in enumerate(quoted.items()))
+    total = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+    base = ", ".join(f"'{k}'" for k in secrets.BASE)
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+        h AS ({hits}),
+        p AS (SELECT doc_id, owner, repo, kind, rank, CAST({total("gaps[1:i]")} + {total("hits[1:i - 1]")} AS BIGINT) AS start, hits[i] AS hit FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM h)),
+        v AS (SELECT *, start + length(hit) AS stop, CASE kind WHEN 'assign' THEN regexp_extract(hit, '{quoted["assign"]}', 2) ELSE hit END AS value FROM p),
+        k AS (SELECT *, kind || ':' || start || ':' || stop AS span FROM v WHERE kind <> 'assign' OR length(value) >= 6),
+        f AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT {{'o': owner, 'r': repo}}) AS repos FROM k GROUP BY value),
+        c AS (SELECT doc_id, count(*) FILTER (owners < 3) AS n_live, count(*) FILTER (owners >= 3) AS n_copied, max(owners) AS most_owners, max(repos) AS most_repos FROM (SELECT DISTINCT doc_id, value FROM k) JOIN f USING (value) GROUP BY doc_id),
+        g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{x}') AS n_{x}" for x in secrets.BASE)}, string_agg(span, ',' ORDER BY start, rank) FILTER (kind IN ({base})) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM k GROUP BY doc_id)
+        SELECT doc_id, {", ".join(f"coalesce(n_{x}, 0) AS n_{x}" for x in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+               coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
+        FROM t LEFT JOIN g USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
 _SQL = {
+    "op5_secrets": _secrets_sql(),
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
