@@ -729,6 +729,14 @@ def bovw_fitted(spark: SparkSession, d: str) -> DataFrame:
     return features.word_histograms(features.nearest_words(rows, words), "image_id", 16, rasters.load(spark, d).select("image_id"))
 
 
+@query(GRID + """, p AS (SELECT image_id, g, count(*) / 64.0 AS p FROM px GROUP BY ALL) SELECT image_id, round(avg(g), 6) AS mean_brightness, round(avg(CASE WHEN g <= 5 THEN 1.0 ELSE 0 END), 6) AS dark_clip_ratio, round(avg(CASE WHEN g >= 250 THEN 1.0 ELSE 0 END), 6) AS bright_clip_ratio,
+round(stddev_pop(g), 6) AS global_contrast, round(any_value(e), 6) AS entropy, 0.0::DOUBLE AS colorfulness, 0.0::DOUBLE AS saturation_spread FROM px JOIN (SELECT image_id, -sum(p * log2(p)) AS e FROM p GROUP BY image_id) USING (image_id) GROUP BY image_id""")
+def kernel_scalars(spark: SparkSession, d: str) -> DataFrame:
+    """Of the kernels' metrics those that repeating each sample leaves as they are, against SQL on the samples."""
+    names = ("mean_brightness", "dark_clip_ratio", "bright_clip_ratio", "global_contrast", "entropy", "colorfulness", "saturation_spread")
+    return image_diagnostics(spark, d).select("image_id", *[(_r(m) + 0.0).alias(m) for m in names])
+
+
 @query()
 def image_features(spark: SparkSession, d: str) -> DataFrame:
     return features.extract(_as_images(spark, d), ["image_id", "label"], "texture")

@@ -1,12 +1,14 @@
 """Every query with SQL gives the rows that the SQL gives."""
 
+import hashlib
+
 import duckdb
 import numpy as np
 import pytest
 
 from conftest import SF
-from lumenforge.operators import learn
-from lumenforge.plans import catalogue
+from lumenforge.operators import kernels, learn
+from lumenforge.plans import catalog, catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -34,9 +36,28 @@ def test_same_as_sql(spark, duck, name):
     assert ours == rows(duck.sql(catalogue.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql()) - {"svm_cv", "random_forest_cv", "kmeans_vocabulary"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql()) - {"svm_cv", "random_forest_cv", "kmeans_vocabulary", "advise_catalogue"}))
 def test_kernels_give_rows(spark, name):
-    assert catalogue.queries()[name](spark, SF).count() == 500
+    rows = catalogue.queries()[name](spark, SF).collect()
+    assert len(rows) == len({r.image_id for r in rows}) == 500
+    if name.startswith("explore_"):  # the same bytes from the kernel itself
+        images = {r.image_id: kernels.to_array(r.image) for r in catalogue._as_images(spark, SF).limit(9).collect()}
+        f = next(f for k, f in kernels.EXPLORER.items() if name == "explore_" + k.lower().replace(" ", "_"))
+        told = {r.image_id: r.sha256 for r in rows}
+        assert all(told[i] == hashlib.sha256(f(img, 5).tobytes()).hexdigest() for i, img in images.items())
+
+
+def test_the_whole_catalogue_is_ranked(spark):
+    rows = catalogue.queries()["advise_catalogue"](spark, SF).collect()
+    names = {p.id for p in catalog.DEFAULT if "auto" in p.profiles}
+    assert len(rows) == 1500 and {r["rank"] for r in rows} == {1, 2, 3} and {r.pipeline_id for r in rows} <= names and len({(r.image_id, r.pipeline_id) for r in rows}) == 1500
+
+
+def test_fitted_words(spark):
+    """Each image's share of words, from the fitted centres by plain distances."""
+    rows = {r.image_id: r.histogram for r in catalogue.queries()["bovw_fitted"](spark, SF).collect()}
+    assert len(rows) == 500 and all(len(h) == 16 and abs(sum(h) - 1) < 1e-9 and all(abs(x * 8 - round(x * 8)) < 1e-9 for x in h) for h in rows.values())
+    assert sum(1 for k in range(16) if any(h[k] for h in rows.values())) > 8
 
 
 def test_no_python_in_relational_plans(spark):
