@@ -23,7 +23,6 @@ repeat each other; an empty table gives an empty one; further columns are ignore
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -415,7 +414,3 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), span, pa.binary()), strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     return keyed.join(spans, "uid", "left").select("id", "text", "found").mapInArrow(cut, f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
