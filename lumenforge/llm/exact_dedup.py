@@ -7,6 +7,8 @@ a group of null ids only keeps them all; further columns are ignored by `exact_g
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,12 +53,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with all its columns: of equal texts one row, with the smallest id (of rows that repeat it, any one).
+    """`docs` with all its columns: of equal texts one row, with the smallest id (of rows that repeat it, the least in the
+    order of the columns; a column of maps has no order and does not count).
 
-    The join is with the light table of groups, which Spark broadcasts where its size allows; else AQE splits hot groups."""
-    groups = saved(_copies(docs, id_col, text_col).withColumnsRenamed({"h": "__h", "sha": "__sha", "keep_id": "__keep", "group_size": "__n"}))
+    One exchange: rows travel once, grouped by hash and text as in `_copies`, each task sending one row for a text. A text
+    that is its own normal form is not sent a second time."""
     body = one_space(text_or_empty(text_col))
-    keyed = docs.withColumns({"__h": F.unhex(F.md5(body)), "__sha": F.unhex(F.sha2(body, 256))}).join(groups, ["__h", "__sha"], "left")
-    single = keyed.where(F.col("__n").isNull())
-    first = keyed.where(F.col("__n").isNotNull() & F.col(id_col).eqNullSafe(F.col("__keep"))).dropDuplicates(["__h", "__sha"])
-    return single.unionByName(first).select(*[F.col(f"`{c}`") for c in docs.columns])
+    field = lambda c: F.col(f"`{c}`")
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    loose = [c for c in rest if re.search("map<|variant", docs.schema[c].dataType.simpleString())]
+    ordered = [c for c in rest if c not in loose]
+    raw = F.when(~field(text_col).eqNullSafe(body), F.struct(field(text_col).alias("text")))
+    numbered = lambda columns: F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    order = numbered([field(id_col).isNull(), field(id_col), *map(field, ordered), raw])
+    rows = docs.select(body.alias("body"), order.alias("row"), numbered([F.lit(0), *map(field, loose)]).alias("loose"))
+    first = rows.groupBy(F.unhex(F.md5("body")).alias("h"), "body").agg(F.min("row").alias("row"), *([F.min_by("loose", "row").alias("loose")] if loose else []))
+    place = {c: F.col("row").getField(f"c{i}") for i, c in enumerate([id_col, *ordered], 1)}
+    place |= {c: F.col("loose").getField(f"c{i}") for i, c in enumerate(loose, 1)}
+    place[text_col] = F.coalesce(F.col("row").getField(f"c{len(ordered) + 2}"), F.struct(F.col("body").alias("text"))).getField("text")
+    return first.select(*[place[c].alias(c) for c in docs.columns])
