@@ -6,6 +6,8 @@ shared folder and read again as the next one's documents, so a lost executor cos
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ MIX = mixing.Mix(max_epochs=1)
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores below TOXIC."""
-    scored = toxicity.with_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("toxic_score") < TOXIC).select(docs.columns)
+    own = f"toxic_{uuid.uuid4().hex}"
+    return toxicity.with_scores(docs, table(spark, sf_dir, "labels"), into=own).where(F.col(own) < TOXIC).drop(own)
 
 
 def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
