@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, jaccard_join, media, mixing, packing, piece_codec, pii, secrets, suffix_dedup, toxicity
+from . import exact_dedup, html_text, jaccard_join, media, mixing, packing, piece_codec, pii, secrets, suffix_dedup, toxicity, whitening
 from .common import table
 
 
@@ -65,6 +65,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc.doc_id", *mixing.LEVELS, "n_tokens", "epoch", "leaf_budget")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"), "vec_id")
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pieces.*")
     told = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -72,7 +76,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_exact_dedup, op4_packing, op5_secrets, op6_suffix_dedup, op7_html, op8_media, op9_jaccard_join, op10_mixing, op13_sentencepiece)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_exact_dedup, op4_packing, op5_secrets, op6_suffix_dedup, op7_html, op8_media, op9_jaccard_join, op10_mixing, op11_whitening, op13_sentencepiece)}
 
 
 def _share_sql(nodes: str, parent: str, key: str, given: str) -> str:
