@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, jaccard_join, media, mixing, packing, piece_codec, pii, secrets, suffix_dedup, toxicity, whitening
+from . import conversation_trie, exact_dedup, html_text, jaccard_join, media, mixing, packing, piece_codec, pii, secrets, suffix_dedup, toxicity, whitening
 from .common import table
 
 
@@ -69,6 +69,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(table(spark, sf_dir, "embeddings"), "vec_id")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pieces.*")
     told = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -76,7 +80,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_exact_dedup, op4_packing, op5_secrets, op6_suffix_dedup, op7_html, op8_media, op9_jaccard_join, op10_mixing, op11_whitening, op13_sentencepiece)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_exact_dedup, op4_packing, op5_secrets, op6_suffix_dedup, op7_html, op8_media, op9_jaccard_join, op10_mixing, op11_whitening, op12_conversation_trie, op13_sentencepiece)}
 
 
 def _share_sql(nodes: str, parent: str, key: str, given: str) -> str:
@@ -163,6 +167,21 @@ _SQL = {
         c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)""",
     "op10_mixing": _mixing_sql(mixing.Mix()),
+    "op12_conversation_trie": r"""
+        WITH t AS (SELECT CAST(conv_id AS BIGINT) AS c, turn, strlen(coalesce(text, '')) AS bytes, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS token
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT c, token, bytes, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, token) AS i FROM t),
+        bits AS (SELECT c, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])) AS b FROM (SELECT DISTINCT c FROM t)),
+        z AS (SELECT c, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: CASE WHEN xor(a, x) % 2 = 1 THEN xor(xor(a, x) >> 1, 3988292384) ELSE xor(a, x) >> 1 END), 4294967295) % 9 AS h FROM bits),
+        r AS (SELECT z.c, token, bytes, 0 AS part, i FROM z JOIN o ON o.c = z.c - z.c % 5 AND i <= h UNION ALL SELECT z.c, token, bytes, 1, i FROM z JOIN o ON o.c = z.c AND i > h),
+        p AS (SELECT c, bytes, row_number() OVER w AS d, string_agg(token, '') OVER w AS k FROM r WINDOW w AS (PARTITION BY c ORDER BY part, i) UNION ALL SELECT c, 0, 0, '' FROM z),
+        g AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY ALL),
+        u AS (SELECT left(k, 32 * (d - 1)) AS k, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+        f AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN u USING (k)),
+        s AS (SELECT top AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes) AS saved FROM (SELECT *, left(k, 32 * unnest(range(d + 1))) AS top FROM f) GROUP BY 1),
+        e AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends FROM (SELECT c, max_by(k, d) AS k FROM p GROUP BY c) GROUP BY k)
+        SELECT f.conv_id, f.d AS depth, v.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+        FROM f JOIN s USING (k) LEFT JOIN e USING (k) LEFT JOIN f v ON f.d > 0 AND v.d = f.d - 1 AND v.k = left(f.k, 32 * (f.d - 1))""",
 }
 
 
