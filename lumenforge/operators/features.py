@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import kernels, scale_space
 
 
 def histogram(px: Column, bins: int, top: float) -> Column:
@@ -158,6 +159,25 @@ def gradient_descriptors(images: DataFrame, keys: list[str], most: int = 250, pa
     return kernels.map_images(images, keys, one, "y int, x int, response double, features array<double>")
 
 
+def scale_descriptors(images: DataFrame, keys: list[str], most: int = 250) -> DataFrame:
+    """(keys, y, x, scale, angle, response, features array<double> of 128) of the `most` strongest keypoints of each image, which
+    keep their descriptors when it is turned or resized. An image too small or too flat has none."""
+    return kernels.map_images(images, keys, lambda img: scale_space.describe(kernels.grey(img), most), "y double, x double, scale double, angle double, response double, features array<double>")
+
+
+def fold_words(descriptors: DataFrame, image: str, images: DataFrame, k: int = 32, fold: str = "fold", seed: int = 42) -> DataFrame:
+    """(test_fold, image, histogram): for each fold of `images` (image, fold) a vocabulary of the other folds' descriptors alone,
+    and the shares of its words in every image. Both tables are read once a fold: write them first."""
+    folds = sorted(r[0] for r in images.select(fold).distinct().collect())
+    owned = descriptors.join(images.select(image, fold), image)
+    parts = []
+    for f in folds:
+        words = fit_vocabulary(owned.where(F.col(fold) != f), k, seed)
+        found = word_histograms(nearest_words(owned.select(image, "features"), words), image, k, images)
+        parts.append(found.select(F.lit(f).alias("test_fold"), image, "histogram"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 _BLUR = np.array([1.0, 4.0, 6.0, 4.0, 1.0]) / 16
 
 

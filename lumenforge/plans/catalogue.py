@@ -16,6 +16,7 @@ from ..operators import diagnostics as dx
 from ..operators import features, learn, metrics, scoring, split, text_checks
 from ..operators import transforms as tx
 from ..sources import rasters
+from ..sources.shared import saved
 from . import advice, advisor, catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -742,6 +743,19 @@ def image_features(spark: SparkSession, d: str) -> DataFrame:
     return features.extract(_as_images(spark, d), ["image_id", "label"], "texture")
 
 
+@query()
+def scale_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    """Scale-invariant keypoints of the enlarged rasters."""
+    return features.scale_descriptors(_as_images(spark, d, 8), ["image_id"])
+
+
+@query()
+def scale_words(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of words in every raster, by words of the training folds' descriptors alone."""
+    images = saved(_folded(spark, d).select(F.col("vec_id").alias("image_id"), "fold"))
+    return features.fold_words(saved(scale_descriptors(spark, d)), "image_id", images, 16)
+
+
 @query()
 def svm_cv(spark: SparkSession, d: str) -> DataFrame:
     z = learn.standardize(_folded(spark, d), features="embedding")
