@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import Folder
+from .markdown import anchors, heading_slugs, markdown_links, outside_fences, slug
+
+__all__ = [
+    "EVIDENCE", "MORE_SCANS", "SCANS", "anchors", "broken_links", "claims", "evidence", "findings", "heading_slugs", "html_links", "lines", "markdown_links",
+    "mismatched", "missing", "missing_headings", "outside_fences", "shown", "slug", "table_cells", "text_files", "unbacked_rows", "url_map_problems",
+]
 
 #: What a scan looks for, by description and pattern; some patterns share a description.
 SCANS: tuple[tuple[str, str], ...] = (
@@ -28,9 +34,19 @@ MORE_SCANS: tuple[tuple[str, str], ...] = (
     ("assigned secret", r"(?i)\b(?:api[_-]?key|secret|token|password)\s*[:=]\s*['\x22][A-Za-z0-9_\-]{12,}['\x22]"),
     ("cloud access key", r"AKIA[0-9A-Z]{16}"),
     ("private key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    ("e-mail address", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}"),
+    ("e-mail address", r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z]{2,}"),
     ("home folder", r"/(?:home|Users)/[A-Za-z0-9._-]+/"),
 )
+_FOLDER = r"mvtec(?:_anomaly_detection|[_ -]?ad)?"
+#: Forms of patterns that find the same texts in one pass. Of a dataset folder: each slash starts a path, so only folders before
+#: backslashes need following, up to the next start, and none is given back; Java's matcher would recurse for every folder.
+ONE_PASS = {dict(SCANS)["a dataset folder"]: rf"(?i)(?:[A-Z]:\\|/)(?:(?!{_FOLDER}\\)[^\\/\r\n]++(?<![A-Z]:)\\)*+{_FOLDER}(?:[\\/]|$)"}
+#: Words of which a text in lower case must hold one before a pattern is tried.
+HINTS: dict[str, tuple[str, ...]] = {
+    "an OAuth token": ("gho_",), "a personal access token": ("github_pat_", "ghp_"), "an API key": ("sk-",), "an environment file": (".env",), "a dataset folder": ("mvtec",),
+    "a temporary render folder": ("pdfs",), "an unresolved link": ("notion",), "a user's folder": ("c:\\users\\",), "assigned secret": ("key", "secret", "token", "password"),
+    "cloud access key": ("akia",), "private key": ("-----begin ",), "e-mail address": ("@",), "home folder": ("/home/", "/users/"),
+}
 #: Suffixes of text files; files without one count too.
 TEXT_SUFFIXES = ("cfg", "css", "html", "ini", "js", "json", "md", "py", "toml", "txt", "yaml", "yml")
 
@@ -46,9 +62,17 @@ def text_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = TEXT_
 
 
 def findings(files: DataFrame, key: str, text: str = "text", scans: tuple[tuple[str, str], ...] = SCANS + MORE_SCANS, exempt: DataFrame | None = None) -> DataFrame:
-    """(key, description), once for each file and description. `exempt` has pairs that are allowed."""
-    hits = F.filter(F.array(*[F.when(F.col(text).rlike(p), F.lit(d)) for d, p in scans]), lambda x: x.isNotNull())
-    out = files.select(key, F.explode(F.array_distinct(hits)).alias("description"))
+    """(key, description), once for each file and description. `scans` are pairs of description and pattern; a pattern without
+    hints is tried on every text. `exempt` has pairs that are allowed. A null text has no findings."""
+    own = files.select(key, F.col(text).alias("body"), F.lower(text).alias("lowered"))
+
+    def found(description: str, pattern: str) -> Column:
+        held = [F.col("lowered").contains(h) for h in HINTS.get(description, ())]
+        tried = F.col("body").rlike(ONE_PASS.get(pattern, pattern))
+        return reduce(or_, held) & tried if held else tried
+
+    hits = F.filter(F.array(*[F.when(found(d, p), F.lit(d)) for d, p in scans]), lambda x: x.isNotNull())
+    out = own.select(key, F.explode(F.array_distinct(hits)).alias("description"))
     return out if exempt is None else out.join(exempt, [key, "description"], "left_anti")
 
 
@@ -56,52 +80,6 @@ def lines(files: DataFrame, key: str, text: str = "text") -> DataFrame:
     return files.select(key, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
 
 
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
-
-
-def unfenced(text: str) -> list[dict]:
-    """Lines outside fenced code. A fence ends at one of its own character that is at least as long."""
-    out, fence = [], ""
-    for i, line in enumerate(text.splitlines()):
-        m = _FENCE.match(line)
-        if not fence and not m:
-            out.append({"line_no": i, "line": line})
-        elif not fence:
-            fence = m[1]
-        elif m and m[1][0] == fence[0] and len(m[1]) >= len(fence):
-            fence = ""
-    return out
-
-
-def outside_fences(files: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line_no, line) of lines outside fenced code."""
-
-    def kept(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unfenced(t or ""))
-
-    kept.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return files.select(key, F.inline(F.pandas_udf(kept, "array<struct<line_no:int,line:string>>")(F.col(text))))
-
-
-def slug(heading: Column) -> Column:
-    """The anchor of a heading: lower case, tags and signs out, blanks to hyphens."""
-    plain = F.lower(F.regexp_replace(heading, r"<[^>]+>", ""))
-    return F.regexp_replace(F.regexp_replace(F.trim(plain), r"(?U)[^\w\s-]", ""), r"\s+", "-")
-
-
-def heading_slugs(rows: DataFrame, keys: list[str], order: list[str], heading: str) -> DataFrame:
-    """With `anchor`: repeated slugs of a file get -1, -2, ... in order."""
-    base = rows.withColumn("slug", slug(F.col(heading)))
-    n = F.row_number().over(W.partitionBy(*keys, "slug").orderBy(*order)) - 1
-    return base.withColumn("anchor", F.when(n == 0, F.col("slug")).otherwise(F.concat_ws("-", "slug", n.cast("string"))))
-
-
-def anchors(files: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, anchor) of the headings of Markdown files."""
-    heads = outside_fences(files, key, text).withColumn("heading", F.regexp_extract("line", r"^#{1,6}\s+(.+?)\s*#*\s*$", 1)).where("heading <> ''")
-    return heading_slugs(heads, [key], ["line_no"], "heading").select(key, "anchor")
-
-
 def missing_headings(files: DataFrame, key: str, required: DataFrame, text: str = "text") -> DataFrame:
     """Rows (key, heading) of `required` that no line of the file is."""
     own = outside_fences(files, key, text).select(key, F.rtrim("line").alias("heading")).distinct()
@@ -113,27 +91,6 @@ def html_links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), F.lit(1))).alias("link_no", "target"))
 
 
-_DEFINED = r"^[ \t]{0,3}\[([^\]]+)\]:[ \t]*(<[^>]+>|\S+)"
-
-
-def markdown_links(files: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, target) of the inline links and images, autolinks, and references by full or short label outside fenced code. A
-    label is looked up without regard to case and blanks; its last definition holds."""
-    label = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    bare = lambda c: F.regexp_replace(c, "^<|>$", "")
-    rows = outside_fences(files, key, text).where(F.col("line").contains("[") | F.col("line").contains("<"))
-    every = lambda p, g: F.regexp_extract_all("line", F.lit(p), F.lit(g))
-    defined = rows.where(F.col("line").rlike(_DEFINED)).select(key, "line_no", label(F.regexp_extract("line", _DEFINED, 1)).alias("label"), bare(F.regexp_extract("line", _DEFINED, 2)).alias("target"))
-    defined = defined.groupBy(key, "label").agg(F.max_by("target", "line_no").alias("target"))
-    rest = rows.where(~F.col("line").rlike(_DEFINED))
-    full = r"!?\[([^\]]*)\]\[([^\]]*)\]"
-    named = F.zip_with(every(full, 1), every(full, 2), lambda shown, own: F.when(own == "", shown).otherwise(own))
-    short = every(r"(?<![!\[\]])\[([^\]]+)\](?![\[(])", 1)
-    direct = F.concat(every(r"\[[^\]]*\]\((<[^>]+>|[^\s)]+)(?:\s+\"[^\"]*\")?\)", 1), every(r"<((?:https?://|mailto:)[^\s>]+)>", 1))
-    by_label = rest.select(key, F.explode(F.concat(named, short)).alias("label")).withColumn("label", label(F.col("label"))).join(defined, [key, "label"])
-    return rest.select(key, F.explode(direct).alias("target")).withColumn("target", bare(F.col("target"))).unionByName(by_label.select(key, "target"))
-
-
 def broken_links(files: DataFrame, key: str = "path", text: str = "text", present: DataFrame | None = None) -> DataFrame:
     """(key, target, reason) of the links of Markdown files to other files: `outside` leads out of the root, `missing` names no
     file of `present` (by default `files`), `anchor` names no heading of it. Keys are paths below the root."""

@@ -629,7 +629,8 @@ s AS (SELECT *, replace(regexp_replace(heading, '[^a-z0-9_\- ]', '', 'g'), ' ',
 def heading_slugs(spark: SparkSession, d: str) -> DataFrame:
     heads = _table(spark, d, "pages").select("page_id", F.regexp_replace(F.lower(F.trim(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1))), r"[^a-z0-9_\- ]", "").alias("heading"), F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang"))
     rows = heads.withColumn("slug", F.regexp_replace("heading", " ", "-"))
-    n = F.row_number().over(W.partitionBy("lang", "slug").orderBy("page_id")) - 1
+    rows = split.places(rows, ["lang", "slug"], ["page_id"], "place")
+    n = F.col("place") - 1
     return rows.select("page_id", F.when(n == 0, F.col("slug")).otherwise(F.concat_ws("-", "slug", n.cast("string"))).alias("anchor"))
 
 

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lumenforge.operators import markdown, split
 from lumenforge.operators import text_checks as tc
 
 PAGE = """# A `Title` here
@@ -32,7 +33,7 @@ def files(spark):
 
 
 def test_fences(spark, files):
-    assert [x["line"] for x in tc.unfenced("a\n```x\nb\n~~~\n``\n```\nc\n   ~~~~\nd\n~~~\n~~~~~\ne\n    ```\nf")] == ["a", "c", "e", "    ```", "f"]
+    assert [line for _, line in markdown.outside("a\n```x\nb\n~~~\n``\n```\nc\n   ~~~~\nd\n~~~\n~~~~~\ne\n    ```\nf")] == ["a", "c", "e", "    ```", "f"]
     lines = {(r.path, r.line) for r in tc.outside_fences(files, "path").collect()}
     assert ("readme.md", "## Part") in lines and not any("not" in x or "nor" in x for _, x in lines if "[" in x and "](" in x and "docs" not in x)
 
@@ -82,3 +83,65 @@ def test_text_files(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
     assert {(r.path, r.text) for r in tc.text_files(spark, str(tmp_path)).collect()} == {("a.md", "x"), ("LICENSE", "y"), ("d/e.PY", "é")}
+
+
+def test_scans_of_long_texts_end(spark):
+    """Long paths, runs and lines neither recurse nor go back."""
+    long = ["/a" * 200_000, "\\a" * 200_000 + "mvtec", "C:\\" + "a\\" * 200_000 + "mvtec_ad\\x", "/" + "a" * 400_000 + "\\mvtec", "a" * 500_000 + "@", "xC:\\" * 100_000 + "mvt mvtec", "notion" + " " * 300_000]
+    docs = spark.createDataFrame(list(enumerate(long)), "id int, text string")
+    assert sorted((r.id, r.description) for r in tc.findings(docs, "id").collect()) == [(2, "a dataset folder"), (3, "a dataset folder")]
+
+
+def test_one_pass_folders_equal_the_plain_pattern(spark):
+    import random
+    import re
+
+    rng, plain = random.Random(3), dict(tc.SCANS)["a dataset folder"]
+    texts = ["".join(rng.choices(["/", "\\", "C:\\", "a", "b:", "mvtec", "MVTec_AD", "mvtec-ad", "_anomaly_detection", "\n", " "], k=rng.randint(1, 9))) for _ in range(4000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id for r in tc.findings(docs, "id", scans=(("a dataset folder", plain),)).collect()}
+    assert got == {i for i, t in enumerate(texts) if re.search(plain, t)} and 100 < len(got) < 3900
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("[a](b (c) 'no", []), ("[a](b(c)d)", ["b(c)d"]), ("[a](<b c> 't')", ["b c"]), ("[a](b (t))", ["b"]), (r"[a](b\)c)", [r"b\)c"]), ("[![p](i.png)](x.md)", ["i.png", "x.md"]),
+        ("`[a](b)` [c](d)", ["d"]), ("``[a`](b)`` [c](d)", ["d"]), ("`[a](b)", ["b"]), (r"\[a](b) \`[c](d)`", ["d"]), ("<ftp://x> <mailto:a@b.c> <https://a b>", ["mailto:a@b.c"]), ("[a]()", [""]), ("[a [b](c) d](e)", ["c", "e"]), ("[a] (b)", []), ("[](x)", ["x"]),
+    ],
+)
+def test_inline_links(line, want):
+    assert [v for k, v in markdown.links(line) if k == "target"] == want
+
+
+def test_labels_definitions_and_headings():
+    assert [v for _, v in markdown.links("[a][b] [c][] [d] ![e][f] [x]: y")] == ["b", "c", "d", "f", "x"]
+    assert markdown.definition("  [A  b]: <c d> 'title'") == ("A  b", "c d") and markdown.definition("[a]: b") == ("a", "b")
+    assert [markdown.definition(x) for x in ("    [a]: b", "[a]:", "[]: b", "[a[b]: c", "a]: b", "[a] b")] == [None] * 6
+    heads = {"# a": "a", "## a ##": "a", "#a": "", "####### a": "", "   # a #b": "a #b", "    # a": "", "# a \\#": "a \\#", "#": "", "# #": "", "# a#": "a#"}
+    assert {h: markdown.heading(h) for h in heads} == heads
+
+
+def test_scan_of_long_lines_is_one_pass():
+    import time
+
+    began = time.perf_counter()
+    for line in ("[" * 200_000, "`" * 3 + "a`" * 100_000, "[a](" * 50_000, "]" * 200_000, "<" * 200_000 + ">", "[" * 100_000 + "]" * 100_000, "[a](b '" * 30_000, "<http://" * 30_000):
+        list(markdown.links(line))
+    assert time.perf_counter() - began < 10
+
+
+def test_slugs(spark):
+    names = {"A `Title` here": "a-title-here", "a & b": "a-b", "& b": "-b", "a &": "a-", "<b>Ü</b> x_y-z  w": "ü-x_y-z-w", "&": "", "a--b": "a--b"}
+    rows = spark.createDataFrame([(k,) for k in names], "h string")
+    assert {r.h: r.s for r in rows.select("h", tc.slug(F.col("h")).alias("s")).collect()} == names
+
+
+def test_places_of_hot_and_null_groups(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 5 < 4, "hot").otherwise(F.col("id").cast("string")).alias("g"), ((F.col("id") * 37) % 5000).alias("o"))
+    got = split.places(rows, ["g"], ["o"], "place").collect()
+    want, seen = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: r.o):
+        seen[r.g] = seen.get(r.g, 0) + 1
+        want[r.g, r.o] = seen[r.g]
+    assert {(r.g, r.o): r.place for r in got} == want and len(got) == 5000
