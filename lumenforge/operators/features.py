@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -90,6 +91,13 @@ def combined(img: np.ndarray) -> np.ndarray:
 EXTRACTORS = {"color": color_histogram, "shape": hog, "texture": texture_stats, "combined": combined}
 
 
+def register(name: str, extractor: Callable[[np.ndarray], np.ndarray]) -> None:
+    """Makes a feature profile (image to vector, of one length for all images) known to the benchmark under a new name."""
+    if not name.isidentifier() or name in EXTRACTORS:
+        raise ValueError(f"a feature profile needs a name of its own: {name}")
+    EXTRACTORS[name] = extractor
+
+
 def extract(images: DataFrame, keys: list[str], profile: str) -> DataFrame:
     """(keys, features array<float>) of whole images."""
     if profile not in EXTRACTORS:

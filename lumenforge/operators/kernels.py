@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -66,14 +67,18 @@ def normalize(img: np.ndarray) -> np.ndarray:
     return np.zeros_like(img) if lo == hi else _byte((img.astype(np.float64) - lo) * 255.0 / (hi - lo))
 
 
-def auto_gamma(img: np.ndarray, target_midpoint: float = 0.5) -> np.ndarray:
+def gamma_table(brightness: float, target_midpoint: float = 0.5) -> np.ndarray:
+    """What each level becomes in an image of this mean brightness (0 to 1)."""
     if not 0 < target_midpoint < 1:
         raise ValueError("target_midpoint must lie between 0 and 1")
-    m = grey(img).mean() / 255
-    if m <= 1e-6 or m >= 1 - 1e-6:
-        return img.copy()
-    power = min(2.0, max(0.5, math.log(target_midpoint) / math.log(m)))
-    return np.floor(np.power(np.arange(256) / 255.0, power) * 255 + 1e-9).astype(np.uint8)[img]
+    if brightness <= 1e-6 or brightness >= 1 - 1e-6:
+        return np.arange(256, dtype=np.uint8)
+    power = min(2.0, max(0.5, math.log(target_midpoint) / math.log(brightness)))
+    return np.floor(np.power(np.arange(256) / 255.0, power) * 255 + 1e-9).astype(np.uint8)
+
+
+def auto_gamma(img: np.ndarray, target_midpoint: float = 0.5) -> np.ndarray:
+    return gamma_table(grey(img).mean() / 255, target_midpoint)[img]
 
 
 def bilateral(img: np.ndarray, diameter: int = 7, sigma_color: float = 45, sigma_space: float = 45) -> np.ndarray:
@@ -93,7 +98,7 @@ def bilateral(img: np.ndarray, diameter: int = 7, sigma_color: float = 45, sigma
             weight = np.exp(-(dy * dy + dx * dx) / (2 * sigma_space**2) - gap**2 / (2 * sigma_color**2))
             num += weight * near
             den += weight
-    return _byte(num / den)
+    return _byte(np.round(num / den, 6))
 
 
 def unsharp(img: np.ndarray, kernel_size: int = 5, sigma: float = 1.0, amount: float = 1.0, threshold: int = 0) -> np.ndarray:
@@ -154,42 +159,82 @@ def from_lab(lab: np.ndarray) -> np.ndarray:
     return _byte(c[..., ::-1] * 255)
 
 
-def clahe(g: np.ndarray, clip_limit: float = 2.0, grid_size: int = 8) -> np.ndarray:
-    """Each tile's histogram is clipped, the excess shared out, its running sum made a table; samples blend the tables of
-    the four nearest tiles."""
-    if clip_limit <= 0 or grid_size <= 0:
-        raise ValueError("clip_limit and grid_size must be positive")
-    h, w = g.shape
-    ph, pw = -h % grid_size, -w % grid_size
-    full = np.pad(g, ((0, ph), (0, pw)), "reflect" if ph < h and pw < w else "edge")
-    th, tw = full.shape[0] // grid_size, full.shape[1] // grid_size
-    area, tables = th * tw, np.zeros((grid_size, grid_size, 256))
-    limit = max(1, int(clip_limit * area / 256))
-    for i in range(grid_size):
-        for j in range(grid_size):
-            hist = np.bincount(full[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel(), minlength=256)
-            excess = int(np.maximum(hist - limit, 0).sum())
-            hist = np.minimum(hist, limit) + excess // 256
-            left = excess % 256
+@dataclass(frozen=True)
+class Grid:
+    """The cells of contrast-limited equalisation: the image, mirrored up to a multiple of the grid, in size x size cells."""
+
+    height: int
+    width: int
+    size: int
+
+    def __post_init__(self) -> None:
+        if self.size <= 0:
+            raise ValueError("grid_size must be positive")
+
+    @property
+    def cell(self) -> tuple[int, int]:
+        return -(-self.height // self.size), -(-self.width // self.size)
+
+    def sources(self, axis: int) -> np.ndarray:
+        """The row (or column) that each one of the mirrored image comes from."""
+        n = (self.height, self.width)
+        mirrored = all(c * self.size - m < m for c, m in zip(self.cell, n, strict=True))
+        at = np.arange(self.cell[axis] * self.size)
+        over = at - n[axis] + 1
+        return np.where(over > 0, n[axis] - 1 - over if mirrored else n[axis] - 1, at)
+
+    def counts(self, g: np.ndarray, top: int = 0, left: int = 0) -> np.ndarray:
+        """(size * size, 256): how often each cell has a level, of the part of the image that is g and lies at top, left."""
+        rows, cols = (np.flatnonzero((s >= o) & (s < o + m)) for s, o, m in ((self.sources(0), top, g.shape[0]), (self.sources(1), left, g.shape[1])))
+        level = g[np.ix_(self.sources(0)[rows] - top, self.sources(1)[cols] - left)]
+        cell = (rows // self.cell[0])[:, None] * self.size + (cols // self.cell[1])[None, :]
+        return np.bincount((cell * 256 + level).ravel(), minlength=self.size**2 * 256).reshape(-1, 256)
+
+    def tables(self, counts: np.ndarray, clip_limit: float) -> np.ndarray:
+        """Each cell's counts are clipped, the excess is shared out, their running sum makes a table of levels."""
+        if clip_limit <= 0:
+            raise ValueError("clip_limit must be positive")
+        area = self.cell[0] * self.cell[1]
+        limit = max(1, int(clip_limit * area / 256))
+        excess = np.maximum(counts - limit, 0).sum(axis=1)
+        held = np.minimum(counts, limit) + (excess // 256)[:, None]
+        for row, left in zip(held, excess % 256, strict=True):
             if left:
-                hist[:: max(1, 256 // left)][:left] += 1
-            tables[i, j] = np.clip(np.rint(np.cumsum(hist) * 255.0 / area), 0, 255)
-    y, x = (np.arange(h) + 0.5) / th - 0.5, (np.arange(w) + 0.5) / tw - 0.5
-    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
-    at = lambda i: np.clip(i, 0, grid_size - 1)
-    pick = lambda i, j: tables[at(i)[:, None], at(j)[None, :], g]
-    top = pick(y0, x0) * (1 - fx) + pick(y0, x0 + 1) * fx
-    low = pick(y0 + 1, x0) * (1 - fx) + pick(y0 + 1, x0 + 1) * fx
-    return _byte(top * (1 - fy) + low * fy)
+                row[:: max(1, 256 // left)][:left] += 1
+        return np.clip(np.rint(np.cumsum(held, axis=1) * 255.0 / area), 0, 255)
 
+    def blend(self, g: np.ndarray, tables: np.ndarray, top: int = 0, left: int = 0) -> np.ndarray:
+        """Samples by the tables of the four nearest cells."""
+        y, x = (top + np.arange(g.shape[0]) + 0.5) / self.cell[0] - 0.5, (left + np.arange(g.shape[1]) + 0.5) / self.cell[1] - 0.5
+        y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+        fy, fx = (y - y0)[:, None], (x - x0)[None, :]
+        at = lambda i: np.clip(i, 0, self.size - 1)
+        pick = lambda i, j: tables[at(i)[:, None] * self.size + at(j)[None, :], g]
+        above = pick(y0, x0) * (1 - fx) + pick(y0, x0 + 1) * fx
+        below = pick(y0 + 1, x0) * (1 - fx) + pick(y0 + 1, x0 + 1) * fx
+        return _byte(np.round(above * (1 - fy) + below * fy, 6))
 
-def lab_clahe(img: np.ndarray, clip_limit: float = 2.0, grid_size: int = 8) -> np.ndarray:
+
+def clahe(g: np.ndarray, clip_limit: float = 2.0, grid_size: int = 8) -> np.ndarray:
+    """Contrast-limited adaptive equalisation."""
+    grid = Grid(*g.shape, grid_size)
+    return grid.blend(g, grid.tables(grid.counts(g), clip_limit))
+
+
+def lightness(img: np.ndarray) -> np.ndarray:
+    return _byte(to_lab(img)[..., 0] * 2.55)
+
+
+def with_lightness(img: np.ndarray, light: np.ndarray) -> np.ndarray:
     lab = to_lab(img)
-    lab[..., 0] = clahe(_byte(lab[..., 0] * 2.55), clip_limit, grid_size) / 2.55
+    lab[..., 0] = light / 2.55
     return from_lab(lab)
 
 
+def lab_clahe(img: np.ndarray, clip_limit: float = 2.0, grid_size: int = 8) -> np.ndarray:
+    return with_lightness(img, clahe(lightness(img), clip_limit, grid_size))
+
+
 # Edges and components
 
 
@@ -198,8 +243,8 @@ def _sobel(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return convolve(g, k), convolve(g, k.T)
 
 
-def canny(g: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Edges: gradient ridges above `low` that touch one above `high`."""
+def ridges(g: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient ridges above `low`, and those above `high`."""
     dx, dy = _sobel(g)
     mag = np.abs(dx) + np.abs(dy)
     p = np.pad(mag, 1)
@@ -209,10 +254,20 @@ def canny(g: np.ndarray, low: float, high: float) -> np.ndarray:
     ridge = np.zeros((h, w), bool)
     for lo, hi, (y, x) in ((0, 22.5, (0, 1)), (22.5, 67.5, (1, 1)), (67.5, 112.5, (1, 0)), (112.5, 157.5, (1, -1)), (157.5, 180, (0, 1))):
         ridge |= (angle >= lo) & (angle < hi) & (mag > at(-y, -x)) & (mag >= at(y, x))
-    weak = ridge & (mag > low)
+    return ridge & (mag > low), ridge & (mag > max(low, high))
+
+
+def canny(g: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Edges: gradient ridges above `low` that touch one above `high`."""
+    weak, strong = ridges(g, low, high)
     labels = components(weak)
-    strong = np.unique(labels[weak & (mag > high)])
-    return np.isin(labels, strong[strong > 0])
+    kept = np.unique(labels[strong])
+    return np.isin(labels, kept[kept > 0])
+
+
+def edge_thresholds(median_level: float) -> tuple[int, int]:
+    low = int(max(0, 0.66 * median_level))
+    return low, int(min(255, max(low + 1, 1.33 * median_level)))
 
 
 def components(mask: np.ndarray, eight: bool = True) -> np.ndarray:
@@ -247,9 +302,7 @@ def components(mask: np.ndarray, eight: bool = True) -> np.ndarray:
 
 def edge_metrics(g: np.ndarray) -> tuple[float, float]:
     """Edge density, and the share of edge samples in components of eight or more."""
-    m = float(np.median(g))
-    low = int(max(0, 0.66 * m))
-    edges = canny(g, low, int(min(255, max(low + 1, 1.33 * m))))
+    edges = canny(g, *edge_thresholds(float(np.median(g))))
     n = int(edges.sum())
     if not n:
         return 0.0, 0.0
@@ -283,13 +336,24 @@ def contours(img: np.ndarray) -> np.ndarray:
     return out
 
 
+#: The polynomials, in falling powers, of the public Turbo colour map (red, green, blue).
+TURBO = (
+    (59.28637943, -152.94239396, 132.13108234, -42.66032258, 4.61539260, 0.13572138),
+    (2.82956604, 4.27729857, -14.18503333, 4.84296658, 2.19418839, 0.09140261),
+    (27.34824973, -89.90310912, 110.36276771, -60.58204836, 12.64194608, 0.10667330),
+)
+
+
+def turbo(share: np.ndarray) -> np.ndarray:
+    """Colours (blue, green, red) of values from 0 to 1."""
+    return _byte(np.stack([np.clip(np.polyval(c, share), 0, 1) * 255 for c in reversed(TURBO)], axis=-1))
+
+
 def labelled(img: np.ndarray) -> np.ndarray:
-    """Components of the Otsu mask, coloured by a smooth map over all of them; the background is black."""
+    """Components of the Otsu mask, coloured from first to last by the Turbo map; the background is black."""
     g = grey(img)
     labels = components(g > otsu(g))
-    t = labels / max(labels.max(), 1)
-    ramp = np.stack([0.5 + 0.5 * np.cos(math.pi * t * 2), np.sin(math.pi * t), t], axis=2)
-    out = _byte(ramp * 255)
+    out = turbo(labels / max(labels.max(), 1))
     out[labels == 0] = 0
     return out
 
@@ -319,6 +383,16 @@ REGISTRY: dict[str, Callable[..., np.ndarray]] = {
     "normalize": normalize, "lab_clahe": lab_clahe, "auto_gamma": auto_gamma, "gaussian": gaussian, "median": median, "bilateral": bilateral,
     "unsharp": unsharp, "gray_bgr": lambda img: colour(grey(img)), "blackhat": blackhat,
 }
+
+
+def register(name: str, transform: Callable[..., np.ndarray]) -> None:
+    """Makes a transform (image and parameters to image) known to catalogues, advice and benchmark under a new name."""
+    if not name.isidentifier() or name in transforms.NAMES:
+        raise ValueError(f"a transform needs a name of its own: {name}")
+    REGISTRY[name] = transform
+    transforms.NAMES.add(name)
+
+
 #: The explorer's operations: image and kernel size to image.
 EXPLORER: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
     "CLAHE": lambda i, k: lab_clahe(i), "Gaussian Blur": lambda i, k: gaussian(i, k), "Median Blur": lambda i, k: median(i, k), "Bilateral Filter": lambda i, k: bilateral(i),

@@ -36,6 +36,10 @@ class Point:
     response: float
 
 
+def _part(g: np.ndarray, axis: int, start: int, stop: int | None) -> np.ndarray:
+    return g[(slice(None),) * axis + (slice(start, stop),)]
+
+
 def blur(g: np.ndarray, sigma: float) -> np.ndarray:
     r = int(np.ceil(4 * sigma))
     taps = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
@@ -43,14 +47,16 @@ def blur(g: np.ndarray, sigma: float) -> np.ndarray:
     for axis in (0, 1):
         n = g.shape[axis]
         p = np.pad(g, [(r, r) if a == axis else (0, 0) for a in (0, 1)], "symmetric")
-        g = sum(t * np.take(p, range(i, i + n), axis) for i, t in enumerate(taps))
+        g = taps[r] * _part(p, axis, r, r + n)
+        for i in range(r):  # the taps are the same on both sides
+            g += taps[i] * (_part(p, axis, i, i + n) + _part(p, axis, 2 * r - i, 2 * r - i + n))
     return g
 
 
 def doubled(g: np.ndarray) -> np.ndarray:
     """Twice the size: samples stay, new ones lie half-way between."""
     for axis in (0, 1):
-        after = np.concatenate([np.take(g, range(1, g.shape[axis]), axis), np.take(g, [-1], axis)], axis)
+        after = np.concatenate([_part(g, axis, 1, None), _part(g, axis, -1, None)], axis)
         g = np.stack([g, (g + after) / 2], axis + 1).reshape([2 * n if a == axis else n for a, n in enumerate(g.shape)])
     return g
 
@@ -72,8 +78,7 @@ def pyramid(g: np.ndarray, s: Settings) -> list[np.ndarray]:
 def _around(d: np.ndarray, pick) -> np.ndarray:
     """The extreme of each 3 x 3 x 3 neighbourhood, without the rim."""
     for axis in range(3):
-        n = d.shape[axis]
-        d = pick(pick(np.take(d, range(0, n - 2), axis), np.take(d, range(1, n - 1), axis)), np.take(d, range(2, n), axis))
+        d = pick(pick(_part(d, axis, 0, -2), _part(d, axis, 1, -1)), _part(d, axis, 2, None))
     return d
 
 
@@ -121,23 +126,33 @@ def extrema(planes: np.ndarray, octave: int, s: Settings) -> list[Point]:
     return list(out.values())
 
 
-def _patch(plane: np.ndarray, y: float, x: float, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets from the point, sizes and angles of the gradients of the samples around it."""
-    h, w = plane.shape
-    ys, xs = np.arange(max(1, round(y) - r), min(h - 1, round(y) + r + 1)), np.arange(max(1, round(x) - r), min(w - 1, round(x) + r + 1))
-    dy, dx = plane[np.ix_(ys + 1, xs)] - plane[np.ix_(ys - 1, xs)], plane[np.ix_(ys, xs + 1)] - plane[np.ix_(ys, xs - 1)]
-    oy, ox = np.meshgrid(ys - y, xs - x, indexing="ij")
-    return oy, ox, np.hypot(dy, dx), np.arctan2(dy, dx)
+def gradients(plane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and angles of a plane's central differences; the rim has none."""
+    dy, dx = np.zeros_like(plane), np.zeros_like(plane)
+    dy[1:-1, 1:-1], dx[1:-1, 1:-1] = plane[2:, 1:-1] - plane[:-2, 1:-1], plane[1:-1, 2:] - plane[1:-1, :-2]
+    return np.hypot(dy, dx), np.arctan2(dy, dx)
+
+
+Gradients = tuple[np.ndarray, np.ndarray]
 
 
-def turns(plane: np.ndarray, y: float, x: float, sigma: float, bins: int = 36) -> list[float]:
+def _patch(own: Gradients, y: float, x: float, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets from the point (down as a column, across as a row), sizes and angles of the samples around it."""
+    h, w = own[0].shape
+    y0, y1, x0, x1 = max(1, round(y) - r), min(h - 1, round(y) + r + 1), max(1, round(x) - r), min(w - 1, round(x) + r + 1)
+    return (np.arange(y0, y1) - y)[:, None], (np.arange(x0, x1) - x)[None, :], own[0][y0:y1, x0:x1], own[1][y0:y1, x0:x1]
+
+
+def turns(own: Gradients, y: float, x: float, sigma: float, bins: int = 36) -> list[float]:
     """Angles of the peaks, at least 0.8 of the highest, of the histogram of gradients around a point."""
-    oy, ox, size, angle = _patch(plane, y, x, round(4.5 * sigma))
+    oy, ox, size, angle = _patch(own, y, x, round(4.5 * sigma))
     weight = size * np.exp(-(oy**2 + ox**2) / (2 * (1.5 * sigma) ** 2))
     hist = np.bincount(np.rint(angle / (2 * np.pi) * bins).astype(int).ravel() % bins, weight.ravel(), bins)
     for _ in range(2):
-        hist = (np.roll(hist, 1) + 2 * hist + np.roll(hist, -1)) / 4
-    left, right = np.roll(hist, 1), np.roll(hist, -1)
+        ring = np.concatenate([hist[-1:], hist, hist[:1]])
+        hist = (ring[:-2] + 2 * hist + ring[2:]) / 4
+    ring = np.concatenate([hist[-1:], hist, hist[:1]])
+    left, right = ring[:-2], ring[2:]
     out = []
     for i in np.flatnonzero((hist > left) & (hist >= right) & (hist >= 0.8 * hist.max())):
         bend = left[i] - 2 * hist[i] + right[i]
@@ -145,11 +160,11 @@ def turns(plane: np.ndarray, y: float, x: float, sigma: float, bins: int = 36) -
     return out
 
 
-def shares(plane: np.ndarray, y: float, x: float, sigma: float, angle: float, cells: int = 4, bins: int = 8) -> np.ndarray:
+def shares(own: Gradients, y: float, x: float, sigma: float, angle: float, cells: int = 4, bins: int = 8) -> np.ndarray:
     """Gradients around a point in its own turn, shared among the nearest of 4 x 4 cells and 8 directions; of length 1, cut at
     0.2, of length 1 again."""
     width = 3 * sigma
-    oy, ox, size, turn = _patch(plane, y, x, round(width * np.sqrt(2) * (cells + 1) / 2))
+    oy, ox, size, turn = _patch(own, y, x, round(width * np.sqrt(2) * (cells + 1) / 2))
     c, s = np.cos(angle), np.sin(angle)
     across, down = (ox * c + oy * s) / width, (oy * c - ox * s) / width
     weight = (size * np.exp(-(across**2 + down**2) / (cells**2 / 2))).ravel()
@@ -157,14 +172,9 @@ def shares(plane: np.ndarray, y: float, x: float, sigma: float, angle: float, ce
     inside = (place[0] > -1) & (place[0] < cells) & (place[1] > -1) & (place[1] < cells)
     place, weight = [p[inside] for p in place], weight[inside]
     low = [np.floor(p).astype(int) for p in place]
-    rest = [p - q for p, q in zip(place, low, strict=True)]
-    out = np.zeros((cells + 2) ** 2 * bins)
-    for a in (0, 1):
-        for b in (0, 1):
-            for e in (0, 1):
-                part = weight * np.abs(1 - a - rest[0]) * np.abs(1 - b - rest[1]) * np.abs(1 - e - rest[2])
-                at = ((low[0] + 1 + a) * (cells + 2) + low[1] + 1 + b) * bins + (low[2] + e) % bins
-                out += np.bincount(at, part, len(out))
+    both = [((q + 1, 1 - (p - q)), (q + 2, p - q)) for p, q in zip(place, low, strict=True)]  # the two nearest, with their shares
+    corners = [(((a * (cells + 2) + b) * bins + (e - 1) % bins), u * v * t) for a, u in both[0] for b, v in both[1] for e, t in both[2]]
+    out = np.bincount(np.concatenate([at for at, _ in corners]), np.concatenate([weight * part for _, part in corners]), (cells + 2) ** 2 * bins)
     v = out.reshape(cells + 2, cells + 2, bins)[1:-1, 1:-1].ravel()
     v = np.minimum(v / max(np.linalg.norm(v), 1e-12), 0.2)
     return v / max(np.linalg.norm(v), 1e-12)
@@ -176,10 +186,13 @@ def describe(grey: np.ndarray, most: int = 250, settings: Settings | None = None
     s = settings or Settings()
     octaves = pyramid(grey.astype(np.float64) / 255, s)
     points = sorted((p for o, planes in enumerate(octaves) for p in extrema(planes, o, s)), key=lambda p: (-round(p.response, 9), p.octave, p.y, p.x))[:most]
-    out = []
+    out, seen = [], {}
     for p in points:
-        plane = octaves[p.octave][min(max(round(p.layer), 0), s.intervals + 2)]
+        layer = min(max(round(p.layer), 0), s.intervals + 2)
+        if (own := seen.get((p.octave, layer))) is None:
+            own = seen[p.octave, layer] = gradients(octaves[p.octave][layer])
         sigma, grown = s.sigma * 2 ** (p.layer / s.intervals), 2.0 ** (p.octave - 1)
-        for angle in turns(plane, p.y, p.x, sigma):
-            out.append({"y": float(p.y * grown), "x": float(p.x * grown), "scale": float(sigma * grown), "angle": float(angle), "response": p.response, "features": shares(plane, p.y, p.x, sigma, angle).tolist()})
+        for angle in turns(own, p.y, p.x, sigma):
+            features = shares(own, p.y, p.x, sigma, angle).tolist()
+            out.append({"y": float(p.y * grown), "x": float(p.x * grown), "scale": float(sigma * grown), "angle": float(angle), "response": p.response, "features": features})
     return out[:most]

@@ -88,6 +88,71 @@ def blackhat(px: Column, h: Column, w: Column, k: int = 9, shape: str = "ellipse
     return F.zip_with(closing(px, h, w, k, shape), px, lambda a, b: a - b)
 
 
+def bilateral(px: Column, h: Column, w: Column, diameter: int = 7, sigma_color: float = 45.0, sigma_space: float = 45.0, channels: int = 3) -> Column:
+    """Means of a disc, weighted by nearness in place and in level. A level counts `channels` times in a distance, as a grey image of
+    so many equal channels has it."""
+    if min(diameter, sigma_color, sigma_space) <= 0:
+        raise ValueError("diameter and sigmas must be positive")
+    r = max(1, diameter // 2)
+    disc = [(dy, dx) for dy, dx in plane.square(2 * r + 1) if dy * dy + dx * dx <= r * r]
+
+    def fold(at):
+        def add(acc: Column, near: Column) -> Column:
+            gap = (near.v - at(0, 0)) * channels
+            weight = F.exp(near.far - gap * gap / F.lit(2.0 * sigma_color**2))
+            return F.struct((acc.total + weight * near.v).alias("total"), (acc.weight + weight).alias("weight"))
+
+        near = F.array(*[F.struct(at(dy, dx).cast("double").alias("v"), F.lit(-(dy * dy + dx * dx) / (2.0 * sigma_space**2)).alias("far")) for dy, dx in disc])
+        zero = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("weight"))
+        return F.aggregate(near, zero, add, lambda acc: plane.byte(F.round(acc.total / acc.weight, 6)))
+
+    return plane.neighbours(px, h, w, "reflect", fold)
+
+
+def clahe(px: Column, h: Column, w: Column, clip_limit: float = 2.0, grid_size: int = 8) -> Column:
+    """Contrast-limited adaptive equalisation: a table of 256 levels for each cell of the grid, as an array in the row; samples
+    blend those of the four nearest cells. The image is mirrored up to a multiple of the grid."""
+    if clip_limit <= 0 or grid_size <= 0:
+        raise ValueError("clip_limit and grid_size must be positive")
+    up, k = (lambda n: F.ceil(n / grid_size).cast("int")), grid_size
+    levels = F.sequence(F.lit(0), F.lit(255))
+    mirrored = (up(h) * k - h < h) & (up(w) * k - w < w)
+    source = lambda i, n: F.when(i < n, i).when(mirrored, 2 * (n - 1) - i).otherwise(n - 1)
+    area = up(h) * up(w)
+    limit = F.greatest(F.lit(1), F.floor(F.lit(float(clip_limit)) * area / 256).cast("int"))
+
+    def table(cell: Column) -> Column:
+        top, left = F.floor(cell / k).cast("int") * up(h), (cell % k) * up(w)
+        held = F.transform(F.sequence(F.lit(0), area - 1), lambda i: F.get(px, source(top + F.floor(i / up(w)).cast("int"), h) * w + source(left + i % up(w), w)))
+        counts = plane.once(held, lambda own: F.transform(levels, lambda v: F.size(F.filter(own, lambda x: x == v))))
+
+        def clipped(c: Column) -> Column:
+            excess = F.aggregate(c, F.lit(0), lambda a, n: a + F.greatest(n - limit, F.lit(0)))
+            return plane.once(excess, lambda e: F.transform(c, lambda n, i: F.least(n, limit) + F.floor(e / 256).cast("int") + extra(e % 256, i)))
+
+        def extra(left_over: Column, i: Column) -> Column:
+            step = F.greatest(F.lit(1), F.floor(F.lit(256) / F.greatest(left_over, F.lit(1))).cast("int"))
+            return F.when((i % step == 0) & (i / step < left_over), 1).otherwise(0)
+
+        upto = lambda c: F.transform(levels, lambda v: F.aggregate(F.slice(c, F.lit(1), v + 1), F.lit(0), lambda a, n: a + n))
+        level = lambda n: plane.byte(n * F.lit(255.0) / area)
+        return plane.once(counts, lambda c: plane.once(clipped(c), lambda own: F.transform(plane.once(own, upto), level)))
+
+    def blended(tables: Column) -> Column:
+        def one(v: Column, i: Column) -> Column:
+            y, x = (F.floor(i / w) + 0.5) / up(h) - 0.5, (i % w + 0.5) / up(w) - 0.5
+            y0, x0 = F.floor(y).cast("int"), F.floor(x).cast("int")
+            fy, fx = y - y0, x - x0
+            inside = lambda c: F.greatest(F.lit(0), F.least(F.lit(k - 1), c))
+            at = lambda r, c: F.get(F.get(tables, inside(r) * k + inside(c)), v)
+            above, below = at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx, at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx
+            return plane.byte(F.round(above * (1 - fy) + below * fy, 6))
+
+        return F.transform(px, one)
+
+    return plane.once(F.transform(F.sequence(F.lit(0), F.lit(k * k - 1)), table), blended)
+
+
 def grey_to_colour(px: Column, h: Column, w: Column) -> Column:
     """Grey replicated to three planes; on a grey plane the same values."""
     return px
@@ -149,12 +214,16 @@ def gabor_taps(k: int) -> list[plane.Tap]:
 
 #: The transforms a catalogue may name.
 REGISTRY: dict[str, Callable[..., Column]] = {
-    "normalize": normalize, "auto_gamma": auto_gamma, "gaussian": gaussian, "median": median, "unsharp": unsharp, "gray_bgr": grey_to_colour, "blackhat": blackhat,
+    "normalize": normalize, "auto_gamma": auto_gamma, "gaussian": gaussian, "median": median, "unsharp": unsharp, "bilateral": bilateral, "gray_bgr": grey_to_colour, "blackhat": blackhat,
 }
 
 
+#: All transforms by name: those above, those that are kernels alone, and what is registered beside them.
+NAMES = {*REGISTRY, "lab_clahe"}
+
+
 def check_config(name: str, params: dict) -> None:
-    if name not in REGISTRY and name not in ("lab_clahe", "bilateral"):
+    if name not in NAMES:
         raise ValueError(f"unknown transform: {name}")
     if "kernel_size" in params:
         check_kernel(params["kernel_size"])

@@ -20,16 +20,16 @@ def measure(images: DataFrame, profile: str = "auto", pipelines: tuple[catalog.P
     """(path, pipeline_id, processing_ms, before_*, after_*): a row for each image and pipeline of the profile."""
     if profile not in catalog.PROFILES:
         raise ValueError(f"unknown profile: {profile}")
-    chosen = tuple(p for p in pipelines if profile in p.profiles)
+    chosen = tuple((p.id, benchmark.runnable(p)) for p in pipelines if profile in p.profiles)
 
     def one(img) -> list[dict]:
         before, out = kernels.diagnose(img), []
-        for p in chosen:
+        for name, steps in chosen:
             began = time.perf_counter()
-            done = benchmark.run_pipeline(img, p)
+            done = benchmark.run_pipeline(img, steps)
             ms = (time.perf_counter() - began) * 1000
             after = kernels.diagnose(done)
-            out.append({"pipeline_id": p.id, "processing_ms": ms} | {f"before_{k}": float(v) for k, v in before.items()} | {f"after_{k}": float(v) for k, v in after.items()})
+            out.append({"pipeline_id": name, "processing_ms": ms} | {f"before_{k}": float(v) for k, v in before.items()} | {f"after_{k}": float(v) for k, v in after.items()})
         return out
 
     schema = "pipeline_id string, processing_ms double, " + ", ".join(f"{s}_{m} double" for s in ("before", "after") for m in diagnostics.METRICS)
@@ -64,7 +64,7 @@ def diagnostics_rows(found: DataFrame, advice: DataFrame) -> DataFrame:
 
 def steps(images: DataFrame, advice: DataFrame, pipelines: tuple[catalog.Pipeline, ...] = catalog.DEFAULT) -> DataFrame:
     """(path, pipeline_id, step_no, transform, png) of every step of the pipelines that `advice` names for an image."""
-    by_id = {p.id: p for p in pipelines}
+    by_id = {p.id: benchmark.runnable(p) for p in pipelines}
     named = images.join(advice.groupBy("path").agg(F.collect_set("pipeline_id").alias("chosen")), "path")
 
     def one(img, row) -> list[dict]:

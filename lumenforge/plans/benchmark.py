@@ -55,26 +55,34 @@ class Result:
     fold_count: int
 
 
-def run_steps(img, pipeline: catalog.Pipeline) -> Iterator[tuple[catalog.Step, np.ndarray]]:
+Runnable = tuple[tuple[catalog.Step, Callable[..., np.ndarray]], ...]
+
+
+def runnable(pipeline: catalog.Pipeline) -> Runnable:
+    """A pipeline's steps with their transforms, looked up where this is called: tasks get the functions, registered ones too."""
+    return tuple((s, kernels.REGISTRY[s.transform]) for s in pipeline.steps)
+
+
+def run_steps(img, steps: Runnable) -> Iterator[tuple[catalog.Step, np.ndarray]]:
     """Each step with the image after it."""
-    for step in pipeline.steps:
-        img = kernels.REGISTRY[step.transform](kernels.check_image(img), **step.params)
+    for step, transform in steps:
+        img = transform(kernels.check_image(img), **step.params)
         yield step, img
 
 
-def run_pipeline(img, pipeline: catalog.Pipeline):
-    for _, img in run_steps(img, pipeline):
+def run_pipeline(img, steps: Runnable):
+    for _, img in run_steps(img, steps):
         pass
     return img
 
 
 def _extracted(pipeline: catalog.Pipeline | None, profile: str) -> Callable[[np.ndarray], list[dict]]:
     """Features of an image after a pipeline, with the time that each of the two took."""
-    extractor = features.EXTRACTORS[profile]
+    extractor, steps = features.EXTRACTORS[profile], runnable(pipeline) if pipeline else ()
 
     def one(img) -> list[dict]:
         began = time.perf_counter()
-        done = run_pipeline(img, pipeline) if pipeline else img
+        done = run_pipeline(img, steps)
         between = time.perf_counter()
         values = extractor(done).tolist()
         return [{"features": values, "preprocessing_ms": (between - began) * 1000, "feature_extraction_ms": (time.perf_counter() - between) * 1000}]

@@ -240,6 +240,116 @@ def gabor(spark: SparkSession, d: str) -> DataFrame:
     return images.select("image_id", _written(F.transform(response, lambda v: plane.byte(F.round(F.abs(v), 6)))))
 
 
+def _bilateral_sql(diameter: int, colour_: float, space: float) -> str:
+    r = diameter // 2
+    disc = [(dy, x) for dy, x in plane.square(2 * r + 1) if dy * dy + x * x <= r * r]
+    far = "CASE o.i " + " ".join(f"WHEN {i} THEN {-(dy * dy + x * x) / (2.0 * space**2)!r}::DOUBLE" for i, (dy, x) in enumerate(disc)) + " END"
+    weight = f"exp({far} - 9 * (q.g - p.g) * (q.g - p.g) / {2.0 * colour_**2}::DOUBLE)"
+    return f", bl AS (SELECT p.image_id, p.y, p.x, CAST(round_even(round(sum({weight} * q.g) / sum({weight}), 6), 0) AS INT) AS g FROM {_near('reflect', disc)} GROUP BY p.image_id, p.y, p.x)"
+
+
+@query(GRID + _bilateral_sql(7, 45, 45) + _PLANE.format("bl"))
+def bilateral_blur(spark: SparkSession, d: str) -> DataFrame:
+    return _plane(spark, d, tx.bilateral, 7, 45.0, 45.0)
+
+
+#: Cells of 4 x 4 samples, of which each level counts twice at most.
+_CLAHE = """, n AS (SELECT image_id, y // 4 * 2 + x // 4 AS cell, g AS v, count(*) AS n FROM px GROUP BY ALL), k AS (SELECT DISTINCT image_id, cell FROM n),
+c AS (SELECT image_id, cell, v, coalesce(n, 0) AS n FROM k CROSS JOIN (SELECT CAST(unnest(range(256)) AS INT) AS v) LEFT JOIN n USING (image_id, cell, v)),
+ex AS (SELECT *, CAST(sum(greatest(n - 2, 0)) OVER (PARTITION BY image_id, cell) AS INT) AS excess FROM c),
+h AS (SELECT image_id, cell, v, least(n, 2) + excess // 256 + CASE WHEN excess % 256 > 0 AND v % greatest(1, 256 // greatest(excess % 256, 1)) = 0 AND v // greatest(1, 256 // greatest(excess % 256, 1)) < excess % 256 THEN 1 ELSE 0 END AS n FROM ex),
+t AS (SELECT image_id, cell, v, least(255, round_even(sum(n) OVER (PARTITION BY image_id, cell ORDER BY v) * 255.0::DOUBLE / 16, 0)) AS level FROM h),
+s AS (SELECT *, (y + 0.5::DOUBLE) / 4 - 0.5 AS fy, (x + 0.5::DOUBLE) / 4 - 0.5 AS fx FROM px),
+o AS (SELECT s.*, CAST(greatest(0, least(1, floor(fy) + dy)) * 2 + greatest(0, least(1, floor(fx) + dx)) AS INT) AS cell, abs(1 - dy - (fy - floor(fy))) * abs(1 - dx - (fx - floor(fx))) AS share FROM s CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) z(dy, dx)),
+cl AS (SELECT o.image_id, o.y, o.x, CAST(round_even(round(sum(t.level * o.share), 6), 0) AS INT) AS g FROM o JOIN t ON t.image_id = o.image_id AND t.cell = o.cell AND t.v = o.g GROUP BY ALL)"""
+
+
+@query(GRID + _CLAHE + _PLANE.format("cl"))
+def clahe(spark: SparkSession, d: str) -> DataFrame:
+    return _plane(spark, d, tx.clahe, 40.0, 2)
+
+
+def _canny_sql(low: str, high: str) -> str:
+    """CTEs with the edges `ed` (image_id, y, x) and the reach of each among them, by recursive queries."""
+    sector = "CASE WHEN a < 22.5 OR a >= 157.5 THEN [0, 1] WHEN a < 67.5 THEN [1, 1] WHEN a < 112.5 THEN [1, 0] ELSE [1, -1] END"
+    taps = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
+    gx, gy = ("CASE o.i " + " ".join(f"WHEN {i} THEN {(x if s else y) * (2 if 0 in (y, x) else 1)}" for i, (y, x) in enumerate(taps)) + " ELSE 0 END" for s in (1, 0))
+    return f""", th AS (SELECT image_id, {low} AS low, {high} AS high FROM (SELECT image_id, median(g) AS m FROM px GROUP BY image_id)),
+gr AS (SELECT p.image_id, p.y, p.x, CAST(sum(q.g * {gx}) AS INT) AS dx, CAST(sum(q.g * {gy}) AS INT) AS dy FROM {_near('reflect', list(taps))} GROUP BY p.image_id, p.y, p.x),
+ma AS (SELECT image_id, y, x, abs(dx) + abs(dy) AS mag, {sector} AS d FROM (SELECT *, (degrees(atan2(dy, dx)) + 360) % 180 AS a FROM gr)),
+ri AS (SELECT m.image_id, m.y, m.x, m.mag > greatest(low, high) AS strong FROM ma m JOIN th USING (image_id) LEFT JOIN ma b ON b.image_id = m.image_id AND b.y = m.y - m.d[1] AND b.x = m.x - m.d[2] LEFT JOIN ma c ON c.image_id = m.image_id AND c.y = m.y + m.d[1] AND c.x = m.x + m.d[2]
+       WHERE m.mag > low AND m.mag > coalesce(b.mag, 0) AND m.mag >= coalesce(c.mag, 0)),
+ed AS (SELECT image_id, y, x FROM ri WHERE strong UNION SELECT r.image_id, r.y, r.x FROM ed e JOIN ri r ON r.image_id = e.image_id AND abs(r.y - e.y) <= 1 AND abs(r.x - e.x) <= 1),
+re AS (SELECT image_id, y, x, y AS ty, x AS tx FROM ed UNION SELECT e.image_id, e.y, e.x, r.ty, r.tx FROM re r JOIN ed e ON e.image_id = r.image_id AND abs(r.y - e.y) <= 1 AND abs(r.x - e.x) <= 1)"""
+
+
+_RECURSIVE = GRID.replace("WITH e AS", "WITH RECURSIVE e AS", 1)
+
+
+@query(_RECURSIVE + _canny_sql("50", "150") + ", ce AS (SELECT p.image_id, p.y, p.x, CASE WHEN e.y IS NULL THEN 0 ELSE 255 END AS g FROM px p LEFT JOIN ed e USING (image_id, y, x))" + _PLANE.format("ce"))
+def canny(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import kernels
+
+    edges = lambda img: [{"px": ",".join(map(str, (kernels.canny(kernels.grey(img), 50, 150) * 255).ravel().tolist()))}]
+    return kernels.map_images(_as_images(spark, d, 1), ["image_id"], edges, "px string")
+
+
+@query(_RECURSIVE + _canny_sql("CAST(floor(0.66::DOUBLE * m) AS INT)", "CAST(floor(least(255, greatest(floor(0.66::DOUBLE * m) + 1, 1.33::DOUBLE * m))) AS INT)") + """, sz AS (SELECT image_id, y, x, count(*) AS n FROM re GROUP BY ALL)
+SELECT i.image_id, round(count(n) / 64.0::DOUBLE, 6) AS edge_density, round(CASE WHEN count(n) = 0 THEN 0 ELSE CAST(count(n) FILTER (n >= 8) AS DOUBLE) / count(n) END, 6) AS edge_continuity FROM (SELECT DISTINCT image_id FROM px) i LEFT JOIN sz USING (image_id) GROUP BY i.image_id""")
+def edge_measures(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import kernels
+
+    names = ("edge_density", "edge_continuity")
+    found = kernels.map_images(_as_images(spark, d, 1), ["image_id"], lambda img: [dict(zip(names, map(float, kernels.edge_metrics(kernels.grey(img))), strict=True))], "edge_density double, edge_continuity double")
+    return found.select("image_id", *[_r(c).alias(c) for c in names])
+
+
+# All rasters side by side, as one image that is larger than a row
+
+
+_STRIP = GRID + ", st AS (SELECT image_id, y, CAST(image_id * 8 + x AS BIGINT) AS x, g FROM px)"
+
+
+def _strip(spark: SparkSession, d: str) -> DataFrame:
+    """The table's rasters as the tiles of one image, from left to right by id. Ids run from 0 without gaps."""
+    images = rasters.load(spark, d)
+    n = images.agg(F.max("image_id")).first()[0]
+    whole = {"strip": 0, "ty": 0, "top": 0, "rows": rasters.SIDE, "cols": rasters.SIDE, "height": rasters.SIDE, "width": rasters.SIDE * ((n or 0) + 1)}
+    hexes = F.transform("px", lambda v: F.lpad(F.hex(v), 2, "0"))
+    place = {"tx": F.col("image_id").cast("int"), "left": (F.col("image_id") * rasters.SIDE).cast("int"), "data": F.unhex(F.array_join(hexes, ""))}
+    return images.select("image_id", *[F.lit(v).alias(k) for k, v in whole.items()], *[v.alias(k) for k, v in place.items()])
+
+
+def _strip_gauss() -> str:
+    """Of a separable filter, first across the seams, then down; the strip mirrors at its two ends only."""
+    w = tx.gaussian_weights(5, 0.8)
+    weight = "CASE o.d " + " ".join(f"WHEN {i - 2} THEN {c!r}::DOUBLE" for i, c in enumerate(w)) + " END"
+    offsets = "(VALUES (-2), (-1), (0), (1), (2)) o(d)"
+    return f""", m AS (SELECT max(x) AS last FROM st),
+a AS (SELECT p.image_id, p.y, p.x, sum(q.g * {weight}) AS g FROM st p CROSS JOIN m CROSS JOIN {offsets} JOIN st q ON q.y = p.y AND q.x = m.last - abs(m.last - abs(p.x + o.d)) GROUP BY p.image_id, p.y, p.x),
+b AS (SELECT p.image_id, p.y, p.x, CAST(greatest(0, least(255, round_even(round(sum(q.g * {weight}), 6), 0))) AS INT) AS g FROM a p CROSS JOIN {offsets} JOIN a q ON q.x = p.x AND q.y = 7 - abs(7 - abs(p.y + o.d)) GROUP BY p.image_id, p.y, p.x)"""
+
+
+@query(_STRIP + _strip_gauss() + _PLANE.format("b"))
+def tiled_blur(spark: SparkSession, d: str) -> DataFrame:
+    """A filter over the seams of tiles."""
+    from ..operators import kernels, tiles
+
+    done = tiles.local(_strip(spark, d), ["strip"], 2, lambda x: kernels.gaussian(x[..., 0], 5, 0.8)[..., None])
+    return done.select(F.col("tx").cast("long").alias("image_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(rasters.SIDE**2)), lambda i: F.conv(F.hex(F.substring("data", i, F.lit(1))), 16, 10)), ",").alias("px"))
+
+
+@query(_STRIP.replace("WITH e AS", "WITH RECURSIVE e AS", 1) + """, k AS (SELECT y, x, y * (1 + (SELECT max(x) FROM st)) + x + 1 AS p FROM st WHERE g > 150),
+r AS (SELECT y, x, p, p AS root FROM k UNION SELECT k.y, k.x, k.p, r.root FROM r JOIN k ON abs(k.y - r.y) <= 1 AND k.x BETWEEN r.x - 1 AND r.x + 1 AND r.root < k.p)
+SELECT root AS component, count(*) AS samples FROM (SELECT p, min(root) AS root FROM r GROUP BY p) GROUP BY root""")
+def tiled_components(spark: SparkSession, d: str) -> DataFrame:
+    """Connected bright samples over the seams of tiles."""
+    from ..operators import tiles
+
+    masks = tiles.local(_strip(spark, d), ["strip"], 0, lambda x: (x > 150).astype(np.uint8))
+    return tiles.component_sizes(masks, ["strip"]).select("component", "samples")
+
+
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     """(image_id, v, n): the histogram, at most 256 rows for an image after map-side counts."""
     return rasters.load(spark, d).select("image_id", F.explode("px").alias("v")).groupBy("image_id", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -747,7 +857,7 @@ def image_features(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def scale_descriptors(spark: SparkSession, d: str) -> DataFrame:
     """Scale-invariant keypoints of the enlarged rasters."""
-    return features.scale_descriptors(_as_images(spark, d, 8), ["image_id"])
+    return features.scale_descriptors(_as_images(spark, d), ["image_id"])
 
 
 @query()
