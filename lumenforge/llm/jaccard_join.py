@@ -15,9 +15,10 @@ that many sets share are indexed only by sets that it alone could link.
 Candidates are not all pairs of those that share a subset: a subset links its sets to the least of them, within each task
 first. Verified links make components. Where a common subset's sets are still in several components, rounds follow in which
 each of them is compared with a set that stands in the middle of the subset's, another one in each round, until that joins
-hardly any. Only then are
-pairs across the components left verified too, of which none lie within the largest component of a key. Verification compares
-the whole sets.
+hardly any. Only then are pairs across the components left compared too: of a key that few sets share as rows, of which none
+lie within the key's largest component; of one that many share in blocks of whole sets, two of them in a task, which counts
+common tokens by matrix products and tells links alone. So unlinked sets that share most of their tokens, as form letters do,
+cost time with their pairs but no rows. Verification compares the whole sets.
 
 Sets are told apart by 128-bit hashes of their shingles, shingles by 64-bit hashes of their words.
 
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
@@ -435,8 +437,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs = rare_pairs(shared.join(sized(common, 8), "key", "left_anti"), roots)
     more = verified(pairs, reps, docs, id_col, text_col, n)
-    few = verified_sets(crossing(finest(crowded, sets)), sets)
-    roots = merged(roots, more.unionByName(few))
+    roots = merged(roots, more.unionByName(crowd_links(finest(crowded, sets), sets)))
 
     known = roots.join(reps.select(F.col("sid").alias("node"), "rep"), "node")
     least = saved(known.groupBy("root").agg(F.min("rep").alias("component_id")))
@@ -501,20 +502,134 @@ def settled(crowded: DataFrame, roots: DataFrame, sets: DataFrame) -> tuple[Data
     return crowded, roots
 
 
+KEYS = ("token", "low", "high")
+
+
+def crowd_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components among the sets that share a key of `finest`. Of a key of up to FEW sets the pairs are
+    rows; the sets of larger ones are dealt into blocks, and a task compares two blocks and tells their links alone, one for each
+    set that they join, so what leaves it grows with the sets and not with their pairs."""
+    by_root = rows.groupBy(*KEYS, "root").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.when(F.col("kind") == F.col("low"), 1).otherwise(0)).alias("lows"))
+    of_key = by_root.groupBy(*KEYS).agg(F.max_by("root", F.struct("sets", "root")).alias("most"), F.sum("sets").alias("held"), F.sum("lows").alias("lows"), F.count(F.lit(1)).alias("roots"))
+    rows = saved(rows.join(of_key.where("roots > 1").drop("roots"), list(KEYS)))
+    few = verified_sets(crossing(rows.where(F.col("held") <= FEW)), sets)
+    return few.unionByName(block_links(rows.where(F.col("held") > FEW), sets))
+
+
 def crossing(rows: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of sets of like size in different components that share a key (token, low, high) of `finest`. Of
     the largest component of a key none meet each other. `at` is the token's place in a set: as a pair's first common one, it
     leaves no more common tokens than stand behind it in either set."""
-    keys = ["token", "low", "high"]
-    by_root = rows.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("sets"))
-    most = by_root.groupBy(*keys).agg(F.max_by("root", F.struct("sets", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    rows = saved(rows.join(most, keys))
-    side = lambda s: rows.select(*keys, *[F.col(c).alias(f"{d}_{s}") for c, d in (("root", "root"), ("n_shingles", "n"), ("at", "at"), ("kind", "kind"))], F.col("sid").alias(s), (F.col("root") == F.col("most")).alias(f"most_{s}"))
-    met = side("a").where("not most_a").join(side("b"), keys)
+    side = lambda s: rows.select(*KEYS, *[F.col(c).alias(f"{d}_{s}") for c, d in (("root", "root"), ("n_shingles", "n"), ("at", "at"), ("kind", "kind"))], F.col("sid").alias(s), (F.col("root") == F.col("most")).alias(f"most_{s}"))
+    met = side("a").where("not most_a").join(side("b"), list(KEYS))
     met = met.where(f"root_a <> root_b and (most_b or a < b) and (kind_a <> kind_b or low = high) and {_SIZED} and 9 * (least(n_a - at_a, n_b - at_b) + 1) >= 4 * (n_a + n_b)")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """(len(a), len(b)): the tokens that sets have in common. Tokens of many sets are counted by products of 0-1 matrices, the
+    rest pair by pair, whichever costs less."""
+    na, nb = len(a), len(b)
+    row_a, row_b = np.repeat(np.arange(na), [len(x) for x in a]), np.repeat(np.arange(nb), [len(x) for x in b])
+    distinct, number = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    in_a, in_b = number[: len(row_a)], number[len(row_a) :]
+    held_a, held_b = np.bincount(in_a, minlength=len(distinct)), np.bincount(in_b, minlength=len(distinct))
+    pairs = held_a * held_b
+    dense, out = pairs * DENSE > na * nb, np.zeros((na, nb), np.float32)
+    wide = np.flatnonzero(dense)
+    for i in range(0, len(wide), 2048):
+        column = np.full(len(distinct), -1)
+        column[wide[i : i + 2048]] = np.arange(len(wide[i : i + 2048]))
+        x, y = np.zeros((na, 2048), np.float32), np.zeros((nb, 2048), np.float32)
+        for m, rows, own in ((x, row_a, in_a), (y, row_b, in_b)):
+            at = column[own] >= 0
+            m[rows[at], column[own[at]]] = 1
+        out += x @ y.T
+    order = np.argsort(in_a, kind="stable")
+    start = np.concatenate([[0], np.cumsum(held_a)])
+    rest = np.flatnonzero(~dense[in_b] & (held_a[in_b] > 0))
+    upto = np.cumsum(held_a[in_b[rest]])
+    flat, at = np.zeros(na * nb, np.int64), 0
+    while at < len(rest):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 22), side="right")))
+        part = rest[at:end]
+        times = held_a[in_b[part]]
+        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        of_a = row_a[order[np.repeat(start[in_b[part]], times) + inside]]
+        flat += np.bincount(of_a * nb + np.repeat(row_b[part], times), minlength=na * nb)
+        at = end
+    return out.astype(np.int64) + flat.reshape(na, nb)
+
+
+def forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """Of links between rows and columns (numbered after the rows), one from every row and column to the first of those it is joined
+    with."""
+    na, nb = links.shape
+    label = np.arange(na + nb)
+    x, y = np.nonzero(links)
+    while len(x):
+        low = np.minimum(label[x], label[y + na])
+        if (label[x] == low).all() and (label[y + na] == low).all():
+            break
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y + na, low)
+    return [(int(label[i]), i) for i in range(na + nb) if label[i] != i]
+
+
+#: Sets of a key up to which their pairs are rows, tokens of a block of sets, and how much faster a product counts a pair.
+FEW, BLOCK_TOKENS, DENSE = 16, 1 << 20, 200
+
+
+def block_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components of the rows of large keys. A key's sets of the lower and the higher size class are dealt by a
+    hash into blocks of about BLOCK_TOKENS tokens. Each set goes to all tasks that compare its block with another, the whole
+    sets of two blocks at a time."""
+    size = F.pow(F.lit(STEP), F.col("high") + 1)
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n * size / BLOCK_TOKENS)).cast("int")
+    same, lower = F.col("low") == F.col("high"), F.col("kind") == F.col("low")
+    own = lambda n: F.pmod(F.xxhash64("sid"), n).cast("int")
+    ones, others = blocks(F.col("lows")), blocks(F.col("held") - F.col("lows"))
+    place = lambda i, j, second: F.struct(i.alias("i"), j.alias("j"), second.alias("second"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    within = F.transform(upto(ones), lambda q: place(F.least(own(ones), q), F.greatest(own(ones), q), own(ones) > q))
+    across = F.when(lower, F.transform(upto(others), lambda q: place(own(ones), q, F.lit(False)))).otherwise(F.transform(upto(ones), lambda q: place(q, own(others), F.lit(True))))
+    whole = rows.select(*KEYS, "sid", "root", "kind", "lows", "held").join(sets.dropDuplicates(["sid"]), "sid")
+    dealt = whole.select(*KEYS, "sid", "root", "tokens", F.inline(F.when(same, within).otherwise(across)))
+    by = [*KEYS, "i", "j"]
+
+    def compare(held: list[tuple], alone: bool) -> list[tuple[bytes, bytes]]:
+        a, b = [r for r in held if not r[3]], [r for r in held if r[3]]
+        b = a if alone else b
+        if not a or not b:
+            return []
+        tokens = lambda side: [np.frombuffer(r[2], np.uint64) for r in side]
+        n, m = (np.array([len(r[2]) // 8 for r in side]) for side in (a, b))
+        both = common_counts(tokens(a), tokens(b))
+        number = {r: i for i, r in enumerate({r[1] for r in held})}
+        root_a, root_b = (np.array([number[r[1]] for r in side]) for side in (a, b))
+        found = (100 * both >= 80 * (n[:, None] + m[None, :] - both)) & (root_a[:, None] != root_b[None, :])
+        sids = [r[0] for r in a] + [r[0] for r in b]
+        return [(min(sids[x], sids[y]), max(sids[x], sids[y])) for x, y in forest(found) if sids[x] != sids[y]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        given = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links, strict=True)] if links else [pa.array([], pa.binary())] * 2, names=["a", "b"])
+        for batch in batches:
+            links: list[tuple[bytes, bytes]] = []
+            columns = [batch.column(c).to_pylist() for c in (*by, "sid", "root", "tokens", "second")]
+            for *now, sid, root, tokens, second in zip(*columns, strict=True):
+                if now != key:
+                    links += compare(held, key is not None and key[1] == key[2] and key[3] == key[4])
+                    key, held = now, []
+                held.append((sid, root, tokens, second))
+            yield given()
+        links = compare(held, key is not None and key[1] == key[2] and key[3] == key[4])
+        yield given()
+
+    met = dealt.repartition(*by).sortWithinPartitions(*by).select(*by, "sid", "root", "tokens", "second")
+    return saved(met.mapInArrow(run, "a binary, b binary").distinct())
+
+
 def finest(crowded: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows (token, low, high) of the sets that can't do without common subsets and have some still apart: the rarest tokens of
     each, for partners of each size class. Linked sets of sizes a and b share four ninths of a + b tokens at least, so the
@@ -548,5 +663,6 @@ STEP = 1.05
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
     """`docs` with all its columns, of each component the document with the least id."""
-    gone = near_duplicates(docs, id_col, text_col, n).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone"))
-    return docs.join(saved(gone.distinct()), F.col(id_col) == F.col("__gone"), "left_anti")
+    own = f"gone_{uuid.uuid4().hex}"
+    gone = near_duplicates(docs, id_col, text_col, n).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(own))
+    return docs.join(saved(gone.distinct()), F.col(id_col) == F.col(own), "left_anti")
