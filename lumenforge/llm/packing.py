@@ -1,7 +1,7 @@
 """Packing tokens into windows by Karmarkar-Karp multiway differencing.
 
 Documents are tokenised where they are read and packed in blocks of `block_windows` windows, in the order of the rows of
-their partition, so nothing is shuffled and a task holds one block at a time. In a block each document first fills whole
+their partition, or of fewer once they hold `BLOCK_PIECES` documents, so nothing is shuffled and a task holds one block at a time. In a block each document first fills whole
 windows; what remains is differenced into near-equal windows, whose count rises whenever one exceeds the capacity. As
 documents may be cut, the emptiest windows then fill up the others and what is left of them joins the next block. So every
 sequence is full but a task's last ones: these are at most twelve short ones whose lengths are powers of two, which are not
@@ -29,31 +29,31 @@ from pyspark.sql import DataFrame
 from .common import arrow_rows
 
 CAPACITY = 4096
+#: Pieces of a block, which short texts reach before its windows.
+BLOCK_PIECES = 1 << 15
 TOKENIZER = "word_bpe_49k.json"
 
 
 def differencing(lengths: list[int], k: int) -> list[list[int]]:
-    """Indices of `lengths` in k groups of near-equal sums. A partial partition holds k sums in falling order; the two
-    with the largest differences are merged, the largest sum of one with the smallest of the other, until one is left."""
+    """Indices of `lengths` in k groups of near-equal sums. A partial partition holds its sums in falling order, those that are not 0
+    alone; the two with the largest differences are merged, the largest sum of one with the smallest of the other, until one is
+    left."""
     if not lengths:
         return [[] for _ in range(k)]
-    heap = []
-    for i, n in enumerate(lengths):
-        sums = np.zeros(k, np.int64)
-        sums[0] = n
-        heap.append((-n if k > 1 else 0, i, sums, [i] + [None] * (k - 1)))
+    fall = lambda entry: -entry[0]
+    heap = [(-n if k > 1 else 0, i, [(n, i)]) for i, n in enumerate(lengths)]
     heapq.heapify(heap)
     serial = count(len(lengths))
     while len(heap) > 1:
-        _, _, s, a = heapq.heappop(heap)
-        _, _, t, b = heapq.heappop(heap)
-        sums = s + t[::-1]
-        sets = [y if x is None else x if y is None else (x, y) for x, y in zip(a, reversed(b), strict=True)]
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), next(serial), sums, [sets[i] for i in order]))
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        alone, other = max(k - len(b), 0), max(k - len(a), 0)  # of each, the sums that meet a 0
+        met = [(x[0] + y[0], (x[1], y[1])) for x, y in zip(a[alone:], reversed(b[other:]), strict=True)] if len(a) + len(b) > k else []
+        sums = sorted(a[:alone] + met + b[:other], key=fall)
+        heapq.heappush(heap, ((sums[-1][0] if len(sums) == k else 0) - sums[0][0], next(serial), sums))
+    trees = [x[1] for x in heap[0][2]]
     out = []
-    for tree in heap[0][3]:
+    for tree in trees + [None] * (k - len(trees)):
         group, stack = [], [] if tree is None else [tree]
         while stack:
             x = stack.pop()
@@ -268,7 +268,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                 held[d] = (key, ids + end)
                 pieces.append((d, 0, len(ids) // 4 + 1))
                 tokens += pieces[-1][2]
-                if tokens >= block_windows * capacity:
+                if tokens >= block_windows * capacity or (len(pieces) >= BLOCK_PIECES and tokens >= capacity):
                     full, pieces = pack_block(pieces, capacity)
                     yield from rows_of(full)
                     held = {x[0]: held[x[0]] for x in pieces}

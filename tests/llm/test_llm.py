@@ -200,6 +200,43 @@ def test_differencing_is_near_equal():
     assert sorted(i for g in groups for i in g) == list(range(200)) and max(sums) - min(sums) <= 10
 
 
+def dense_differencing(lengths, k):
+    """The same with all k sums of every partial partition."""
+    heap = [(-n if k > 1 else 0, i, [n] + [0] * (k - 1)) for i, n in enumerate(lengths)]
+    serial = len(heap)
+    while len(heap) > 1:
+        heap.sort()
+        (_, _, a), (_, _, b), *heap = heap
+        sums = sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True)
+        heap.append((sums[-1] - sums[0], serial, sums))
+        serial += 1
+    return heap[0][2]
+
+
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=30), st.integers(1, 12))
+@settings(max_examples=200, deadline=None)
+def test_sparse_differencing_has_the_sums_of_the_dense_one(sizes, k):
+    groups = packing.differencing(sizes, k)
+    assert sorted(i for g in groups for i in g) == list(range(len(sizes))) and len(groups) == k
+    assert sorted((sum(sizes[i] for i in g) for g in groups), reverse=True) == dense_differencing(sizes, k)
+
+
+def test_short_texts_are_packed_in_bounded_blocks():
+    """524,288 texts of one token: seconds, and memory for one block."""
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began, rest, full = time.perf_counter(), [], 0
+    for i in range(0, 1 << 19, packing.BLOCK_PIECES):
+        done, rest = packing.pack_block([*rest, *((d, 0, 1) for d in range(i, i + packing.BLOCK_PIECES))])
+        full += len(done)
+        assert all(sum(x[2] for x in w) == packing.CAPACITY for w in done)
+    spent, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert full == (1 << 19) // packing.CAPACITY and not rest and spent < 40 and peak < 100 << 20
+
+
 def test_pack(spark, texts):
     from tokenizers import Tokenizer
 
