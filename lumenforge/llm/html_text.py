@@ -8,7 +8,8 @@ The table is the blocks of a few short pages below, each with its label; the tre
 and sent with the tasks. Pages are read one by one where they lie: nothing is shuffled.
 
 Defined results: a null page is empty and gives the text '' with 0 characters; unclosed tags end with their container;
-unclosed comments, scripts and styles reach to the end of the page; rows with the same id stay rows of their own; an empty
+unclosed comments, scripts, styles, titles, text areas and frames reach to the end of the page; of buttons, lists to select from,
+drawings and the like only closed ones are dropped, so that an unclosed one takes no text along; rows with the same id stay rows of their own; an empty
 table gives an empty one; further columns are ignored.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_rows
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<svg(?![\w:-])(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?<=/)>|<(script|style|textarea|title|noscript|template|iframe|svg|select|button|object)(?![\w:-])[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-zA-Z][^>]*+>|[^<]++|<""", re.S | re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<svg(?![\w:-])(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?<=/)>|<(script|style|textarea|title|iframe)(?![\w:-])[^>]*+>.*?(?:</\1\s*>|\Z)|<(noscript|template|svg|select|button|object)(?![\w:-])[^>]*+>[^<]*+(?:<(?!/?\2(?![\w:-]))[^<]*+)*+</\2\s*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-zA-Z][^>]*+>|[^<]++|<""", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)\s*+(?:=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 #: Elements that end the text block before and after them.
 BREAKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -68,28 +70,42 @@ def _holders(page: str) -> set[int]:
     in a region named as beside the article when an article came before it."""
     out: set[int] = set()
     stack: list[list] = [["", -1, True, False, False]]  # element, start, named as beside, an article before it, one in it
+    named_, open_, with_article = [stack[0]], Counter(), 0  # open elements that are named, all by name, and those with an article
+    full: set[int] = set()  # marked by a main element or an h1, whose walk goes as far as any
     for m in _TOKEN.finditer(page):
-        if m[3] is None:
+        if m[4] is None:
             continue
-        name = m[3].lower()
-        if m[2]:
-            if name in REGIONS and any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
+        name = m[4].lower()
+        if m[3]:
+            while name in REGIONS and open_[name]:
+                top = stack.pop()
+                open_[top[0]] -= 1
+                if top[2]:
+                    named_.pop()
+                    with_article -= top[4]
+                if top[0] == name:
+                    break
             continue
         if name not in REGIONS and name not in CORE:
             continue
-        names = _names(m[4])
+        names = _names(m[5])
         if name in CORE and not _reply(name, names):
             for above in reversed(stack):
-                if above[0] in TEASERS or name == "article" and above[3]:
+                # What a walk from here has marked, it has marked all that lies above.
+                if above[0] in TEASERS or name == "article" and above[3] or above[1] in full or name == "article" and above[1] in out:
                     break
                 out.add(above[1])
-            if name != "h1":
-                next(x for x in reversed(stack) if x[2])[4] = True
-        if name in REGIONS and not m[4].rstrip().endswith("/"):
+                if name != "article":
+                    full.add(above[1])
+            if name != "h1" and not named_[-1][4]:
+                named_[-1][4] = True
+                with_article += 1
+        if name in REGIONS and not m[5].rstrip().endswith("/"):
             named = _beside(name, names)
-            stack.append([name, m.start(), named, named and any(x[4] for x in stack), False])
+            stack.append([name, m.start(), named, named and with_article > 0, False])
+            open_[name] += 1
+            if named:
+                named_.append(stack[-1])
     return out
 
 
@@ -109,7 +125,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int, int, bool, int]] = []  # element, what it adds to the side regions, whether an article, beside by its words, by a hint
     holders: set[int] | None = None
-    side = inside = links = own = heading = hint = own_hint = 0
+    side = inside = links = own = heading = hint = own_hint = shut = 0  # shut: open teasers and regions beside the article
+    open_: Counter = Counter()
     parts: list[str] = []
     linked: list[str] = []
 
@@ -125,7 +142,7 @@ def blocks(page: str) -> list[Block]:
         own = heading = own_hint = 0
 
     for m in _TOKEN.finditer(page):
-        name = m[3]
+        name = m[4]
         if name is None:
             s = m[0]
             if s[0] != "<" or s == "<":
@@ -133,7 +150,7 @@ def blocks(page: str) -> list[Block]:
                 if links:
                     linked.append(s)
             continue
-        name, ends, attrs = name.lower(), bool(m[2]), m[4]
+        name, ends, attrs = name.lower(), bool(m[3]), m[5]
         if name == "a":
             links = 0 if ends else 1
             continue
@@ -141,12 +158,14 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if ends:
-            if name in REGIONS and any(x[0] == name for x in stack):
+            if name in REGIONS and open_[name]:
                 while True:
-                    top, a, b, _, c = stack.pop()
+                    top, a, b, away, c = stack.pop()
+                    open_[top] -= 1
                     side -= a
                     inside -= b
                     hint -= c
+                    shut -= top in TEASERS or away
                     if top == name:
                         break
                 links = 0
@@ -158,11 +177,13 @@ def blocks(page: str) -> list[Block]:
                 holders = _holders(page) if holders is None else holders
                 beside, hinted = beside and m.start() not in holders, hinted and m.start() not in holders
             a = int(beside or name in SIDE and not (name == "form" and m.start() in holders) or name == "header" and not inside)
-            if name == "main" or name == "article" and not beside and not any(x[0] in TEASERS or x[3] for x in stack):
+            if name == "main" or name == "article" and not beside and not shut:
                 a = -side  # the article starts anew, whatever is open around it
             b = int(name in ("article", "main") or bool(names and not beside and _MAIN_WORD.search(names)))
             if not attrs.rstrip().endswith("/"):
                 stack.append((name, a, b, beside, int(hinted)))
+                open_[name] += 1
+                shut += name in TEASERS or beside
                 side += a
                 inside += b
                 hint += hinted

@@ -435,6 +435,29 @@ def test_html(spark):
     assert got[1] == (want, len(want)) and got[2] == ("", 0) == got[3] and got[5] == ("", 0)
 
 
+def test_html_unclosed_elements_keep_the_rest():
+    tree = html_text.grow(html_text.labelled_table())
+    text = lambda page: html_text.main_text(page, tree).split("\n")
+    assert text("<article><p>A</p><button>Share<p>B</p></article>")[-1] == "B"
+    assert text("<article><p>A</p><button>Share</button><p>B</p><select><option>x</select><p>C</p></article>") == ["A", "B", "C"]
+    assert text("<article><p>A</p><button>one<p>B</p><button>two</button><p>C</p></article>")[-2:] == ["B", "C"]
+    for name in ("noscript", "template", "svg", "select", "button", "object"):
+        assert text(f"<article><p>A</p><{name}><p>B</p></article>")[-1] == "B" and text(f"<article><p>A</p><{name} x=1>no</{name} ><p>B</p></article>") == ["A", "B"]
+    assert text("<article><p>A</p><script>x = '<p>B</p>'") == ["A"]
+
+
+def test_html_long_pages_take_time_in_proportion():
+    import time
+
+    for page in (
+        "<div>" * 100_000 + "</section>" * 100_000, "<div>" * 50_000 + "<h1>x</h1>" * 50_000, "<div class=ad>" * 50_000 + "<article>x</article>" * 50_000,
+        "<button><select><object>" * 50_000, "<aside>" * 50_000 + "<article>" * 50_000, "<div class=promo>" * 50_000 + "<article><h1>" * 50_000,
+    ):
+        began = time.perf_counter()
+        html_text.blocks(page)
+        assert time.perf_counter() - began < 15, page[:40]
+
+
 def test_html_side_words_on_wrappers():
     tree = html_text.grow(html_text.labelled_table())
     p = "The council met on Tuesday to hear the plans for the new bridge over the river. " * 9
