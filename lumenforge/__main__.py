@@ -16,15 +16,15 @@ def parser() -> argparse.ArgumentParser:
     a = sub.add_parser("analyze-image")
     a.add_argument("--image", required=True)
     a.add_argument("--profile", default="auto", choices=("auto", "shape", "color", "texture"))
-    a.add_argument("--output", required=True)
+    a.add_argument("--output", default="outputs")
     b = sub.add_parser("benchmark")
     b.add_argument("--dataset", required=True)
     b.add_argument("--folds", type=int, default=5)
-    b.add_argument("--pipelines", default="original,baseline-normalize,lab-clahe")
+    b.add_argument("--pipelines", default="original,lab-clahe,clahe-bilateral")
     b.add_argument("--features", default="combined")
     b.add_argument("--classifiers", default="svm,knn,rtrees")
     b.add_argument("--seed", type=int, default=42)
-    b.add_argument("--output", required=True)
+    b.add_argument("--output", default="outputs")
     c = sub.add_parser("self-check")
     c.add_argument("--output")
     return p

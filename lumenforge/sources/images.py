@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from . import formats
 from .shared import Folder, saved
 
 SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff")
@@ -115,15 +116,8 @@ def check_bgr(img: object) -> np.ndarray:
 
 
 def decode_image(data: bytes) -> np.ndarray:
-    """An uploaded PNG or BMP as blue, green and red samples; ValueError for anything else."""
-    try:
-        if data[:8] == b"\x89PNG\r\n\x1a\n":
-            return check_bgr(_decode_png(data))
-        if data[:2] == b"BM":
-            return check_bgr(_decode_bmp(data))
-    except (struct.error, zlib.error, IndexError, OverflowError, MemoryError) as e:
-        raise ValueError("not a readable image") from e
-    raise ValueError("not a PNG or BMP image")
+    """An uploaded image file as blue, green and red samples; ValueError for anything that `formats` cannot read."""
+    return check_bgr(formats.decode(data))
 
 
 def decode_bytes(df: DataFrame, key: str, content: str) -> DataFrame:
@@ -144,60 +138,6 @@ def decode_bytes(df: DataFrame, key: str, content: str) -> DataFrame:
     return df.select(key, content).mapInPandas(run, f"`{key}` {kind}, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
 
 
-MOST_SAMPLES = 1 << 28
-
-
-def _decode_png(data: bytes) -> np.ndarray:
-    w, h, depth, kind, _, _, laced = struct.unpack(">IIBBBBB", data[16:29])
-    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
-    if depth != 8 or laced or channels is None or not 0 < w * h * channels <= MOST_SAMPLES:
-        raise ValueError("a PNG of this kind is not supported")
-    at, packed, palette = 8, [], b""
-    while at + 8 <= len(data):
-        n, name = struct.unpack(">I4s", data[at : at + 8])
-        body = data[at + 8 : at + 8 + n]
-        packed += [body] if name == b"IDAT" else []
-        palette = body if name == b"PLTE" else palette
-        at += n + 12
-    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)[: h * (w * channels + 1)].reshape(h, -1)
-    out = np.zeros((h + 1, w * channels + channels), np.int64)  # a row and a sample of nothing before the first
-    for y in range(h):
-        _unfilter(int(raw[y, 0]), raw[y, 1:].astype(np.int64), out[y], out[y + 1], channels)
-    px = out[1:, channels:].astype(np.uint8).reshape(h, w, channels)
-    if kind == 3:
-        return np.frombuffer(palette, np.uint8).reshape(-1, 3)[px[..., 0]][..., ::-1].copy()
-    return px[..., :1].repeat(3, axis=2) if channels < 3 else px[..., 2::-1].copy()
-
-
-def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, own: np.ndarray, step: int) -> None:
-    """A PNG row from its filtered samples; rows have `step` zeros in front."""
-    if kind in (0, 2):
-        own[step:] = (line + (above[step:] if kind else 0)) & 255
-        return
-    if kind == 1:
-        own[step:] = np.cumsum(line.reshape(-1, step), axis=0).ravel() & 255
-        return
-    if kind not in (3, 4):
-        raise ValueError("an unknown PNG filter")
-    for i in range(step, len(own)):
-        a, b, c = int(own[i - step]), int(above[i]), int(above[i - step])
-        guess = (a + b) // 2 if kind == 3 else min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
-        own[i] = (int(line[i - step]) + guess) & 255
-
-
-def _decode_bmp(data: bytes) -> np.ndarray:
-    start, (w, h) = struct.unpack("<I", data[10:14])[0], struct.unpack("<ii", data[18:26])
-    bits, packed = struct.unpack("<HI", data[28:34])
-    if bits not in (24, 32) or packed not in (0, 3) or not 0 < w * abs(h) * 4 <= MOST_SAMPLES:
-        raise ValueError("a BMP of this kind is not supported")
-    width = (w * bits // 8 + 3) // 4 * 4
-    rows = np.frombuffer(data[start : start + width * abs(h)], np.uint8)
-    if len(rows) < width * abs(h):
-        raise ValueError("the BMP is cut short")
-    px = rows.reshape(abs(h), width)[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[..., :3]
-    return px[::-1].copy() if h > 0 else px.copy()
-
-
 def encode_png(img: np.ndarray) -> bytes:
     """A colour image (blue, green, red) as PNG."""
     h, w = img.shape[:2]
