@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, plane
 from ..operators import diagnostics as dx
-from ..operators import features, learn, metrics, scoring, split, text_checks
+from ..operators import features, learn, metrics, quantiles, scoring, split, text_checks
 from ..operators import transforms as tx
 from ..sources import rasters
 from ..sources.shared import saved
@@ -690,7 +690,9 @@ def leaderboard_positions(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH u AS (SELECT label, abs(CAST(unnest(embedding) AS DOUBLE)) AS v FROM embeddings) SELECT label, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.95), 6) AS p95 FROM u GROUP BY label")
 def feature_stats(spark: SparkSession, d: str) -> DataFrame:
     v = _table(spark, d, "embeddings").select("label", F.explode("embedding").alias("v")).withColumn("v", F.abs(F.col("v").cast("double")))
-    return v.groupBy("label").agg(_r(F.avg("v")).alias("mean"), _r(F.stddev_pop("v")).alias("std"), _r(F.percentile("v", 0.75)).alias("p75"), _r(F.percentile("v", 0.95)).alias("p95"))
+    means = v.groupBy("label").agg(_r(F.avg("v")).alias("mean"), _r(F.stddev_pop("v")).alias("std"))
+    by_share = quantiles.percentiles(v, ["label"], "v", (0.75, 0.95)).groupBy("label").pivot("share", [0.75, 0.95]).agg(F.first("percentile"))
+    return means.join(by_share, "label").select("label", "mean", "std", _r("`0.75`").alias("p75"), _r("`0.95`").alias("p95"))
 
 
 # Texts
