@@ -16,9 +16,9 @@ Candidates are not all pairs of those that share a subset: a subset links its se
 first. Verified links make components. Where a common subset's sets are still in several components, rounds follow in which
 each of them is compared with a set that stands in the middle of the subset's, another one in each round, until that joins
 hardly any. Only then are pairs across the components left compared too: of a key that few sets share as rows, of which none
-lie within the key's largest component; of one that many share in blocks of whole sets, two of them in a task, which counts
-common tokens by matrix products and tells links alone. So unlinked sets that share most of their tokens, as form letters do,
-cost time with their pairs but no rows. Verification compares the whole sets.
+lie within the key's largest component; of one that many share by bitmaps in blocks of sets, two of them in a task, which tells
+those pairs alone that differ in few enough bits. So unlinked sets that share most of their tokens, as form letters do, cost
+time with their pairs, but rows only where they just miss a link. Verification compares the whole sets.
 
 Sets are told apart by 128-bit hashes of their shingles, shingles by 64-bit hashes of their words.
 
@@ -503,17 +503,19 @@ def settled(crowded: DataFrame, roots: DataFrame, sets: DataFrame) -> tuple[Data
 
 
 KEYS = ("token", "low", "high")
+#: Sets of a key up to which their pairs are rows, and sets of a block beyond.
+FEW, BLOCK = 16, 4096
 
 
 def crowd_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between components among the sets that share a key of `finest`. Of a key of up to FEW sets the pairs are
-    rows; the sets of larger ones are dealt into blocks, and a task compares two blocks and tells their links alone, one for each
-    set that they join, so what leaves it grows with the sets and not with their pairs."""
-    by_root = rows.groupBy(*KEYS, "root").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.when(F.col("kind") == F.col("low"), 1).otherwise(0)).alias("lows"))
-    of_key = by_root.groupBy(*KEYS).agg(F.max_by("root", F.struct("sets", "root")).alias("most"), F.sum("sets").alias("held"), F.sum("lows").alias("lows"), F.count(F.lit(1)).alias("roots"))
+    rows. The sets of larger ones are compared by bitmaps, block by block, and a task tells those pairs alone whose bitmaps
+    leave a link possible."""
+    by_root = rows.groupBy(*KEYS, "root").agg(F.count(F.lit(1)).alias("sets"))
+    of_key = by_root.groupBy(*KEYS).agg(F.max_by("root", F.struct("sets", "root")).alias("most"), F.sum("sets").alias("held"), F.count(F.lit(1)).alias("roots"))
     rows = saved(rows.join(of_key.where("roots > 1").drop("roots"), list(KEYS)))
-    few = verified_sets(crossing(rows.where(F.col("held") <= FEW)), sets)
-    return few.unionByName(block_links(rows.where(F.col("held") > FEW), sets))
+    few = crossing(rows.where(F.col("held") <= FEW))
+    return verified_sets(saved(few.unionByName(crowded_pairs(rows.where(F.col("held") > FEW), sets)).distinct()), sets)
 
 
 def crossing(rows: DataFrame) -> DataFrame:
@@ -526,108 +528,86 @@ def crossing(rows: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """(len(a), len(b)): the tokens that sets have in common. Tokens of many sets are counted by products of 0-1 matrices, the
-    rest pair by pair, whichever costs less."""
-    na, nb = len(a), len(b)
-    row_a, row_b = np.repeat(np.arange(na), [len(x) for x in a]), np.repeat(np.arange(nb), [len(x) for x in b])
-    distinct, number = np.unique(np.concatenate([*a, *b]), return_inverse=True)
-    in_a, in_b = number[: len(row_a)], number[len(row_a) :]
-    held_a, held_b = np.bincount(in_a, minlength=len(distinct)), np.bincount(in_b, minlength=len(distinct))
-    pairs = held_a * held_b
-    dense, out = pairs * DENSE > na * nb, np.zeros((na, nb), np.float32)
-    wide = np.flatnonzero(dense)
-    for i in range(0, len(wide), 2048):
-        column = np.full(len(distinct), -1)
-        column[wide[i : i + 2048]] = np.arange(len(wide[i : i + 2048]))
-        x, y = np.zeros((na, 2048), np.float32), np.zeros((nb, 2048), np.float32)
-        for m, rows, own in ((x, row_a, in_a), (y, row_b, in_b)):
-            at = column[own] >= 0
-            m[rows[at], column[own[at]]] = 1
-        out += x @ y.T
-    order = np.argsort(in_a, kind="stable")
-    start = np.concatenate([[0], np.cumsum(held_a)])
-    rest = np.flatnonzero(~dense[in_b] & (held_a[in_b] > 0))
-    upto = np.cumsum(held_a[in_b[rest]])
-    flat, at = np.zeros(na * nb, np.int64), 0
-    while at < len(rest):
-        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 22), side="right")))
-        part = rest[at:end]
-        times = held_a[in_b[part]]
-        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        of_a = row_a[order[np.repeat(start[in_b[part]], times) + inside]]
-        flat += np.bincount(of_a * nb + np.repeat(row_b[part], times), minlength=na * nb)
-        at = end
-    return out.astype(np.int64) + flat.reshape(na, nb)
-
-
-def forest(links: np.ndarray) -> list[tuple[int, int]]:
-    """Of links between rows and columns (numbered after the rows), one from every row and column to the first of those it is joined
-    with."""
-    na, nb = links.shape
-    label = np.arange(na + nb)
-    x, y = np.nonzero(links)
-    while len(x):
-        low = np.minimum(label[x], label[y + na])
-        if (label[x] == low).all() and (label[y + na] == low).all():
-            break
-        np.minimum.at(label, x, low)
-        np.minimum.at(label, y + na, low)
-    return [(int(label[i]), i) for i in range(na + nb) if label[i] != i]
-
-
-#: Sets of a key up to which their pairs are rows, tokens of a block of sets, and how much faster a product counts a pair.
-FEW, BLOCK_TOKENS, DENSE = 16, 1 << 20, 200
-
-
-def block_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between components of the rows of large keys. A key's sets of the lower and the higher size class are dealt by a
-    hash into blocks of about BLOCK_TOKENS tokens. Each set goes to all tasks that compare its block with another, the whole
-    sets of two blocks at a time."""
-    size = F.pow(F.lit(STEP), F.col("high") + 1)
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n * size / BLOCK_TOKENS)).cast("int")
-    same, lower = F.col("low") == F.col("high"), F.col("kind") == F.col("low")
-    own = lambda n: F.pmod(F.xxhash64("sid"), n).cast("int")
-    ones, others = blocks(F.col("lows")), blocks(F.col("held") - F.col("lows"))
-    place = lambda i, j, second: F.struct(i.alias("i"), j.alias("j"), second.alias("second"))
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    within = F.transform(upto(ones), lambda q: place(F.least(own(ones), q), F.greatest(own(ones), q), own(ones) > q))
-    across = F.when(lower, F.transform(upto(others), lambda q: place(own(ones), q, F.lit(False)))).otherwise(F.transform(upto(ones), lambda q: place(q, own(others), F.lit(True))))
-    whole = rows.select(*KEYS, "sid", "root", "kind", "lows", "held").join(sets.dropDuplicates(["sid"]), "sid")
-    dealt = whole.select(*KEYS, "sid", "root", "tokens", F.inline(F.when(same, within).otherwise(across)))
-    by = [*KEYS, "i", "j"]
-
-    def compare(held: list[tuple], alone: bool) -> list[tuple[bytes, bytes]]:
-        a, b = [r for r in held if not r[3]], [r for r in held if r[3]]
-        b = a if alone else b
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each of at least eight times as many places as tokens, turned over by every token of that place. The bits in
+    which two sets' maps differ are at most the tokens in which the sets do, and hardly fewer. Folded in half, by exclusive or, a
+    map is that of half as many places."""
+    places = max(256, 1 << (8 * len(s) - 1).bit_length())
+    counts = np.bincount((mix(s + _ODD) & np.uint64(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _words(maps: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, folded to `width` bytes."""
+    out = np.empty((len(maps), width // 8), np.uint64)
+    for i, m in enumerate(maps):
+        x = np.frombuffer(m, np.uint64)
+        while len(x) > width // 8:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[i] = x
+    return out
+
+
+def possible_links(a: tuple[list[bytes], np.ndarray], b: tuple[list[bytes], np.ndarray]) -> np.ndarray:
+    """(len(a), len(b)) of sets' maps and sizes: whether sizes and maps allow a link. Linked sets differ by a ninth of what both hold
+    at most."""
+    (maps_a, n), (maps_b, m) = a, b
+    out = np.zeros((len(n), len(m)), bool)
+    order, other = np.argsort(n, kind="stable"), np.argsort(m, kind="stable")
+    for i in range(0, len(n), 64):  # sets of like size together
+        rows = order[i : i + 64]
+        near = other[np.searchsorted(m[other], -(-n[rows[0]] * 8 // 10), "left") : np.searchsorted(m[other], n[rows[-1]] * 10 // 8, "right")]
+        for j in range(0, len(near), 1024):
+            cols = near[j : j + 1024]
+            width = min(len(maps_a[rows[0]]), len(maps_b[cols[0]]))
+            gap = np.bitwise_count(_words([maps_a[r] for r in rows], width)[:, None, :] ^ _words([maps_b[c] for c in cols], width)[None, :, :]).sum(axis=2, dtype=np.int64)
+            both = n[rows][:, None] + m[cols][None, :]
+            sized_ = (10 * n[rows][:, None] >= 8 * m[cols][None, :]) & (10 * m[cols][None, :] >= 8 * n[rows][:, None])
+            out[np.ix_(rows, cols)] = sized_ & (9 * gap <= both)
+    return out
+
+
+def crowded_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components of the rows of large keys that sizes and bitmaps allow to be linked. The sets of a token
+    are dealt by a hash into blocks of about BLOCK, and each goes to all tasks that compare its block with another."""
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bitmap(np.frombuffer(t, np.uint64)) for t in b.column(1).to_pylist()], pa.binary())], names=["sid", "map"])
+
+    held = saved(rows.select("token", "sid", "root", "n_shingles").distinct())
+    sizes = held.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    mapped = saved(sets.join(sized(saved(held.select("sid").distinct()), 16), "sid").dropDuplicates(["sid"]).select("sid", "tokens").mapInArrow(maps, "sid binary, map binary"))
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda q: F.struct(F.least(own, q).alias("i"), F.greatest(own, q).alias("j"), (own > q).alias("second")))
+    dealt = held.join(mapped, "sid").join(sizes, "token").select("token", "sid", "root", "n_shingles", "map", F.inline(met))
+    by = ["token", "i", "j"]
+
+    def compare(rows: list[tuple], alone: bool) -> list[tuple[bytes, bytes]]:
+        a = [r for r in rows if not r[4]]
+        b = a if alone else [r for r in rows if r[4]]
         if not a or not b:
             return []
-        tokens = lambda side: [np.frombuffer(r[2], np.uint64) for r in side]
-        n, m = (np.array([len(r[2]) // 8 for r in side]) for side in (a, b))
-        both = common_counts(tokens(a), tokens(b))
-        number = {r: i for i, r in enumerate({r[1] for r in held})}
-        root_a, root_b = (np.array([number[r[1]] for r in side]) for side in (a, b))
-        found = (100 * both >= 80 * (n[:, None] + m[None, :] - both)) & (root_a[:, None] != root_b[None, :])
-        sids = [r[0] for r in a] + [r[0] for r in b]
-        return [(min(sids[x], sids[y]), max(sids[x], sids[y])) for x, y in forest(found) if sids[x] != sids[y]]
+        number = {root: i for i, root in enumerate({r[1] for r in rows})}
+        of = lambda side: ([r[3] for r in side], np.array([r[2] for r in side], np.int64))
+        apart_ = np.array([number[r[1]] for r in a])[:, None] != np.array([number[r[1]] for r in b])[None, :]
+        found = np.argwhere(possible_links(of(a), of(b)) & apart_)
+        return [(min(a[x][0], b[y][0]), max(a[x][0], b[y][0])) for x, y in found.tolist() if not alone or x < y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        given = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links, strict=True)] if links else [pa.array([], pa.binary())] * 2, names=["a", "b"])
+        key, rows = None, []
+        given = lambda pairs: pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)] if pairs else [pa.array([], pa.binary())] * 2, names=["a", "b"])
         for batch in batches:
-            links: list[tuple[bytes, bytes]] = []
-            columns = [batch.column(c).to_pylist() for c in (*by, "sid", "root", "tokens", "second")]
-            for *now, sid, root, tokens, second in zip(*columns, strict=True):
+            pairs: list[tuple[bytes, bytes]] = []
+            for *now, sid, root, n, own_map, second in zip(*(batch.column(c).to_pylist() for c in (*by, "sid", "root", "n_shingles", "map", "second")), strict=True):
                 if now != key:
-                    links += compare(held, key is not None and key[1] == key[2] and key[3] == key[4])
-                    key, held = now, []
-                held.append((sid, root, tokens, second))
-            yield given()
-        links = compare(held, key is not None and key[1] == key[2] and key[3] == key[4])
-        yield given()
-
-    met = dealt.repartition(*by).sortWithinPartitions(*by).select(*by, "sid", "root", "tokens", "second")
-    return saved(met.mapInArrow(run, "a binary, b binary").distinct())
+                    pairs += compare(rows, key is not None and key[1] == key[2])
+                    key, rows = now, []
+                rows.append((sid, root, n, own_map, second))
+            yield given(pairs)
+        yield given(compare(rows, key is not None and key[1] == key[2]))
+
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary")
 
 
 def finest(crowded: DataFrame, sets: DataFrame) -> DataFrame:
