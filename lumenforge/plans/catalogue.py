@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, plane
 from ..operators import diagnostics as dx
-from ..operators import features, learn, metrics, quantiles, scoring, split, text_checks
+from ..operators import cascade, features, learn, metrics, quantiles, scoring, split, text_checks
 from ..operators import transforms as tx
 from ..sources import rasters
 from ..sources.shared import saved
@@ -875,6 +875,13 @@ def svm_cv(spark: SparkSession, d: str) -> DataFrame:
     return learn.svm_cv(z, "vec_id", "label")
 
 
+@query()
+def svm_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Every fold predicted by exact machines of the other folds."""
+    z = learn.standardize(_folded(spark, d), features="embedding")
+    return cascade.svm_cv(z, "vec_id", "label")
+
+
 @query()
 def random_forest_cv(spark: SparkSession, d: str) -> DataFrame:
     z = learn.standardize(_folded(spark, d), features="embedding")
