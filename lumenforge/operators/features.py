@@ -56,6 +56,10 @@ def resize(g: np.ndarray, h: int, w: int) -> np.ndarray:
 
 def hog(img: np.ndarray, size: int = 128, cell: int = 8, bins: int = 9) -> np.ndarray:
     """Gradient histograms of cells, in blocks of 2 x 2 cells, each normalised, cut at 0.2 and normalised again."""
+    return hog_values(img, size, cell, bins).astype(np.float32)
+
+
+def hog_values(img: np.ndarray, size: int = 128, cell: int = 8, bins: int = 9) -> np.ndarray:
     if size % 16:
         raise ValueError("size must be a multiple of 16")
     g = resize(kernels.grey(img), size, size)
@@ -68,7 +72,7 @@ def hog(img: np.ndarray, size: int = 128, cell: int = 8, bins: int = 9) -> np.nd
     cells = sum(np.bincount((where * bins + b % bins).ravel(), (mag * s).ravel(), n * n * bins) for b, s in ((lo, 1 - share), (lo + 1, share))).reshape(n, n, bins)
     blocks = np.concatenate([cells[:-1, :-1], cells[1:, :-1], cells[:-1, 1:], cells[1:, 1:]], axis=2)
     unit = lambda b: b / np.sqrt((b * b).sum(axis=2, keepdims=True) + 1e-6)
-    return unit(np.minimum(unit(blocks), 0.2)).ravel().astype(np.float32)
+    return unit(np.minimum(unit(blocks), 0.2)).ravel()
 
 
 def texture_stats(img: np.ndarray, size: int = 128) -> np.ndarray:

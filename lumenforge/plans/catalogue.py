@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, plane
 from ..operators import diagnostics as dx
-from ..operators import cascade, features, learn, metrics, quantiles, scoring, split, text_checks
+from ..operators import cascade, features, kernels, learn, metrics, quantiles, scoring, split, text_checks
 from ..operators import transforms as tx
 from ..sources import rasters
 from ..sources.shared import saved
@@ -288,8 +288,6 @@ _RECURSIVE = GRID.replace("WITH e AS", "WITH RECURSIVE e AS", 1)
 
 @query(_RECURSIVE + _canny_sql("50", "150") + ", ce AS (SELECT p.image_id, p.y, p.x, CASE WHEN e.y IS NULL THEN 0 ELSE 255 END AS g FROM px p LEFT JOIN ed e USING (image_id, y, x))" + _PLANE.format("ce"))
 def canny(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators import kernels
-
     edges = lambda img: [{"px": ",".join(map(str, (kernels.canny(kernels.grey(img), 50, 150) * 255).ravel().tolist()))}]
     return kernels.map_images(_as_images(spark, d, 1), ["image_id"], edges, "px string")
 
@@ -297,8 +295,6 @@ def canny(spark: SparkSession, d: str) -> DataFrame:
 @query(_RECURSIVE + _canny_sql("CAST(floor(0.66::DOUBLE * m) AS INT)", "CAST(floor(least(255, greatest(floor(0.66::DOUBLE * m) + 1, 1.33::DOUBLE * m))) AS INT)") + """, sz AS (SELECT image_id, y, x, count(*) AS n FROM re GROUP BY ALL)
 SELECT i.image_id, round(count(n) / 64.0::DOUBLE, 6) AS edge_density, round(CASE WHEN count(n) = 0 THEN 0 ELSE CAST(count(n) FILTER (n >= 8) AS DOUBLE) / count(n) END, 6) AS edge_continuity FROM (SELECT DISTINCT image_id FROM px) i LEFT JOIN sz USING (image_id) GROUP BY i.image_id""")
 def edge_measures(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators import kernels
-
     names = ("edge_density", "edge_continuity")
     found = kernels.map_images(_as_images(spark, d, 1), ["image_id"], lambda img: [dict(zip(names, map(float, kernels.edge_metrics(kernels.grey(img))), strict=True))], "edge_density double, edge_continuity double")
     return found.select("image_id", *[_r(c).alias(c) for c in names])
@@ -333,7 +329,7 @@ b AS (SELECT p.image_id, p.y, p.x, CAST(greatest(0, least(255, round_even(round(
 @query(_STRIP + _strip_gauss() + _PLANE.format("b"))
 def tiled_blur(spark: SparkSession, d: str) -> DataFrame:
     """A filter over the seams of tiles."""
-    from ..operators import kernels, tiles
+    from ..operators import tiles
 
     done = tiles.local(_strip(spark, d), ["strip"], 2, lambda x: kernels.gaussian(x[..., 0], 5, 0.8)[..., None])
     return done.select(F.col("tx").cast("long").alias("image_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(rasters.SIDE**2)), lambda i: F.conv(F.hex(F.substring("data", i, F.lit(1))), 16, 10)), ",").alias("px"))
@@ -492,17 +488,28 @@ def score_ranks(spark: SparkSession, d: str) -> DataFrame:
     return _of_profiles(lambda p: scoring.ranked(timed(p), ["label"]).select("label", "profile", F.col("rank").cast("long").alias("rank"), "vec_id", _r("score").alias("score"), F.array_join("warnings", ",").alias("warnings"), F.array_join("reasons", "; ").alias("reasons")))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p.id}', '{q}')" for p in catalog.DEFAULT for q in p.profiles) + ") t(pipeline_id, profile)")
+_PROFILED = "WITH i AS (SELECT vec_id AS image_id, ['auto', 'shape', 'color', 'texture'][label % 4 + 1] AS profile FROM embeddings)"
+
+
+def _profiled(spark: SparkSession, d: str) -> DataFrame:
+    """(image_id, profile): a task for each raster, by its label."""
+    profile = F.get(F.array(*map(F.lit, catalog.PROFILES)), (F.col("label") % len(catalog.PROFILES)).cast("int"))
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), profile.alias("profile"))
+
+
+@query(_PROFILED + ", p AS (SELECT * FROM (VALUES " + ", ".join(f"('{p.id}', '{q}')" for p in catalog.DEFAULT for q in p.profiles) + ") t(pipeline_id, profile)) SELECT image_id, profile, pipeline_id FROM i JOIN p USING (profile)")
 def profile_filter(spark: SparkSession, d: str) -> DataFrame:
-    table = catalog.pipelines_table(spark)
-    profiles = spark.createDataFrame([(p,) for p in catalog.PROFILES], "profile string")
-    return table.crossJoin(F.broadcast(profiles)).where("array_contains(profiles, profile)").select("pipeline_id", "profile")
+    """The pipelines that suit each raster's task."""
+    table = catalog.pipelines_table(spark).select("pipeline_id", F.explode("profiles").alias("profile"))
+    return _profiled(spark, d).join(F.broadcast(table), "profile").select("image_id", "profile", "pipeline_id")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {float(round(sum(w.values()), 6))}::DOUBLE, {len(w)}::BIGINT, true)" for p, w in catalog.WEIGHTS.items()) + ") t(profile, total, n, valid)")
+@query(_PROFILED + ", w AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{m}', {v}::DOUBLE)" for p, own in catalog.WEIGHTS.items() for m, v in own.items()) + ") t(profile, metric, weight)) SELECT image_id, profile, round(sum(weight), 6) AS total, count(*) AS n, abs(sum(weight) - 1) <= 1e-9 AS valid FROM i JOIN w USING (profile) GROUP BY ALL")
 def weight_validation(spark: SparkSession, d: str) -> DataFrame:
-    sums = catalog.weights_table(spark).groupBy("profile").agg(_r(F.sum("weight")).alias("total"), F.count(F.lit(1)).alias("n"))
-    return sums.withColumn("valid", F.abs(F.col("total") - 1) <= 1e-9)
+    """The weights by which each raster is scored: their number, and whether their sum is 1."""
+    both = _profiled(spark, d).join(F.broadcast(catalog.weights_table(spark).select("profile", "weight")), "profile")
+    sums = both.groupBy("image_id", "profile").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
+    return sums.select("image_id", "profile", _r("total").alias("total"), "n", (F.abs(F.col("total") - 1) <= 1e-9).alias("valid"))
 
 
 _SETS = """WITH u AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS pos, abs(CAST(unnest(embedding) AS DOUBLE)) AS v FROM embeddings),
@@ -662,6 +669,45 @@ def color_histogram(spark: SparkSession, d: str) -> DataFrame:
     return rasters.load(spark, d).select("image_id", F.array_join(F.transform(shares, lambda x: F.round(x * 64).cast("int").cast("string")), ",").alias("histogram"))
 
 
+def _coloured_images(spark: SparkSession, d: str) -> DataFrame:
+    """Coloured rasters as images of the image source's struct."""
+    hexes = F.flatten(F.transform(F.arrays_zip("b", "g", "r"), lambda s: F.array(*[F.lpad(F.hex(c), 2, "0") for c in (s.b, s.g, s.r)])))
+    image = F.struct(F.col("h").alias("height"), F.col("w").alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), F.unhex(F.array_join(hexes, "")).alias("data"))
+    return rasters.coloured(rasters.load(spark, d)).select("image_id", image.alias("image"))
+
+
+_HUE = "CASE greatest(b, gr, r) - least(b, gr, r) WHEN 0 THEN 0 ELSE CAST(round_even(((CASE WHEN r = greatest(b, gr, r) THEN (gr - b) / s WHEN gr = greatest(b, gr, r) THEN 2 + (b - r) / s ELSE 4 + (r - gr) / s END * 60 + 360) % 360) / 2, 0) AS INT) % 180 END"
+_LIGHT = "CAST(greatest(0, least(255, round_even(2.55::DOUBLE * (116 * CASE WHEN ly > 0.008856 THEN cbrt(ly) ELSE 7.787 * ly + 16 / 116.0::DOUBLE END - 16), 0))) AS INT)"
+_LINEAR = lambda c: f"CASE WHEN {c} / 255.0::DOUBLE > 0.04045 THEN pow(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) ELSE {c} / 255.0::DOUBLE / 12.92 END"
+
+
+@query(GRID + _BGR + _SAT + f""", w AS (SELECT *, CAST(greatest(1, greatest(b, gr, r) - least(b, gr, r)) AS DOUBLE) AS s, 0.212671::DOUBLE * {_LINEAR("r")} + 0.715160::DOUBLE * {_LINEAR("gr")} + 0.072169::DOUBLE * {_LINEAR("b")} AS ly, g AS sat FROM s),
+v AS (SELECT image_id, 0 AS part, CAST(floor(({_HUE}) * 32 / 180.0::DOUBLE) AS INT) AS bin FROM w UNION ALL SELECT image_id, 1, sat // 8 FROM w UNION ALL SELECT image_id, 2, {_LIGHT} // 8 FROM w),
+n AS (SELECT image_id, part * 32 + bin AS i, count(*) AS n FROM v GROUP BY ALL), k AS (SELECT image_id, i FROM (SELECT DISTINCT image_id FROM px) CROSS JOIN (SELECT CAST(unnest(range(96)) AS INT) AS i))
+SELECT image_id, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY i) AS histogram FROM k LEFT JOIN n USING (image_id, i) GROUP BY image_id""")
+def colour_features(spark: SparkSession, d: str) -> DataFrame:
+    """The 96 shares of hue, saturation and lightness, as counts of the 64 samples."""
+    counts = lambda img: [{"histogram": ",".join(str(round(float(x) * 192)) for x in features.color_histogram(img))}]
+    return kernels.map_images(_coloured_images(spark, d), ["image_id"], counts, "histogram string")
+
+
+@query(GRID + _BGR + """, s AS (SELECT image_id, y, x, CAST(round_even(b * 0.114::DOUBLE + gr * 0.587::DOUBLE + r * 0.299::DOUBLE, 0) AS INT) AS g FROM c),
+z AS (SELECT CAST(unnest(range(16)) AS INT) AS i), sc AS (SELECT i, greatest(0, least(7, (i + 0.5::DOUBLE) / 2 - 0.5)) AS p FROM z), ax AS (SELECT i, CAST(floor(p) AS INT) AS lo, CAST(least(7, floor(p) + 1) AS INT) AS hi, p - floor(p) AS f FROM sc),
+im AS (SELECT image_id, list(CAST(g AS DOUBLE) ORDER BY y, x) AS l FROM s GROUP BY image_id),
+big AS (SELECT image_id, u.i AS y, v.i AS x, (l[u.lo * 8 + v.lo + 1] * (1 - v.f) + l[u.lo * 8 + v.hi + 1] * v.f) * (1 - u.f) + (l[u.hi * 8 + v.lo + 1] * (1 - v.f) + l[u.hi * 8 + v.hi + 1] * v.f) * u.f AS g FROM im CROSS JOIN ax u CROSS JOIN ax v),
+bl AS (SELECT image_id, list(g ORDER BY y, x) AS l FROM big GROUP BY image_id),
+gr AS (SELECT image_id, y.i AS y, x.i AS x, l[y.i * 16 + 15 - abs(15 - (x.i + 1)) + 1] - l[y.i * 16 + abs(x.i - 1) + 1] AS dx, l[(15 - abs(15 - (y.i + 1))) * 16 + x.i + 1] - l[abs(y.i - 1) * 16 + x.i + 1] AS dy FROM bl CROSS JOIN z y CROSS JOIN z x),
+vo AS (SELECT image_id, CASE WHEN y < 8 AND x < 8 THEN 0 WHEN x < 8 THEN 1 WHEN y < 8 THEN 2 ELSE 3 END AS cell, sqrt(dx * dx + dy * dy) AS mag, ((degrees(atan2(dy, dx)) + 360) % 180) / 20 - 0.5 AS t FROM gr),
+sh AS (SELECT image_id, cell, (CAST(floor(t) AS INT) + 9) % 9 AS bin, mag * (1 - (t - floor(t))) AS v FROM vo UNION ALL SELECT image_id, cell, (CAST(floor(t) AS INT) + 10) % 9, mag * (t - floor(t)) FROM vo),
+k AS (SELECT image_id, i, coalesce(v, 0) AS v FROM (SELECT DISTINCT image_id FROM px) CROSS JOIN (SELECT CAST(unnest(range(36)) AS INT) AS i) LEFT JOIN (SELECT image_id, cell * 9 + bin AS i, sum(v) AS v FROM sh GROUP BY ALL) USING (image_id, i)),
+o AS (SELECT image_id, i, least(0.2, v / sqrt(sum(v * v) OVER (PARTITION BY image_id) + 1e-6)) AS v FROM k)
+SELECT image_id, CAST(i AS INT) AS place, round(v / sqrt(sum(v * v) OVER (PARTITION BY image_id) + 1e-6), 6) AS share FROM o""")
+def gradient_features(spark: SparkSession, d: str) -> DataFrame:
+    """Gradient histograms of coloured rasters at 16 x 16 samples: one block of 2 x 2 cells."""
+    one = lambda img: [{"place": i, "share": float(v)} for i, v in enumerate(features.hog_values(img, 16))]
+    return kernels.map_images(_coloured_images(spark, d), ["image_id"], one, "place int, share double").withColumn("share", _r("share"))
+
+
 @query(GRID + """, d8 AS (SELECT image_id, y, list(g ORDER BY x) AS f FROM px GROUP BY ALL), v AS (SELECT y AS word_id, f AS centre FROM d8 WHERE image_id = 0),
 n AS (SELECT d8.image_id, d8.y, word_id, row_number() OVER (PARTITION BY d8.image_id, d8.y ORDER BY list_sum(list_transform(list_zip(f, centre), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), word_id) AS r FROM d8 CROSS JOIN v),
 c AS (SELECT image_id, word_id, count(*) AS n FROM n WHERE r = 1 GROUP BY ALL), k AS (SELECT image_id, word_id FROM (SELECT DISTINCT image_id FROM px) CROSS JOIN (SELECT CAST(unnest(range(8)) AS INT) AS word_id))
@@ -803,8 +849,6 @@ def _kernel(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         import hashlib
 
-        from ..operators import kernels
-
         f = kernels.EXPLORER[name]
 
         def one(img) -> list[dict]:
@@ -823,8 +867,6 @@ for _name in ("CLAHE", "Bilateral Filter", "Canny", "Contours", "Connected Compo
 
 @query()
 def image_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators import kernels
-
     return kernels.map_images(_as_images(spark, d), ["image_id"], lambda img: [{k: float(v) for k, v in kernels.diagnose(img).items()}], ", ".join(f"{m} double" for m in dx.METRICS))
 
 
@@ -843,12 +885,15 @@ def bovw_fitted(spark: SparkSession, d: str) -> DataFrame:
     return features.word_histograms(features.nearest_words(rows, words), "image_id", 16, rasters.load(spark, d).select("image_id"))
 
 
-@query(GRID + """, p AS (SELECT image_id, g, count(*) / 64.0 AS p FROM px GROUP BY ALL) SELECT image_id, round(avg(g), 6) AS mean_brightness, round(avg(CASE WHEN g <= 5 THEN 1.0 ELSE 0 END), 6) AS dark_clip_ratio, round(avg(CASE WHEN g >= 250 THEN 1.0 ELSE 0 END), 6) AS bright_clip_ratio,
-round(stddev_pop(g), 6) AS global_contrast, round(any_value(e), 6) AS entropy, 0.0::DOUBLE AS colorfulness, 0.0::DOUBLE AS saturation_spread FROM px JOIN (SELECT image_id, -sum(p * log2(p)) AS e FROM p GROUP BY image_id) USING (image_id) GROUP BY image_id""")
+@query(GRID + _BGR + _SAT + """, gy AS (SELECT image_id, y, x, CAST(round_even(b * 0.114::DOUBLE + gr * 0.587::DOUBLE + r * 0.299::DOUBLE, 0) AS INT) AS v, abs(r - gr) AS rg, abs(0.5::DOUBLE * (r + gr) - b) AS yb, g AS sat FROM s),
+p AS (SELECT image_id, v, count(*) / 64.0 AS p FROM gy GROUP BY ALL), en AS (SELECT image_id, -sum(p * log2(p)) AS bits FROM p GROUP BY image_id)
+SELECT image_id, round(avg(v), 6) AS mean_brightness, round(avg(CASE WHEN v <= 5 THEN 1.0 ELSE 0 END), 6) AS dark_clip_ratio, round(avg(CASE WHEN v >= 250 THEN 1.0 ELSE 0 END), 6) AS bright_clip_ratio, round(stddev_pop(v), 6) AS global_contrast, round(any_value(bits), 6) AS entropy,
+round(sqrt(var_pop(rg) + var_pop(yb)) + 0.3 * sqrt(avg(rg) * avg(rg) + avg(yb) * avg(yb)), 6) AS colorfulness, round(stddev_pop(sat), 6) AS saturation_spread FROM gy JOIN en USING (image_id) GROUP BY image_id""")
 def kernel_scalars(spark: SparkSession, d: str) -> DataFrame:
-    """Of the kernels' metrics those that repeating each sample leaves as they are, against SQL on the samples."""
+    """Metrics of the kernels on coloured rasters, against SQL on the samples."""
     names = ("mean_brightness", "dark_clip_ratio", "bright_clip_ratio", "global_contrast", "entropy", "colorfulness", "saturation_spread")
-    return image_diagnostics(spark, d).select("image_id", *[(_r(m) + 0.0).alias(m) for m in names])
+    found = kernels.map_images(_coloured_images(spark, d), ["image_id"], lambda img: [{m: float(kernels.diagnose(img)[m]) for m in names}], ", ".join(f"{m} double" for m in names))
+    return found.select("image_id", *[(_r(m) + 0.0).alias(m) for m in names])
 
 
 @query()
