@@ -629,14 +629,35 @@ def fold_mean_std(spark: SparkSession, d: str) -> DataFrame:
     return _entries(spark, d).select("pipeline_id", *[_r(c).alias(c) for c in _STATS])
 
 
-_LB = _FS + """, cb AS (SELECT * FROM fs CROSS JOIN (VALUES ('svm'), ('knn'), ('rtrees')) t(classifier)),
-lb AS (SELECT *, row_number() OVER (ORDER BY round(mean_macro_f1, 6) DESC, round(mean_accuracy, 6) DESC, pipeline_id, classifier) AS rank FROM cb)"""
+#: Predictions of nearest neighbours on the samples of every raster after each of three pipelines, for the board of entries.
+_FITTED = GRID + _NORM + _GAMMA.replace("FROM dk)", "FROM px)", 1).replace("mm AS", "br AS", 1).replace("FROM mm)", "FROM br)", 1) + f""", fo AS (SELECT vec_id, ntile(5) OVER (PARTITION BY label ORDER BY {_ORDER}) - 1 AS fold FROM embeddings),
+sm AS (SELECT 'original' AS pipeline_id, image_id, y, x, g FROM px UNION ALL SELECT 'baseline-normalize', image_id, y, x, g FROM n UNION ALL SELECT 'auto-gamma', image_id, y, x, g FROM gm),
+u AS (SELECT pipeline_id, image_id AS vec_id, y * 8 + x AS pos, CAST(g AS DOUBLE) AS v, fold FROM sm JOIN fo ON fo.vec_id = image_id), tf AS (SELECT unnest(range(5)) AS test_fold),
+sd AS (SELECT pipeline_id, test_fold, pos, avg(v) AS m, CASE WHEN stddev_pop(v) < 1e-8 THEN 1.0 ELSE stddev_pop(v) END AS s FROM u JOIN tf ON fold <> test_fold GROUP BY ALL),
+zs AS (SELECT pipeline_id, test_fold, vec_id, fold, list((v - m) / s ORDER BY pos) AS z FROM u JOIN sd USING (pipeline_id, pos) GROUP BY ALL),
+ds AS (SELECT a.pipeline_id, a.test_fold, a.vec_id, b.vec_id AS other, round(list_sum(list_transform(list_zip(a.z, b.z), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS d FROM zs a JOIN zs b ON a.pipeline_id = b.pipeline_id AND a.test_fold = b.test_fold AND a.fold = a.test_fold AND b.fold <> b.test_fold),
+nn AS (SELECT *, row_number() OVER (PARTITION BY pipeline_id, vec_id ORDER BY d, other) AS place FROM ds),
+vt AS (SELECT pipeline_id, test_fold, nn.vec_id, e2.label AS vote, count(*) AS n, sum(place) AS places FROM nn JOIN embeddings e2 ON e2.vec_id = nn.other WHERE place <= 5 GROUP BY ALL),
+bv AS (SELECT *, row_number() OVER (PARTITION BY pipeline_id, vec_id ORDER BY n DESC, places, vote) AS r FROM vt),
+pr AS (SELECT test_fold AS fold, pipeline_id, e3.label AS actual, vote AS predicted FROM bv JOIN embeddings e3 USING (vec_id) WHERE r = 1), cl AS (SELECT DISTINCT label AS c FROM embeddings)"""
+_LB = _FS.replace(_PRED, _FITTED, 1) + """, lb AS (SELECT *, 'knn' AS classifier, row_number() OVER (ORDER BY round(mean_macro_f1, 6) DESC, round(mean_accuracy, 6) DESC, pipeline_id) AS rank FROM fs)"""
 
 
 def _board(spark: SparkSession, d: str) -> DataFrame:
-    names = spark.createDataFrame([(c,) for c in learn.CLASSIFIERS], "classifier string")
-    entries = _entries(spark, d).crossJoin(F.broadcast(names)).withColumns({"feature_profile": F.lit("combined"), "total_ms": F.lit(0.0)})
-    return metrics.leaderboard(entries)
+    """Entries of nearest neighbours on the rasters after each of three pipelines, all folds of all of them in one job."""
+    own = rasters.load(spark, d).join(_folded(spark, d).select(F.col("vec_id").alias("image_id"), "fold"), "image_id")
+    size = (F.col("px"), F.col("h"), F.col("w"))
+    names = {"original": F.col("px"), "baseline-normalize": tx.normalize(*size), "auto-gamma": tx.auto_gamma(*size)}
+    parts = []
+    for i, px in enumerate(names.values()):
+        rows = saved(own.select("image_id", "label", "fold", px.cast("array<double>").alias("features")))
+        of_entry = lambda c, i=i: (F.col(c) + 5 * i).cast("int").alias(c)
+        parts.append(learn.standardize(rows).select(of_entry("test_fold"), of_entry("fold"), "image_id", "label", "z"))
+    found = saved(learn.knn(reduce(DataFrame.unionByName, parts), "image_id", "label"))
+    named = found.select(F.get(F.array(*map(F.lit, names)), F.floor(F.col("test_fold") / 5).cast("int")).alias("pipeline_id"), (F.col("test_fold") % 5).alias("fold"), "actual", "predicted")
+    classes = own.select(F.col("label").alias("class_index")).distinct()
+    entries = metrics.over_folds(metrics.macro(metrics.confusion(named, classes, ["pipeline_id", "fold"]), ["pipeline_id", "fold"]), ["pipeline_id"])
+    return metrics.leaderboard(entries.withColumns({"classifier": F.lit("knn"), "feature_profile": F.lit("combined"), "total_ms": F.lit(0.0)}))
 
 
 @query(_LB + f" SELECT rank, pipeline_id, classifier, 'combined' AS feature_profile, {_STATS_SQL} FROM lb")
