@@ -67,3 +67,12 @@ def test_solve_of_one_class_and_of_equal_rows():
     assert not a.any() and np.isfinite(b)
     a, b = cascade.solve(np.zeros((4, 2)), np.array([1.0, 1, -1, -1]), np.zeros(4), 2.0, 0.1, 1e-4)
     assert abs((a * np.array([1, 1, -1, -1])).sum()) < 1e-9 and np.isfinite(b)
+
+
+def test_query_predicts_each_row_once(spark):
+    from lumenforge.plans import catalogue
+
+    rows = catalogue.queries()["svm_cascade"](spark, "/root/testdata/sf0.001").toPandas()
+    folds = catalogue._folded(spark, "/root/testdata/sf0.001").toPandas()
+    both = rows.merge(folds, on="vec_id")
+    assert sorted(rows.vec_id) == sorted(folds.vec_id) and (both.test_fold == both.fold).all() and (both.actual == both.label).all()
