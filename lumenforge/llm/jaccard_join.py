@@ -514,8 +514,11 @@ def crowd_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     by_root = rows.groupBy(*KEYS, "root").agg(F.count(F.lit(1)).alias("sets"))
     of_key = by_root.groupBy(*KEYS).agg(F.max_by("root", F.struct("sets", "root")).alias("most"), F.sum("sets").alias("held"), F.count(F.lit(1)).alias("roots"))
     rows = saved(rows.join(of_key.where("roots > 1").drop("roots"), list(KEYS)))
-    few = crossing(rows.where(F.col("held") <= FEW))
-    return verified_sets(saved(few.unionByName(crowded_pairs(rows.where(F.col("held") > FEW), sets)).distinct()), sets)
+    pairs = crossing(rows.where(F.col("held") <= FEW))
+    crowds = rows.where(F.col("held") > FEW)
+    if not crowds.isEmpty():
+        pairs = pairs.unionByName(crowded_pairs(crowds, sets)).distinct()
+    return verified_sets(saved(pairs), sets)
 
 
 def crossing(rows: DataFrame) -> DataFrame:
