@@ -648,7 +648,8 @@ def test_sql(spark):
     from lumenforge.llm import queries
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         ours = queries.queries()[name](spark, SF).toPandas()
         theirs = con.sql(sql).df()[list(ours.columns)]
