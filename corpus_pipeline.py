@@ -1,7 +1,8 @@
 """A corpus made ready for training: toxic documents and copies go, sources are mixed to weights, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. A stage's result is written in the
-shared folder and read again as the next one's documents, so a lost executor costs no more than its own stage.
+shared folder and read again as the next one's documents, so a lost executor costs no more than its own stage. Tables that a
+stage wrote on the way are removed when its result stands.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenforge.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
-from lumenforge.llm.common import saved, table
+from lumenforge.llm.common import table
+from lumenforge.sources.shared import settled
 
 TOXIC = 0.3
 #: The mix of op10 without second epochs: copies that two stages have removed don't come back.
@@ -53,5 +55,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        docs = settled(spark, lambda docs=docs, stage=stage: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import subprocess
 from functools import reduce
 from operator import or_
 
@@ -14,7 +15,7 @@ from .markdown import anchors, heading_slugs, markdown_links, outside_fences, sl
 
 __all__ = [
     "EVIDENCE", "MORE_SCANS", "SCANS", "anchors", "broken_links", "claims", "evidence", "findings", "heading_slugs", "html_links", "lines", "markdown_links",
-    "mismatched", "missing", "missing_headings", "outside_fences", "shown", "slug", "table_cells", "text_files", "unbacked_rows", "url_map_problems",
+    "mismatched", "missing", "missing_headings", "outside_fences", "shown", "slug", "table_cells", "text_files", "tracked_files", "unbacked_rows", "url_map_problems",
 ]
 
 #: What a scan looks for, by description and pattern; some patterns share a description.
@@ -51,13 +52,31 @@ HINTS: dict[str, tuple[str, ...]] = {
 TEXT_SUFFIXES = ("cfg", "css", "html", "ini", "js", "json", "md", "py", "toml", "txt", "yaml", "yml")
 
 
+def tracked_files(root: str) -> list[str] | None:
+    """Names below a local folder that Git tracks; None if it is no working tree, or Git isn't there."""
+    try:
+        done = subprocess.run(["git", "-C", re.sub("^file:/+", "/", root), "ls-files", "-z"], capture_output=True, check=False)
+    except OSError:
+        return None
+    return [n.decode("utf-8", "replace") for n in done.stdout.split(b"\0") if n] if done.returncode == 0 else None
+
+
 def text_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = TEXT_SUFFIXES) -> DataFrame:
-    """(path below the root, text) of the text files of a folder, hidden folders left out; a file that isn't UTF-8 is no text."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = re.sub("^file:/+", "/", Folder(spark, root).full).rstrip("/") + "/"
-    below = F.substring(F.regexp_replace("path", "^file:/+", "/"), len(base) + 1, 1 << 20)
-    named = files.select(below.alias("path"), "content").withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
-    kept = named.where(F.col("suffix").isin("", *suffixes) & ~F.concat(F.lit("/"), F.col("path")).contains("/."))
+    """(path below the root, text) of the text files of a folder; a file that isn't UTF-8 is no text. In a working tree of Git these
+    are the tracked ones; elsewhere all but those in hidden folders and hidden files, of which `.gitignore` counts."""
+    folder = Folder(spark, root)
+    base, tracked = re.sub("^file:/+", "/", folder.full).rstrip("/") + "/", tracked_files(root)
+    kind = lambda n: n.rpartition("/")[2].lstrip(".").rpartition(".")[2].lower() if "." in n.rpartition("/")[2].lstrip(".") else ""
+    hidden = lambda n: any(p.startswith(".") for p in n.split("/") if p != ".gitignore")
+    names = [n for n, _ in folder.files() if not hidden(n)] if tracked is None else tracked
+    chosen = [n for n in names if kind(n) in ("", *suffixes) or n.endswith(".gitignore")]
+    source = spark.read.format("binaryFile")
+    files = source.option("recursiveFileLookup", "true").load(root)
+    named = files.select(F.substring(F.regexp_replace("path", "^file:/+", "/"), len(base) + 1, 1 << 20).alias("path"), "content")
+    # Spark passes over names that start with a dot or an underscore, as of settings and of packages: the driver reads these few.
+    if odd := [n for n in chosen if any(p.startswith((".", "_")) for p in n.split("/")) and folder.exists(n)]:
+        named = named.unionByName(spark.createDataFrame([(n, bytearray(folder.read(n))) for n in odd], "path string, content binary"))
+    kept = named.join(F.broadcast(spark.createDataFrame([(n,) for n in chosen], "path string")), "path", "left_semi")
     return kept.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where("text is not null")
 
 

@@ -35,6 +35,11 @@ class Pipeline:
     steps: tuple[Step, ...]
     rationale: tuple[str, ...] = ()
     cautions: tuple[str, ...] = ()
+    names: dict[str, str] = field(default_factory=dict, hash=False)
+
+    def display_name(self, language: str = "en") -> str:
+        """The name given for a language; without one, the words of the id."""
+        return self.names.get(language) or self.id.replace("-", " ").capitalize()
 
 
 _CLAHE = Step("lab_clahe", {"clip_limit": 2.0, "grid_size": 8})
@@ -87,6 +92,11 @@ def check_weights(weights: dict[str, dict[str, float]]) -> dict[str, dict[str, f
     return weights
 
 
+def _names(raw: dict) -> dict[str, str]:
+    """Names by language, of keys such as display_name_en."""
+    return {k.removeprefix("display_name_"): str(v) for k, v in raw.items() if k.startswith("display_name_") and v}
+
+
 def load_catalog(path: str) -> tuple[Pipeline, ...]:
     """From YAML: pipelines: [{id, profiles, steps: [{transform, params}]}]."""
     import yaml
@@ -94,7 +104,7 @@ def load_catalog(path: str) -> tuple[Pipeline, ...]:
     raw = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
     if not isinstance(raw, dict) or not isinstance(raw.get("pipelines"), list):
         raise ValueError("a catalogue has a list of pipelines")
-    return check_catalog(tuple(Pipeline(p["id"], tuple(p["profiles"]), tuple(Step(s["transform"], s.get("params") or {}) for s in p["steps"]), tuple(p.get("rationale_codes") or ()), tuple(p.get("warning_codes") or ())) for p in raw["pipelines"]))
+    return check_catalog(tuple(Pipeline(p["id"], tuple(p["profiles"]), tuple(Step(s["transform"], s.get("params") or {}) for s in p["steps"]), tuple(p.get("rationale_codes") or ()), tuple(p.get("warning_codes") or ()), _names(p)) for p in raw["pipelines"]))
 
 
 def load_weights(path: str) -> dict[str, dict[str, float]]:

@@ -16,9 +16,11 @@ from contextlib import contextmanager
 from dataclasses import asdict
 from datetime import UTC, datetime
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..sources.shared import Folder
 from . import advisor, benchmark, catalog
 
@@ -56,11 +58,19 @@ def _write_json(spark: SparkSession, at: str, name: str, **values) -> None:
     Folder(spark, at).write(name, json.dumps(values, sort_keys=True, indent=2, ensure_ascii=False).encode())
 
 
-def advice_documents(advice: DataFrame, found: DataFrame, **metadata) -> DataFrame:
-    """A document for each image: metadata, then its recommendations with their parts and changes of metrics."""
+def engine_version(spark: SparkSession) -> str:
+    """What has computed a report."""
+    return f"lumenforge {__version__}, spark {spark.version}, numpy {np.__version__}"
+
+
+def advice_documents(advice: DataFrame, found: DataFrame, pipelines: tuple[catalog.Pipeline, ...] = catalog.DEFAULT, **metadata) -> DataFrame:
+    """A document for each image: metadata, then its recommendations with their names, parts and changes of metrics."""
+    languages = sorted({"en"}.union(*[p.names for p in pipelines]))
+    named = [(p.id, *[p.display_name(x) for x in languages]) for p in pipelines]
+    shown = F.broadcast(advice.sparkSession.createDataFrame(named, "pipeline_id string, " + ", ".join(f"display_name_{x} string" for x in languages)))
     changes = advisor.metric_changes(found).groupBy("path", "pipeline_id").agg(F.collect_list(F.struct("metric", "before", "after", "absolute_delta", "percent_delta")).alias("metric_changes"))
-    rows = advice.join(changes, ["path", "pipeline_id"])
-    every = F.array_sort(F.collect_list(F.struct("rank", "pipeline_id", "score", "reasons", "warnings", "processing_ms", F.col("parts").alias("score_components"), "metric_changes")))
+    rows = advice.join(changes, ["path", "pipeline_id"]).join(shown, "pipeline_id", "left")
+    every = F.array_sort(F.collect_list(F.struct("rank", "pipeline_id", *[f"display_name_{x}" for x in languages], "score", "reasons", "warnings", "processing_ms", F.col("parts").alias("score_components"), "metric_changes")))
     return rows.groupBy("path").agg(every.alias("recommendations")).select(*[F.lit(str(v)).alias(k) for k, v in metadata.items()], "path", "recommendations")
 
 
@@ -69,12 +79,12 @@ def write_advice(images: DataFrame, profile: str, out: str, limit: int = 3, pipe
     spark = images.sparkSession
     found = advisor.measured(images, profile, pipelines)
     advice = advisor.recommend(found, profile, limit)
-    about = {"generated_at": datetime.now(UTC).isoformat(), "profile": profile, "pipeline_config_hash": config_hash([asdict(p) for p in pipelines]), "scoring_config_hash": config_hash(catalog.WEIGHTS)}
+    about = {"generated_at": datetime.now(UTC).isoformat(), "engine_version": engine_version(spark), "profile": profile, "pipeline_config_hash": config_hash([asdict(p) for p in pipelines]), "scoring_config_hash": config_hash(catalog.WEIGHTS)}
     with report(spark, out) as (at, final):
         write_csv(advisor.diagnostics_rows(found, advice).orderBy("path", "scope"), f"{at}/diagnostics.csv", bom)
         write_csv(advice.select("path", "rank", "pipeline_id").join(advisor.metric_changes(found), ["path", "pipeline_id"]), f"{at}/metric_changes.csv", bom)
         write_csv(advice, f"{at}/recommendations.csv", bom)
-        advice_documents(advice, found, **about).write.json(f"{at}/recommendations.json")
+        advice_documents(advice, found, pipelines, **about).write.json(f"{at}/recommendations.json")
         advisor.steps(images, advice, pipelines).write.parquet(f"{at}/steps")
         _write_json(spark, at, "run.json", kind="advice", **about, **settings)
     return final

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,15 +21,45 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Tables written by `saved` and not removed yet, in order.
+_WRITTEN: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """`df` written once as a table in the shared folder and read back: cuts the lineage, survives lost executors, is
-    computed once however often it is read, and gives the optimiser its true size."""
+    computed once however often it is read, and gives the optimiser its true size. It stays until `settled` or `release`
+    removes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` gives, written; the tables that it wrote on the way are removed, since nothing reads them any more."""
+    start = len(_WRITTEN)
+    out = saved(make())
+    _remove(spark, start, len(_WRITTEN) - 1)
+    return out
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Removes all tables written after the first `since`; for after a result that was read to its end."""
+    _remove(spark, since, len(_WRITTEN))
+
+
+def written() -> int:
+    """How many tables stand, to release later ones from here."""
+    return len(_WRITTEN)
+
+
+def _remove(spark: SparkSession, start: int, stop: int) -> None:
+    for path in _WRITTEN[start:stop]:
+        Folder(spark, path).delete("")
+    del _WRITTEN[start:stop]
+
+
 class Folder:
     """Names below a folder by Hadoop's file system, so that any store Spark can write works."""
 

@@ -134,3 +134,15 @@ def test_drop_folder(spark, tmp_path):
     drop_folder.run_once(spark, *where)
     rows = {r.path[-5:]: r for r in spark.read.parquet(where[1]).collect()}
     assert rows["a.pgm"].mean_brightness == 113.75 and rows["a.pgm"].entropy == 1.5 and rows["b.pgm"].mean_brightness == 7 and len(rows) == 2
+
+
+def test_tables_of_a_step_go_when_its_result_stands(spark):
+    from lumenforge.sources import shared
+
+    start = shared.written()
+    first = shared.saved(spark.range(5))
+    out = shared.settled(spark, lambda: shared.saved(shared.saved(first).where("id > 1")))
+    paths = shared._WRITTEN[start:]
+    assert shared.written() == start + 2 and out.count() == 3 and first.count() == 5
+    shared.release(spark, start)
+    assert shared.written() == start and not any(shared.Folder(spark, p).exists() for p in paths)

@@ -145,3 +145,17 @@ def test_places_of_hot_and_null_groups(spark):
         seen[r.g] = seen.get(r.g, 0) + 1
         want[r.g, r.o] = seen[r.g]
     assert {(r.g, r.o): r.place for r in got} == want and len(got) == 5000
+
+
+def test_tracked_text_files(spark, tmp_path):
+    import subprocess
+
+    for name in ("a.md", "b.md", ".gitignore", ".hidden/c.md", "d.bin", "_e.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert tc.tracked_files(str(tmp_path)) is None
+    assert {r.path for r in tc.text_files(spark, str(tmp_path)).collect()} == {"a.md", "b.md", ".gitignore", "_e.py"}
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True)
+    git("init")
+    git("add", "a.md", ".gitignore", ".hidden/c.md", "d.bin", "_e.py")
+    assert {r.path for r in tc.text_files(spark, str(tmp_path)).collect()} == {"a.md", ".gitignore", ".hidden/c.md", "_e.py"}
