@@ -66,11 +66,11 @@ def cells(rows: DataFrame, key: str, vector: str, by: str, test, pivots: int) ->
     return {k: np.unique(np.array(v, float), axis=0) for k, v in out.items()}
 
 
-def knn(rows: DataFrame, key: str, label: str, k: int = 5, fold: str = "fold", vector: str = "z", pivots: int = PIVOTS) -> DataFrame:
+def knn(rows: DataFrame, key: str, label: str, k: int = 5, fold: str = "fold", vector: str = "z", block: int | None = None, pivots: int = PIVOTS) -> DataFrame:
     """(test_fold, key, actual, other, vote, d) of the k nearest training rows of each test row, equals by their key. Rows as
     `learn.standardize` gives them.
 
-    Test rows and the rows of a cell are dealt into blocks of about BLOCK_VALUES numbers; a task compares two blocks at a time and
+    Test rows and the rows of a cell are dealt into blocks of about `block` rows, by default BLOCK_VALUES numbers; a task compares two blocks at a time and
     lets only the k nearest of each test row go on."""
     spark = rows.sparkSession
     here = F.col(fold) == F.col("test_fold")
@@ -78,7 +78,7 @@ def knn(rows: DataFrame, key: str, label: str, k: int = 5, fold: str = "fold", v
     plain = saved(rows.select("test_fold", key, F.col(label).alias("label"), here.alias("test"), F.col(vector).cast("array<double>").alias("vector")))
     drawn = cells(plain, key, "vector", "test_fold", F.col("test"), pivots)
     width = max((p.shape[1] for p in drawn.values()), default=1)
-    block = max(16, BLOCK_VALUES // width)
+    block = block or max(16, BLOCK_VALUES // width)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
