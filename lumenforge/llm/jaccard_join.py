@@ -514,7 +514,7 @@ def crowd_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     by_root = rows.groupBy(*KEYS, "root").agg(F.count(F.lit(1)).alias("sets"))
     of_key = by_root.groupBy(*KEYS).agg(F.max_by("root", F.struct("sets", "root")).alias("most"), F.sum("sets").alias("held"), F.count(F.lit(1)).alias("roots"))
     rows = saved(rows.join(of_key.where("roots > 1").drop("roots"), list(KEYS)))
-    pairs = crossing(rows.where(F.col("held") <= FEW))
+    pairs = crossing(rows.where(F.col("held") <= FEW))  # distinct
     crowds = rows.where(F.col("held") > FEW)
     if not crowds.isEmpty():
         pairs = pairs.unionByName(crowded_pairs(crowds, sets)).distinct()
@@ -578,12 +578,11 @@ def crowded_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bitmap(np.frombuffer(t, np.uint64)) for t in b.column(1).to_pylist()], pa.binary())], names=["sid", "map"])
 
-    held = saved(rows.select("token", "sid", "root", "n_shingles").distinct())
-    sizes = held.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    mapped = saved(sets.join(sized(saved(held.select("sid").distinct()), 16), "sid").dropDuplicates(["sid"]).select("sid", "tokens").mapInArrow(maps, "sid binary, map binary"))
+    held = rows.select("token", "sid", "root", "n_shingles", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks")).distinct()
+    mapped = sets.dropDuplicates(["sid"]).select("sid", "tokens").mapInArrow(maps, "sid binary, map binary")
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda q: F.struct(F.least(own, q).alias("i"), F.greatest(own, q).alias("j"), (own > q).alias("second")))
-    dealt = held.join(mapped, "sid").join(sizes, "token").select("token", "sid", "root", "n_shingles", "map", F.inline(met))
+    dealt = held.join(mapped, "sid").select("token", "sid", "root", "n_shingles", "map", F.inline(met))
     by = ["token", "i", "j"]
 
     def compare(rows: list[tuple], alone: bool) -> list[tuple[bytes, bytes]]:
@@ -614,7 +613,7 @@ def crowded_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def finest(crowded: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (token, low, high) of the sets that can't do without common subsets and have some still apart: the rarest tokens of
+    """Rows (token, low, high), with the number of sets of the token, of the sets that can't do without common subsets and have some still apart: the rarest tokens of
     each, for partners of each size class. Linked sets of sizes a and b share four ninths of a + b tokens at least, so the
     first of these in an order of all tokens stands that far before the end of both. Tokens of one component alone come first
     and pair none."""
@@ -637,7 +636,7 @@ def finest(crowded: DataFrame, sets: DataFrame) -> DataFrame:
     most = F.least(F.floor(a * 10 / 8), F.floor((a - F.col("at") + 1) * 9 / 4) - a)
     rows = both.withColumn("at", alone + place).withColumns({"kind": size(a), "least": least, "most": most}).where("most >= least")
     rows = rows.withColumn("partner", F.explode(F.sequence(size(F.col("least")), size(F.col("most")))))
-    return saved(rows.select("token", F.least("kind", "partner").alias("low"), F.greatest("kind", "partner").alias("high"), "sid", "root", "n_shingles", "at", "kind"))
+    return saved(rows.select("token", F.least("kind", "partner").alias("low"), F.greatest("kind", "partner").alias("high"), "sid", "root", "n_shingles", "at", "kind", "sets"))
 
 
 #: Ratio of the size classes of partners.
