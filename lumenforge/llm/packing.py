@@ -222,7 +222,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], letters: int = 12_000_000) -> Iterator[tuple[list, list[str], pa.DataType]]:
+def _gathered(batches: Iterator[pa.RecordBatch], letters: int = 4_000_000) -> Iterator[tuple[list, list[str], pa.DataType]]:
     """Ids and texts of several batches together: the more texts, the more of their words repeat."""
     keys, texts, held = [], [], 0
     for b in batches:
