@@ -57,6 +57,8 @@ LONE = 4
 ROUNDS, WORTH = 8, 0.02
 #: Bits of a subset's key beside the number of its part; keys that agree by chance only give a candidate more.
 KEY_BITS = 40
+#: Subsets of documents that a task gathers before it sends them, and ranges of keys, one after the other, of what meets.
+GATHERED, RANGES = 1 << 19, 8
 #: Bytes up to which a table, whose rows have been counted, is broadcast to join it; beyond that both sides are exchanged.
 LIGHT = 16 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -240,9 +242,10 @@ def shared_subsets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataF
     """In one pass over the texts, two kinds of rows: (key, a, b), sets a and b share the subset `key` and a is the least
     that has it, in all tasks or in one; and for each document (id, n_shingles, sid, slack, sketch), sid null if it has none.
 
-    A task sends each of its subsets once, with its least set, as packed bytes for each part of the keys: KEY_BITS of the key
-    and a number in the list of the sets sent along. Its other sets are linked to that one on the spot, and these rows are
-    spread. So what meets in one place for a subset is at most an entry for each task."""
+    A task gathers about GATHERED subsets at a time and sends each of them once, with its least set, as packed bytes for each
+    part of the keys: KEY_BITS of the key, in order, and a number in the list of the sets sent along. Its other sets are linked
+    to that one on the spot, and these rows are spread. So what meets in one place for a subset is at most an entry for each
+    time that a task sends. There the entries stay packed but for one range of keys at a time."""
     spark = docs.sparkSession
     parts = min(1 << 15, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -251,13 +254,13 @@ def shared_subsets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataF
     sent = {"part": i64, "keys": raw, "owners": raw, "sids": raw, "key": i64, "a": raw, "b": raw}
 
     def linked_rows(fields: dict, ids: np.ndarray, key: np.ndarray, least: np.ndarray, other: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(key), 65_536):
-            j = slice(i, i + 65_536)
+        for i in range(0, len(key), 16_384):
+            j = slice(i, i + 16_384)
             spread = {"part": pa.array(key[j] ^ other[j])} if "part" in fields else {}
             yield _batch(fields, len(key[j]), key=pa.array(key[j]), a=_binary(ids[least[j]]), b=_binary(ids[other[j]]), **spread)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, keys, owners, ids, fields = Powers(), [], [], [], None
+        powers, keys, owners, ids, fields, held = Powers(), [], [], [], None, 0
         for b in batches:
             fields = sent | light | {"id": b.column(0).type}
             sets = [shingle_set(t, powers, n) for t in b.column(1).to_pylist()]
@@ -268,8 +271,14 @@ def shared_subsets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataF
             ids += [x or bytes(16) for x in own]
             part = np.array([int.from_bytes(x[:7], "little") if x else i for i, x in enumerate(own)], np.int64)
             yield _batch(fields, len(sets), part=pa.array(part), id=b.column(0), n_shingles=pa.array(map(len, sets), i64), sid=pa.array(own, raw), slack=pa.array(slack), sketch=pa.array([sketch(s) if len(s) else None for s in sets], raw))
-        if not keys:
-            return
+            held += len(k)
+            if held >= GATHERED:
+                yield from packed_rows(fields, keys, owners, ids)
+                keys, owners, ids, held = [], [], [], 0
+        if held:
+            yield from packed_rows(fields, keys, owners, ids)
+
+    def packed_rows(fields: dict, keys: list[np.ndarray], owners: list[np.ndarray], ids: list[bytes]) -> Iterator[pa.RecordBatch]:
         distinct, number = _numbered(b"".join(ids))
         key = np.concatenate(keys)
         part = (key & np.uint64(0xFFFF)).astype(np.int64) % parts
@@ -284,23 +293,29 @@ def shared_subsets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataF
                 yield _batch(fields, 1, part=pa.array([p], i64), keys=pa.array([packed.tobytes()], raw), owners=pa.array([place.astype("<u2" if len(held) < 1 << 16 else "<u4").tobytes()], raw), sids=pa.array([distinct[held].tobytes()], raw))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, ids, fields, before = [], [], [], None, 0
+        entries, ids, fields, before = [], [], None, 0
         for b in batches:
             fields = {"key": i64, "a": raw, "b": raw} | light | {"id": b.schema.field("id").type}
             packed = b.column("keys").is_valid()
             yield b.filter(pc.invert(packed)).select(list(fields))
             rows = b.filter(packed).select(["part", "keys", "owners", "sids"])
             for part, k, number, held in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                m = len(k) // (KEY_BITS // 8)
-                wide = np.zeros((m, 8), np.uint8)
-                wide[:, : KEY_BITS // 8] = np.frombuffer(k, np.uint8).reshape(m, -1)
-                keys.append(wide.view("<i8").ravel() | part << KEY_BITS)
-                owners.append(np.frombuffer(number, "<u2" if len(number) == 2 * m else "<u4").astype(np.int64) + before)
+                k = np.frombuffer(k, np.uint8).reshape(-1, KEY_BITS // 8)
+                cuts = np.searchsorted(k[:, -1], np.arange(RANGES + 1) * (256 // RANGES))  # by the highest byte
+                entries.append((part, k, np.frombuffer(number, "<u2" if len(number) == 2 * len(k) else "<u4"), before, cuts))
                 ids.append(held)
                 before += len(held) // 16
-        if keys:
+        if entries:
             distinct, number = _numbered(b"".join(ids))
-            yield from linked_rows(fields, distinct, *_stars(np.concatenate(keys), number[np.concatenate(owners)])[2:])
+            for r in range(RANGES):
+                keys, owners = [], []
+                for part, k, places, start, cuts in entries:
+                    a, z = cuts[r : r + 2]
+                    wide = np.zeros((z - a, 8), np.uint8)
+                    wide[:, : KEY_BITS // 8] = k[a:z]
+                    keys.append(wide.view("<i8").ravel() | part << KEY_BITS)
+                    owners.append(number[places[a:z].astype(np.int64) + start])
+                yield from linked_rows(fields, distinct, *_stars(np.concatenate(keys), np.concatenate(owners))[2:])
 
     own = f"id {kind}, n_shingles bigint, sid binary, slack bigint, sketch binary"
     rows = docs.select(id_col, text_col).mapInArrow(emit, f"part bigint, keys binary, owners binary, sids binary, key bigint, a binary, b binary, {own}")

@@ -1,8 +1,10 @@
 """The Jaccard join on crowds: form letters that share most of their tokens, linked or not."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,3 +93,50 @@ def test_bitmaps_never_lose_a_link_and_lose_few_bits(shapes, seed):
                 assert got[i, j]
             elif common < 0.7 * (len(a) + len(b) - common):
                 assert not got[i, j] or len(a) + len(b) < 60
+
+
+class Tasks:
+    """Takes the place of a table and keeps the functions that tasks run."""
+
+    def __init__(self, spark, schema):
+        self.sparkSession, self.schema, self.run = spark, schema, []
+
+    def select(self, *columns):
+        return self
+
+    repartition = select
+
+    def mapInArrow(self, function, schema):
+        self.run.append(function)
+        return self
+
+
+def test_subsets_are_gathered_in_portions(spark, monkeypatch):
+    """Tasks send and meet subsets in portions, so that their memory doesn't grow with them; no common subset is lost."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(700)]
+    texts = [" ".join([*base[i % 5 : 400 + i % 5], *(f"v{rng.randrange(10**6)}" for _ in range(i % 40))]) for i in range(120)]
+    texts += [" ".join(f"u{rng.randrange(10**6)}" for _ in range(2_000)) for _ in range(400)]
+    docs = pa.table({"doc_id": range(len(texts)), "text": texts})
+    tasks = Tasks(spark, spark.range(0).withColumnRenamed("id", "doc_id").schema)
+    jaccard_join.shared_subsets(tasks, "doc_id", "text", 5)
+    emit, meet = tasks.run
+
+    def groups(portion):
+        monkeypatch.setattr(jaccard_join, "GATHERED", portion)
+        sent, members = [], {}
+        tracemalloc.start()
+        for half in (docs.slice(0, 60), docs.slice(60)):
+            sent += emit(iter(half.to_batches(max_chunksize=40)))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        shared = ["key", "a", "b"]
+        for rows in [*(b.select(shared) for b in sent), *(b.select(shared) for b in meet(iter(sent)))]:
+            for r in rows.to_pylist():
+                if r["key"] is not None:
+                    members.setdefault(r["key"], set()).update((r["a"], r["b"]))
+        return members, peak
+
+    many, low = groups(1 << 15)
+    whole, high = groups(1 << 40)
+    assert many == whole and len(many) > 100 and low < 0.7 * high
