@@ -23,8 +23,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import compress, pairwise
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +121,7 @@ class Reader:
 
     def __init__(self, model: np.ndarray, most: int = 200_000):
         self.p, self.most, self.seen = model.ravel().tolist(), most, {}
+        self.choices: dict[tuple[str, bool, bool], list[tuple[str, float, list[int]]]] = {}
 
     def _choices(self, c: str, before: str, spaced: bool) -> list[tuple[str, float]]:
         if c.isspace():
@@ -138,23 +141,36 @@ class Reader:
 
     def decode(self, token: str, spaced: bool = False) -> str:
         """The likeliest reading. A state is the last two symbols; a state keeps its best path."""
-        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+        # Keys are a * SYMBOLS + b.
+        states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
         before, p = "", self.p
         for c in token:
-            after: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for text, cost in self._choices(c, before, spaced):
-                syms = [0 if x == " " else _INDEX.get(x, OTHER) for x in text]
-                for (a, b), (score, path) in states.items():
+            after: dict[int, tuple[float, tuple]] = {}
+            known = (c, c == before, spaced)
+            if (choices := self.choices.get(known)) is None:
+                choices = [(text, cost, [0 if x == " " else _INDEX.get(x, OTHER) for x in text]) for text, cost in self._choices(c, before, spaced)]
+                if len(self.choices) < self.most:
+                    self.choices[known] = choices
+            for text, cost, syms in choices:
+                if len(syms) == 1:
+                    (x,) = syms
+                    for ab, (score, path) in states.items():
+                        s = score + cost + p[ab * SYMBOLS + x]
+                        ab = ab % SYMBOLS * SYMBOLS + x
+                        if (old := after.get(ab)) is None or old[0] < s:
+                            after[ab] = (s, (path, text))
+                    continue
+                for ab, (score, path) in states.items():
                     s = score + cost
-                    if len(syms) == 2 and b == 0:
+                    if syms and not ab % SYMBOLS:
                         continue
                     for x in syms:
-                        s += p[(a * SYMBOLS + b) * SYMBOLS + x]
-                        a, b = (0, 0) if x == 0 else (b, x)
-                    if (old := after.get((a, b))) is None or old[0] < s:
-                        after[(a, b)] = (s, (path, text) if text else path)
+                        s += p[ab * SYMBOLS + x]
+                        ab = 0 if x == 0 else ab % SYMBOLS * SYMBOLS + x
+                    if (old := after.get(ab)) is None or old[0] < s:
+                        after[ab] = (s, (path, text) if text else path)
             states, before = after, c
-        best = max(((s + p[(a * SYMBOLS + b) * SYMBOLS], path) for (a, b), (s, path) in states.items()), key=lambda x: x[0])[1]
+        best = max(((s + p[ab * SYMBOLS], path) for ab, (s, path) in states.items()), key=lambda x: x[0])[1]
         parts = []
         while best:
             best, text = best
@@ -165,17 +181,25 @@ class Reader:
         """The words a lower-case token stands for: itself without signs at its ends, and what it was before the noise."""
         got = self.seen.get(token)
         if got is None:
-            core = token.strip(_ENDS)
-            plain = core.strip("!$@|+€£")
-            words = [plain] if _PLAIN.fullmatch(plain) else []
-            for x in dict.fromkeys((core, plain)):
-                if _noisy(x) and (y := self.decode(x)) not in words:
-                    words.append(y)
-            got = tuple(words or [plain] if plain else words)
+            got = self.read(token)
             if len(self.seen) < self.most:
                 self.seen[token] = got
         return got
 
+    def read(self, token: str) -> tuple[str, ...]:
+        """`readings`, which keeps them."""
+        if token.isalpha():  # plain, and nothing at its ends
+            if not any(map(eq, token, token[1:])):
+                return (token,)
+            return tuple(dict.fromkeys((token, self.decode(token))))
+        core = token.strip(_ENDS)
+        plain = core.strip("!$@|+€£")
+        words = [plain] if _PLAIN.fullmatch(plain) else []
+        for x in (core,) if core == plain else (core, plain):
+            if _noisy(x) and (y := self.decode(x)) not in words:
+                words.append(y)
+        return tuple(words or [plain] if plain else words)
+
     def likelihood(self, word: str) -> float:
         """The log probability of a word between edges."""
         a = b = 0
@@ -193,14 +217,21 @@ class Reader:
     def words(self, text: str) -> set[str]:
         """The distinct words of a text as restored."""
         low = text.lower()
+        tokens = low.split()
         out: set[str] = set()
-        for token in set(low.split()):
+        for token in set(tokens):
             out.update(self.readings(token))
-        for run in _SPACED.findall(low):
+        for run in spaced_runs(low, tokens):
             out.update(self.decode(run, spaced=True).split())
         return out
 
 
+def spaced_runs(low: str, tokens: list[str]) -> list[str]:
+    """Runs of single signs; texts without two of them side by side aren't searched."""
+    lens = list(map(len, tokens))
+    return _SPACED.findall(low) if (1, 1) in zip(lens, lens[1:], strict=False) else []
+
+
 def _noisy(token: str) -> bool:
     """Whether a token may be something else than it reads: it has letters, and signs or a repetition among them; or it has no
     letter, but three signs or more that stand for some, digits alone not counting."""
@@ -237,8 +268,15 @@ def learn(docs: DataFrame, labels: DataFrame, model, id_col: str = "doc_id", tex
     if min(classes.get(0, 0), classes.get(1, 0)) < 1:
         return none
 
-    def count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model.value)
+        for b in batches:
+            words = [sorted(reader.words(text)) for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], names=["y", "words"])
+
+    rows = saved(rows.mapInArrow(read, "y int, words array<string>"))
+
+    def count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean: Counter = Counter()
         toxic: Counter = Counter()
 
@@ -250,9 +288,9 @@ def learn(docs: DataFrame, labels: DataFrame, model, id_col: str = "doc_id", tex
             return out
 
         for b in batches:
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                (toxic if y > 0 else clean).update({f for w in reader.words(text) for f in word_features(w)})
-            if len(toxic) + len(clean) > 400_000:
+            for y, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                (toxic if y > 0 else clean).update({f for w in words for f in word_features(w)})
+            if len(toxic) + len(clean) > 200_000:
                 yield rows_so_far()
         yield rows_so_far()
 
@@ -267,9 +305,8 @@ def learn(docs: DataFrame, labels: DataFrame, model, id_col: str = "doc_id", tex
     held = spark.sparkContext.broadcast(index)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model.value)
         for b in batches:
-            got = [sorted({held.value[f] for w in reader.words(x) for f in word_features(w) if f in held.value}) for x in b.column(1).to_pylist()]
+            got = [sorted({held.value[f] for w in words for f in word_features(w) if f in held.value}) for words in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["y", "hits"])
 
     # The bounded sample of label and feature numbers.
@@ -296,6 +333,47 @@ def logistic(hits: list, y: np.ndarray, size: int, steps: int = 400, decay: floa
     return w, float(b)
 
 
+class Scorer:
+    """Finds the weighted features of whole texts; those of tokens are kept, and which tokens have none, as many as `most`."""
+
+    def __init__(self, reader: Reader, classifier: Classifier, most: int = 250_000):
+        self.reader, self.weights, self.most = reader, classifier.weights, most
+        self.of: dict[str, tuple[str, ...]] = {}
+        self.nothing: set[str] = set()
+        self.starts = {f[:n] for f in self.weights for n in range(1, len(f) + 1)}  # what a blank may have left of a word
+
+    def of_words(self, words: Iterable[str]) -> list[str]:
+        out = []
+        for w in words:
+            if w in self.weights:
+                out.append(w)
+            if len(w) > 4:
+                out += [f for n in ((4, 5) if len(w) > 5 else (4,)) if (f := w[:n] + "~") in self.weights]
+        return out
+
+    def features(self, text: str) -> set[str]:
+        low, found = text.lower(), set()
+        tokens = low.split()
+        distinct = set(tokens)
+        if not self.starts.isdisjoint(distinct):
+            for left, right in compress(pairwise(tokens), map(self.starts.__contains__, tokens)):
+                if (both := left + right.rstrip(_ENDS)) in self.weights and self.reader.joined(left, both[len(left) :]):
+                    found.add(both)
+        for token in distinct - self.nothing:
+            got = self.of.get(token)
+            if got is None:
+                got = tuple(self.of_words(self.reader.read(token)))
+                if len(self.of) + len(self.nothing) < self.most:
+                    if got:
+                        self.of[token] = got
+                    else:
+                        self.nothing.add(token)
+            found.update(got)
+        for run in spaced_runs(low, tokens):
+            found.update(self.of_words(self.reader.decode(run, spaced=True).split()))
+        return found
+
+
 def with_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "toxic_score", **how) -> DataFrame:
     """`docs` with a further column `into`, 0 to 1; it takes the place of one of that name."""
     spark = docs.sparkSession
@@ -305,27 +383,11 @@ def with_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader, c = Reader(model.value), fitted.value
-        of: dict[str, tuple[str, ...]] = {}
+        scored = Scorer(reader, c)
         for texts in batches:
             out = []
             for text in texts.to_pylist():
-                low = (text or "").lower()
-                found: set[str] = set()
-                tokens = low.split()
-                for left, right in zip(tokens, tokens[1:], strict=False):
-                    if (both := left + right.rstrip(_ENDS)) in c.weights and reader.joined(left, both[len(left) :]):
-                        found.add(both)
-                for token in set(tokens):
-                    got = of.get(token)
-                    if got is None:
-                        got = tuple(f for w in reader.readings(token) for f in word_features(w) if f in c.weights)
-                        if len(of) < 500_000:
-                            of[token] = got
-                    if got:
-                        found.update(got)
-                for run in _SPACED.findall(low):
-                    found.update(f for w in reader.decode(run, spaced=True).split() for f in word_features(w) if f in c.weights)
-                z = c.intercept + sum(c.weights[f] for f in sorted(found))
+                z = c.intercept + sum(c.weights[f] for f in sorted(scored.features(text or "")))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.array(out, pa.float64())
 

@@ -655,3 +655,23 @@ def test_sql(spark):
         theirs = con.sql(sql)
         at = [theirs.columns.index(c) for c in ours.columns]
         assert sorted(str(tuple(r)) for r in ours.collect()) == sorted(str(tuple(r[i] for i in at)) for r in theirs.fetchall()), name
+
+
+def test_toxicity_features_of_whole_texts():
+    """Kept tokens and starts of words leave out nothing: features are those of every token and pair of neighbours."""
+    rng = random.Random(4)
+    plain = ["".join(rng.choices("abelost", k=rng.randint(1, 7))) for _ in range(300)]
+    reader = toxicity.Reader(toxicity.log_probabilities(toxicity._trigrams(Counter(plain))))
+    fitted = toxicity.Classifier({f: 1.0 for w in plain[:60] for f in toxicity.word_features(w)}, -1.0)
+    odd = ["".join(rng.choices("aabelost013$@!.-", k=rng.randint(1, 8))) for _ in range(300)]
+    texts = [" ".join(rng.choice([rng.choice(plain), rng.choice(odd), rng.choice("abst")]) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    texts += [f"{w[:2]} {w[2:]}, {w[:-1]} {w[-1:]}" for w in plain[:60] if len(w) > 3]
+    scorer = toxicity.Scorer(reader, fitted, most=50)
+    for text in [*texts, *texts]:
+        tokens = text.lower().split()
+        want = {f for w in reader.words(text) for f in toxicity.word_features(w)}
+        for left, right in zip(tokens, tokens[1:], strict=False):
+            end = right.rstrip(toxicity._ENDS)
+            if reader.joined(left, end):
+                want.add(left + end)
+        assert scorer.features(text) == {f for f in want if f in fitted.weights}
