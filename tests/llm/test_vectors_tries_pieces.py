@@ -199,3 +199,19 @@ def test_a_large_group_of_ends_is_hashed_in_chunks(spark, monkeypatch):
     got = {r.id: r.ends for r in conversation_trie.ends(paths).collect()}
     sha = lambda ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert got == {0: sha(range(0, 2000, 3)), 1: sha(i for i in range(2000) if i % 3)}
+
+
+def test_agendas_of_both_kinds(codec, monkeypatch):
+    """Short parts have a list for an agenda, longer ones a heap; what is kept of parts is packed."""
+    rng = random.Random(7)
+    parts = ["".join(rng.choices("▁thehanindeßreaé,1", k=rng.randint(0, piece_codec.FEW))) for _ in range(400)]
+    listed = [piece_codec.merged(p, codec.scores) for p in parts]
+    ties = {"aa": -1.0, "ab": -1.0, "ba": -1.0, "aab": -1.0, "aba": -2.0}
+    odd = ["".join(rng.choices("ab", k=12)) for _ in range(200)]
+    tied = [piece_codec.merged(p, ties) for p in odd]
+    monkeypatch.setattr(piece_codec, "FEW", -1)
+    assert listed == [piece_codec.merged(p, codec.scores) for p in parts]
+    assert tied == [piece_codec.merged(p, ties) for p in odd]
+    texts = ["the house, the house", "", "x" * 90]
+    assert [(x.tolist(), y) for x, y in codec.coded(texts)] == codec.encode(texts)
+    assert all(isinstance(x, bytes) for x in codec.kept.values())
