@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, saved, text_or_empty
+from .common import arrow_rows, giving_back, saved, text_or_empty
 from .components import components
 from .hashing import Powers, mix
 
@@ -259,6 +259,7 @@ def shared_subsets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataF
             spread = {"part": pa.array(key[j] ^ other[j])} if "part" in fields else {}
             yield _batch(fields, len(key[j]), key=pa.array(key[j]), a=_binary(ids[least[j]]), b=_binary(ids[other[j]]), **spread)
 
+    @giving_back
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, keys, owners, ids, fields, held = Powers(), [], [], [], None, 0
         for b in batches:
@@ -292,6 +293,7 @@ def shared_subsets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataF
                 packed = np.ascontiguousarray(k[a:z].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
                 yield _batch(fields, 1, part=pa.array([p], i64), keys=pa.array([packed.tobytes()], raw), owners=pa.array([place.astype("<u2" if len(held) < 1 << 16 else "<u4").tobytes()], raw), sids=pa.array([distinct[held].tobytes()], raw))
 
+    @giving_back
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, ids, fields, before = [], [], None, 0
         for b in batches:
@@ -351,6 +353,7 @@ def near_enough(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     of = lambda s: some.select(F.col("sid").alias(s), F.col("rep").alias(f"rep_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     near = pairs.join(of("a"), "a").join(of("b"), "b").where(_SIZED).select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b")
 
+    @giving_back
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("sketch_a", "sketch_b"))
@@ -375,6 +378,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, te
     rows = with_texts(near_enough(pairs, reps), docs, "rep_b", id_col, text_col, "text_b")
     rows = with_texts(rows, docs, "rep_a", id_col, text_col, "text_a").select("a", "b", "text_a", "text_b")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, last, first = Powers(), None, None
         for batch in batches:
@@ -398,6 +402,7 @@ def token_sets(sids: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
     named = saved(sids.join(reps.select("sid", "rep"), "sid"))
     rows = with_texts(named, docs, "rep", id_col, text_col).select("sid", "text")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for b in batches:
@@ -414,6 +419,7 @@ def verified_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     of = lambda s: sets.select(F.col("sid").alias(s), F.col("tokens").alias(f"tokens_{s}"))
     rows = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "tokens_a", "tokens_b")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mask = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
@@ -589,6 +595,7 @@ def crowded_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components of the rows of large keys that sizes and bitmaps allow to be linked. The sets of a token
     are dealt by a hash into blocks of about BLOCK, and each goes to all tasks that compare its block with another."""
 
+    @giving_back
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bitmap(np.frombuffer(t, np.uint64)) for t in b.column(1).to_pylist()], pa.binary())], names=["sid", "map"])
@@ -611,6 +618,7 @@ def crowded_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
         found = np.argwhere(possible_links(of(a), of(b)) & apart_)
         return [(min(a[x][0], b[y][0]), max(a[x][0], b[y][0])) for x, y in found.tolist() if not alone or x < y]
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         given = lambda pairs: pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)] if pairs else [pa.array([], pa.binary())] * 2, names=["a", "b"])
@@ -635,6 +643,7 @@ def finest(crowded: DataFrame, sets: DataFrame) -> DataFrame:
     needy = crowded.groupBy("sid").agg(F.first("root").alias("root"), F.first("n_shingles").alias("n_shingles"), F.first("slack").alias("slack"), F.count(F.lit(1)).alias("commons"))
     needy = saved(needy.where("slack < 2 * commons").select("sid", "root", "n_shingles"))
 
+    @giving_back
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for sid, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

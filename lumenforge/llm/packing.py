@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows
+from .common import arrow_rows, giving_back
 
 CAPACITY = 4096
 #: Pieces of a block, which short texts reach before its windows.
@@ -222,7 +222,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], letters: int = 4_000_000) -> Iterator[tuple[list, list[str], pa.DataType]]:
+def _gathered(batches: Iterator[pa.RecordBatch], letters: int = 2_000_000) -> Iterator[tuple[list, list[str], pa.DataType]]:
     """Ids and texts of several batches together: the more texts, the more of their words repeat."""
     keys, texts, held = [], [], 0
     for b in batches:
@@ -242,6 +242,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     end = np.array([end_id], "<u4").tobytes()
     names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = ids_by(tokenizer or tokenizer_path())
         serial = count((TaskContext.get().partitionId() if TaskContext.get() else 0) << 36)

@@ -25,7 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import compress, pairwise
+from itertools import batched, compress, pairwise
 from operator import eq
 
 import numpy as np
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, saved, text_or_empty
+from .common import arrow_rows, giving_back, saved, text_or_empty
 
 #: The symbols of the model. 0 is the edge of a word, the last one anything else.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
@@ -64,24 +64,28 @@ _ENDS = ".,:;?#%&*()[]{}<>\"'`~^-_=/\\"
 # The language model
 
 
-def _trigrams(words: Counter) -> np.ndarray:
-    """Counts of symbol trigrams in words, each between edges, as a flat table."""
-    text = "\n\n" + "\n\n".join(words) + "\n\n"
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    sym = _SYMBOL[np.minimum(codes, 0x17F)]
-    sym[codes == 10] = 0
-    sym[codes == ord("œ")] = _INDEX["œ"]
-    reps = np.fromiter(words.values(), np.int64, len(words))
-    lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    weight = np.repeat(reps, lens)  # of the trigrams that end in a word or at the edge after it
-    tri = (sym[:-2] * SYMBOLS + sym[1:-1]) * SYMBOLS + sym[2:]
-    return np.bincount(tri[: len(weight)], weight, SYMBOLS**3).astype(np.int64)
+def _trigrams(words: Counter, portion: int = 16_384) -> np.ndarray:
+    """Counts of symbol trigrams in words, each between edges, as a flat table; so many words at a time, which take a few MB."""
+    total = np.zeros(SYMBOLS**3, np.int64)
+    for some in batched(words.items(), portion):
+        text = "\n\n" + "\n\n".join(w for w, _ in some) + "\n\n"
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        sym = _SYMBOL[np.minimum(codes, 0x17F)]
+        sym[codes == 10] = 0
+        sym[codes == ord("œ")] = _INDEX["œ"]
+        reps = np.fromiter((n for _, n in some), np.int64, len(some))
+        lens = np.fromiter((len(w) for w, _ in some), np.int64, len(some)) + 2
+        weight = np.repeat(reps, lens)  # of the trigrams that end in a word or at the edge after it
+        tri = (sym[:-2] * SYMBOLS + sym[1:-1]) * SYMBOLS + sym[2:]
+        total += np.bincount(tri[: len(weight)], weight, SYMBOLS**3).astype(np.int64)
+    return total
 
 
 def count_trigrams(texts: DataFrame, text_col: str) -> np.ndarray:
     """Over all texts. Each task sends the cells it has seen; they are added by Spark and at most SYMBOLS ** 3 collected."""
     arrow_rows(texts.sparkSession)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
         words: Counter = Counter()
@@ -268,6 +272,7 @@ def learn(docs: DataFrame, labels: DataFrame, model, id_col: str = "doc_id", tex
     if min(classes.get(0, 0), classes.get(1, 0)) < 1:
         return none
 
+    @giving_back
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model.value)
         for b in batches:
@@ -276,6 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame, model, id_col: str = "doc_id", tex
 
     rows = saved(rows.mapInArrow(read, "y int, words array<string>"))
 
+    @giving_back
     def count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean: Counter = Counter()
         toxic: Counter = Counter()
@@ -304,6 +310,7 @@ def learn(docs: DataFrame, labels: DataFrame, model, id_col: str = "doc_id", tex
     index = {r.feature: i for i, r in enumerate(best)}
     held = spark.sparkContext.broadcast(index)
 
+    @giving_back
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [sorted({held.value[f] for w in words for f in word_features(w) if f in held.value}) for words in b.column(1).to_pylist()]
@@ -381,6 +388,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     fitted = spark.sparkContext.broadcast(learn(docs, labels, model, id_col, text_col, **how))
 
     @F.arrow_udf("double")
+    @giving_back
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader, c = Reader(model.value), fitted.value
         scored = Scorer(reader, c)
