@@ -10,8 +10,10 @@ neighbouring strings share an anchor and form one stretch.
    task, front-coded, exchanged by gram as sorted runs and merged by a loser tree. A head's common prefix with the last
    winner is known from its run, so no known prefix is compared again. The merged common prefixes rule out what can't reach
    `length`; the strings of the rest are compared byte by byte inside their gram.
-3. Grams with more than `hot` such stretches are not merged in one place: their strings are counted by 128-bit
-   fingerprints; those that repeat within a task are found there, and one of each goes on to the exchange.
+3. Grams with more than `hot` such stretches are not merged in one place. Their strings are taken in blocks of like distance
+   from the anchor, whose common core is counted by 128-bit fingerprints: where a core stands once, no string around it
+   repeats. The strings around the other cores are counted by fingerprints; those that repeat within a task are found there,
+   and one of each goes on to the exchange.
 4. The places found come back to their documents, in which the covered bytes are cut.
 
 A task sends no more than 64 stretches of one gram in step 1 and settles whole repeats on the spot, so what meets there for
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -249,7 +252,11 @@ def front_code(rows: list[tuple[bytes, tuple]]) -> list[tuple[int, bytes, tuple]
 
 
 _RUN = pa.struct([("shared", pa.int32()), ("tail", pa.binary()), ("left", pa.binary()), ("uid", pa.int64()), ("first", pa.int64()), ("open", pa.bool_())])
-_RUNS = "part bigint, run array<struct<shared:int,tail:binary,left:binary,uid:bigint,first:bigint,open:boolean>>, mark1 bigint, mark2 bigint, uid bigint, start bigint, open boolean"
+_BLOCK = pa.struct([("uid", pa.int64()), ("start", pa.int64()), ("open", pa.bool_()), ("body", pa.binary())])
+_RUNS = "part bigint, run array<struct<shared:int,tail:binary,left:binary,uid:bigint,first:bigint,open:boolean>>, mark1 bigint, mark2 bigint, blocks array<struct<uid:bigint,start:bigint,open:boolean,body:binary>>"
+_STRINGS = "mark1 bigint, mark2 bigint, uid bigint, start bigint, last bigint, open boolean"
+#: Blocks of one core in a row, and in an Arrow batch.
+IN_ROW, IN_BATCH = 1024, 4096
 _FOUND = "uid bigint, start bigint, last bigint"
 
 
@@ -287,61 +294,126 @@ def _windows(rows: list[tuple], length: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def blocks(first: int, n: int, anchor: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first start, last start, core's start, core's end) of the blocks of a stretch, whose n + 1 strings from `first` on share the
+    anchor. A block holds the starts whose distance from the anchor has one quotient by its size, so that equal strings of two
+    stretches stand in equal blocks; all strings of a block, in this stretch or another, hold its core."""
+    size = max(1, length // 12)
+    for b in range((anchor - first - n) // size, (anchor - first) // size + 1):
+        near, far = b * size, b * size + size - 1
+        yield max(first, anchor - far), min(first + n, anchor - near), anchor - near, anchor - far + length
+
+
+def _runs_of(mark1: np.ndarray, mark2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by both marks, and where in it a new pair of marks begins."""
+    order = np.lexsort((mark2, mark1))
+    a, b = mark1[order], mark2[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, new
+
+
+def crowded_repeats(cores: DataFrame, length: int) -> DataFrame:
+    """(uid, start, last) of string starts that repeat, among the strings of `cores` (mark1, mark2, task, blocks)."""
+    # Each task's blocks meet only what is told of their core, so a core that many tasks hold gathers nowhere.
+    often = cores.groupBy("mark1", "mark2").agg(F.sum(F.size("blocks")).alias("n"), F.collect_set("task").alias("tasks"))
+    often = saved(often.where("n > 1").select("mark1", "mark2", F.explode("tasks").alias("task")))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, marks = Powers(), []
+        for b in batches:
+            uid, start, wanted = (c.to_numpy(zero_copy_only=False) for c in b.columns[:3])
+            bodies = b.column(3).to_pylist()
+            size = np.fromiter(map(len, bodies), np.int64, len(bodies))
+            many = size - length + 1
+            of = np.repeat(np.arange(len(bodies)), many)
+            o = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            raw, at = np.frombuffer(b"".join(bodies), np.uint8), (np.cumsum(size) - size)[of] + o
+            m = [powers.ranges(powers.sums(raw, w), at, at + length, w).view(np.int64) for w in (0, 1)]
+            marks.append((*m, uid[of], start[of] + o, wanted[of].astype(bool)))
+        if not marks:
+            return
+        m1, m2, uid, at, wanted = map(np.concatenate, zip(*marks, strict=True))
+        order, new = _runs_of(m1, m2)
+        m1, m2, uid, at, wanted = (x[order] for x in (m1, m2, uid, at, wanted))
+        twice = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1 if len(new) else new
+        names = ["mark1", "mark2", "uid", "start", "last", "open"]
+        # Strings that repeat in this task are found; one of each goes on.
+        done = np.flatnonzero(twice & wanted)
+        done = done[np.lexsort((at[done], uid[done]))]
+        if len(done):  # neighbouring starts as one row
+            u, x = uid[done], at[done]
+            head = np.ones(len(done), bool)
+            head[1:] = (u[1:] != u[:-1]) | (x[1:] > x[:-1] + 1)
+            first = np.flatnonzero(head)
+            last = np.append(first[1:], len(done)) - 1
+            none = pa.nulls(len(first), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(u[first]), pa.array(x[first]), pa.array(x[last]), pa.nulls(len(first), pa.bool_())], names=names)
+        one = np.flatnonzero(new)
+        for i in range(0, len(one), 65_536):
+            j = one[i : i + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (m1[j], m2[j], uid[j], at[j], at[j], wanted[j] & ~twice[j])], names=names)
+
+    sent = saved(cores.join(often, ["task", "mark1", "mark2"]).select(F.inline("blocks")).mapInArrow(spell, _STRINGS))
+    strings = sent.where("mark1 is not null")
+    twice = saved(strings.groupBy("mark1", "mark2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark1", "mark2"))
+    counted = strings.where("open").join(twice, ["mark1", "mark2"])
+    return counted.unionByName(sent.where("mark1 is null")).select("uid", "start", "last")
+
+
 def partial_repeats(docs: DataFrame, found: DataFrame, length: int, hot: int) -> DataFrame:
     """(uid, start, last) of string starts that repeat within stretches that don't as a whole."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     todo = found.where(F.col("kind") >= PARTIAL)
     crowded = saved(todo.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("gram", F.lit(True).alias("hot")))
+    some_crowded = not crowded.isEmpty()
     item = F.struct("gram", "place", (F.col("kind") == PARTIAL).alias("open"), F.coalesce("hot", F.lit(False)).alias("hot"))
     todo = saved(todo.join(crowded, "gram", "left").groupBy("uid").agg(F.collect_set(item).alias("items")))
     rows = docs.join(todo, "uid").select("uid", "text", "items")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, by_part, marks = Powers(), {}, []
+        powers, by_part, marks, crowd = Powers(), {}, [], []
         for b in batches:
             for uid, text, items in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = _bytes(text)
-                crowd = []
+                cores = []
                 for x in items:
                     first, n, a = x["place"] >> 16, x["place"] >> 8 & 255, x["place"] & 255
                     if x["hot"]:
-                        crowd.append((np.arange(first, first + n + 1), x["open"]))
+                        for start, last, *core in blocks(first, n, first + a, length):
+                            cores.append(core)
+                            crowd.append((uid, start, x["open"], data[start : last + length]))
                         continue
                     key = (x["gram"] + (1 << 63)).to_bytes(8, "big") + data[first + a : first + n + length]
                     by_part.setdefault(x["gram"] % parts, []).append((key, (data[first : first + a][::-1], uid, first, x["open"])))
-                if crowd:
-                    raw = np.frombuffer(data, np.uint8)
-                    at = np.concatenate([c[0] for c in crowd])
-                    m = [powers.ranges(powers.sums(raw, w), at, at + length, w).view(np.int64) for w in (0, 1)]
-                    marks.append((*m, np.full(len(at), uid, np.int64), at, np.concatenate([np.full(len(c[0]), c[1]) for c in crowd])))
-        names = ["part", "run", "mark1", "mark2", "uid", "start", "open"]
+                if cores:
+                    raw, at = np.frombuffer(data, np.uint8), np.array(cores)
+                    marks.append([powers.ranges(powers.sums(raw, w), at[:, 0], at[:, 1], w).view(np.int64) for w in (0, 1)])
+        names = ["part", "run", "mark1", "mark2", "blocks"]
         for part, strings in by_part.items():
             run = [{"shared": n, "tail": tail, "left": p[0], "uid": p[1], "first": p[2], "open": p[3]} for n, tail, p in front_code(strings)]
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([run], pa.list_(_RUN)), *(pa.nulls(1, pa.int64()),) * 4, pa.nulls(1, pa.bool_())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([run], pa.list_(_RUN)), *(pa.nulls(1, pa.int64()),) * 2, pa.nulls(1, pa.list_(_BLOCK))], names=names)
         if marks:
-            m1, m2, uid, at, wanted = map(np.concatenate, zip(*marks, strict=True))
-            order = np.lexsort((m2, m1))
-            m1, m2, uid, at, wanted = (x[order] for x in (m1, m2, uid, at, wanted))
-            new = np.ones(len(m1), bool)
-            new[1:] = (m1[1:] != m1[:-1]) | (m2[1:] != m2[:-1])
-            twice = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
-            # Strings that repeat in this task are found; one of each goes on.
-            done = np.flatnonzero(twice & wanted)
-            done = done[np.lexsort((at[done], uid[done]))]
-            if len(done):  # neighbouring starts as one row, its last one in `part`
-                u, x = uid[done], at[done]
-                head = np.ones(len(done), bool)
-                head[1:] = (u[1:] != u[:-1]) | (x[1:] > x[:-1] + 1)
-                first = np.flatnonzero(head)
-                last = np.append(first[1:], len(done)) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(x[last]), pa.nulls(len(first), pa.list_(_RUN)), *(pa.nulls(len(first), pa.int64()),) * 2, pa.array(u[first]), pa.array(x[first]), pa.nulls(len(first), pa.bool_())], names=names)
-            one = np.flatnonzero(new)
-            for i in range(0, len(one), 65_536):
-                j = one[i : i + 65_536]
-                yield pa.RecordBatch.from_arrays([pa.array(m1[j]), pa.nulls(len(j), pa.list_(_RUN)), pa.array(m1[j]), pa.array(m2[j]), pa.array(uid[j]), pa.array(at[j]), pa.array(wanted[j] & ~twice[j])], names=names)
-
-    sent = saved(rows.mapInArrow(write, _RUNS))
+            m1, m2 = map(np.concatenate, zip(*marks, strict=True))
+            order, new = _runs_of(m1, m2)
+            at = np.flatnonzero(new)
+            # Rows of a core's blocks, with this task's number, as many as fit a batch.
+            rows = [(i, min(i + IN_ROW, e)) for first, e in zip(at, np.append(at[1:], len(new)), strict=True) for i in range(first, e, IN_ROW)]
+            task = TaskContext.get().partitionId()
+            some, held = [], 0
+            for i, e in rows:
+                some.append((i, e))
+                held += e - i
+                if held >= IN_BATCH or e == len(new):
+                    body = [[dict(zip(("uid", "start", "open", "body"), crowd[k], strict=True)) for k in order[i:e]] for i, e in some]
+                    of = order[[i for i, _ in some]]
+                    yield pa.RecordBatch.from_arrays([pa.array([task] * len(some), pa.int64()), pa.nulls(len(some), pa.list_(_RUN)), pa.array(m1[of]), pa.array(m2[of]), pa.array(body, pa.list_(_BLOCK))], names=names)
+                    some, held = [], 0
+
+    sent = rows.mapInArrow(write, _RUNS)
+    if some_crowded:
+        sent = saved(sent)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list[Run]] = {}
@@ -360,12 +432,9 @@ def partial_repeats(docs: DataFrame, found: DataFrame, length: int, hot: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["uid", "start", "last"])
 
     runs = sent.where("run is not null").select("part", "run").repartition(parts, "part").mapInArrow(read, _FOUND)
-    # Hot grams: strings counted by fingerprint, each combined before its exchange.
-    strings = sent.where("mark1 is not null")
-    twice = saved(strings.groupBy("mark1", "mark2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark1", "mark2"))
-    counted = strings.where("open").join(twice, ["mark1", "mark2"])
-    at_once = sent.where("run is null and mark1 is null")
-    return runs.unionByName(counted.select("uid", "start", F.col("start").alias("last"))).unionByName(at_once.select("uid", "start", F.col("part").alias("last")))
+    if not some_crowded:
+        return runs
+    return runs.unionByName(crowded_repeats(sent.where("run is null").select(F.col("part").alias("task"), "mark1", "mark2", "blocks"), length))
 
 
 def _records(run: pa.StructArray) -> Iterator[tuple[int, bytes, tuple]]:

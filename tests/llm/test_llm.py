@@ -285,6 +285,42 @@ def test_suffix_dedup(spark, texts, hot):
         assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans) == (len(b), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]))
 
 
+@pytest.mark.parametrize("shared", [100, 260])
+def test_suffix_dedup_of_a_hot_gram(spark, monkeypatch, shared):
+    """A passage in many different surroundings: strings are told apart by what they have in common first, so rows don't grow
+    with all strings around the passage."""
+    rng = random.Random(shared)
+    own = lambda: "".join(rng.choices("abcdefghijklmnop ", k=250))
+    passage = (own() + own())[:shared]
+    data = [(own() + passage + own()).encode() for _ in range(150)]
+    made = []
+    monkeypatch.setattr(suffix_dedup, "saved", lambda df, keep=suffix_dedup.saved: made.append(keep(df)) or made[-1])
+    got = by_id(suffix_dedup.remove_repeats(table(spark, [b.decode() for b in data]).repartition(3), hot=20))
+    seen = Counter(b[i : i + 200] for b in data for i in range(len(b) - 199))
+    for k, b in enumerate(data):
+        gone = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        assert bytes(got[k].kept) == bytes(x for x, y in zip(b, gone, strict=True) if not y)
+    strings = max(df.count() for df in made)
+    assert strings < 25 * len(data), [df.count() for df in made]
+
+
+@pytest.mark.parametrize("length", [13, 60, 200, 255])
+def test_blocks_of_a_stretch(length):
+    """Every start stands in one block, and every string of a block, in whatever stretch, holds the block's core."""
+    whole = {}
+    for first, n, anchor in [(500 - a, n, 500) for a in (0, 1, length // 2, length - 12) for n in {0, a // 2, a}]:
+        starts = []
+        for start, last, at, end in suffix_dedup.blocks(first, n, anchor, length):
+            starts += range(start, last + 1)
+            assert last <= at < end <= start + length
+            for i in range(start, last + 1):
+                assert whole.setdefault(anchor - i, (at, end)) == (at, end)
+        assert sorted(starts) == list(range(first, first + n + 1))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.binary(max_size=6), max_size=8), max_size=6))
 def test_loser_tree(runs):
