@@ -317,7 +317,7 @@ def crowded_repeats(cores: DataFrame, length: int) -> DataFrame:
     """(uid, start, last) of string starts that repeat, among the strings of `cores` (mark1, mark2, task, blocks)."""
     # Each task's blocks meet only what is told of their core, so a core that many tasks hold gathers nowhere.
     often = cores.groupBy("mark1", "mark2").agg(F.sum(F.size("blocks")).alias("n"), F.collect_set("task").alias("tasks"))
-    often = saved(often.where("n > 1").select("mark1", "mark2", F.explode("tasks").alias("task")))
+    often = often.where("n > 1").select("mark1", "mark2", F.explode("tasks").alias("task"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, marks = Powers(), []
@@ -356,7 +356,7 @@ def crowded_repeats(cores: DataFrame, length: int) -> DataFrame:
 
     sent = saved(cores.join(often, ["task", "mark1", "mark2"]).select(F.inline("blocks")).mapInArrow(spell, _STRINGS))
     strings = sent.where("mark1 is not null")
-    twice = saved(strings.groupBy("mark1", "mark2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark1", "mark2"))
+    twice = strings.groupBy("mark1", "mark2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark1", "mark2")
     counted = strings.where("open").join(twice, ["mark1", "mark2"])
     return counted.unionByName(sent.where("mark1 is null")).select("uid", "start", "last")
 
