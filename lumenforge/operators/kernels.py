@@ -152,7 +152,7 @@ def to_lab(img: np.ndarray) -> np.ndarray:
 
 def from_lab(lab: np.ndarray) -> np.ndarray:
     fy = (lab[..., 0] + 16) / 116
-    f = np.stack([fy + lab[..., 1] / 500, fy, fy - lab[..., 2] / 200], axis=2)
+    f = np.stack([fy + lab[..., 1] / 500, fy, fy - lab[..., 2] / 200], axis=-1)
     t = np.where(f > 0.206893, f**3, (f - 16 / 116) / 7.787) * _WHITE
     c = np.clip(t @ np.linalg.inv(_TO_XYZ).T, 0, 1)
     c = np.where(c > 0.0031308, 1.055 * c ** (1 / 2.4) - 0.055, 12.92 * c)

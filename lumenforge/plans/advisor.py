@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import diagnostics, kernels, scoring
+from ..operators import diagnostics, kernels, scoring, stacks
 from ..sources.images import encode_png
 from ..sources.shared import saved
 from . import benchmark, catalog
@@ -20,20 +21,26 @@ def measure(images: DataFrame, profile: str = "auto", pipelines: tuple[catalog.P
     """(path, pipeline_id, processing_ms, before_*, after_*): a row for each image and pipeline of the profile."""
     if profile not in catalog.PROFILES:
         raise ValueError(f"unknown profile: {profile}")
-    chosen = tuple((p.id, benchmark.runnable(p)) for p in pipelines if profile in p.profiles)
-
-    def one(img) -> list[dict]:
-        before, out = kernels.diagnose(img), []
-        for name, steps in chosen:
-            began = time.perf_counter()
-            done = benchmark.run_pipeline(img, steps)
-            ms = (time.perf_counter() - began) * 1000
-            after = kernels.diagnose(done)
-            out.append({"pipeline_id": name, "processing_ms": ms} | {f"before_{k}": float(v) for k, v in before.items()} | {f"after_{k}": float(v) for k, v in after.items()})
+    chosen = tuple((p.id, all(f in stacks.STACKED for _, f in own), tuple((s.params, stacks.stacked(f)) for s, f in own)) for p in pipelines if profile in p.profiles for own in [benchmark.runnable(p)])
+
+    def rows(when: str, figures: dict) -> list[dict]:
+        return [{f"{when}_{k}": float(v) for k, v in zip(figures, of_image, strict=True)} for of_image in zip(*figures.values(), strict=True)]
+
+    def many(x: np.ndarray) -> list[list[dict]]:
+        """A stack's time is shared evenly among its images. Transforms that know no stacks get images one by one, as theirs may differ in size."""
+        before, out = rows("before", stacks.diagnose(x)), [[] for _ in x]
+        for name, whole, steps in chosen:
+            for start, part in [(0, x)] if whole else [(i, x[i : i + 1]) for i in range(len(x))]:
+                began = time.perf_counter()
+                for params, transform in steps:
+                    part = transform(part, **params)
+                ms = (time.perf_counter() - began) * 1000 / len(part)
+                for i, after in enumerate(rows("after", stacks.diagnose(part)), start):
+                    out[i].append({"pipeline_id": name, "processing_ms": ms} | before[i] | after)
         return out
 
     schema = "pipeline_id string, processing_ms double, " + ", ".join(f"{s}_{m} double" for s in ("before", "after") for m in diagnostics.METRICS)
-    return kernels.map_images(images, ["path"], one, schema)
+    return stacks.map_stacks(images, ["path"], many, schema)
 
 
 def advise(images: DataFrame, profile: str = "auto", limit: int = 3, weights: dict | None = None, pipelines: tuple[catalog.Pipeline, ...] = catalog.DEFAULT) -> DataFrame:

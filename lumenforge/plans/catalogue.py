@@ -863,7 +863,7 @@ def _as_images(spark: SparkSession, d: str, scale: int = 4) -> DataFrame:
         return planes.map(lambda px: np.kron(np.asarray(px, np.uint8).reshape(rasters.SIDE, -1), np.ones((scale, scale), np.uint8))[..., None].repeat(3, axis=2).tobytes())
 
     grown.__annotations__ = {"planes": pd.Series, "return": pd.Series}
-    return rasters.load(spark, d).select("image_id", "label", F.struct(F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), F.pandas_udf(grown, "binary")("px").alias("data")).alias("image"))
+    return rasters.dealt(rasters.load(spark, d), "image_id").select("image_id", "label", F.struct(F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), F.pandas_udf(grown, "binary")("px").alias("data")).alias("image"))
 
 
 def _kernel(name: str) -> Query:

@@ -28,6 +28,12 @@ def coloured(rasters: DataFrame) -> DataFrame:
     return rasters.withColumns({"b": F.col("px"), "g": F.transform("px", lambda g: 255 - g), "r": F.transform("px", lambda g: (g * 7) % 256)}).drop("px")
 
 
+def dealt(rows: DataFrame, key: str, each: int = 500) -> DataFrame:
+    """`rows` in parts of about `each`, at least two for each core. A small file is one part, so one task, however long a row takes."""
+    parts = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+    return rows.repartition(parts, key)
+
+
 def load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_rasters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
