@@ -154,3 +154,143 @@ def _unpacked(block: pa.StructArray) -> tuple[pa.Array, pa.Array, np.ndarray]:
     block = block.take(pc.sort_indices(block.field("key")))
     vectors = block.field("vector")
     return block.field("key"), block.field("label"), vectors.flatten().to_numpy().reshape(len(block), -1)
+
+
+# Rows once, each fold with its own scale
+
+
+#: Rows of a block, at most, by the numbers that it holds.
+ACROSS_VALUES = 1 << 19
+#: Numbers of a strip of products.
+STRIP = 1 << 22
+#: Pairs of a strip that are looked at one by one; beyond that the strip is compared whole.
+PAIRS = 1 << 18
+
+
+def _least(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k least of each row, of equals the first columns."""
+    if d.shape[1] > k:
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        same = d == kth
+        d = (d < kth) | same & (np.cumsum(same, 1) <= k - (d < kth).sum(1, keepdims=True))
+        return np.nonzero(d)
+    return np.nonzero(np.ones(d.shape, bool))
+
+
+class Nearest:
+    """The k nearest of a block's rows among all blocks that it has met, equals by their key."""
+
+    def __init__(self, x: np.ndarray, k: int, kind: np.dtype):
+        self.x, self.k, self.square = x, k, (x * x).sum(1)
+        self.near = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+        self.d, self.label = np.full((len(x), k), np.inf), np.zeros((len(x), k), kind)
+        self.key: np.ndarray | None = None
+
+    def meet(self, y: np.ndarray, keys: np.ndarray, labels: np.ndarray) -> None:
+        """Compares all pairs; keys ascend. Products in single precision leave out the pairs that are surely too far, by a bound of
+        their error; what is left is told exactly."""
+        if self.key is None:
+            self.key = np.full(self.d.shape, keys[0], keys.dtype)
+        elif keys.dtype != self.key.dtype:  # longer texts
+            self.key = self.key.astype(np.promote_types(keys.dtype, self.key.dtype))
+        square = (y * y).sum(1)
+        if np.isinf(self.d[:, -1]).any():  # a first bound
+            few = min(len(y), 1024)
+            for start in range(0, len(self.x), 256):
+                self._whole(np.arange(start, min(start + 256, len(self.x))), y[:few], square[:few], keys[:few], labels[:few])
+            y, square, keys, labels = y[few:], square[few:], keys[few:], labels[few:]
+        if not len(y):
+            return
+        other = np.ascontiguousarray(np.hstack([y, -square[:, None] / 2]).astype(np.float32).T)
+        longest = np.sqrt(square.max())
+        step = max(1, STRIP // len(y))
+        product, mask = np.empty((step, len(y)), np.float32), np.empty((step, len(y)), bool)
+        for start in range(0, len(self.x), step):
+            at = slice(start, min(start + step, len(self.x)))
+            n = at.stop - start
+            size = np.sqrt(self.square[at])
+            error = (other.shape[0] + 8) * 2.0**-23 * (size * longest + longest**2 / 2 + 1)
+            bound = ((self.square[at] - self.d[at, -1] - 2e-6) / 2 - error).astype(np.float32)
+            np.dot(self.near[at], other, out=product[:n])
+            np.greater_equal(product[:n], np.nextafter(bound, np.float32(-np.inf))[:, None], out=mask[:n])
+            found = np.flatnonzero(mask[:n])
+            if len(found) > PAIRS:
+                for s in range(start, at.stop, max(1, STRIP // 8 // len(y))):
+                    self._whole(np.arange(s, min(s + max(1, STRIP // 8 // len(y)), at.stop)), y, square, keys, labels)
+                continue
+            rows, cols = found // len(y) + start, found % len(y)
+            d = np.empty(len(found))
+            for s in range(0, len(found), 1 << 15):
+                gap = self.x[rows[s : s + (1 << 15)]] - y[cols[s : s + (1 << 15)]]
+                d[s : s + (1 << 15)] = np.round((gap * gap).sum(1), 6)
+            kept = d <= self.d[rows, -1]
+            self._join(rows[kept], d[kept], keys[cols[kept]], labels[cols[kept]])
+
+    def _whole(self, part: np.ndarray, y: np.ndarray, square: np.ndarray, keys: np.ndarray, labels: np.ndarray) -> None:
+        d = np.maximum(np.round(self.square[part][:, None] + square[None, :] - 2 * self.x[part] @ y.T, 6), 0)
+        rows, cols = _least(d, self.k)
+        self._join(part[rows], d[rows, cols], keys[cols], labels[cols])
+
+    def _join(self, rows: np.ndarray, d: np.ndarray, keys: np.ndarray, labels: np.ndarray) -> None:
+        if not len(rows):
+            return
+        own = np.unique(rows)
+        rows, d = np.concatenate([np.repeat(own, self.k), rows]), np.concatenate([self.d[own].ravel(), d])
+        keys, labels = np.concatenate([self.key[own].ravel(), keys]), np.concatenate([self.label[own].ravel(), labels])
+        order = np.lexsort((keys, d, rows))
+        first = np.searchsorted(rows[order], own)
+        best = order[first[:, None] + np.arange(self.k)]
+        self.d[own], self.key[own], self.label[own] = d[best], keys[best], labels[best]
+
+
+def _plain(column: pa.Array) -> np.ndarray:
+    """Keys or labels; texts as NumPy's own, which sort like UTF-8."""
+    out = column.to_numpy(zero_copy_only=False)
+    return out.astype(str) if out.dtype == object else out
+
+
+def across(rows: DataFrame, key: str, label: str, stats: dict, k: int = 5, fold: str = "fold", features: str = "features") -> DataFrame:
+    """(test_fold, key, actual, other, vote, d) of the k nearest rows of the other folds, for each row of each fold, on features scaled by
+    the fold's `stats` (mean, deviation). All pairs are compared, but a row is written once, in a block of its fold, and each task
+    lets all blocks pass by a few blocks of its own: nothing is sent once for each fold, cell or pair."""
+    spark = rows.sparkSession
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (fold, key, label)}
+    single = rows.schema[features].dataType.simpleString() == "array<float>"
+    kind, width = np.dtype(np.float32 if single else np.float64), max((len(m) for m, _ in stats.values()), default=1)
+    plain = saved(rows.select(F.col(fold).alias("fold"), F.col(key).alias("key"), F.col(label).alias("label"), F.col(features) if single else F.col(features).cast("array<double>")).toDF("fold", "key", "label", "x"))
+    n, cores = plain.count(), spark.sparkContext.defaultParallelism
+    size = max(16, min(ACROSS_VALUES // width, -(-n // (4 * cores))))
+    sizes = plain.groupBy("fold").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))  # a row for each fold
+
+    def packed(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by("key")
+        x = t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
+        one = lambda c: pa.array([t.column(c).to_pylist()], pa.list_(t.schema.field(c).type))
+        return pa.table({"fold": t.column("fold").slice(0, 1), "block": t.column("block").slice(0, 1), "keys": one("key"), "labels": one("label"), "x": pa.array([x.tobytes()], pa.binary())})
+
+    dealt = plain.join(F.broadcast(sizes), "fold").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
+    blocks = saved(dealt.groupBy("fold", "block").applyInArrow(packed, f"fold {kinds[fold]}, block int, keys array<{kinds[key]}>, labels array<{kinds[label]}>, x binary"))
+    count = blocks.count()
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                f, b = batch.column("fold")[i].as_py(), batch.column("block")[i].as_py()
+                m, sd = stats[f]
+                scaled = lambda c, i=i, batch=batch: (np.frombuffer(batch.column(c)[i].as_buffer(), kind).reshape(-1, width).astype(float) - m) / sd  # noqa: E731, B023
+                if (f, b) not in held:
+                    own = batch.column("labels")[i].values
+                    held[f, b] = (Nearest(scaled("x"), k, own.to_numpy(zero_copy_only=False).dtype), batch.column("keys")[i].values, own, batch.column("fold").slice(i, 1))
+                held[f, b][0].meet(scaled("y"), _plain(batch.column("others")[i].values), batch.column("votes")[i].values.to_numpy(zero_copy_only=False))
+        for near, keys, labels, at in held.values():
+            rows_, cols = np.nonzero(np.isfinite(near.d))
+            for s in range(0, len(rows_), 100_000):
+                r, c = rows_[s : s + 100_000], cols[s : s + 100_000]
+                yield pa.RecordBatch.from_arrays([at.take(pa.array(np.zeros(len(r), np.int64))), keys.take(pa.array(r)), labels.take(pa.array(r)), pa.array(near.key[r, c]).cast(keys.type), pa.array(near.label[r, c]).cast(labels.type), pa.array(near.d[r, c])], names=["test_fold", key, "actual", "other", "vote", "d"])
+
+    # The blocks of one side pass in a single row of tasks' partitions, each task reading them all; those of the other are spread.
+    passing = blocks.select(F.col("fold").alias("from"), F.col("keys").alias("others"), F.col("labels").alias("votes"), F.col("x").alias("y")).coalesce(1)
+    pairs = passing.crossJoin(blocks.repartition(max(1, count), "fold", "block")).where(F.col("from") != F.col("fold"))
+    return pairs.select("fold", "block", "keys", "labels", "x", "others", "votes", "y").mapInArrow(met, f"test_fold {kinds[fold]}, `{key}` {kinds[key]}, actual {kinds[label]}, other {kinds[key]}, vote {kinds[label]}, d double")
