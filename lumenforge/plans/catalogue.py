@@ -16,7 +16,7 @@ from ..operators import diagnostics as dx
 from ..operators import cascade, features, kernels, learn, metrics, quantiles, scoring, split, text_checks
 from ..operators import transforms as tx
 from ..sources import rasters
-from ..sources.shared import saved
+from ..sources.shared import saved, settled
 from . import advice, advisor, catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -643,17 +643,16 @@ _LB = _FS.replace(_PRED, _FITTED, 1) + """, lb AS (SELECT *, 'knn' AS classifier
 
 
 def _board(spark: SparkSession, d: str) -> DataFrame:
-    """Entries of nearest neighbours on the rasters after each of three pipelines, all folds of all of them in one job."""
-    own = rasters.load(spark, d).join(_folded(spark, d).select(F.col("vec_id").alias("image_id"), "fold"), "image_id")
+    """Entries of nearest neighbours on the rasters after each of three pipelines. Of a pipeline only the predictions stay."""
+    own = saved(rasters.load(spark, d).join(_folded(spark, d).select(F.col("vec_id").alias("image_id"), "fold"), "image_id"))
     size = (F.col("px"), F.col("h"), F.col("w"))
     names = {"original": F.col("px"), "baseline-normalize": tx.normalize(*size), "auto-gamma": tx.auto_gamma(*size)}
     parts = []
-    for i, px in enumerate(names.values()):
-        rows = saved(own.select("image_id", "label", "fold", px.cast("array<double>").alias("features")))
-        of_entry = lambda c, i=i: (F.col(c) + 5 * i).cast("int").alias(c)
-        parts.append(learn.standardize(rows).select(of_entry("test_fold"), of_entry("fold"), "image_id", "label", "z"))
-    found = saved(learn.knn(reduce(DataFrame.unionByName, parts), "image_id", "label"))
-    named = found.select(F.get(F.array(*map(F.lit, names)), F.floor(F.col("test_fold") / 5).cast("int")).alias("pipeline_id"), (F.col("test_fold") % 5).alias("fold"), "actual", "predicted")
+    for name, px in names.items():
+        rows = own.select("image_id", "label", "fold", px.cast("array<float>").alias("features"))
+        found = settled(spark, lambda rows=rows: learn.knn_across(rows, "image_id", "label"))
+        parts.append(found.select(F.lit(name).alias("pipeline_id"), F.col("test_fold").alias("fold"), "actual", "predicted"))
+    named = reduce(DataFrame.unionByName, parts)
     classes = own.select(F.col("label").alias("class_index")).distinct()
     entries = metrics.over_folds(metrics.macro(metrics.confusion(named, classes, ["pipeline_id", "fold"]), ["pipeline_id", "fold"]), ["pipeline_id"])
     return metrics.leaderboard(entries.withColumns({"classifier": F.lit("knn"), "feature_profile": F.lit("combined"), "total_ms": F.lit(0.0)}))

@@ -75,3 +75,13 @@ def test_rows_are_written_once(spark, monkeypatch):
     assert found.count() == 2000
     vectors = sum(df.count() if "id" in df.columns or "x" in df.columns and df.schema["x"].dataType.simpleString() != "binary" else df.selectExpr("sum(size(keys))").first()[0] for df in wrote)
     assert vectors == 2 * 2000
+
+
+def test_the_board_leaves_predictions_and_no_vectors(spark):
+    from lumenforge.plans import catalogue
+
+    start = shared.written()
+    board = catalogue.leaderboard(spark, "/root/testdata/sf0.001")
+    left = [spark.read.parquet(p) for p in shared._WRITTEN[start:]]
+    assert board.count() == 3 and len(left) == 4
+    assert all(df.count() == 500 for df in left) and sum("array" in kind for df in left for _, kind in df.dtypes) == 1
