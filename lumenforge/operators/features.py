@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import kernels, scale_space
+from . import kernels, scale_space, stacks
 
 
 def histogram(px: Column, bins: int, top: float) -> Column:
@@ -174,20 +174,36 @@ def gradient_descriptors(images: DataFrame, keys: list[str], most: int = 250, pa
 def scale_descriptors(images: DataFrame, keys: list[str], most: int = 250) -> DataFrame:
     """(keys, y, x, scale, angle, response, features array<double> of 128) of the `most` strongest keypoints of each image, which
     keep their descriptors when it is turned or resized. An image too small or too flat has none."""
-    return kernels.map_images(images, keys, lambda img: scale_space.describe(kernels.grey(img), most), "y double, x double, scale double, angle double, response double, features array<double>")
+    return stacks.map_stacks(images, keys, lambda x: scale_space.describe_stack(kernels.grey(x), most), "y double, x double, scale double, angle double, response double, features array<double>")
 
 
 def fold_words(descriptors: DataFrame, image: str, images: DataFrame, k: int = 32, fold: str = "fold", seed: int = 42) -> DataFrame:
     """(test_fold, image, histogram): for each fold of `images` (image, fold) a vocabulary of the other folds' descriptors alone,
-    and the shares of its words in every image. Both tables are read once a fold: write them first."""
+    and the shares of its words in every image. Descriptors may carry their image's fold, else they are joined with it. Both tables
+    are read once for each vocabulary: write them first. The words of all folds are counted in one pass over the descriptors."""
     folds = sorted(r[0] for r in images.select(fold).distinct().collect())
-    owned = descriptors.join(images.select(image, fold), image)
-    parts = []
-    for f in folds:
-        words = fit_vocabulary(owned.where(F.col(fold) != f), k, seed)
-        found = word_histograms(nearest_words(owned.select(image, "features"), words), image, k, images)
-        parts.append(found.select(F.lit(f).alias("test_fold"), image, "histogram"))
-    return reduce(DataFrame.unionByName, parts)
+    owned = descriptors if fold in descriptors.columns else descriptors.join(images.select(image, fold), image)
+    words = [np.array([r.centre for r in fit_vocabulary(owned.where(F.col(fold) != f), k, seed).orderBy("word_id").collect()]) for f in folds]
+    kind = descriptors.schema[image].dataType.simpleString()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each image in a batch: how often each word of each fold is the nearest, the lowest of equals."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, own = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(float), b.column(0).dictionary_encode()
+            at, n = own.indices.to_numpy(), len(own.dictionary)
+            square = (x * x).sum(1)[:, None]
+            near = [np.round(np.maximum(square + (w * w).sum(1) - 2 * x @ w.T, 0), 9).argmin(1) for w in words]
+            counts = np.hstack([np.bincount(at * k + word, minlength=n * k).reshape(n, k) for word in near])
+            yield pa.RecordBatch.from_arrays([own.dictionary, pa.array(list(counts), pa.list_(pa.int64()))], names=["image", "counts"])
+
+    found = descriptors.select(image, "features").mapInArrow(counted, f"image {kind}, counts array<bigint>")
+    sums = found.groupBy("image").agg(*[F.sum(F.get("counts", F.lit(i))).alias(f"n{i}") for i in range(len(folds) * k)])
+    share = lambda n: F.transform(F.array(*n), lambda x: F.coalesce(x / F.greatest(F.aggregate(F.array(*n), F.lit(0).cast("long"), lambda a, v: a + v), F.lit(1)), F.lit(0.0)))
+    of_folds = F.array(*[F.struct(F.lit(f).alias("test_fold"), share([F.coalesce(F.col(f"n{j}"), F.lit(0).cast("long")) for j in range(i * k, i * k + k)]).alias("histogram")) for i, f in enumerate(folds)])
+    every = images.select(image).distinct().join(sums.withColumnRenamed("image", image), image, "left")
+    return every.select(image, F.inline(of_folds)).select("test_fold", image, "histogram")
 
 
 _BLUR = np.array([1.0, 4.0, 6.0, 4.0, 1.0]) / 16

@@ -853,15 +853,16 @@ def class_manifest(spark: SparkSession, d: str) -> DataFrame:
 # Kernels and learners without a form in SQL
 
 
-def _as_images(spark: SparkSession, d: str, scale: int = 4) -> DataFrame:
-    """Rasters as colour images of the image source's struct, each sample repeated `scale` times both ways."""
+def _as_images(spark: SparkSession, d: str, scale: int = 4, folds: DataFrame | None = None) -> DataFrame:
+    """Rasters as colour images of the image source's struct, each sample repeated `scale` times both ways; with their folds, if these are given."""
     side = rasters.SIDE * scale
 
     def grown(planes: pd.Series) -> pd.Series:
         return planes.map(lambda px: np.kron(np.asarray(px, np.uint8).reshape(rasters.SIDE, -1), np.ones((scale, scale), np.uint8))[..., None].repeat(3, axis=2).tobytes())
 
     grown.__annotations__ = {"planes": pd.Series, "return": pd.Series}
-    return rasters.dealt(rasters.load(spark, d), "image_id").select("image_id", "label", F.struct(F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), F.pandas_udf(grown, "binary")("px").alias("data")).alias("image"))
+    rows = rasters.load(spark, d) if folds is None else rasters.load(spark, d).join(folds, "image_id")
+    return rasters.dealt(rows, "image_id").select("image_id", "label", *([] if folds is None else ["fold"]), F.struct(F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), F.pandas_udf(grown, "binary")("px").alias("data")).alias("image"))
 
 
 def _kernel(name: str) -> Query:
@@ -930,7 +931,8 @@ def scale_descriptors(spark: SparkSession, d: str) -> DataFrame:
 def scale_words(spark: SparkSession, d: str) -> DataFrame:
     """Shares of words in every raster, by words of the training folds' descriptors alone."""
     images = saved(_folded(spark, d).select(F.col("vec_id").alias("image_id"), "fold"))
-    return features.fold_words(saved(scale_descriptors(spark, d)), "image_id", images, 16)
+    found = features.scale_descriptors(_as_images(spark, d, folds=images), ["image_id", "fold"])
+    return features.fold_words(saved(found.select("image_id", "fold", "features")), "image_id", images, 16)
 
 
 @query()

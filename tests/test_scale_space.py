@@ -92,3 +92,28 @@ def test_queries_cover_every_raster(spark):
     assert d.where((F.size("features") != 128) | (F.col("scale") <= 0)).count() == 0
     words = catalogue.queries()["scale_words"](spark, SF)
     assert words.groupBy("test_fold").count().where("count <> 500").count() == 0
+
+
+def test_stacks_are_described_as_their_images():
+    """Together, with the same bits, also where an image has no keypoints."""
+    stack = np.stack([scene(64, seed=s) for s in (1, 2)] + [np.full((64, 64), 7.0), scene(64, seed=3)])
+    found = scale_space.describe_stack(stack)
+    assert found == [scale_space.describe(g) for g in stack] and len(found[0]) > 3 and found[2] == []
+
+
+def test_words_of_all_folds_take_one_pass(spark, monkeypatch):
+    """Not an expression over all words for each fold, and no join where descriptors know their fold."""
+    monkeypatch.setattr(features, "nearest_words", lambda *a: pytest.fail("words were looked up fold by fold"))
+    rng = np.random.default_rng(4)
+    rows = [(i % 12, i % 12 % 3, rng.normal(size=8).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, fold int, features array<double>").cache()
+    images = spark.createDataFrame([(i, i % 3) for i in range(13)], "k int, fold int")
+    got = {(r.test_fold, r.k): r.histogram for r in features.fold_words(df, "k", images, 4).collect()}
+    joined = {(r.test_fold, r.k): r.histogram for r in features.fold_words(df.drop("fold"), "k", images, 4).collect()}
+    assert set(got) == set(joined) and len(got) == 39 and all(got[f, 12] == [0.0] * 4 for f in range(3))
+    for f in range(3):
+        centres = np.array([r.centre for r in features.fit_vocabulary(df.where(F.col("fold") != f), 4).orderBy("word_id").collect()])
+        for k in range(12):
+            own = np.array([x for i, _, x in rows if i == k])
+            near = ((own[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+            assert got[f, k] == pytest.approx(np.bincount(near, minlength=4) / len(own))
