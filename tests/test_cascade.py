@@ -76,3 +76,26 @@ def test_query_predicts_each_row_once(spark):
     folds = catalogue._folded(spark, "/root/testdata/sf0.001").toPandas()
     both = rows.merge(folds, on="vec_id")
     assert sorted(rows.vec_id) == sorted(folds.vec_id) and (both.test_fold == both.fold).all() and (both.actual == both.label).all()
+
+
+def test_multipliers_are_taken_up_without_a_column_each(monkeypatch):
+    """A start from known multipliers makes its gradient from strips of the kernel, and ends at once where they are right."""
+    x, y = data(300, classes=2)
+    y = np.where(y == 0, 1.0, -1.0)
+    a, bias = cascade.solve(x, y, np.zeros(300), 2.0, 0.2, 1e-6)
+    calls, kernel = [], cascade._kernel
+    monkeypatch.setattr(cascade, "_kernel", lambda *args: calls.append(1) or kernel(*args))
+    again, same = cascade.solve(x, y, a, 2.0, 0.2, 1e-4)
+    assert len(calls) <= 3 and (a > 0).sum() > 20 and (again == a).all() and same == pytest.approx(bias)
+    monkeypatch.setattr(cascade, "STRIP", 1)
+    assert np.allclose(cascade.solve(x, y, a, 2.0, 0.2, 1e-4)[0], a)
+    want = bias + np.exp(-0.2 * ((x[:, None] - x[None]) ** 2).sum(2)) @ (a * y)
+    assert np.allclose(cascade.decision(x, x, a * y, bias, 0.2), want)
+
+
+def test_small_groups_are_dealt_to_many_tasks(spark, monkeypatch):
+    wrote, before = [], cascade.saved
+    monkeypatch.setattr(cascade, "saved", lambda df: wrote.append(df) or before(df))
+    x, y = data(270)
+    cascade.machines(table(spark, x, y), "id", "label", gamma=0.2)
+    assert wrote[1].rdd.mapPartitions(lambda p: [any(True for _ in p)]).sum() >= 5  # of nine machines of one block each
